@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chat_format import CODES, canonical_turns, formatted, read_back
+from . import byte_bpe, quality
+from .chat_format import canonical_turns, formatted, read_back
 from .common import cut, n_words, read
 from .exact_dedup import exact_groups
+from .license_scan import scan
 from .mixing import mix
+from .token_counts import token_counts
 from .url_filter import judge
 
 #: Weights of the sources by rank, repeating.
@@ -54,6 +57,23 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return byte_bpe.digests(byte_bpe.encode(read(spark, sf_dir, "documents"), *vocabulary), *vocabulary)
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cut(quality.measured(read(spark, sf_dir, "documents"), keep=["doc_id", "lang"]), "measures")
+    cutoffs = quality.calibrate(rows, read(spark, sf_dir, "labels"))
+    return quality.judged(rows, cutoffs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
     return judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -63,11 +83,21 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read(spark, sf_dir, "documents"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), budget=1024)
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_chat_format": op2_chat_format,
+    "op4_byte_bpe": op4_byte_bpe,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_license_scan": op6_license_scan,
     "op7_url_filter": op7_url_filter,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLES: dict[str, str | None] = {
@@ -105,7 +135,6 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sum(8 + 2 * length(role) - length(translate(role, '\\<[|', '')) + 2 * length(text) - length(translate(text, '\\<[|', '')))::BIGINT AS formatted_chars
 FROM r GROUP BY conv_id
 """,
-    "op7_url_filter": None,
     "op9_exact_dedup": """
 WITH d AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents),
