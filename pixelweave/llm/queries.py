@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, jaccard_join, quality
+from . import byte_bpe, jaccard_join, lm_scoring, quality
 from .chat_format import canonical_turns, formatted, read_back
 from .common import cut, n_words, read
 from .exact_dedup import exact_groups
@@ -83,6 +83,12 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return lm_scoring.score(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read(spark, sf_dir, "documents"))
 
@@ -101,6 +107,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_license_scan": op6_license_scan,
     "op7_url_filter": op7_url_filter,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_token_counts": op10_token_counts,
 }
