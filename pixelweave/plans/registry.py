@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import raster_queries
+
+MODULES = (raster_queries,)
+QUERIES: dict = {k: q for m in MODULES for k, q in m.QUERIES.items()}
+ORACLES: dict[str, str] = {k: q for m in MODULES for k, q in m.ORACLES.items()}
