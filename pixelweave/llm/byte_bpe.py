@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import cut, small_batches
 from .pretokens import boundaries, findall
 
-CHUNK, OVERLAP = 16384, 1024
+CHUNK, OVERLAP = 65536, 2048
 #: A match can depend on this many characters after its end; ends nearer to a chunk's end aren't trusted.
 LOOKAHEAD = 4
 #: Pre-tokens whose ids a worker remembers; beyond that it starts anew.
