@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from ..operators import raster as R
 
 W = H = 8
-P = F.col("pixels")
+
+
+def P():  # noqa: N802
+    """The pixels of an image; made when a query runs, as columns need a session."""
+    return F.col("pixels")
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,15 +24,15 @@ def _pixels(column, w: int = W, whole: bool = False):
     """A query that gives an array expression of each image as one row a pixel."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = images(spark, sf_dir).select("image_id", F.posexplode(column).alias("k", "v"))
+        out = images(spark, sf_dir).select("image_id", F.posexplode(column()).alias("k", "v"))
         return out.select("image_id", F.floor(F.col("k") / w).cast("int").alias("y"), (F.col("k") % w).alias("x"), (F.col("v").cast("long") if whole else F.round("v", 6)).alias("v"))
 
     return run
 
 
-def _scalars(**columns):
+def _scalars(columns):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return images(spark, sf_dir).select("image_id", *(c.alias(n) for n, c in columns.items()))
+        return images(spark, sf_dir).select("image_id", *(c.alias(n) for n, c in columns().items()))
 
     return run
 
@@ -53,8 +57,8 @@ STATS = "st AS (SELECT image_id, avg(v) AS m, stddev_samp(v) AS s, min(v) AS lo,
 
 
 def pyramid_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    half = images(spark, sf_dir).select("image_id", R.halve(R.smooth(P, W, H), W, H).alias("pixels"))
-    return half.select("image_id", F.round(F.array_min(P), 6).alias("least"), F.round(F.array_max(P), 6).alias("most"), F.round(R.mean(P), 6).alias("mean"))
+    half = images(spark, sf_dir).select("image_id", R.halve(R.smooth(P(), W, H), W, H).alias("pixels"))
+    return half.select("image_id", F.round(F.array_min(P()), 6).alias("least"), F.round(F.array_max(P()), 6).alias("most"), F.round(R.mean(P()), 6).alias("mean"))
 
 
 def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,13 +72,13 @@ def histogram_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pyramid_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     levels = R.pyramid(images(spark, sf_dir), W, H, least=1)
-    return levels.select("image_id", "level", "width", "height", F.round(R.mean(P), 6).alias("mean"))
+    return levels.select("image_id", "level", "width", "height", F.round(R.mean(P()), 6).alias("mean"))
 
 
 def channel_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The image's rows as channels; channel 9 is clamped to the last."""
-    out = images(spark, sf_dir).select("image_id", R.crop(P, W, H, 0, min(9, H - 1), W, 1).alias("pixels"))
-    return out.select("image_id", F.round(R.total(P), 6).alias("total"))
+    out = images(spark, sf_dir).select("image_id", R.crop(P(), W, H, 0, min(9, H - 1), W, 1).alias("pixels"))
+    return out.select("image_id", F.round(R.total(P()), 6).alias("total"))
 
 
 def memory_footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,21 +87,21 @@ def memory_footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def colour_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = R.long_form(images(spark, sf_dir).withColumn("pixels", R.to_u8(P)), W)
+    px = R.long_form(images(spark, sf_dir).withColumn("pixels", R.to_u8(P())), W)
     return px.groupBy("image_id").agg(F.count_distinct("v").alias("colours"))
 
 
 def rgba_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows 0-2 of the image as three channels of 8 pixels, blended by weights."""
-    planes = [F.slice(P, 8 * c + 1, 8) for c in range(3)]
+    planes = [F.slice(P(), 8 * c + 1, 8) for c in range(3)]
     fused = R.fuse(planes, [(1.0, 0.0, 0.5), (0.0, 1.0, 0.5), (0.25, 0.25, 0.0)])
     out = images(spark, sf_dir).select("image_id", F.posexplode(fused).alias("k", "c"))
     return out.select("image_id", "k", *(F.round(f"c.{n}", 6).alias(n) for n in "rgb"))
 
 
 def paste_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tile = R.crop(P, W, H, 0, 0, 3, 2)
-    return _pixels(R.paste(P, W, H, tile, 4, 5, 3, 2))(spark, sf_dir)
+    tile = R.crop(P(), W, H, 0, 0, 3, 2)
+    return _pixels(lambda: R.paste(P(), W, H, tile, 4, 5, 3, 2))(spark, sf_dir)
 
 
 def normal_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,32 +113,32 @@ def normal_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "pyramid_summary": pyramid_summary,
-    "rotate_right": _pixels(R.rotate_right(P, W, H)),
-    "rotate_left": _pixels(R.rotate_left(P, W, H)),
-    "flip_vertical": _pixels(R.flip(P, W, H)),
-    "mirror_horizontal": _pixels(R.mirror(P, W, H)),
-    "roi_crop": _pixels(R.crop(P, W, H, 3, 5, 8, 8), 5),
+    "rotate_right": _pixels(lambda: R.rotate_right(P(), W, H)),
+    "rotate_left": _pixels(lambda: R.rotate_left(P(), W, H)),
+    "flip_vertical": _pixels(lambda: R.flip(P(), W, H)),
+    "mirror_horizontal": _pixels(lambda: R.mirror(P(), W, H)),
+    "roi_crop": _pixels(lambda: R.crop(P(), W, H, 3, 5, 8, 8), 5),
     "roi_paste": paste_tile,
-    "interleave": _pixels(R.interleave(F.slice(P, 1, 32), F.slice(P, 33, 32))),
-    "deinterleave": _pixels(R.deinterleave(P, 1, 4)),
-    "resize_pad": _pixels(R.resize_pad(P, W, H, 10, 9), 10),
-    "hard_threshold": _pixels(R.threshold(P, 0.1)),
-    "guarded_read": _scalars(inside=F.round(R.read_at(P, W, H, F.lit(7), F.lit(0)), 6), outside=R.read_at(P, W, H, F.lit(8), F.lit(0))),
-    "smooth": _pixels(R.smooth(P, W, H)),
-    "gradient_x": _pixels(R.gradient(P, W, H, "x")),
-    "gradient_y": _pixels(R.gradient(P, W, H, "y")),
-    "corner_response": _pixels(R.structure(P, W, H)),
-    "laplacian_weight": _pixels(R.laplacian_weight(P, W, H)),
+    "interleave": _pixels(lambda: R.interleave(F.slice(P(), 1, 32), F.slice(P(), 33, 32))),
+    "deinterleave": _pixels(lambda: R.deinterleave(P(), 1, 4)),
+    "resize_pad": _pixels(lambda: R.resize_pad(P(), W, H, 10, 9), 10),
+    "hard_threshold": _pixels(lambda: R.threshold(P(), 0.1)),
+    "guarded_read": _scalars(lambda: dict(inside=F.round(R.read_at(P(), W, H, F.lit(7), F.lit(0)), 6), outside=R.read_at(P(), W, H, F.lit(8), F.lit(0)))),
+    "smooth": _pixels(lambda: R.smooth(P(), W, H)),
+    "gradient_x": _pixels(lambda: R.gradient(P(), W, H, "x")),
+    "gradient_y": _pixels(lambda: R.gradient(P(), W, H, "y")),
+    "corner_response": _pixels(lambda: R.structure(P(), W, H)),
+    "laplacian_weight": _pixels(lambda: R.laplacian_weight(P(), W, H)),
     "pyramid_levels": pyramid_levels,
-    "array_statistics": _scalars(mean=F.round(R.mean(P), 6), part_mean=F.round(R.mean(P, 3, 10), 6), std=F.round(R.std(P), 6), norm=F.round(R.norm(P), 6), least=F.array_min(P), most=F.array_max(P)),
-    "std_of_one": _scalars(std=R.std(F.slice(P, 1, 1))),
-    "standardise": _pixels(R.standardise(P)),
-    "argsort": _pixels(R.argsort(P), whole=True),
+    "array_statistics": _scalars(lambda: dict(mean=F.round(R.mean(P()), 6), part_mean=F.round(R.mean(P(), 3, 10), 6), std=F.round(R.std(P()), 6), norm=F.round(R.norm(P()), 6), least=F.array_min(P()), most=F.array_max(P()))),
+    "std_of_one": _scalars(lambda: dict(std=R.std(F.slice(P(), 1, 1)))),
+    "standardise": _pixels(lambda: R.standardise(P())),
+    "argsort": _pixels(lambda: R.argsort(P()), whole=True),
     "histogram": histogram,
     "histogram_ends": histogram_ends,
-    "to_u8": _pixels(R.to_u8(P), whole=True),
-    "u16_to_u8_lut": _pixels(R.to_u8_lut(F.transform(P, lambda v: F.floor(F.abs(v) * 65535))), whole=True),
-    "to_depth": _pixels(R.to_depth(P, 12), whole=True),
+    "to_u8": _pixels(lambda: R.to_u8(P()), whole=True),
+    "u16_to_u8_lut": _pixels(lambda: R.to_u8_lut(F.transform(P(), lambda v: F.floor(F.abs(v) * 65535))), whole=True),
+    "to_depth": _pixels(lambda: R.to_depth(P(), 12), whole=True),
     "channel_extract": channel_extract,
     "memory_footprint": memory_footprint,
     "colour_count": colour_count,
