@@ -149,7 +149,7 @@ def _dwt(bank, mode, high=False):
 def dwt_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = images(spark, sf_dir).select("image_id", "pixels", *(c.alias(n) for c, n in zip(TR.dwt(P(), 64, "sym5"), ("low", "high"), strict=True)))
     back = TR.synthesise(F.col("low"), F.col("high"), TR.dwt_length(64, 10), "sym5")
-    return coded.select("image_id", F.posexplode(back).alias("k", "v")).select("image_id", "k", F.round("v", 5).alias("v"))
+    return coded.select("image_id", F.posexplode(back).alias("k", "v")).select("image_id", "k", (F.round("v", 5) + 0.0).alias("v"))
 
 
 def dwt_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +165,7 @@ def fft_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fast_chebyshev(spark: SparkSession, sf_dir: str) -> DataFrame:
     im = images(spark, sf_dir)
     back = TR.fast_chebyshev_2d(TR.fast_chebyshev_2d(im, W, H), W, H, inverse=True)
-    return back.select("image_id", F.posexplode("pixels").alias("k", "v")).select("image_id", "k", F.round("v", 5).alias("v"))
+    return back.select("image_id", F.posexplode("pixels").alias("k", "v")).select("image_id", "k", (F.round("v", 5) + 0.0).alias("v"))
 
 
 QUERIES = {
@@ -231,7 +231,7 @@ SELECT image_id, angle, r, round(sum(v), 6) AS v FROM b WHERE r BETWEEN 0 AND 26
     "dwt_low_symmetric": _sql_dwt(TR.BANKS["bior3.1"][0], "CASE WHEN i < 0 THEN -1 - i WHEN i > 63 THEN 127 - i ELSE i END"),
     "dwt_high_periodic": _sql_dwt(TR.BANKS["bior5.5"][1], "(i + 64) % 64"),
     "dwt_low_constant_edge": _sql_dwt(TR.BANKS["sym5"][0], "greatest(0, least(63, i))"),
-    "dwt_round_trip": "SELECT vec_id AS image_id, (k - 1)::INT AS k, round(embedding[k]::DOUBLE, 5) AS v FROM embeddings, range(1, 65) t(k)",
+    "dwt_round_trip": "SELECT vec_id AS image_id, (k - 1)::INT AS k, round(embedding[k]::DOUBLE, 5) + 0.0 AS v FROM embeddings, range(1, 65) t(k)",
     "fft_2d": f"WITH {PX} SELECT image_id, kx::INT AS kx, round(sum(v * CASE WHEN kx = 4 AND x % 2 = 1 THEN -1 ELSE 1 END), 5) AS re FROM px, (VALUES (0), (4)) t(kx) GROUP BY ALL",
-    "fast_chebyshev": "SELECT vec_id AS image_id, (k - 1)::INT AS k, round(embedding[k]::DOUBLE, 5) AS v FROM embeddings, range(1, 65) t(k)",
+    "fast_chebyshev": "SELECT vec_id AS image_id, (k - 1)::INT AS k, round(embedding[k]::DOUBLE, 5) + 0.0 AS v FROM embeddings, range(1, 65) t(k)",
 }
