@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import small_batches
 from .pretokens import findall
 
-REMEMBERED = 150_000
+REMEMBERED = 350_000
 #: Fixed value: the pre-tokens of byte-level vocabularies in the tokenizers library's files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -62,7 +62,7 @@ class PrefixCounter:
         self.longest = max(map(len, self.ids))
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.tables: dict[str, array] = {}
+        self.tables: dict[str, bytes | array] = {}
         self.totals: dict[str, int] = {}
         self.stands: dict[tuple[bytes, bytes], bool] = {}
 
@@ -90,33 +90,37 @@ class PrefixCounter:
             self.stands[key] = out
         return out
 
-    def table(self, piece: bytes) -> array:
+    def table(self, piece: bytes) -> bytes | array:
         """Counts of the prefixes of one pre-token, by bytes from 0 on."""
         counts, last, ids, stands = [0], [b""], self.ids, self.stands
         before = 0  # where the last token of the prefix before this one starts: it often goes on
         for end in range(1, len(piece) + 1):
-            for start in (before, *range(end - 1, max(0, end - self.longest) - 1, -1)):
-                token = piece[start:end]
-                if token not in ids:
-                    continue
-                if start:
-                    left = last[start]
-                    ok = stands.get((left, token))
-                    if not (self.stand(left, token) if ok is None else ok):
-                        continue
-                counts.append(counts[start] + 1)
-                last.append(token)
-                before = start
-                break
-            else:
-                raise ValueError("a byte is not in the vocabulary")
-        return array("I", counts)
+            start, token = before, piece[before:end]
+            ok = token in ids
+            if ok and start and (ok := stands.get((last[start], token))) is None:
+                ok = self.stand(last[start], token)
+            if not ok:
+                for start in range(end - 1, max(0, end - self.longest) - 1, -1):
+                    token = piece[start:end]
+                    if start != before and token in ids:
+                        if not start:
+                            break
+                        if (ok := stands.get((last[start], token))) is None:
+                            ok = self.stand(last[start], token)
+                        if ok:
+                            break
+                else:
+                    raise ValueError("a byte is not in the vocabulary")
+            counts.append(counts[start] + 1)
+            last.append(token)
+            before = start
+        return bytes(counts) if max(counts) < 256 else array("I", counts)
 
     def learn(self, pieces: list[str]) -> None:
         if len(self.totals) > REMEMBERED:
             self.tables.clear()
             self.totals.clear()
-        if len(self.stands) > 4 * REMEMBERED:
+        if len(self.stands) > 2 * REMEMBERED:
             self.stands.clear()
         for p in set(pieces).difference(self.totals):
             t = self.table(p.encode())
