@@ -70,14 +70,14 @@ def windows(classes: np.ndarray, first: int = 0, stop: int | None = None) -> tup
     return inputs[at], np.where(own, targets[at], -1)
 
 
-def stretch(classes: np.ndarray, first: bool, last: bool) -> tuple[np.ndarray, np.ndarray]:
-    """One window to train on, from a stretch of a text's classes: every target is its own. Longer ones are cut."""
+def blocks(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs and targets to train on: a text's classes in windows of LENGTH that don't overlap. Every class and the end
+    mark is the target of exactly one window, however long the text or its words are."""
     mark = np.array([CLASSES], np.int64)
-    seq = np.concatenate([mark[: int(first)], classes, mark[: int(last)]])[: LENGTH + 1]
-    x, y = np.full(LENGTH, CLASSES, np.int64), np.full(LENGTH, -1, np.int64)
-    n = max(0, len(seq) - 1)
-    x[:n], y[:n] = seq[:-1], seq[1:]
-    return x, y
+    n = len(classes) + 1
+    x, y = np.full(-(-n // LENGTH) * LENGTH, CLASSES, np.int64), np.full(-(-n // LENGTH) * LENGTH, -1, np.int64)
+    x[:n], y[:n] = np.concatenate([mark, classes]), np.concatenate([classes, mark])
+    return x.reshape(-1, LENGTH), y.reshape(-1, LENGTH)
 
 
 def forward(m: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, tuple]:

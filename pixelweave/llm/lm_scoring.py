@@ -3,9 +3,9 @@
 Documents whose crc32 of the id, mod HELD_OUT, isn't 0 are learnt from. Three things are gathered from all of them:
 counts of words (by pre-aggregated shuffle, so they grow with the corpus and stay distributed), counts of subword
 ids (one number an id of the fixed vocabulary), and the attention model's weights. The weights are trained in
-numpy by data-parallel rounds: each task starts from the round's weights and steps through stretches of its
-documents, and the tasks' weights are averaged by tokens. A round takes every TRAIN_EVERY-th stretch of TRAIN_WORDS words of
-every document, another offset each round. A text is the sequence of its words' subword ids, each word encoded with a space before it,
+numpy by data-parallel rounds: each task starts from the round's weights and steps through windows of its documents,
+and the tasks' weights are averaged by tokens. A text is cut into windows by ids; a round takes every ROUNDS-th window
+of every document, another offset each round, so the rounds together take every id of every text once. A text is the sequence of its words' subword ids, each word encoded with a space before it,
 so a word's ids are found once and the ids' counts follow exactly from the words' counts.
 
 Scoring sends every text through batched masked attention in overlapping windows that score each token once. For the
@@ -47,7 +47,7 @@ HOT_WORDS, HOT_BYTES = 200_000, 40
 COUNTED = 400_000
 #: Words whose classes a task remembers.
 REMEMBERED = 600_000
-ROUNDS, TRAIN_EVERY, TRAIN_WORDS = 1, 8, 12
+ROUNDS = 2
 SMOOTH = 0.1
 #: Windows that wait in memory for the model at most, about; a longer text goes through in parts.
 TOGETHER = 8192
@@ -131,14 +131,11 @@ def _train(rank_file: str, pattern: str, classes: np.ndarray, shares: np.ndarray
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if held_out(i):
                     continue
-                words = _lower(text).split()
-                pieces = max(1, -(-len(words) // TRAIN_WORDS))
-                skip = (turn + zlib.crc32(str(i).encode())) % TRAIN_EVERY  # offsets differ by document, for short ones
-                for j in range(skip, pieces, TRAIN_EVERY):
-                    found = c(words[j * TRAIN_WORDS : (j + 1) * TRAIN_WORDS])
-                    x, y = lm.stretch(found, j == 0, j == pieces - 1)
-                    xs.append(x)
-                    ys.append(y)
+                x, y = lm.blocks(c(_lower(text).split()))
+                first = (turn + zlib.crc32(str(i).encode())) % ROUNDS  # offsets differ by document, for short ones
+                for j in range(first, len(x), ROUNDS):
+                    xs.append(x[j])
+                    ys.append(y[j])
                     held += 1
                     if held >= lm.BATCH:
                         trainer.step(np.stack(xs), np.stack(ys))
@@ -233,7 +230,7 @@ def score(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id",
     classes, shares = lm.classes_of(of_id)
     weights = lm.pack(lm.start())
     for turn in range(ROUNDS):
-        tasks = rows.mapInArrow(_train(rank_file, pattern, classes, shares, weights, turn * (TRAIN_EVERY // ROUNDS)), "at int, value double, tokens long")
+        tasks = rows.mapInArrow(_train(rank_file, pattern, classes, shares, weights, turn), "at int, value double, tokens long")
         mean: pd.DataFrame = tasks.groupBy("at").agg((F.sum("value") / F.sum("tokens")).alias("value")).toPandas().sort_values("at")
         if len(mean) and mean["value"].notna().all():
             weights = mean["value"].to_numpy(np.float32)

@@ -324,6 +324,21 @@ def test_attention_learns_and_scores_once():
     assert np.allclose(attention_lm.forward(trainer.model, later)[0][:, :20], z[:, :20], atol=1e-5)
 
 
+def test_lm_trains_on_every_id(monkeypatch):
+    import pyarrow as pa
+
+    c = byte_bpe.codec(RANKS, P.PATTERN)
+    rows = [*enumerate(texts(40, 12, 200)), (100, None), (101, "short"), (102, "\u6f22\u5b57" * 300), (103, "x1y2" * 200), (None, "the of")]
+    want = sum(sum(len(lm_scoring._word_ids(c, w)) for w in lm_scoring._lower(t).split()) + 1 for i, t in rows if not lm_scoring.held_out(i))
+    seen = []
+    monkeypatch.setattr(attention_lm.Trainer, "step", lambda self, x, y: seen.append(int((y >= 0).sum())))
+    classes, shares = attention_lm.classes_of(np.zeros(lm_scoring.vocabulary_size(RANKS, P.PATTERN), np.int64))
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows])], names=["doc_id", "text"])
+    for turn in range(lm_scoring.ROUNDS):
+        list(lm_scoring._train(RANKS, P.PATTERN, classes, shares, attention_lm.pack(attention_lm.start()), turn)(iter([batch])))
+    assert sum(seen) == want
+
+
 # 9 -----------------------------------------------------------------------------------------------------------------
 
 
