@@ -1,9 +1,12 @@
-"""A small causal self-attention model in numpy over classes of subword ids.
+"""A small causal self-attention model in numpy over subword ids (one head, residual, learned positions).
 
-Ids are dealt into classes of about equal weight by their corpus counts. The model predicts the next class from the
-classes before it (one head, residual, learned positions), and the id within its class has its smoothed share of
-the class's count, so the two factors make a proper distribution over ids. An end mark, which is also the begin mark,
-is a class of its own.
+Ids are named by their rank, by falling corpus count, and make a tree: classes of about equal weight, leaves of at most
+LEAF ids within a class, ids within a leaf. The input vector of an id is its class's plus two hashed ones (remainder and
+quotient of the rank by HASHED), which together are the id's alone. The next id is predicted from the ids before it in
+three factors: its class, its leaf within the class, itself within the leaf. The two inner factors start from the
+smoothed corpus shares and add the product of the context, gated by the node, with a vector of the place in the node;
+so all three depend on the context, and they make a proper distribution over ids. An end mark, which is also the begin
+mark, is a class of its own. Without a tree, tokens are classes, and the first factor is all.
 
 Texts are cut into windows of LENGTH inputs that start STRIDE apart; the first LENGTH - STRIDE positions of every
 window but a text's first are context alone, so each token is scored exactly once, and windows of many texts go
@@ -12,12 +15,15 @@ through masked attention together.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 LENGTH, STRIDE, WIDTH, CLASSES = 32, 24, 16, 63
 #: Windows that go through the model together.
 BATCH = 128
-NAMES = ("emb", "pos", "wq", "wk", "wv", "out", "bias")
+#: Rows of the hashed table of id vectors; ids of a leaf.
+HASHED, LEAF = 1024, 256
 
 
 def classes_of(counts: np.ndarray, n: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
@@ -31,24 +37,72 @@ def classes_of(counts: np.ndarray, n: int = CLASSES) -> tuple[np.ndarray, np.nda
     return cls, np.log((counts + 0.1) / total[cls])
 
 
-def start(seed: int = 11) -> dict[str, np.ndarray]:
+class Tree:
+    """Ids by rank, their classes, leaves and places, and the log shares within the nodes. The end mark has rank size."""
+
+    def __init__(self, counts: np.ndarray):
+        self.size = size = len(counts)
+        order = np.lexsort((np.arange(size), -counts))
+        self.rank = np.empty(size, np.uint32)
+        self.rank[order] = np.arange(size)
+        cls, weight = np.unique(classes_of(counts)[0][order], return_inverse=True)[1], counts[order] + 0.1  # no class is empty
+        self.classes = int(cls.max()) + 1
+        within = np.arange(size) - np.searchsorted(cls, cls)  # classes rise with the rank
+        self.turn, self.place = within // LEAF, within % LEAF
+        self.leaf = np.cumsum(self.place == 0) - 1
+        self.cls = np.append(cls, self.classes)
+        self.leaves, self.turns = int(self.leaf[-1]) + 1, int(self.turn.max()) + 1
+        by_turn, by_place = np.zeros((self.classes, self.turns)), np.zeros((self.leaves, LEAF))
+        np.add.at(by_turn, (cls, self.turn), weight)
+        by_place[self.leaf, self.place] = weight
+        with np.errstate(divide="ignore", invalid="ignore"):
+            self.by_turn, self.by_place = (np.maximum(np.nan_to_num(np.log(t / t.sum(1, keepdims=True)), nan=-1e9), -1e9).astype(np.float32) for t in (by_turn, by_place))
+        self.turns_of, self.places_of = (by_turn > 0).sum(1), (by_place > 0).sum(1)
+
+    def factors(self, y: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of the inner factors of targets y (ranks): which, at which targets, their nodes, the log shares there, and what to
+        find. Nodes of one child are left out, small and large ones go apart."""
+        inner = np.flatnonzero(y < self.size)
+        r = y[inner]
+        for name, nodes, shares, sizes, found in (("turn", self.cls[r], self.by_turn, self.turns_of, self.turn[r]), ("place", self.leaf[r], self.by_place, self.places_of, self.place[r])):
+            n = sizes[nodes]
+            for least, most in ((1, 16), (16, shares.shape[1])):
+                at = np.flatnonzero((n > least) & (n <= most))
+                if len(at):
+                    yield name, inner[at], nodes[at], shares[nodes[at], :most], found[at]
+
+
+def shapes(tree: Tree | None) -> dict[str, tuple[int, ...]]:
+    n = CLASSES if tree is None else tree.classes
+    out = {"emb": (n + 1, WIDTH), "pos": (LENGTH, WIDTH), "wq": (WIDTH, WIDTH), "wk": (WIDTH, WIDTH), "wv": (WIDTH, WIDTH), "out": (WIDTH, n + 1), "bias": (n + 1,)}
+    if tree is not None:
+        out |= {"low": (HASHED, WIDTH), "high": (tree.size // HASHED + 1, WIDTH), "turn_gate": (n, WIDTH), "turn": (tree.turns, WIDTH), "place_gate": (tree.leaves, WIDTH), "place": (LEAF, WIDTH)}
+    return out
+
+
+def start(seed: int = 11, tree: Tree | None = None) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
-    shape = {"emb": (CLASSES + 1, WIDTH), "pos": (LENGTH, WIDTH), "wq": (WIDTH, WIDTH), "wk": (WIDTH, WIDTH), "wv": (WIDTH, WIDTH), "out": (WIDTH, CLASSES + 1), "bias": (CLASSES + 1,)}
-    return {k: (0.0 if k == "bias" else 0.2) * rng.standard_normal(s).astype(np.float32) for k, s in shape.items()}
+    return {k: (0.0 if k == "bias" else 1.0 if k.endswith("gate") else 0.2) * rng.standard_normal(s).astype(np.float32) for k, s in shapes(tree).items()}
 
 
 def pack(model: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([model[k].ravel() for k in NAMES])
+    return np.concatenate([v.ravel() for v in model.values()])
 
 
-def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
+def unpack(flat: np.ndarray, tree: Tree | None = None) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for k, v in start().items():
-        out[k] = np.asarray(flat[at : at + v.size], np.float32).reshape(v.shape)
-        at += v.size
+    for k, s in shapes(tree).items():
+        n = int(np.prod(s))
+        out[k] = np.asarray(flat[at : at + n], np.float32).reshape(s)
+        at += n
     return out
 
 
+def vectors(m: dict[str, np.ndarray], tree: Tree | None, x: np.ndarray) -> np.ndarray:
+    """Input vectors of tokens."""
+    return m["emb"][x] if tree is None else m["emb"][tree.cls[x]] + m["low"][x % HASHED] + m["high"][x // HASHED]
+
+
 MASK = np.triu(np.full((LENGTH, LENGTH), -1e9, np.float32), 1)
 
 
@@ -56,10 +110,10 @@ def window_count(classes: np.ndarray) -> int:
     return 1 + max(0, -(-(len(classes) + 1 - LENGTH) // STRIDE))
 
 
-def windows(classes: np.ndarray, first: int = 0, stop: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Inputs and targets (each windows x LENGTH) of a text's classes; targets that aren't this window's to score are -1.
+def windows(classes: np.ndarray, first: int = 0, stop: int | None = None, end: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs and targets (each windows x LENGTH) of a text's tokens; targets that aren't this window's to score are -1.
     Of all windows those from first on, before stop."""
-    mark = np.array([CLASSES], np.int64)
+    mark = np.array([end], np.int64)
     inputs, targets = np.concatenate([mark, classes]), np.concatenate([classes, mark])
     n = len(inputs)
     which = np.arange(first, min(window_count(classes), stop or 1 << 62))
@@ -70,19 +124,19 @@ def windows(classes: np.ndarray, first: int = 0, stop: int | None = None) -> tup
     return inputs[at], np.where(own, targets[at], -1)
 
 
-def blocks(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Inputs and targets to train on: a text's classes in windows of LENGTH that don't overlap. Every class and the end
+def blocks(classes: np.ndarray, end: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs and targets to train on: a text's tokens in windows of LENGTH that don't overlap. Every token and the end
     mark is the target of exactly one window, however long the text or its words are."""
-    mark = np.array([CLASSES], np.int64)
+    mark = np.array([end], np.int64)
     n = len(classes) + 1
-    x, y = np.full(-(-n // LENGTH) * LENGTH, CLASSES, np.int64), np.full(-(-n // LENGTH) * LENGTH, -1, np.int64)
+    x, y = np.full(-(-n // LENGTH) * LENGTH, end, np.int64), np.full(-(-n // LENGTH) * LENGTH, -1, np.int64)
     x[:n], y[:n] = np.concatenate([mark, classes]), np.concatenate([classes, mark])
     return x.reshape(-1, LENGTH), y.reshape(-1, LENGTH)
 
 
-def forward(m: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, tuple]:
+def forward(m: dict[str, np.ndarray], x: np.ndarray, tree: Tree | None = None) -> tuple[np.ndarray, tuple]:
     """Log-probabilities (windows x LENGTH x classes), and what the gradient needs. Causal: position i sees up to i."""
-    e = m["emb"][x] + m["pos"]
+    e = vectors(m, tree, x) + m["pos"]
     q, k, v = e @ m["wq"], e @ m["wk"], e @ m["wv"]
     a = q @ k.transpose(0, 2, 1)
     a *= WIDTH**-0.5
@@ -103,13 +157,14 @@ LOWER = np.tril(np.ones((LENGTH, LENGTH), np.float32))
 TOP = np.float32(60)
 
 
-def token_scores(m: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def token_scores(m: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, tree: Tree | None = None) -> np.ndarray:
     """Natural log-probability of each target, 0 where it is -1; in batches. As forward, without what only the gradient
     needs: the largest exponents aren't taken off first, and classes are predicted only where a target is scored."""
     out = np.zeros(y.shape, np.float32)
     query = m["wq"] * np.float32(WIDTH**-0.5)
+    table = m["emb"] if tree is None else vectors(m, tree, np.arange(tree.size + 1))
     for i in range(0, len(x), BATCH):
-        e = m["emb"][x[i : i + BATCH]]
+        e = table[x[i : i + BATCH]]
         e += m["pos"]
         a = (e @ query) @ (e @ m["wk"]).transpose(0, 2, 1)
         np.minimum(a, TOP, out=a)
@@ -122,21 +177,62 @@ def token_scores(m: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.n
         z = h @ m["out"]
         z += m["bias"]
         np.minimum(z, TOP, out=z)
-        target = z[np.arange(len(z)), y[i : i + BATCH][own]]
+        goal = y[i : i + BATCH][own]
+        target = z[np.arange(len(z)), goal if tree is None else tree.cls[goal]]
         np.exp(z, out=z)
-        out[i : i + BATCH][own] = target - np.log(z.sum(-1))
+        target -= np.log(z.sum(-1))
+        if tree is not None:
+            for name, at, nodes, shares, found in tree.factors(goal):
+                inner = (h[at] * m[f"{name}_gate"][nodes]) @ m[name][: shares.shape[1]].T
+                inner += shares
+                np.minimum(inner, TOP, out=inner)
+                one = inner[np.arange(len(at)), found]
+                np.exp(inner, out=inner)
+                target[at] += one - np.log(inner.sum(-1))
+        out[i : i + BATCH][own] = target
+    return out
+
+
+def _rows(n: int, at: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sums of the values by row of a table of n."""
+    out = np.zeros((n, values.shape[1]), np.float32)
+    order = np.argsort(at, kind="stable")
+    rows = at[order]
+    firsts = np.flatnonzero(np.diff(rows, prepend=-1))
+    if len(firsts):
+        out[rows[firsts]] = np.add.reduceat(values[order], firsts)
     return out
 
 
-def gradient(m: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-    z, (x, e, q, k, v, a, h) = forward(m, x)
+def gradient(m: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, tree: Tree | None = None) -> dict[str, np.ndarray]:
+    z, (x, e, q, k, v, a, h) = forward(m, x, tree)
     p = np.exp(z)
     own = y >= 0
-    np.put_along_axis(p, np.maximum(y, 0)[..., None], np.take_along_axis(p, np.maximum(y, 0)[..., None], -1) - 1, -1)
-    p *= (own / max(1, own.sum())).astype(np.float32)[..., None]
+    goal = np.maximum(y, 0) if tree is None else tree.cls[np.maximum(y, 0)]
+    np.put_along_axis(p, goal[..., None], np.take_along_axis(p, goal[..., None], -1) - 1, -1)
+    part = np.float32(1 / max(1, own.sum()))
+    p *= (own * part)[..., None]
     flat = lambda t: t.reshape(-1, t.shape[-1])
     g = {"out": flat(h).T @ flat(p), "bias": flat(p).sum(0)}
     dh = p @ m["out"].T
+    if tree is not None:
+        g |= {name: np.zeros_like(m[name]) for name in ("turn", "place", "turn_gate", "place_gate")}
+        hs, ds = h[own], np.zeros((int(own.sum()), WIDTH), np.float32)
+        for name, at, nodes, shares, found in tree.factors(y[own]):
+            gate, places = m[f"{name}_gate"][nodes], m[name][: shares.shape[1]]
+            t = hs[at] * gate
+            s = t @ places.T
+            s += shares
+            s -= s.max(-1, keepdims=True)
+            np.exp(s, out=s)
+            s /= s.sum(-1, keepdims=True)
+            s[np.arange(len(at)), found] -= 1
+            s *= part
+            g[name][: shares.shape[1]] += s.T @ t
+            dt = s @ places
+            g[f"{name}_gate"] += _rows(len(m[f"{name}_gate"]), nodes, dt * hs[at])
+            ds[at] += dt * gate
+        dh[own] += ds
     da = dh @ v.transpose(0, 2, 1)
     dv = a.transpose(0, 2, 1) @ dh
     ds = a * (da - (da * a).sum(-1, keepdims=True)) * np.float32(WIDTH**-0.5)
@@ -145,25 +241,26 @@ def gradient(m: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> dict[str
         g[name] = flat(e).T @ flat(d)
     de = dh + dq @ m["wq"].T + dk @ m["wk"].T + dv @ m["wv"].T
     g["pos"] = de.sum(0)
-    emb = np.zeros_like(m["emb"])
-    np.add.at(emb, x.ravel(), flat(de)) if x.size < 64 else emb.__iadd__(np.eye(CLASSES + 1, dtype=np.float32)[x.ravel()].T @ flat(de))
-    g["emb"] = emb
+    x = x.ravel()
+    g["emb"] = _rows(len(m["emb"]), x if tree is None else tree.cls[x], flat(de))
+    if tree is not None:
+        g |= {"low": _rows(HASHED, x % HASHED, flat(de)), "high": _rows(len(m["high"]), x // HASHED, flat(de))}
     return g
 
 
 class Trainer:
     """Adam steps over batches of windows."""
 
-    def __init__(self, model: dict[str, np.ndarray], rate: float = 0.01):
+    def __init__(self, model: dict[str, np.ndarray], rate: float = 0.01, tree: Tree | None = None):
         self.model = {k: v.copy() for k, v in model.items()}
         self.first = {k: np.zeros_like(v) for k, v in model.items()}
         self.second = {k: np.zeros_like(v) for k, v in model.items()}
-        self.rate, self.steps, self.tokens = rate, 0, 0
+        self.rate, self.steps, self.tokens, self.tree = rate, 0, 0, tree
 
     def step(self, x: np.ndarray, y: np.ndarray) -> None:
         self.steps += 1
         self.tokens += int((y >= 0).sum())
-        for k, g in gradient(self.model, x, y).items():
+        for k, g in gradient(self.model, x, y, self.tree).items():
             self.first[k] += 0.1 * (g - self.first[k])
             self.second[k] += 0.01 * (g * g - self.second[k])
             lift = self.first[k] / (1 - 0.9**self.steps)

@@ -45,7 +45,7 @@ HELD_OUT = 10
 HOT_WORDS, HOT_BYTES = 200_000, 40
 #: Distinct words a task counts before it sends them on.
 COUNTED = 400_000
-#: Words whose classes a task remembers.
+#: Words whose ids' ranks a task remembers.
 REMEMBERED = 600_000
 ROUNDS = 2
 SMOOTH = 0.1
@@ -102,36 +102,32 @@ def _count_ids(rank_file: str, pattern: str, size: int):
     return run
 
 
-class WordClasses:
-    """Of each word, remembered: the classes of its ids, as bytes, and the sum of the ids' log shares in them."""
+class WordRanks:
+    """Of each word, remembered: the ranks of its ids, as bytes."""
 
-    def __init__(self, c: Codec, classes: np.ndarray, shares: np.ndarray):
-        self.codec, self.classes, self.shares = c, classes.tolist(), shares.tolist()
+    def __init__(self, c: Codec, tree: lm.Tree):
+        self.codec, self.rank = c, tree.rank
         self.of: dict[bytes, bytes] = {}
-        self.share: dict[bytes, float] = {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         if len(self.of) > REMEMBERED:
             self.of.clear()
-            self.share.clear()
         for w in set(words).difference(self.of):
-            ids = _word_ids(self.codec, w)
-            self.of[w] = bytes(map(self.classes.__getitem__, ids))
-            self.share[w] = math.fsum(map(self.shares.__getitem__, ids))
-        return np.frombuffer(b"".join(map(self.of.__getitem__, words)), np.uint8)
+            self.of[w] = self.rank[_word_ids(self.codec, w)].tobytes()
+        return np.frombuffer(b"".join(map(self.of.__getitem__, words)), np.uint32).astype(np.int64)
 
 
-def _train(rank_file: str, pattern: str, classes: np.ndarray, shares: np.ndarray, weights: np.ndarray, turn: int):
+def _train(rank_file: str, pattern: str, tree: lm.Tree, weights: np.ndarray, turn: int):
     """Weights of a task after its windows, with the number of tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, trainer = WordClasses(codec(rank_file, pattern), classes, shares), lm.Trainer(lm.unpack(weights))
+        c, trainer = WordRanks(codec(rank_file, pattern), tree), lm.Trainer(lm.unpack(weights, tree), tree=tree)
         xs, ys, held = [], [], 0
         for b in batches:
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if held_out(i):
                     continue
-                x, y = lm.blocks(c(_lower(text).split()))
+                x, y = lm.blocks(c(_lower(text).split()), tree.size)
                 first = (turn + zlib.crc32(str(i).encode())) % ROUNDS  # offsets differ by document, for short ones
                 for j in range(first, len(x), ROUNDS):
                     xs.append(x[j])
@@ -148,21 +144,21 @@ def _train(rank_file: str, pattern: str, classes: np.ndarray, shares: np.ndarray
     return run
 
 
-def _score(rank_file: str, pattern: str, classes: np.ndarray, shares: np.ndarray, weights: np.ndarray, hot: dict[bytes, int], total: int, kinds: int, ends: int):
+def _score(rank_file: str, pattern: str, tree: lm.Tree, weights: np.ndarray, hot: dict[bytes, int], total: int, kinds: int, ends: int):
     """Rows of documents (word null) with the model's score and the base over hot words, and of their other words."""
-    model, least = lm.unpack(weights), total + SMOOTH * (kinds + 1)
+    model, least = lm.unpack(weights, tree), total + SMOOTH * (kinds + 1)
     logs = {w: math.log10((n + SMOOTH) / least) for w, n in hot.items()}
     end = math.log10((ends + SMOOTH) / least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, number = WordClasses(codec(rank_file, pattern), classes, shares), TaskContext.get().partitionId() << 40
+        c, number = WordRanks(codec(rank_file, pattern), tree), TaskContext.get().partitionId() << 40
         for b in batches:
             docs, rest, scores = [], [], []
             waiting: list[tuple[int, np.ndarray, np.ndarray]] = []  # windows of documents, not yet through the model
 
             def through() -> None:
                 if waiting:
-                    by_window = lm.token_scores(model, np.concatenate([x for _, x, _ in waiting]), np.concatenate([y for _, _, y in waiting])).sum(1, dtype=np.float64)
+                    by_window = lm.token_scores(model, np.concatenate([x for _, x, _ in waiting]), np.concatenate([y for _, _, y in waiting]), tree).sum(1, dtype=np.float64)
                     starts = np.cumsum([0, *(len(x) for _, x, _ in waiting)])
                     for (at, _, _), a, b in zip(waiting, starts, starts[1:], strict=False):
                         scores[at] += math.fsum(by_window[a:b]) / math.log(10)
@@ -177,9 +173,9 @@ def _score(rank_file: str, pattern: str, classes: np.ndarray, shares: np.ndarray
                 docs.append((number, i, len(words) + 1, len(known) + (ends > 0), math.fsum(known) + end))
                 number += 1
                 found = c(words)
-                scores.append(math.fsum(map(c.share.__getitem__, words)) / math.log(10))
+                scores.append(0.0)
                 for first in range(0, lm.window_count(found), TOGETHER):
-                    waiting.append((len(scores) - 1, *lm.windows(found, first, first + TOGETHER)))
+                    waiting.append((len(scores) - 1, *lm.windows(found, first, first + TOGETHER, tree.size)))
                     held += len(waiting[-1][1])
                     if held >= TOGETHER:
                         through()
@@ -227,14 +223,14 @@ def score(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id",
     ids = counts.where("word is not null").mapInArrow(_count_ids(rank_file, pattern, size), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     of_id = np.zeros(size, np.int64)
     of_id[ids["id"].to_numpy()] = ids["n"].to_numpy()
-    classes, shares = lm.classes_of(of_id)
-    weights = lm.pack(lm.start())
+    tree = lm.Tree(of_id)
+    weights = lm.pack(lm.start(tree=tree))
     for turn in range(ROUNDS):
-        tasks = rows.mapInArrow(_train(rank_file, pattern, classes, shares, weights, turn), "at int, value double, tokens long")
+        tasks = rows.mapInArrow(_train(rank_file, pattern, tree, weights, turn), "at int, value double, tokens long")
         mean: pd.DataFrame = tasks.groupBy("at").agg((F.sum("value") / F.sum("tokens")).alias("value")).toPandas().sort_values("at")
         if len(mean) and mean["value"].notna().all():
             weights = mean["value"].to_numpy(np.float32)
-    shared = spark.sparkContext.broadcast((classes, shares.astype(np.float32), weights, hot))
+    shared = spark.sparkContext.broadcast((tree, weights, hot))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _score(rank_file, pattern, *shared.value, total, kinds, ends)(batches)

@@ -332,13 +332,40 @@ def test_lm_trains_on_every_id(monkeypatch):
     want = sum(sum(len(lm_scoring._word_ids(c, w)) for w in lm_scoring._lower(t).split()) + 1 for i, t in rows if not lm_scoring.held_out(i))
     seen = []
     monkeypatch.setattr(attention_lm.Trainer, "step", lambda self, x, y: seen.append(int((y >= 0).sum())))
-    classes, shares = attention_lm.classes_of(np.zeros(lm_scoring.vocabulary_size(RANKS, P.PATTERN), np.int64))
+    tree = attention_lm.Tree(np.zeros(lm_scoring.vocabulary_size(RANKS, P.PATTERN), np.int64))
     batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows])], names=["doc_id", "text"])
     for turn in range(lm_scoring.ROUNDS):
-        list(lm_scoring._train(RANKS, P.PATTERN, classes, shares, attention_lm.pack(attention_lm.start()), turn)(iter([batch])))
+        list(lm_scoring._train(RANKS, P.PATTERN, tree, attention_lm.pack(attention_lm.start(tree=tree)), turn)(iter([batch])))
     assert sum(seen) == want
 
 
+def test_attention_is_over_ids():
+    rng = np.random.default_rng(13)
+    counts = rng.integers(0, 40, 700) * (rng.random(700) < 0.3)
+    counts[0] = 10**6  # so that the other ids share few classes, of more than one leaf
+    tree = attention_lm.Tree(counts)
+    assert tree.turns > 1 and len({(int(c), int(t), int(p)) for c, t, p in zip(tree.cls[:-1], tree.turn, tree.place, strict=True)}) == 700
+    m = attention_lm.start(tree=tree)
+    x = rng.integers(0, 700, (1, attention_lm.LENGTH))
+    every = [attention_lm.token_scores(m, x, np.where(np.arange(attention_lm.LENGTH) == 9, i, -1)[None], tree)[0, 9] for i in range(701)]
+    assert abs(np.exp(np.array(every, float)).sum() - 1) < 1e-4  # a distribution over the ids and the end
+    one, two = np.flatnonzero(tree.cls[:-1] == tree.cls[699])[-2:]
+    total = lambda ids: float(attention_lm.token_scores(m, *attention_lm.windows(np.array(ids), end=tree.size), tree).sum())
+    assert abs(total([5, one, two, 6]) - total([5, two, one, 6])) > 1e-3  # order within a class counts
+    y = rng.integers(0, 701, x.shape)
+    y[0, :3] = -1
+    g = attention_lm.gradient(m, x, y, tree)
+    loss = lambda w: -float(attention_lm.token_scores(w, x, y, tree).sum(dtype=float)) / (y >= 0).sum()
+    for k in m:
+        at = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
+        near = []
+        for step in (0.01, -0.01):
+            w = {n: v.copy() for n, v in m.items()}
+            w[k][at] += step
+            near.append(loss(w))
+        assert abs((near[0] - near[1]) / 0.02 - g[k][at]) < 0.02 * abs(g[k][at]) + 1e-4, k
+
+
 # 9 -----------------------------------------------------------------------------------------------------------------
 
 
