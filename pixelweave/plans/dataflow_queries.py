@@ -66,6 +66,21 @@ def l1_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FE.distances(_features(spark, sf_dir, 2), _features(spark, sf_dir, 3), ["pair_id"]).select("l", "r", "d")
 
 
+def _neighbours(spark, sf_dir):
+    """Distances of every image's points (its rows of pixels) to those of the image with the next id: W x H of a pair."""
+    rows = F.transform(F.sequence(F.lit(0), F.lit(H - 1)), lambda y: F.slice(P(), y * W + 1, F.lit(W)))
+    f = images(spark, sf_dir).select(F.col("image_id").alias("pair_id"), F.posexplode(rows).alias("idx", "f"))
+    return FE.distances(f, f.withColumn("pair_id", F.col("pair_id") - 1), ["pair_id"])
+
+
+def mutual_nearest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FE.mutual_nearest(_neighbours(spark, sf_dir), ["pair_id"], 10).select("pair_id", "l", "r", "d", "rank")
+
+
+def l1_distances_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _neighbours(spark, sf_dir)
+
+
 def _points(spark, sf_dir):
     """Tie points: each image's pixel positions, mapped with its label and a value as noise."""
     x, y = F.col("x").cast("double"), F.col("y").cast("double")
@@ -170,7 +185,7 @@ def fast_chebyshev(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "tile_table": tile_table, "read_tile": read_tile, "read_region": read_region, "resolve_level": resolve_level, "closest_levels": closest_levels, "page_order": page_order,
-    "l1_distances": l1_distances, "mutual_nearest": mutual_nearest, "positional_match": positional_match, "grid_maxima": grid_maxima, "bilinear_sample": bilinear_sample,
+    "l1_distances": l1_distances, "mutual_nearest": mutual_nearest, "l1_distances_all": l1_distances_all, "mutual_nearest_all": mutual_nearest_all, "positional_match": positional_match, "grid_maxima": grid_maxima, "bilinear_sample": bilinear_sample,
     "normal_equations_affine": normal_equations_affine, "fit_affine": _fit("affine"), "fit_projective": _fit("projective"), "fit_rst": _fit("rst"), "fit_st": _fit("st"), "fit_score": fit_score,
     "oriented_patches": oriented_patches, "chebyshev_1d": chebyshev_1d, "chebyshev_2d": chebyshev_2d, "radon": radon, "radon_texture": radon_texture,
     "dwt_low_zeropad": _dwt("sym5", "zeropad"), "dwt_high_zeropad": _dwt("sym5", "zeropad", True), "dwt_low_symmetric": _dwt("bior3.1", "symmetric"), "dwt_high_periodic": _dwt("bior5.5", "periodic", True),
@@ -194,6 +209,10 @@ def _pairs(a: int, b: int) -> str:
   FROM embeddings a, embeddings b WHERE a.label = {a} AND b.label = {b})"""
 
 
+_NEXT = """d AS (SELECT a.vec_id AS pair_id, l::INT AS l, r::INT AS r, round(list_sum(list_transform(range(1, 9), lambda i: abs(a.embedding[l * 8 + i]::DOUBLE - b.embedding[r * 8 + i]::DOUBLE))), 6) AS d
+  FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1, range(8) t(l), range(8) u(r))"""
+
+
 ORACLES = {
     "tile_table": f"WITH {PX} SELECT image_id, 0 AS level, y // 4 AS ty, x // 4 AS tx, round(sum(v), 6) AS total, count(*) AS n FROM px GROUP BY ALL",
     "read_tile": f"WITH {PX} SELECT image_id, (y * 4 + x - 4)::INT AS k, round(v, 6) AS v FROM px WHERE x >= 4 AND y < 4",
@@ -207,6 +226,9 @@ SELECT vec_id AS image_id, above, below FROM embeddings, a""",
     "l1_distances": f"WITH {_pairs(2, 3)} SELECT l, r, d FROM d",
     "mutual_nearest": f"""WITH {_pairs(0, 1)}, n AS (SELECT *, row_number() OVER (PARTITION BY l ORDER BY d, r) AS a, row_number() OVER (PARTITION BY r ORDER BY d, l) AS b FROM d)
 SELECT l, r, d, row_number() OVER (ORDER BY d, l)::INT AS rank FROM n WHERE a = 1 AND b = 1 ORDER BY d, l LIMIT 10""",
+    "l1_distances_all": f"WITH {_NEXT} SELECT pair_id, l, r, d FROM d",
+    "mutual_nearest_all": f"""WITH {_NEXT}, n AS (SELECT *, row_number() OVER (PARTITION BY pair_id, l ORDER BY d, r) AS a, row_number() OVER (PARTITION BY pair_id, r ORDER BY d, l) AS b FROM d)
+SELECT pair_id, l, r, d, row_number() OVER (PARTITION BY pair_id ORDER BY d, l)::INT AS rank FROM n WHERE a = 1 AND b = 1""",
     "positional_match": f"WITH {_TIES} SELECT pair_id, count(*) AS matches, sum(x1) AS sum_x1 FROM p WHERE abs(x1 - x2) + abs(y1 - y2) < 5 GROUP BY ALL",
     "grid_maxima": f"""WITH {PX}, c AS (SELECT *, y // 2 AS cy, x // 2 AS cx, row_number() OVER (PARTITION BY image_id, y // 2, x // 2 ORDER BY v DESC, y, x) AS n FROM px)
 SELECT image_id, cy, cx, y, x, round(v, 6) AS v FROM c WHERE n = 1 AND cx BETWEEN 1 AND 2 AND cy BETWEEN 1 AND 2""",

@@ -131,3 +131,18 @@ def test_steps():
     assert series.steps_left(steps, "b") == [("a",)]
     assert series.steps_right(steps, "b") == [("c",)]
     assert series.steps_left(steps, "x") == []
+
+
+def test_matching_reads_every_image(spark):
+    from pixelweave.plans import registry
+
+    data = "/root/testdata/sf0.001"
+    ids = {r.vec_id for r in spark.read.parquet(f"{data}/embeddings.parquet").collect()}
+    lefts = {i for i in ids if i + 1 in ids}
+    assert lefts | {i + 1 for i in lefts} == ids
+    assert {r.pair_id for r in registry.QUERIES["mutual_nearest_all"](spark, data).collect()} == lefts
+    counts = registry.QUERIES["l1_distances_all"](spark, data).groupBy("pair_id").count().collect()
+    assert {r.pair_id for r in counts} == lefts and {r["count"] for r in counts} == {64}
+    buyers = {r.o_custkey for r in spark.read.parquet(f"{data}/orders.parquet").collect()} & {r.c_custkey for r in spark.read.parquet(f"{data}/customer.parquet").collect()}
+    merged = [(r.page, r.c) for r in registry.QUERIES["merge_channels_all"](spark, data).collect()]
+    assert sorted(merged) == sorted((p, c) for p in buyers for c in (0, 1))
