@@ -177,6 +177,12 @@ def fft_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where("ky = 0 and kx in (0, 4)").select("image_id", "kx", F.round("re", 5).alias("re"))
 
 
+def fft_2d_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every coefficient; rounded zeros have one sign."""
+    out = TR.fft_2d(images(spark, sf_dir), W, H)
+    return out.select("image_id", "ky", "kx", *((F.round(c, 5) + 0.0).alias(c) for c in ("re", "im")))
+
+
 def fast_chebyshev(spark: SparkSession, sf_dir: str) -> DataFrame:
     im = images(spark, sf_dir)
     back = TR.fast_chebyshev_2d(TR.fast_chebyshev_2d(im, W, H), W, H, inverse=True)
@@ -189,7 +195,7 @@ QUERIES = {
     "normal_equations_affine": normal_equations_affine, "fit_affine": _fit("affine"), "fit_projective": _fit("projective"), "fit_rst": _fit("rst"), "fit_st": _fit("st"), "fit_score": fit_score,
     "oriented_patches": oriented_patches, "chebyshev_1d": chebyshev_1d, "chebyshev_2d": chebyshev_2d, "radon": radon, "radon_texture": radon_texture,
     "dwt_low_zeropad": _dwt("sym5", "zeropad"), "dwt_high_zeropad": _dwt("sym5", "zeropad", True), "dwt_low_symmetric": _dwt("bior3.1", "symmetric"), "dwt_high_periodic": _dwt("bior5.5", "periodic", True),
-    "dwt_low_constant_edge": _dwt("sym5", "constant edge"), "dwt_round_trip": dwt_round_trip, "dwt_2d": dwt_2d, "fft_2d": fft_2d, "fast_chebyshev": fast_chebyshev,
+    "dwt_low_constant_edge": _dwt("sym5", "constant edge"), "dwt_round_trip": dwt_round_trip, "dwt_2d": dwt_2d, "fft_2d": fft_2d, "fft_2d_all": fft_2d_all, "fast_chebyshev": fast_chebyshev,
 }
 
 

@@ -146,3 +146,16 @@ def test_matching_reads_every_image(spark):
     buyers = {r.o_custkey for r in spark.read.parquet(f"{data}/orders.parquet").collect()} & {r.c_custkey for r in spark.read.parquet(f"{data}/customer.parquet").collect()}
     merged = [(r.page, r.c) for r in registry.QUERIES["merge_channels_all"](spark, data).collect()]
     assert sorted(merged) == sorted((p, c) for p in buyers for c in (0, 1))
+
+
+def test_fft_gives_every_coefficient(spark):
+    from pixelweave.plans import registry
+
+    data = "/root/testdata/sf0.001"
+    pixels = {r.vec_id: np.array(r.embedding, float).reshape(8, 8) for r in spark.read.parquet(f"{data}/embeddings.parquet").collect()}
+    got = {(r.image_id, r.ky, r.kx): complex(r.re, r.im) for r in registry.QUERIES["fft_2d_all"](spark, data).collect()}
+    assert len(got) == 64 * len(pixels)
+    wave = np.array([[np.exp(-2j * np.pi * a * b / 8) for b in range(8)] for a in range(8)])  # the sum of the definition, no FFT
+    for i, p in pixels.items():
+        want = np.einsum("ky,lx,yx->kl", wave, wave, p)
+        assert all(abs(got[i, ky, kx] - want[ky, kx]) < 2e-5 for ky in range(8) for kx in range(8))
