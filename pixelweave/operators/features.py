@@ -39,6 +39,22 @@ def mutual_nearest(d: DataFrame, on: list[str], limit: int) -> DataFrame:
     return pairs.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
+def matches(d: DataFrame, on: list[str], limit: int) -> DataFrame:
+    """As mutual_nearest, but where a key has fewer mutual pairs than half of the points asked for (limit, or the fewer of
+    its two sides), each left point goes with its nearest instead."""
+    from pyspark.sql import Window
+
+    best_r = d.groupBy(*on, "l").agg(F.min(F.struct("d", "r")).alias("m")).select(*on, "l", F.col("m.r").alias("r"), F.col("m.d").alias("d"))
+    best_l = d.groupBy(*on, "r").agg(F.min(F.struct("d", "l")).alias("m")).select(*on, "r", F.col("m.l").alias("back"))
+    rights = best_l.groupBy(*on).agg(F.count("*").alias("rights"))
+    key = Window.partitionBy(*on)
+    pairs = best_r.join(best_l, [*on, "r"]).join(rights, on).withColumn("mutual", F.col("back") == F.col("l"))
+    pairs = pairs.withColumn("points", F.least(F.lit(limit), F.count("*").over(key), F.col("rights")))
+    pairs = pairs.withColumn("relaxed", F.sum(F.col("mutual").cast("int")).over(key) < F.floor(F.col("points") / 2)).where("mutual or relaxed")
+    rank = F.row_number().over(key.orderBy("d", "l"))
+    return pairs.withColumn("rank", rank).where("rank <= points").select(*on, "l", "r", "d", "rank", "relaxed")
+
+
 def positional_match(a: DataFrame, b: DataFrame, on: list[str], limit: float = 5.0) -> DataFrame:
     """Points (on, x, y) of two lists joined by index, at an L1 distance under the limit."""
     d = F.abs(F.col("a.x") - F.col("b.x")) + F.abs(F.col("a.y") - F.col("b.y"))

@@ -77,6 +77,10 @@ def mutual_nearest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FE.mutual_nearest(_neighbours(spark, sf_dir), ["pair_id"], 10).select("pair_id", "l", "r", "d", "rank")
 
 
+def match_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FE.matches(_neighbours(spark, sf_dir), ["pair_id"], 10)
+
+
 def l1_distances_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _neighbours(spark, sf_dir)
 
@@ -191,7 +195,7 @@ def fast_chebyshev(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "tile_table": tile_table, "read_tile": read_tile, "read_region": read_region, "resolve_level": resolve_level, "closest_levels": closest_levels, "page_order": page_order,
-    "l1_distances": l1_distances, "mutual_nearest": mutual_nearest, "l1_distances_all": l1_distances_all, "mutual_nearest_all": mutual_nearest_all, "positional_match": positional_match, "grid_maxima": grid_maxima, "bilinear_sample": bilinear_sample,
+    "l1_distances": l1_distances, "mutual_nearest": mutual_nearest, "l1_distances_all": l1_distances_all, "mutual_nearest_all": mutual_nearest_all, "match_features": match_features, "positional_match": positional_match, "grid_maxima": grid_maxima, "bilinear_sample": bilinear_sample,
     "normal_equations_affine": normal_equations_affine, "fit_affine": _fit("affine"), "fit_projective": _fit("projective"), "fit_rst": _fit("rst"), "fit_st": _fit("st"), "fit_score": fit_score,
     "oriented_patches": oriented_patches, "chebyshev_1d": chebyshev_1d, "chebyshev_2d": chebyshev_2d, "radon": radon, "radon_texture": radon_texture,
     "dwt_low_zeropad": _dwt("sym5", "zeropad"), "dwt_high_zeropad": _dwt("sym5", "zeropad", True), "dwt_low_symmetric": _dwt("bior3.1", "symmetric"), "dwt_high_periodic": _dwt("bior5.5", "periodic", True),

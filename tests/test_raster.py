@@ -159,3 +159,20 @@ def test_fft_gives_every_coefficient(spark):
     for i, p in pixels.items():
         want = np.einsum("ky,lx,yx->kl", wave, wave, p)
         assert all(abs(got[i, ky, kx] - want[ky, kx]) < 2e-5 for ky in range(8) for kx in range(8))
+
+
+def test_matches_relax(spark):
+    rng = np.random.default_rng(14)
+    n, m, limit = 9, 7, 6
+    tables = {k: rng.integers(0, 50, (n, m)).astype(float) for k in range(6)}
+    tables |= {k: np.arange(m) + 10.0 * np.arange(n)[:, None] for k in (6, 7)}  # every left point is nearest to 0: one mutual pair
+    rows = [(k, i, j, float(t[i, j])) for k, t in tables.items() for i in range(n) for j in range(m)]
+    got = features.matches(spark.createDataFrame(rows, "k long, l int, r int, d double"), ["k"], limit).collect()
+    for k, t in tables.items():
+        points, order = min(limit, n, m), sorted(range(n), key=lambda i: (t[i].min(), i))
+        near = [(i, int(t[i].argmin())) for i in order]
+        mutual = [(i, j) for i, j in near if t[:, j].argmin() == i][:points]
+        relaxed = len(mutual) < points // 2
+        assert [(r.l, r.r) for r in sorted((r for r in got if r.k == k), key=lambda r: r["rank"])] == (near[:points] if relaxed else mutual)
+        assert {r.relaxed for r in got if r.k == k} == {relaxed}
+    assert any(r.relaxed for r in got) and not all(r.relaxed for r in got)
