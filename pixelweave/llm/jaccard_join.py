@@ -337,7 +337,10 @@ def _region_links(members: DataFrame, percent: int, limit: int, pivots: int) ->
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """docs, all columns, with one document of each group: the one with the smallest doc_id."""
-    found = components(docs)
-    leave = found.where("doc_id is not null and component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(leave, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """docs, all columns, with one row of each group: the one with the smallest doc_id, null last; of equal ids any one. Rows
+    are told apart by a key of their own, so null and repeated ids are rows like others."""
+    keyed = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    found = components(keyed, id_col="_row").select("_row", "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")
+    first = found.join(keyed.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order).alias("m")).select(F.col("m._row").alias("_row"))
+    return keyed.join(first, "_row", "left_semi").select(docs.columns)

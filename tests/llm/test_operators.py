@@ -366,6 +366,18 @@ def test_attention_is_over_ids():
         assert abs((near[0] - near[1]) / 0.02 - g[k][at]) < 0.02 * abs(g[k][at]) + 1e-4, k
 
 
+def test_first_of_each_keeps_one_row_a_group(documents):
+    rng = random.Random(15)
+    prose = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for _ in range(4)]
+    near = prose[0] + " end"
+    rows = [(None, near), (None, prose[0]), (None, prose[0]), (3, prose[1]), (2, prose[1]), (2, prose[1] + " end"), (3, prose[2]), (None, prose[2]), (None, prose[3]), (9, None), (9, "")]
+    got = [(r.doc_id, r.text) for r in jaccard_join.first_of_each(documents(*rows)).collect()]
+    for ids, group in (({None}, {prose[0], near}), ({2}, {prose[1], prose[1] + " end"}), ({3}, {prose[2]}), ({None}, {prose[3]})):
+        kept = [i for i, t in got if t in group]
+        assert len(kept) == 1 and set(kept) == ids
+    assert len([t for _, t in got if not t]) == len(jaccard_join.components(documents((8, None), (9, ""))).select("component_id").distinct().collect())
+
+
 # 9 -----------------------------------------------------------------------------------------------------------------
 
 
