@@ -1,267 +1,325 @@
-"""A small causal self-attention model in numpy over subword ids (one head, residual, learned positions).
-
-Ids are named by their rank, by falling corpus count, and make a tree: classes of about equal weight, leaves of at most
-LEAF ids within a class, ids within a leaf. The input vector of an id is its class's plus two hashed ones (remainder and
-quotient of the rank by HASHED), which together are the id's alone. The next id is predicted from the ids before it in
-three factors: its class, its leaf within the class, itself within the leaf. The two inner factors start from the
-smoothed corpus shares and add the product of the context, gated by the node, with a vector of the place in the node;
-so all three depend on the context, and they make a proper distribution over ids. An end mark, which is also the begin
-mark, is a class of its own. Without a tree, tokens are classes, and the first factor is all.
-
-Texts are cut into windows of LENGTH inputs that start STRIDE apart; the first LENGTH - STRIDE positions of every
-window but a text's first are context alone, so each token is scored exactly once, and windows of many texts go
-through masked attention together.
+"""A small causal self-attention model in numpy over subword ids (one head, residual, learned relative positions).
+
+Ids are named by their rank, by falling corpus count, and make a tree: classes of about equal weight, and leaves of at
+most LEAF ids of consecutive ranks within a class. The next id is predicted from the ids before it in up to three
+factors, each a softmax over the context's products with vectors: its class, its leaf where the class has several, and
+itself within the leaf. The two inner factors start from the smoothed corpus shares. Every id has an input and an output
+vector of its own, each the sum of two hashed ones (remainder and quotient of the rank by HASHED). An end mark, which is
+also the begin mark, is a class of its own.
+
+A text is cut into blocks of STRIDE tokens. A block's window is LENGTH tokens, its own and those before it: windows
+overlap, every token is scored exactly once, in the window of its own block, and the blocks of many texts go through
+masked attention together. Keys and values are those of the tokens, so windows share them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-LENGTH, STRIDE, WIDTH, CLASSES = 32, 24, 16, 63
-#: Windows that go through the model together.
-BATCH = 128
-#: Rows of the hashed table of id vectors; ids of a leaf.
+STRIDE, LENGTH, WIDTH, CLASSES = 16, 32, 16, 16
+#: Rows of the hashed tables of id vectors; ids of a leaf.
 HASHED, LEAF = 1024, 256
-
-
-def classes_of(counts: np.ndarray, n: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each id and natural log of its share in the class. Ids go by falling count, ties by id."""
-    order = np.lexsort((np.arange(len(counts)), -counts))
-    weight = counts[order] + 0.1
-    edge = (np.cumsum(weight) - weight / 2) / weight.sum()
-    cls = np.empty(len(counts), np.uint8)
-    cls[order] = np.minimum(n - 1, (edge * n).astype(np.int64))
-    total = np.bincount(cls, weights=counts + 0.1, minlength=n)
-    return cls, np.log((counts + 0.1) / total[cls])
+#: Blocks that go through the model together.
+BATCH = 512
+#: Exponents are cut off here, in scoring and training alike, far beyond what trained weights give.
+TOP = np.float32(60)
+NEVER = np.float32(-1e9)
 
 
 class Tree:
-    """Ids by rank, their classes, leaves and places, and the log shares within the nodes. The end mark has rank size."""
+    """Ids by rank, their classes and leaves, and the log shares within the nodes. The end mark has rank size."""
 
     def __init__(self, counts: np.ndarray):
         self.size = size = len(counts)
         order = np.lexsort((np.arange(size), -counts))
         self.rank = np.empty(size, np.uint32)
         self.rank[order] = np.arange(size)
-        cls, weight = np.unique(classes_of(counts)[0][order], return_inverse=True)[1], counts[order] + 0.1  # no class is empty
-        self.classes = int(cls.max()) + 1
-        within = np.arange(size) - np.searchsorted(cls, cls)  # classes rise with the rank
-        self.turn, self.place = within // LEAF, within % LEAF
-        self.leaf = np.cumsum(self.place == 0) - 1
-        self.cls = np.append(cls, self.classes)
-        self.leaves, self.turns = int(self.leaf[-1]) + 1, int(self.turn.max()) + 1
-        by_turn, by_place = np.zeros((self.classes, self.turns)), np.zeros((self.leaves, LEAF))
-        np.add.at(by_turn, (cls, self.turn), weight)
-        by_place[self.leaf, self.place] = weight
-        with np.errstate(divide="ignore", invalid="ignore"):
-            self.by_turn, self.by_place = (np.maximum(np.nan_to_num(np.log(t / t.sum(1, keepdims=True)), nan=-1e9), -1e9).astype(np.float32) for t in (by_turn, by_place))
-        self.turns_of, self.places_of = (by_turn > 0).sum(1), (by_place > 0).sum(1)
-
-    def factors(self, y: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Of the inner factors of targets y (ranks): which, at which targets, their nodes, the log shares there, and what to
-        find. Nodes of one child are left out, small and large ones go apart."""
-        inner = np.flatnonzero(y < self.size)
-        r = y[inner]
-        for name, nodes, shares, sizes, found in (("turn", self.cls[r], self.by_turn, self.turns_of, self.turn[r]), ("place", self.leaf[r], self.by_place, self.places_of, self.place[r])):
-            n = sizes[nodes]
-            for least, most in ((1, 16), (16, shares.shape[1])):
-                at = np.flatnonzero((n > least) & (n <= most))
-                if len(at):
-                    yield name, inner[at], nodes[at], shares[nodes[at], :most], found[at]
-
-
-def shapes(tree: Tree | None) -> dict[str, tuple[int, ...]]:
-    n = CLASSES if tree is None else tree.classes
-    out = {"emb": (n + 1, WIDTH), "pos": (LENGTH, WIDTH), "wq": (WIDTH, WIDTH), "wk": (WIDTH, WIDTH), "wv": (WIDTH, WIDTH), "out": (WIDTH, n + 1), "bias": (n + 1,)}
-    if tree is not None:
-        out |= {"low": (HASHED, WIDTH), "high": (tree.size // HASHED + 1, WIDTH), "turn_gate": (n, WIDTH), "turn": (tree.turns, WIDTH), "place_gate": (tree.leaves, WIDTH), "place": (LEAF, WIDTH)}
-    return out
-
-
-def start(seed: int = 11, tree: Tree | None = None) -> dict[str, np.ndarray]:
-    rng = np.random.default_rng(seed)
-    return {k: (0.0 if k == "bias" else 1.0 if k.endswith("gate") else 0.2) * rng.standard_normal(s).astype(np.float32) for k, s in shapes(tree).items()}
-
-
-def pack(model: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([v.ravel() for v in model.values()])
-
-
-def unpack(flat: np.ndarray, tree: Tree | None = None) -> dict[str, np.ndarray]:
+        weight = counts[order] + 0.1
+        middle = (np.cumsum(weight) - weight / 2) / weight.sum()
+        of = np.unique(np.minimum(CLASSES - 1, (middle * CLASSES).astype(np.int64)), return_inverse=True)[1]  # no class is empty
+        self.classes = int(of[-1]) + 1
+        edge = np.flatnonzero(np.diff(of)) + 1  # a class's first rank, but for the first
+        wide = np.bincount(of)[of] > LEAF
+        ranks = np.arange(size)
+        begin = np.unique(np.concatenate([[0], edge, ranks[(ranks % HASHED == 0) | (wide & (ranks % LEAF == 0))]]))
+        #: First ranks of the leaves, then size (the end mark's leaf), then its end.
+        self.begin = np.append(begin, [size, size + 1])
+        self.leaves = len(begin)
+        leaf_class = np.append(of[begin], self.classes)
+        self.class_of_leaf = leaf_class
+        self.leaf_of = np.append(np.searchsorted(begin, ranks, "right") - 1, self.leaves).astype(np.uint16)
+        self.ends = list(zip(self.begin.tolist(), self.begin[1:].tolist(), strict=False))
+        by = np.searchsorted(leaf_class, np.arange(self.classes + 1)).tolist()
+        #: First leaf and end of the classes that have several.
+        self.split = [(a, b) for a, b in zip(by, by[1:], strict=False) if b - a > 1]
+        by_leaf, by_class = np.add.reduceat(weight, begin), np.bincount(of, weight)
+        self.id_share = np.log(weight / by_leaf[self.leaf_of[:size]]).astype(np.float32)
+        self.leaf_share = np.log(by_leaf / by_class[leaf_class[:-1]]).astype(np.float32)
+
+
+def shapes(tree: Tree) -> dict[str, tuple[int, ...]]:
+    high = (tree.size // HASHED + 1, WIDTH)
+    return {
+        "low": (HASHED, WIDTH), "high": high, "qkv": (WIDTH, 3 * WIDTH), "near": (LENGTH,), "classes": (tree.classes + 1, WIDTH), "bias": (tree.classes + 1,),
+        "leaves": (tree.leaves, WIDTH), "low_out": (HASHED, WIDTH), "high_out": high,
+    }
+
+
+def count(tree: Tree) -> int:
+    return sum(int(np.prod(s)) for s in shapes(tree).values())
+
+
+def views(flat: np.ndarray, tree: Tree) -> dict[str, np.ndarray]:
+    """The model's arrays as parts of one."""
     out, at = {}, 0
     for k, s in shapes(tree).items():
         n = int(np.prod(s))
-        out[k] = np.asarray(flat[at : at + n], np.float32).reshape(s)
+        out[k] = flat[at : at + n].reshape(s)
         at += n
     return out
 
 
-def vectors(m: dict[str, np.ndarray], tree: Tree | None, x: np.ndarray) -> np.ndarray:
-    """Input vectors of tokens."""
-    return m["emb"][x] if tree is None else m["emb"][tree.cls[x]] + m["low"][x % HASHED] + m["high"][x // HASHED]
-
-
-MASK = np.triu(np.full((LENGTH, LENGTH), -1e9, np.float32), 1)
-
-
-def window_count(classes: np.ndarray) -> int:
-    return 1 + max(0, -(-(len(classes) + 1 - LENGTH) // STRIDE))
-
-
-def windows(classes: np.ndarray, first: int = 0, stop: int | None = None, end: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
-    """Inputs and targets (each windows x LENGTH) of a text's tokens; targets that aren't this window's to score are -1.
-    Of all windows those from first on, before stop."""
-    mark = np.array([end], np.int64)
-    inputs, targets = np.concatenate([mark, classes]), np.concatenate([classes, mark])
-    n = len(inputs)
-    which = np.arange(first, min(window_count(classes), stop or 1 << 62))
-    at = (which * STRIDE)[:, None] + np.arange(LENGTH)
-    inside = at < n
-    at = np.minimum(at, n - 1)
-    own = inside & ((np.arange(LENGTH) >= LENGTH - STRIDE) | (which == 0)[:, None])
-    return inputs[at], np.where(own, targets[at], -1)
-
-
-def blocks(classes: np.ndarray, end: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
-    """Inputs and targets to train on: a text's tokens in windows of LENGTH that don't overlap. Every token and the end
-    mark is the target of exactly one window, however long the text or its words are."""
-    mark = np.array([end], np.int64)
-    n = len(classes) + 1
-    x, y = np.full(-(-n // LENGTH) * LENGTH, end, np.int64), np.full(-(-n // LENGTH) * LENGTH, -1, np.int64)
-    x[:n], y[:n] = np.concatenate([mark, classes]), np.concatenate([classes, mark])
-    return x.reshape(-1, LENGTH), y.reshape(-1, LENGTH)
-
-
-def forward(m: dict[str, np.ndarray], x: np.ndarray, tree: Tree | None = None) -> tuple[np.ndarray, tuple]:
-    """Log-probabilities (windows x LENGTH x classes), and what the gradient needs. Causal: position i sees up to i."""
-    e = vectors(m, tree, x) + m["pos"]
-    q, k, v = e @ m["wq"], e @ m["wk"], e @ m["wv"]
+def start(tree: Tree, seed: int = 11) -> np.ndarray:
+    """First weights, as one array."""
+    rng = np.random.default_rng(seed)
+    flat = (0.2 * rng.standard_normal(count(tree))).astype(np.float32)
+    m = views(flat, tree)
+    for k in ("near", "bias", "leaves", "low_out", "high_out"):
+        m[k][:] = 0
+    return flat
+
+
+def blocks(tree: Tree, texts: Iterable[tuple[int, np.ndarray]], most: int = BATCH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]]:
+    """Batches of blocks of the texts (name, ranks): inputs and targets (blocks x STRIDE), which blocks have nothing before
+    them, and (name, first block, end) of the texts' parts. A target that isn't to be scored is -1. A text of any length
+    passes in parts; a part that goes on has the block before it once more, as context alone."""
+    x, y, alone, parts, n = np.full((most, STRIDE), tree.size, np.int64), np.full((most, STRIDE), -1, np.int64), np.zeros(most, bool), [], 0
+    for name, ranks in texts:
+        whole = len(ranks) + 1
+        own = np.empty(-(-whole // STRIDE) * STRIDE + 1, np.int64)
+        own[0] = tree.size
+        own[1:whole] = ranks
+        own[whole:] = tree.size
+        a, end = 0, len(own) // STRIDE
+        while a < end:
+            back = int(a > 0)
+            if n + back + 1 > most:
+                yield x[:n], y[:n], alone[:n], parts
+                x, y, alone, parts, n = np.full((most, STRIDE), tree.size, np.int64), np.full((most, STRIDE), -1, np.int64), np.zeros(most, bool), [], 0
+            b = min(end, a + most - n - back)
+            lo, hi = (a - back) * STRIDE, b * STRIDE
+            x[n : n + b - a + back].reshape(-1)[:] = own[lo:hi]
+            goal = y[n : n + b - a + back].reshape(-1)
+            goal[:] = own[lo + 1 : hi + 1]
+            goal[: back * STRIDE] = -1
+            goal[max(0, whole - lo) :] = -1
+            alone[n] = True
+            parts.append((name, n, n + b - a + back))
+            n += b - a + back
+            a = b
+    if n:
+        yield x[:n], y[:n], alone[:n], parts
+
+
+def inputs(m: dict[str, np.ndarray], ranks: np.ndarray) -> np.ndarray:
+    """Input vectors of ranks."""
+    e = m["low"].take(ranks % HASHED, 0)
+    e += m["high"].take(ranks // HASHED, 0)
+    return e
+
+
+def _windows(t: np.ndarray) -> np.ndarray:
+    """Of rows of blocks, one block of zeros before them, the rows of each block's window."""
+    a, b = t.strides
+    return np.lib.stride_tricks.as_strided(t, (len(t) // STRIDE - LENGTH // STRIDE + 1, LENGTH, t.shape[1]), (a * STRIDE, a, b))
+
+
+#: How far before its query each key of a window is; later ones are masked.
+DISTANCE = np.arange(LENGTH - STRIDE, LENGTH)[:, None] - np.arange(LENGTH)
+LATER = DISTANCE < 0
+
+
+def attend(m: dict[str, np.ndarray], e: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """What the tokens with input vectors e take in from their windows, and what the gradient needs."""
+    n = len(alone)
+    qkv = np.zeros((STRIDE + len(e), 3 * WIDTH), np.float32)
+    np.matmul(e, m["qkv"], out=qkv[STRIDE:])
+    q = qkv[STRIDE:, :WIDTH].reshape(n, STRIDE, WIDTH)
+    k, v = _windows(qkv[:, WIDTH : 2 * WIDTH]), _windows(qkv[:, 2 * WIDTH :])
     a = q @ k.transpose(0, 2, 1)
-    a *= WIDTH**-0.5
-    a += MASK
-    a -= a.max(-1, keepdims=True)
+    a += np.where(LATER, NEVER, m["near"][np.maximum(DISTANCE, 0)])
+    a[alone, :, : LENGTH - STRIDE] = NEVER
+    np.minimum(a, TOP, out=a)
     np.exp(a, out=a)
-    a /= a.sum(-1, keepdims=True)
-    h = e + a @ v
-    z = h @ m["out"]
+    part = np.float32(1) / (a.reshape(-1, LENGTH) @ np.ones(LENGTH, np.float32))[:, None]
+    mixed = (a @ v).reshape(-1, WIDTH)
+    mixed *= part
+    return mixed, (q, k, v, a, part)
+
+
+def _softmax(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log-probabilities at one place of each row of z, which becomes its probabilities."""
+    np.minimum(z, TOP, out=z)
+    got = z.reshape(-1).take(np.arange(0, z.size, z.shape[1]) + at)
+    np.exp(z, out=z)
+    total = z @ np.ones(z.shape[1], np.float32)
+    z /= total[:, None]
+    return got - np.log(total)
+
+
+def _less_one(z: np.ndarray, at: np.ndarray) -> None:
+    """Takes one off one place of each row."""
+    z.reshape(-1)[np.arange(0, z.size, z.shape[1]) + at] -= 1
+
+
+def _factors(m: dict[str, np.ndarray], tree: Tree, goal: np.ndarray) -> Iterator[tuple[slice, str, int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Inner factors of sorted targets: the rows, which factor, its children from first to last, their vectors, shares, and
+    the child found."""
+    leaf = tree.leaf_of.take(goal)
+    at = np.searchsorted(leaf, np.arange(tree.leaves + 1))
+    for a, b in tree.split:
+        rows = slice(int(at[a]), int(at[b]))
+        if rows.start < rows.stop:
+            yield rows, "leaf", a, b, m["leaves"][a:b], tree.leaf_share[a:b], leaf[rows].astype(np.int64) - a
+    low, high = m["low_out"], m["high_out"]
+    for j in np.flatnonzero(np.diff(at)).tolist():
+        a, b = tree.ends[j]
+        if b - a > 1:
+            rows, top = slice(int(at[j]), int(at[j + 1])), a % HASHED
+            yield rows, "id", a, b, low[top : top + b - a] + high[a // HASHED], tree.id_share[a:b], goal[rows] - a
+
+
+def token_scores(m: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, alone: np.ndarray, tree: Tree, table: np.ndarray | None = None) -> np.ndarray:
+    """Natural log-probability of each target, 0 where it is -1. table: the input vectors of all ranks, if at hand."""
+    flat = x.reshape(-1)
+    e = inputs(m, flat) if table is None else table.take(flat, 0)
+    h = attend(m, e, alone)[0]
+    h += e
+    y = y.reshape(-1)
+    order = _order(y, tree)
+    goal, hs = y.take(order), h.take(order, 0)
+    z = hs @ m["classes"].T
     z += m["bias"]
-    z -= z.max(-1, keepdims=True)
-    z -= np.log(np.exp(z).sum(-1, keepdims=True))
-    return z, (x, e, q, k, v, a, h)
-
-
-LOWER = np.tril(np.ones((LENGTH, LENGTH), np.float32))
-#: Exponents are cut off here, in scoring and training alike far beyond what trained weights give.
-TOP = np.float32(60)
-
-
-def token_scores(m: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, tree: Tree | None = None) -> np.ndarray:
-    """Natural log-probability of each target, 0 where it is -1; in batches. As forward, without what only the gradient
-    needs: the largest exponents aren't taken off first, and classes are predicted only where a target is scored."""
-    out = np.zeros(y.shape, np.float32)
-    query = m["wq"] * np.float32(WIDTH**-0.5)
-    table = m["emb"] if tree is None else vectors(m, tree, np.arange(tree.size + 1))
-    for i in range(0, len(x), BATCH):
-        e = table[x[i : i + BATCH]]
-        e += m["pos"]
-        a = (e @ query) @ (e @ m["wk"]).transpose(0, 2, 1)
-        np.minimum(a, TOP, out=a)
-        np.exp(a, out=a)
-        a *= LOWER
-        own = y[i : i + BATCH] >= 0
-        mixed = a @ (e @ m["wv"])
-        mixed /= a.sum(-1, keepdims=True)
-        h = (e + mixed)[own]
-        z = h @ m["out"]
-        z += m["bias"]
-        np.minimum(z, TOP, out=z)
-        goal = y[i : i + BATCH][own]
-        target = z[np.arange(len(z)), goal if tree is None else tree.cls[goal]]
-        np.exp(z, out=z)
-        target -= np.log(z.sum(-1))
-        if tree is not None:
-            for name, at, nodes, shares, found in tree.factors(goal):
-                inner = (h[at] * m[f"{name}_gate"][nodes]) @ m[name][: shares.shape[1]].T
-                inner += shares
-                np.minimum(inner, TOP, out=inner)
-                one = inner[np.arange(len(at)), found]
-                np.exp(inner, out=inner)
-                target[at] += one - np.log(inner.sum(-1))
-        out[i : i + BATCH][own] = target
-    return out
-
-
-def _rows(n: int, at: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Sums of the values by row of a table of n."""
-    out = np.zeros((n, values.shape[1]), np.float32)
-    order = np.argsort(at, kind="stable")
-    rows = at[order]
-    firsts = np.flatnonzero(np.diff(rows, prepend=-1))
+    got = _softmax(z, tree.class_of_leaf.take(tree.leaf_of.take(goal)))
+    for rows, _, _, _, vectors, shares, found in _factors(m, tree, goal):
+        s = hs[rows] @ vectors.T
+        s += shares
+        got[rows] += _softmax(s, found)
+    out = np.zeros(len(y), np.float32)
+    out[order] = got
+    return out.reshape(x.shape)
+
+
+def _order(y: np.ndarray, tree: Tree) -> np.ndarray:
+    """Places of the targets that are scored, by rank. Narrow integers are sorted by radix."""
+    kind = np.uint16 if tree.size < 65535 else np.uint32
+    return np.argsort(y.astype(kind), kind="stable")[: int((y >= 0).sum())]
+
+
+def _back(rows: np.ndarray, order: np.ndarray, n: int) -> np.ndarray:
+    """n rows, those at order being the given ones and the others zero."""
+    at = np.full(n, len(rows))
+    at[order] = np.arange(len(rows))
+    return np.concatenate([rows, np.zeros((1, rows.shape[1]), rows.dtype)]).take(at, 0)
+
+
+def gradient(m: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, alone: np.ndarray, tree: Tree, out: dict[str, np.ndarray]) -> float:
+    """The gradient of the summed loss into out, whose arrays are zero; returns that loss."""
+    n, flat, y = len(alone), x.reshape(-1), y.reshape(-1)
+    e = inputs(m, flat)
+    mixed, (q, k, v, a, part) = attend(m, e, alone)
+    h = e + mixed
+    order = _order(y, tree)
+    goal, hs = y.take(order), h.take(order, 0)
+    z = hs @ m["classes"].T
+    z += m["bias"]
+    cls = tree.class_of_leaf.take(tree.leaf_of.take(goal))
+    loss = -float(_softmax(z, cls).sum(dtype=np.float64))
+    _less_one(z, cls)
+    out["classes"] += z.T @ hs
+    out["bias"] += np.ones(len(z), np.float32) @ z
+    ds = z @ m["classes"]
+    for rows, kind, first, last, vectors, shares, found in _factors(m, tree, goal):
+        own = hs[rows]
+        s = own @ vectors.T
+        s += shares
+        loss -= float(_softmax(s, found).sum(dtype=np.float64))
+        _less_one(s, found)
+        d = s.T @ own
+        if kind == "leaf":
+            out["leaves"][first:last] += d
+        else:
+            out["low_out"][first % HASHED : (last - 1) % HASHED + 1] += d
+            out["high_out"][first // HASHED] += d.sum(0)
+        ds[rows] += s @ vectors
+    dh = _back(ds, order, len(h))
+    # Attention: the rows' normalisation is kept out of the wide arrays.
+    dots = np.einsum("ij,ij->i", dh, mixed)
+    da = dh.reshape(n, STRIDE, WIDTH) @ v.transpose(0, 2, 1)
+    da -= dots.reshape(n, STRIDE, 1)
+    da *= a
+    near = np.einsum("nij,ni->ij", da, part.reshape(n, STRIDE))
+    np.add.at(out["near"], DISTANCE[~LATER], near[~LATER])
+    dqkv = np.zeros((STRIDE + len(e), 3 * WIDTH), np.float32)
+    dqkv[STRIDE:, :WIDTH] = (da @ k).reshape(-1, WIDTH) * part
+    for lo, d in ((WIDTH, da.transpose(0, 2, 1) @ (q * part.reshape(n, STRIDE, 1))), (2 * WIDTH, a.transpose(0, 2, 1) @ (dh * part).reshape(n, STRIDE, WIDTH))):
+        dqkv[STRIDE:, lo : lo + WIDTH] = d[:, LENGTH - STRIDE :].reshape(-1, WIDTH)
+        dqkv[:-STRIDE, lo : lo + WIDTH] += d[:, : LENGTH - STRIDE].reshape(-1, WIDTH)
+    dqkv = dqkv[STRIDE:]
+    out["qkv"] += e.T @ dqkv
+    dh += dqkv @ m["qkv"].T
+    # Input vectors: the input after a target is that target, so the targets' order serves again; the rest are end marks.
+    rest = flat == tree.size
+    after = order[: np.searchsorted(goal, tree.size)] + 1
+    inside = after < len(flat)
+    after, ranks = after[inside], goal[: len(inside)][inside]
+    counted = flat[after] == ranks
+    after, ranks = after[counted], ranks[counted]
+    seen = np.zeros(len(flat), bool)
+    seen[after] = True
+    more = np.flatnonzero(~seen & ~rest)  # context that goes before a part
+    if len(more):
+        at = np.argsort(np.concatenate([ranks, flat[more]]), kind="stable")
+        after, ranks = np.concatenate([after, more])[at], np.concatenate([ranks, flat[more]])[at]
+    firsts = np.flatnonzero(np.diff(ranks, prepend=-1))
     if len(firsts):
-        out[rows[firsts]] = np.add.reduceat(values[order], firsts)
-    return out
-
-
-def gradient(m: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, tree: Tree | None = None) -> dict[str, np.ndarray]:
-    z, (x, e, q, k, v, a, h) = forward(m, x, tree)
-    p = np.exp(z)
-    own = y >= 0
-    goal = np.maximum(y, 0) if tree is None else tree.cls[np.maximum(y, 0)]
-    np.put_along_axis(p, goal[..., None], np.take_along_axis(p, goal[..., None], -1) - 1, -1)
-    part = np.float32(1 / max(1, own.sum()))
-    p *= (own * part)[..., None]
-    flat = lambda t: t.reshape(-1, t.shape[-1])
-    g = {"out": flat(h).T @ flat(p), "bias": flat(p).sum(0)}
-    dh = p @ m["out"].T
-    if tree is not None:
-        g |= {name: np.zeros_like(m[name]) for name in ("turn", "place", "turn_gate", "place_gate")}
-        hs, ds = h[own], np.zeros((int(own.sum()), WIDTH), np.float32)
-        for name, at, nodes, shares, found in tree.factors(y[own]):
-            gate, places = m[f"{name}_gate"][nodes], m[name][: shares.shape[1]]
-            t = hs[at] * gate
-            s = t @ places.T
-            s += shares
-            s -= s.max(-1, keepdims=True)
-            np.exp(s, out=s)
-            s /= s.sum(-1, keepdims=True)
-            s[np.arange(len(at)), found] -= 1
-            s *= part
-            g[name][: shares.shape[1]] += s.T @ t
-            dt = s @ places
-            g[f"{name}_gate"] += _rows(len(m[f"{name}_gate"]), nodes, dt * hs[at])
-            ds[at] += dt * gate
-        dh[own] += ds
-    da = dh @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dh
-    ds = a * (da - (da * a).sum(-1, keepdims=True)) * np.float32(WIDTH**-0.5)
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    for name, d in (("wq", dq), ("wk", dk), ("wv", dv)):
-        g[name] = flat(e).T @ flat(d)
-    de = dh + dq @ m["wq"].T + dk @ m["wk"].T + dv @ m["wv"].T
-    g["pos"] = de.sum(0)
-    x = x.ravel()
-    g["emb"] = _rows(len(m["emb"]), x if tree is None else tree.cls[x], flat(de))
-    if tree is not None:
-        g |= {"low": _rows(HASHED, x % HASHED, flat(de)), "high": _rows(len(m["high"]), x // HASHED, flat(de))}
-    return g
+        sums, of = np.add.reduceat(dh.take(after, 0), firsts), ranks[firsts]
+        np.add.at(out["low"], of % HASHED, sums)
+        np.add.at(out["high"], of // HASHED, sums)
+    ends = dh[rest].sum(0)
+    out["low"][tree.size % HASHED] += ends
+    out["high"][tree.size // HASHED] += ends
+    return loss
 
 
 class Trainer:
-    """Adam steps over batches of windows."""
-
-    def __init__(self, model: dict[str, np.ndarray], rate: float = 0.01, tree: Tree | None = None):
-        self.model = {k: v.copy() for k, v in model.items()}
-        self.first = {k: np.zeros_like(v) for k, v in model.items()}
-        self.second = {k: np.zeros_like(v) for k, v in model.items()}
-        self.rate, self.steps, self.tokens, self.tree = rate, 0, 0, tree
-
-    def step(self, x: np.ndarray, y: np.ndarray) -> None:
+    """Adam steps over batches of blocks; the weights are one array."""
+
+    def __init__(self, flat: np.ndarray, tree: Tree, rate: float = 0.02):
+        self.flat, self.tree, self.rate = flat.copy(), tree, rate
+        self.model = views(self.flat, tree)
+        self.first, self.second, self.grad = (np.zeros_like(flat) for _ in range(3))
+        self.parts = views(self.grad, tree)
+        self.steps = self.tokens = 0
+        np.empty(31 << 20, np.uint8)  # given back at once: the C library then keeps freed arrays of up to this size for the next step
+        self.loss = 0.0
+
+    def step(self, x: np.ndarray, y: np.ndarray, alone: np.ndarray) -> None:
+        self.grad[:] = 0
+        self.loss += gradient(self.model, x, y, alone, self.tree, self.parts)
         self.steps += 1
-        self.tokens += int((y >= 0).sum())
-        for k, g in gradient(self.model, x, y, self.tree).items():
-            self.first[k] += 0.1 * (g - self.first[k])
-            self.second[k] += 0.01 * (g * g - self.second[k])
-            lift = self.first[k] / (1 - 0.9**self.steps)
-            self.model[k] -= self.rate * lift / (np.sqrt(self.second[k] / (1 - 0.99**self.steps)) + 1e-8)
+        tokens = int((y >= 0).sum())
+        self.tokens += tokens
+        g = self.grad
+        g *= np.float32(1 / max(1, tokens))
+        self.first += np.float32(0.1) * (g - self.first)
+        g *= g
+        self.second += np.float32(0.02) * (g - self.second)
+        np.sqrt(self.second, out=g)
+        g *= np.float32((1 - 0.98**self.steps) ** -0.5)
+        g += np.float32(1e-8)
+        np.divide(self.first, g, out=g)
+        g *= np.float32(self.rate / (1 - 0.9**self.steps))
+        self.flat -= g

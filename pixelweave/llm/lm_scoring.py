@@ -3,10 +3,11 @@
 Documents whose crc32 of the id, mod HELD_OUT, isn't 0 are learnt from. Three things are gathered from all of them:
 counts of words (by pre-aggregated shuffle, so they grow with the corpus and stay distributed), counts of subword
 ids (one number an id of the fixed vocabulary), and the attention model's weights. The weights are trained in
-numpy by data-parallel rounds: each task starts from the round's weights and steps through windows of its documents,
-and the tasks' weights are averaged by tokens. A text is cut into windows by ids; a round takes every ROUNDS-th window
-of every document, another offset each round, so the rounds together take every id of every text once. A text is the sequence of its words' subword ids, each word encoded with a space before it,
-so a word's ids are found once and the ids' counts follow exactly from the words' counts.
+numpy by data-parallel rounds: each task starts from the round's weights and steps through all of its documents of
+that round, and the tasks' weights are averaged by tokens, as sums of whole numbers, so their order doesn't matter.
+A document belongs to one round, by the crc of its id: the rounds together take every id of every text once. A text is
+the sequence of its words' subword ids, each word encoded with a space before it, so a word's ids are found once and
+the ids' counts follow exactly from the words' counts.
 
 Scoring sends every text through batched masked attention in overlapping windows that score each token once. For the
 base, the most frequent words' counts go to the tasks (at most HOT_WORDS words of at most HOT_BYTES bytes, whatever
@@ -26,14 +27,14 @@ import functools
 import itertools
 import math
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import attention_lm as lm
@@ -49,14 +50,24 @@ COUNTED = 400_000
 REMEMBERED = 600_000
 ROUNDS = 2
 SMOOTH = 0.1
-#: Windows that wait in memory for the model at most, about; a longer text goes through in parts.
-TOGETHER = 8192
+#: Weights are averaged in steps of one part in FIXED.
+FIXED = 1 << 24
 
 
 def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % HELD_OUT == 0
 
 
+def _crc() -> Column:
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+
+
+def learnt(rows: DataFrame, turn: int | None = None) -> DataFrame:
+    """The rows that are learnt from; of one round alone if turn is given."""
+    rows = rows.where(_crc() % HELD_OUT != 0)
+    return rows if turn is None else rows.where(F.floor(_crc() / HELD_OUT) % ROUNDS == turn)
+
+
 def _lower(text: str | None) -> bytes:
     return (text or "").encode().lower()
 
@@ -69,30 +80,38 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
 
     for b in batches:
-        for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            if not held_out(i):
-                seen.update(_lower(text).split())
-                seen[None] += 1
+        for text in b.column(1).to_pylist():
+            seen.update(_lower(text).split())
+            seen[None] += 1
         if len(seen) > COUNTED:
             yield out()
             seen.clear()
     yield out()
 
 
-def _word_ids(c: Codec, word: bytes) -> list[int]:
-    """Ids of a word with a space before it; ASCII letters are one pre-token."""
-    if word.isalpha():
-        return c.merge(b" " + word)
-    return [i for p in findall(c.pattern, " " + word.decode()) for i in c.merge(p.encode())]
+class WordIds:
+    """Ids of a word with a space before it."""
+
+    def __init__(self, c: Codec):
+        self.codec = c
+        # Whether ASCII letters are one pre-token with the space before them, and a sign after them another.
+        self.plain = findall(c.pattern, " ab.") == [" ab", "."]
+
+    def __call__(self, word: bytes) -> list[int]:
+        if self.plain and word.isalpha():
+            return self.codec.merge(b" " + word)
+        if self.plain and word[-1:] in (b".", b",") and word[:-1].isalpha():
+            return self.codec.merge(b" " + word[:-1]) + self.codec.merge(word[-1:])
+        return [i for p in findall(self.codec.pattern, " " + word.decode()) for i in self.codec.merge(p.encode())]
 
 
 def _count_ids(rank_file: str, pattern: str, size: int):
     """Counts of ids from counts of words, a task's as one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, total = codec(rank_file, pattern), np.zeros(size)
+        of, total = WordIds(codec(rank_file, pattern)), np.zeros(size)
         for b in batches:
-            ids = [_word_ids(c, w) for w in b.column(0).to_pylist()]
+            ids = list(map(of, b.column(0).to_pylist()))
             if ids:
                 flat = np.fromiter(itertools.chain.from_iterable(ids), np.int64)
                 total += np.bincount(flat, np.repeat(b.column(1).to_numpy(), [len(x) for x in ids]), minlength=size)
@@ -103,84 +122,69 @@ def _count_ids(rank_file: str, pattern: str, size: int):
 
 
 class WordRanks:
-    """Of each word, remembered: the ranks of its ids, as bytes."""
+    """Of each word, remembered: the ranks of its ids, as bytes, and its log share if it is a frequent one."""
 
-    def __init__(self, c: Codec, tree: lm.Tree):
-        self.codec, self.rank = c, tree.rank
-        self.of: dict[bytes, bytes] = {}
+    def __init__(self, c: Codec, tree: lm.Tree, logs: dict[bytes, float] | None = None):
+        self.ids, self.logs = WordIds(c), logs or {}
+        self.code = "H" if tree.size < 1 << 16 else "I"
+        self.rank = tree.rank.tolist()
+        self.of: dict[bytes, tuple[bytes, float | None]] = {}
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        if len(self.of) > REMEMBERED:
-            self.of.clear()
-        for w in set(words).difference(self.of):
-            self.of[w] = self.rank[_word_ids(self.codec, w)].tobytes()
-        return np.frombuffer(b"".join(map(self.of.__getitem__, words)), np.uint32).astype(np.int64)
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, list[float | None]]:
+        of, rank = self.of, self.rank
+        found = list(map(of.get, words))
+        if None in found:
+            if len(of) > REMEMBERED:
+                of.clear()
+            for w in set(words).difference(of):
+                of[w] = (array(self.code, [rank[i] for i in self.ids(w)]).tobytes(), self.logs.get(w))
+            found = list(map(of.__getitem__, words))
+        return np.frombuffer(b"".join([x for x, _ in found]), self.code), [x for _, x in found]
 
 
-def _train(rank_file: str, pattern: str, tree: lm.Tree, weights: np.ndarray, turn: int):
-    """Weights of a task after its windows, with the number of tokens."""
+def _train(rank_file: str, pattern: str, tree: lm.Tree, weights: np.ndarray):
+    """Weights of a task after all its texts, with the number of tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, trainer = WordRanks(codec(rank_file, pattern), tree), lm.Trainer(lm.unpack(weights, tree), tree=tree)
-        xs, ys, held = [], [], 0
-        for b in batches:
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if held_out(i):
-                    continue
-                x, y = lm.blocks(c(_lower(text).split()), tree.size)
-                first = (turn + zlib.crc32(str(i).encode())) % ROUNDS  # offsets differ by document, for short ones
-                for j in range(first, len(x), ROUNDS):
-                    xs.append(x[j])
-                    ys.append(y[j])
-                    held += 1
-                    if held >= lm.BATCH:
-                        trainer.step(np.stack(xs), np.stack(ys))
-                        xs, ys, held = [], [], 0
-        if held:
-            trainer.step(np.stack(xs), np.stack(ys))
-        flat = lm.pack(trainer.model).astype(np.float64) * trainer.tokens
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat), pa.array([trainer.tokens] * len(flat), pa.int64())], names=["at", "value", "tokens"])
+        ranks, trainer = WordRanks(codec(rank_file, pattern), tree), lm.Trainer(weights, tree)
+        texts = ((0, ranks(_lower(text).split())[0]) for b in batches for text in b.column(1).to_pylist())
+        for x, y, alone, _ in lm.blocks(tree, texts):
+            trainer.step(x, y, alone)
+        fixed = np.rint(trainer.flat.astype(np.float64) * FIXED).astype(np.int64) * trainer.tokens
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(fixed)), pa.int32()), pa.array(fixed), pa.array(np.full(len(fixed), trainer.tokens))], names=["at", "value", "tokens"])
 
     return run
 
 
 def _score(rank_file: str, pattern: str, tree: lm.Tree, weights: np.ndarray, hot: dict[bytes, int], total: int, kinds: int, ends: int):
     """Rows of documents (word null) with the model's score and the base over hot words, and of their other words."""
-    model, least = lm.unpack(weights, tree), total + SMOOTH * (kinds + 1)
+    model, least = lm.views(weights, tree), total + SMOOTH * (kinds + 1)
+    table = lm.inputs(model, np.arange(tree.size + 1))
     logs = {w: math.log10((n + SMOOTH) / least) for w, n in hot.items()}
     end = math.log10((ends + SMOOTH) / least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, number = WordRanks(codec(rank_file, pattern), tree), TaskContext.get().partitionId() << 40
+        ranks, number = WordRanks(codec(rank_file, pattern), tree, logs), TaskContext.get().partitionId() << 40
         for b in batches:
-            docs, rest, scores = [], [], []
-            waiting: list[tuple[int, np.ndarray, np.ndarray]] = []  # windows of documents, not yet through the model
-
-            def through() -> None:
-                if waiting:
-                    by_window = lm.token_scores(model, np.concatenate([x for _, x, _ in waiting]), np.concatenate([y for _, _, y in waiting]), tree).sum(1, dtype=np.float64)
-                    starts = np.cumsum([0, *(len(x) for _, x, _ in waiting)])
-                    for (at, _, _), a, b in zip(waiting, starts, starts[1:], strict=False):
-                        scores[at] += math.fsum(by_window[a:b]) / math.log(10)
-                    waiting.clear()
-
-            held = 0
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = _lower(text).split()
-                found = list(map(logs.get, words))
-                known = [x for x in found if x is not None]
-                rest += [(number, w, n) for w, n in Counter(w for w, x in zip(words, found, strict=True) if x is None).items()]
-                docs.append((number, i, len(words) + 1, len(known) + (ends > 0), math.fsum(known) + end))
-                number += 1
-                found = c(words)
-                scores.append(0.0)
-                for first in range(0, lm.window_count(found), TOGETHER):
-                    waiting.append((len(scores) - 1, *lm.windows(found, first, first + TOGETHER, tree.size)))
-                    held += len(waiting[-1][1])
-                    if held >= TOGETHER:
-                        through()
-                        held = 0
-            through()
+            docs, rest = [], []
+
+            def texts() -> Iterator[tuple[int, np.ndarray]]:
+                nonlocal number
+                for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):  # noqa: B023
+                    words = _lower(text).split()
+                    found, known = ranks(words)
+                    if None in known:
+                        rest.extend((number, w, n) for w, n in Counter(w for w, x in zip(words, known, strict=True) if x is None).items())  # noqa: B023
+                        known = [x for x in known if x is not None]
+                    docs.append((number, i, len(words) + 1, len(known) + (ends > 0), math.fsum(known) + end))  # noqa: B023
+                    number += 1
+                    yield len(docs) - 1, found  # noqa: B023
+
+            scores = [0.0] * b.num_rows
+            for x, y, alone, parts in lm.blocks(tree, texts()):
+                by_block = lm.token_scores(model, x, y, alone, tree, table).sum(1, dtype=np.float64)
+                for at, first, stop in parts:
+                    scores[at] += float(by_block[first:stop].sum()) / math.log(10)
             n, m = len(docs), len(rest)
             col = lambda d, r, k: pa.array([*d, *r], k)
             yield pa.RecordBatch.from_arrays(
@@ -195,19 +199,44 @@ def _score(rank_file: str, pattern: str, tree: lm.Tree, weights: np.ndarray, hot
     return run
 
 
+def _trained(rank_file: str, pattern: str, now: Broadcast):
+    return lambda batches: _train(rank_file, pattern, *now.value)(batches)
+
+
 @functools.cache
 def vocabulary_size(rank_file: str, pattern: str) -> int:
     return max(codec(rank_file, pattern).raw) + 1
 
 
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(word, n) over all texts that are learnt from; the end of a text is the null word."""
+    return cut(learnt(rows).mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+
+
+def trained(rows: DataFrame, counts: DataFrame, rank_file: str, pattern: str) -> tuple[lm.Tree, np.ndarray]:
+    """The tree over the ids' counts, one of each id of a fixed vocabulary, and the model's weights, averaged over tasks."""
+    size = vocabulary_size(rank_file, pattern)
+    ids = counts.where("word is not null").mapInArrow(_count_ids(rank_file, pattern, size), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    of_id = np.zeros(size, np.int64)
+    of_id[ids["id"].to_numpy()] = ids["n"].to_numpy()
+    tree = lm.Tree(of_id)
+    weights = lm.start(tree)
+    for turn in range(ROUNDS):
+        now = rows.sparkSession.sparkContext.broadcast((tree, weights))
+        tasks = learnt(rows, turn).mapInArrow(_trained(rank_file, pattern, now), "at int, value long, tokens long")
+        mean = tasks.groupBy("at").agg(F.sum(F.col("value").cast("decimal(38,0)")).cast("double").alias("value"), F.sum("tokens").alias("tokens")).toPandas().sort_values("at")
+        if len(mean) and mean["tokens"].iloc[0]:
+            weights = (mean["value"] / mean["tokens"] / FIXED).to_numpy(np.float32)
+    return tree, weights
+
+
 def score(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     spark = docs.sparkSession
     small_batches(spark, 128)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    size = vocabulary_size(rank_file, pattern)
     # Words: distributed, with the totals and the most frequent.
-    counts = cut(rows.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    counts = word_counts(rows)
     total, kinds, ends = counts.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("word").isNull(), F.col("n")))).first()
     total, ends = total or 0, ends or 0
     steps = counts.where("word is not null").groupBy(F.floor(F.log2("n") * 8).alias("step")).count().orderBy(F.desc("step")).collect()
@@ -219,17 +248,7 @@ def score(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id",
         floor = step["step"]
     hot_rows = counts.where(F.col("word").isNotNull() & (F.octet_length("word") <= HOT_BYTES) & (F.floor(F.log2("n") * 8) >= (floor if floor < math.inf else 10**6)))
     hot = {bytes(w): n for w, n in hot_rows.toLocalIterator(prefetchPartitions=False)}
-    # Ids: one count each of a fixed vocabulary; then the model, averaged over tasks.
-    ids = counts.where("word is not null").mapInArrow(_count_ids(rank_file, pattern, size), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    of_id = np.zeros(size, np.int64)
-    of_id[ids["id"].to_numpy()] = ids["n"].to_numpy()
-    tree = lm.Tree(of_id)
-    weights = lm.pack(lm.start(tree=tree))
-    for turn in range(ROUNDS):
-        tasks = rows.mapInArrow(_train(rank_file, pattern, tree, weights, turn), "at int, value double, tokens long")
-        mean: pd.DataFrame = tasks.groupBy("at").agg((F.sum("value") / F.sum("tokens")).alias("value")).toPandas().sort_values("at")
-        if len(mean) and mean["value"].notna().all():
-            weights = mean["value"].to_numpy(np.float32)
+    tree, weights = trained(rows, counts, rank_file, pattern)
     shared = spark.sparkContext.broadcast((tree, weights, hot))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 P = pytest.importorskip("public_tokenizers")
 
-from pixelweave.llm import attention_lm, byte_bpe, chat_format, components, exact_dedup, jaccard_join, license_scan, lm_scoring, mixing, quality, token_counts, url_filter  # noqa: E402
+from pixelweave.llm import byte_bpe, chat_format, components, exact_dedup, jaccard_join, license_scan, mixing, quality, token_counts, url_filter  # noqa: E402
 from pixelweave.llm.common import n_words  # noqa: E402
 
 RANKS, JSON = P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json")
@@ -276,96 +276,6 @@ def test_url_filter(spark):
 # 8 -----------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("hot", [0, lm_scoring.HOT_WORDS])
-def test_lm_base(documents, hot, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "HOT_WORDS", hot)
-    rows = [*enumerate(texts(60, 9)), (100, None), (101, ""), (5, "Alpha unseen"), (None, "the of")]
-    got = lm_scoring.score(documents(*rows), RANKS, P.PATTERN).collect()
-    out = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0
-    c = collections.Counter()
-    tokens = lambda t: [*(t or "").encode().lower().split(), None]
-    for i, t in rows:
-        if not out(i):
-            c.update(tokens(t))
-    n, v = sum(c.values()), len(c)
-    want = sorted((str(i), out(i), len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens(t)), 6)) for i, t in rows)
-    assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
-    assert all(r.score < 0 for r in got)
-    assert lm_scoring.score(documents(*rows).limit(0), RANKS, P.PATTERN).count() == 0
-
-
-def test_attention_learns_and_scores_once():
-    rng = np.random.default_rng(10)
-    n = attention_lm.CLASSES
-    follow = rng.permutation(n)  # each class is followed by one other, nine times in ten
-    seqs = []
-    for size in (0, 1, 31, 32, 33, 200, *[150] * 60):
-        s = [int(rng.integers(n))]
-        while len(s) < size:
-            s.append(int(follow[s[-1]]) if rng.random() < 0.9 else int(rng.integers(n)))
-        seqs.append(np.array(s[:size], np.uint8))
-    made = [attention_lm.windows(s) for s in seqs]
-    for s, (x, y) in zip(seqs, made, strict=True):
-        assert y[y >= 0].tolist() == [*s.tolist(), n]  # every target once, in order
-        assert x.shape[1] == attention_lm.LENGTH
-    x, y = (np.concatenate([m[k] for m in made[6:50]]) for k in (0, 1))
-    trainer = attention_lm.Trainer(attention_lm.start())
-    for _ in range(60):
-        trainer.step(x, y)
-    hx, hy = (np.concatenate([m[k] for m in made[50:]]) for k in (0, 1))
-    loss = -attention_lm.token_scores(trainer.model, hx, hy).sum() / (hy >= 0).sum()
-    assert loss < 0.6 * math.log(n)
-    z, _ = attention_lm.forward(trainer.model, hx)
-    slow = np.where(hy >= 0, np.take_along_axis(z, np.maximum(hy, 0)[..., None], -1)[..., 0], 0)
-    assert np.allclose(slow, attention_lm.token_scores(trainer.model, hx, hy), atol=1e-4)
-    assert np.allclose(np.exp(z).sum(-1), 1, atol=1e-4)
-    later = hx.copy()
-    later[:, 20:] = 0  # what comes later changes nothing before
-    assert np.allclose(attention_lm.forward(trainer.model, later)[0][:, :20], z[:, :20], atol=1e-5)
-
-
-def test_lm_trains_on_every_id(monkeypatch):
-    import pyarrow as pa
-
-    c = byte_bpe.codec(RANKS, P.PATTERN)
-    rows = [*enumerate(texts(40, 12, 200)), (100, None), (101, "short"), (102, "\u6f22\u5b57" * 300), (103, "x1y2" * 200), (None, "the of")]
-    want = sum(sum(len(lm_scoring._word_ids(c, w)) for w in lm_scoring._lower(t).split()) + 1 for i, t in rows if not lm_scoring.held_out(i))
-    seen = []
-    monkeypatch.setattr(attention_lm.Trainer, "step", lambda self, x, y: seen.append(int((y >= 0).sum())))
-    tree = attention_lm.Tree(np.zeros(lm_scoring.vocabulary_size(RANKS, P.PATTERN), np.int64))
-    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows])], names=["doc_id", "text"])
-    for turn in range(lm_scoring.ROUNDS):
-        list(lm_scoring._train(RANKS, P.PATTERN, tree, attention_lm.pack(attention_lm.start(tree=tree)), turn)(iter([batch])))
-    assert sum(seen) == want
-
-
-def test_attention_is_over_ids():
-    rng = np.random.default_rng(13)
-    counts = rng.integers(0, 40, 700) * (rng.random(700) < 0.3)
-    counts[0] = 10**6  # so that the other ids share few classes, of more than one leaf
-    tree = attention_lm.Tree(counts)
-    assert tree.turns > 1 and len({(int(c), int(t), int(p)) for c, t, p in zip(tree.cls[:-1], tree.turn, tree.place, strict=True)}) == 700
-    m = attention_lm.start(tree=tree)
-    x = rng.integers(0, 700, (1, attention_lm.LENGTH))
-    every = [attention_lm.token_scores(m, x, np.where(np.arange(attention_lm.LENGTH) == 9, i, -1)[None], tree)[0, 9] for i in range(701)]
-    assert abs(np.exp(np.array(every, float)).sum() - 1) < 1e-4  # a distribution over the ids and the end
-    one, two = np.flatnonzero(tree.cls[:-1] == tree.cls[699])[-2:]
-    total = lambda ids: float(attention_lm.token_scores(m, *attention_lm.windows(np.array(ids), end=tree.size), tree).sum())
-    assert abs(total([5, one, two, 6]) - total([5, two, one, 6])) > 1e-3  # order within a class counts
-    y = rng.integers(0, 701, x.shape)
-    y[0, :3] = -1
-    g = attention_lm.gradient(m, x, y, tree)
-    loss = lambda w: -float(attention_lm.token_scores(w, x, y, tree).sum(dtype=float)) / (y >= 0).sum()
-    for k in m:
-        at = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
-        near = []
-        for step in (0.01, -0.01):
-            w = {n: v.copy() for n, v in m.items()}
-            w[k][at] += step
-            near.append(loss(w))
-        assert abs((near[0] - near[1]) / 0.02 - g[k][at]) < 0.02 * abs(g[k][at]) + 1e-4, k
-
-
 def test_first_of_each_keeps_one_row_a_group(documents):
     rng = random.Random(15)
     prose = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for _ in range(4)]
