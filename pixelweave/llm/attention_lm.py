@@ -14,6 +14,7 @@ masked attention together. Keys and values are those of the tokens, so windows s
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -33,6 +34,7 @@ class Tree:
 
     def __init__(self, counts: np.ndarray):
         self.size = size = len(counts)
+        self.mark = zlib.crc32(np.ascontiguousarray(counts).tobytes())
         order = np.lexsort((np.arange(size), -counts))
         self.rank = np.empty(size, np.uint32)
         self.rank[order] = np.arange(size)

@@ -122,32 +122,67 @@ def _count_ids(rank_file: str, pattern: str, size: int):
 
 
 class WordRanks:
-    """Of each word, remembered: the ranks of its ids, as bytes, and its log share if it is a frequent one."""
-
-    def __init__(self, c: Codec, tree: lm.Tree, logs: dict[bytes, float] | None = None):
-        self.ids, self.logs = WordIds(c), logs or {}
-        self.code = "H" if tree.size < 1 << 16 else "I"
-        self.rank = tree.rank.tolist()
-        self.of: dict[bytes, tuple[bytes, float | None]] = {}
-
-    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, list[float | None]]:
-        of, rank = self.of, self.rank
-        found = list(map(of.get, words))
-        if None in found:
-            if len(of) > REMEMBERED:
-                of.clear()
-            for w in set(words).difference(of):
-                of[w] = (array(self.code, [rank[i] for i in self.ids(w)]).tobytes(), self.logs.get(w))
-            found = list(map(of.__getitem__, words))
-        return np.frombuffer(b"".join([x for x, _ in found]), self.code), [x for _, x in found]
+    """Words by number, remembered: the ranks of their ids one after the other, and the log share of the frequent ones."""
+
+    def __init__(self, ids: WordIds, tree: lm.Tree, logs: dict[bytes, float]):
+        self.ids, self.logs, self.rank = ids, logs, tree.rank.tolist()
+        self.forget()
+
+    def forget(self) -> None:
+        self.of: dict[bytes, int] = {}
+        self.words: list[bytes] = []
+        self.flat, self.ends, self.shares = array("I"), array("Q", [0]), array("d")
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        of = self.of
+        if len(of) > REMEMBERED:
+            self.forget()
+            of = self.of
+        out = np.fromiter(map(of.get, words, itertools.repeat(-1)), np.int64, len(words))
+        for i in np.flatnonzero(out < 0).tolist():
+            w = words[i]
+            if (j := of.get(w)) is None:
+                j = of[w] = len(of)
+                self.words.append(w)
+                self.flat.extend([self.rank[x] for x in self.ids(w)])
+                self.ends.append(len(self.flat))
+                self.shares.append(self.logs.get(w, math.nan))
+            out[i] = j
+        return out
+
+    def ranks(self, numbers: np.ndarray) -> np.ndarray:
+        """Ranks of the ids of the words."""
+        flat, ends = np.frombuffer(self.flat, np.uint32), np.frombuffer(self.ends, np.int64)
+        begin = ends.take(numbers)
+        size = ends.take(numbers + 1) - begin
+        stop = np.cumsum(size)
+        at = np.repeat(begin - stop + size, size)
+        at += np.arange(len(at))
+        return flat.take(at)
+
+    def share(self, numbers: np.ndarray) -> np.ndarray:
+        """Log shares of the words, nan for those that aren't frequent."""
+        return np.frombuffer(self.shares, np.float64).take(numbers)
+
+
+#: What a worker remembers of words, of one tree at a time.
+_words: dict[tuple, WordRanks] = {}
+
+
+def word_ranks(rank_file: str, pattern: str, tree: lm.Tree, logs: dict[bytes, float] | None = None) -> WordRanks:
+    key = (rank_file, pattern, tree.mark, logs is None)
+    if key not in _words:
+        _words.clear()
+        _words[key] = WordRanks(WordIds(codec(rank_file, pattern)), tree, logs or {})
+    return _words[key]
 
 
 def _train(rank_file: str, pattern: str, tree: lm.Tree, weights: np.ndarray):
     """Weights of a task after all its texts, with the number of tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, trainer = WordRanks(codec(rank_file, pattern), tree), lm.Trainer(weights, tree)
-        texts = ((0, ranks(_lower(text).split())[0]) for b in batches for text in b.column(1).to_pylist())
+        known, trainer = word_ranks(rank_file, pattern, tree), lm.Trainer(weights, tree)
+        texts = ((0, known.ranks(known.numbers(_lower(text).split()))) for b in batches for text in b.column(1).to_pylist())
         for x, y, alone, _ in lm.blocks(tree, texts):
             trainer.step(x, y, alone)
         fixed = np.rint(trainer.flat.astype(np.float64) * FIXED).astype(np.int64) * trainer.tokens
@@ -164,37 +199,35 @@ def _score(rank_file: str, pattern: str, tree: lm.Tree, weights: np.ndarray, hot
     end = math.log10((ends + SMOOTH) / least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, number = WordRanks(codec(rank_file, pattern), tree, logs), TaskContext.get().partitionId() << 40
+        known, number = word_ranks(rank_file, pattern, tree, logs), TaskContext.get().partitionId() << 40
         for b in batches:
-            docs, rest = [], []
+            docs: list[tuple] = []
+            rest: list[list] = [[], [], []]
 
             def texts() -> Iterator[tuple[int, np.ndarray]]:
-                nonlocal number
                 for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):  # noqa: B023
-                    words = _lower(text).split()
-                    found, known = ranks(words)
-                    if None in known:
-                        rest.extend((number, w, n) for w, n in Counter(w for w, x in zip(words, known, strict=True) if x is None).items())  # noqa: B023
-                        known = [x for x in known if x is not None]
-                    docs.append((number, i, len(words) + 1, len(known) + (ends > 0), math.fsum(known) + end))  # noqa: B023
-                    number += 1
-                    yield len(docs) - 1, found  # noqa: B023
+                    uid, words = number + len(docs), _lower(text).split()  # noqa: B023
+                    numbers = known.numbers(words)
+                    share = known.share(numbers)
+                    rare = np.isnan(share)
+                    which, times = np.unique(numbers[rare], return_counts=True)
+                    for column, values in zip(rest, ([uid] * len(which), [known.words[j] for j in which.tolist()], times.tolist()), strict=True):  # noqa: B023
+                        column += values
+                    docs.append((uid, i, held_out(i), len(words) + 1, int(len(words) - rare.sum()) + (ends > 0), float(share[~rare].sum()) + end))  # noqa: B023
+                    yield len(docs) - 1, known.ranks(numbers)  # noqa: B023
 
             scores = [0.0] * b.num_rows
             for x, y, alone, parts in lm.blocks(tree, texts()):
                 by_block = lm.token_scores(model, x, y, alone, tree, table).sum(1, dtype=np.float64)
                 for at, first, stop in parts:
                     scores[at] += float(by_block[first:stop].sum()) / math.log(10)
-            n, m = len(docs), len(rest)
-            col = lambda d, r, k: pa.array([*d, *r], k)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    col((x[0] for x in docs), (x[0] for x in rest), pa.int64()), col([None] * n, (x[1] for x in rest), pa.binary()), col([None] * n, (x[2] for x in rest), pa.int64()),
-                    col((x[1] for x in docs), [None] * m, pa.int64()), col((held_out(x[1]) for x in docs), [None] * m, pa.bool_()), col((x[2] for x in docs), [None] * m, pa.int64()),
-                    col((x[3] for x in docs), [None] * m, pa.int64()), col((x[4] for x in docs), [None] * m, pa.float64()), col(scores, [None] * m, pa.float64()),
-                ],
-                names=["uid", "word", "times", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"],
-            )
+            number += len(docs)
+            kinds_of = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64())
+            of_docs = [pa.array([d[k] for d in docs], kind) for k, kind in enumerate(kinds_of)]
+            n, m = len(docs), len(rest[0])
+            both = [(of_docs[0], pa.array(rest[0], pa.int64())), (pa.nulls(n, pa.binary()), pa.array(rest[1], pa.binary())), (pa.nulls(n, pa.int64()), pa.array(rest[2], pa.int64()))]
+            both += [(c, pa.nulls(m, c.type)) for c in (*of_docs[1:], pa.array(scores, pa.float64()))]
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in both], names=["uid", "word", "times", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
 
     return run
 
