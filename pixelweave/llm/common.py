@@ -14,12 +14,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share: the one that the session names. On a local master, where all share one
+    disk, a new one serves if it names none; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = getattr(spark, "_pixelweave_folder", None) or tempfile.mkdtemp(prefix="pixelweave-")
-        spark._pixelweave_folder = base
-    return base
+    if base:
+        return base
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not hasattr(spark, "_pixelweave_folder"):
+        spark._pixelweave_folder = tempfile.mkdtemp(prefix="pixelweave-")
+    return spark._pixelweave_folder
 
 
 def cut(df: DataFrame, tag: str) -> DataFrame:
@@ -41,11 +46,18 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Bytes of an Arrow batch, about; a longer row is a batch of its own.
+BATCH_BYTES = 8 << 20
+
+
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Keep Arrow batches small enough for very long texts, unless the session asks for smaller ones."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
+    """Bound the rows and bytes of the session's Arrow batches, unless it asks for smaller ones. Spark reads both settings when
+    a query runs, which is after this package has returned it, so they stay set."""
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -3,15 +3,17 @@
 A text becomes a string of digits: its length in eight bytes, then its bytes (A-Z lower-cased). Each round
 splits the groups of the round before by their next bytes. A document leaves when its group has one row
 (singleton) or when the digits have ended; equal digits, not digests, decide equality. The first round works on
-heads alone, so only texts that share length and first bytes with another are ever moved again, and the width of
-a round grows geometrically, so the number of rounds is the logarithm of the longest text.
+heads alone, so only texts that share length and first bytes with another are ever moved again. The width of a round
+grows geometrically up to LAST_WIDTH, the most bytes of a text that are ever a key: copies of ordinary texts end
+within a few rounds, and a text of any length within one round for each LAST_WIDTH of it.
 
-A group is pre-aggregated before its count is joined back, and the join back is one that adaptive execution can
+Every row has a key of its own, and a group is named by the smallest key in it, so groups stay apart whatever the
+ids. A group is pre-aggregated before its count is joined back, and the join back is one that adaptive execution can
 split, so a group with a third of all rows doesn't meet in one task.
 
 Cases: null text counts as empty; empty texts are equal to each other; an empty table gives an empty result; a
-null doc_id ranks below all others; where whole rows repeat, each is returned and exactly one has kept true.
-Columns of the input other than the named two are not read.
+null doc_id ranks below all others; an id may repeat, with equal or with other texts: of equal texts exactly one row has
+kept true, of those with the largest id any one. Columns of the input other than the named ones are not read.
 """
 
 from __future__ import annotations
@@ -20,86 +22,70 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import cut, discard, small_batches
 
-HEAD, FIRST_WIDTH, LAST_WIDTH = 40, 4096, 1 << 24
-LEAST = -(2**63)
+HEAD, FIRST_WIDTH, GROWTH, LAST_WIDTH = 40, 512, 8, 1 << 20
 
 
 def _digits(text: bytes) -> bytes:
     return len(text).to_bytes(8, "big") + text
 
 
-def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = [(x or b"").lower() for x in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array([_digits(x)[:HEAD] for x in texts], pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in texts])],
-            names=["id", "head", "text_sha256"],
-        )
-
-
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = [(x or b"").lower() for x in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array([_digits(x)[:HEAD] for x in texts], pa.binary()), pa.array(map(_digits, texts), pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in texts])],
-            names=["id", "head", "digits", "text_sha256"],
-        )
-
+def _read(names: list[str], whole: bool):
+    """Of each row (text first) the head of its digits, its digest, and with whole all its digits, before the other columns."""
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, keep_id, group_size, kept, text_sha256 of every row of docs."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    heads = cut(rows.mapInArrow(_heads, "id long, head binary, text_sha256 string"), "heads")
-    by_head = heads.groupBy("head").agg(F.count("*").alias("n"), F.max("id").alias("gid"))
-    shared = by_head.where("n > 1")
-    alone = heads.join(by_head.where("n = 1").select("head"), "head").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [(x or b"").lower() for x in b.column(0).to_pylist()]
+            cols = [pa.array([_digits(x)[:HEAD] for x in texts], pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())]
+            cols += [pa.array(map(_digits, texts), pa.binary())] if whole else []
+            yield pa.RecordBatch.from_arrays([*cols, *b.columns[1:]], names=["head", "text_sha256", *["digits"] * whole, *names])
+
+    return run
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """id, keep_id, group_size, kept, text_sha256 of every row of docs; row_col, a column without nulls or repeats, is passed through."""
+    small_batches(docs.sparkSession)
+    more = [] if row_col is None else [F.col(row_col).cast("long").alias("passed")]
+    rows = docs.select(F.col(text_col).cast("binary").alias("text"), F.col(id_col).cast("long").alias("id"), *more)
+    names = rows.columns[1:]
+    kept_columns, kinds = ["id", *names[1:], "text_sha256"], ", ".join(f"{c} long" for c in names)
+    heads = cut(rows.mapInArrow(_read(names, False), f"head binary, text_sha256 string, {kinds}"), "heads")
+    by_head = heads.groupBy("head").agg(F.count("*").alias("n"))
+    alone = heads.join(by_head.where("n = 1").select("head"), "head")
+    found = [alone.select(*kept_columns, F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))]
+    whole = rows.mapInArrow(_read(names, True), f"head binary, text_sha256 string, digits binary, {kinds}")
     active = cut(
-        rows.mapInArrow(_whole, "id long, head binary, digits binary, text_sha256 string").join(shared.select("head", "gid"), "head").select("id", "gid", "digits", "text_sha256"),
+        whole.join(by_head.where("n > 1").select("head"), "head").select(*kept_columns, "digits", F.col("head").alias("group")).withColumn("row", F.monotonically_increasing_id()),
         "radix",
     )
-    found, at, width = [alone], HEAD, FIRST_WIDTH
+    at, width = HEAD, FIRST_WIDTH
     while not active.isEmpty():
-        # A group of null ids alone has no id of its own: its key is the whole prefix.
-        chunk = F.when(F.col("gid") == LEAST, F.substring("digits", 1, at + width)).otherwise(F.substring("digits", at + 1, width))
-        keyed = active.withColumn("chunk", chunk)
-        counts = keyed.groupBy("gid", "chunk").agg(F.count("*").alias("n"), F.max("id").alias("top"))
+        keyed = active.withColumn("chunk", F.substring("digits", at + 1, width))
+        best = F.max(F.struct(F.col("id").isNotNull().alias("known"), "id", "row"))
+        counts = keyed.groupBy("group", "chunk").agg(F.count("*").alias("n"), best.alias("top"), F.min("row").cast("string").cast("binary").alias("next"))
         over = (F.col("n") == 1) | (F.octet_length("digits") <= at + width)
         split = cut(
-            keyed.join(counts, ["gid", "chunk"]).select("id", F.col("top").alias("gid"), "n", over.alias("over"), F.when(~over, F.col("digits")).alias("digits"), "text_sha256"),
+            keyed.join(counts, ["group", "chunk"]).select(*kept_columns, F.when(~over, F.col("digits")).alias("digits"), F.col("next").alias("group"), "row", "n", "top", over.alias("over")),
             "radix",
         )
         discard(active)
-        found.append(split.where("over").select("id", F.col("gid").alias("keep_id"), F.col("n").alias("group_size"), "text_sha256"))
-        active = split.where("not over").select("id", "gid", "digits", "text_sha256")
-        at, width = at + width, min(width * 16, LAST_WIDTH)
+        found.append(split.where("over").select(*kept_columns, F.col("top.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("row") == F.col("top.row")).alias("kept")))
+        active = split.where("not over").select(*kept_columns, "digits", "group", "row")
+        at, width = at + width, min(width * GROWTH, LAST_WIDTH)
     out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    # Rows that repeat whole share id and text: the first of them is the one that stays.
-    numbered = out.withColumn("copy_no", F.row_number().over(Window.partitionBy("id", "text_sha256").orderBy("group_size")))
-    real = lambda c: F.when(F.col(c) != LEAST, F.col(c))
-    kept = (F.col("id") == F.col("keep_id")) & (F.col("copy_no") == 1)
-    return numbered.select(real("id").alias(id_col), real("keep_id").alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256")
+    for part in found[1:]:
+        out = out.unionByName(part)
+    passed = [] if row_col is None else [F.col("passed").alias(row_col)]
+    return out.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", "text_sha256", *passed)
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """docs, all columns, without the rows whose text an equal row with a larger doc_id has."""
-    at = docs.columns.index("text")
-
-    def with_sha(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sha = [hashlib.sha256((x or "").encode().lower()).hexdigest() for x in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sha, pa.string())], names=[*b.schema.names, "_sha"])
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("_sha", T.StringType())])
-    kept = exact_groups(docs).where("kept").select(F.coalesce("doc_id", F.lit(LEAST)).alias("_id"), F.col("text_sha256").alias("_sha"))
-    marked = docs.mapInArrow(with_sha, schema).withColumn("_id", F.coalesce("doc_id", F.lit(LEAST)))
-    return marked.join(kept, ["_id", "_sha"], "left_semi").dropDuplicates(["_id", "_sha"]).select(*docs.columns)
+    keyed = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    kept = exact_groups(keyed, row_col="_row").where("kept").select("_row")
+    return keyed.join(kept, "_row", "left_semi").select(*docs.columns)

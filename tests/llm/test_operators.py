@@ -308,6 +308,31 @@ def test_exact_dedup(documents):
     assert exact_dedup.exact_groups(documents(*rows).limit(0)).count() == 0
 
 
+def test_exact_dedup_of_repeated_ids(documents):
+    """One id on unequal texts, whole rows twice, and texts that part late: groups by text alone, one kept in each."""
+    late = "x" * 70000
+    rows = [(5, "abc"), (5, "abc"), (5, "abd"), (5, "abd"), (None, late + "1"), (None, late + "1"), (None, late + "2"), (None, late + "2"), (5, late + "1")]
+    size = collections.Counter(t for _, t in rows)
+    got = exact_dedup.exact_groups(documents(*rows)).collect()
+    sha = {hashlib.sha256(t.encode()).hexdigest(): t for _, t in rows}
+    assert all(r.group_size == size[sha[r.text_sha256]] for r in got) and len(got) == len(rows)
+    assert {r.keep_id for r in got if sha[r.text_sha256] == late + "1"} == {5}
+    assert collections.Counter(sha[r.text_sha256] for r in got if r.kept) == dict.fromkeys(size, 1)
+    assert sorted((r.doc_id or 0, r.text) for r in exact_dedup.drop_copies(documents(*rows)).collect()) == sorted([(5, "abc"), (5, "abd"), (5, late + "1"), (0, late + "2")])
+
+
+def test_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from pixelweave.llm.common import shared_folder
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: conf))
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_folder(cluster)
+    assert shared_folder(spark)
+
+
 # 10 ----------------------------------------------------------------------------------------------------------------
 
 
