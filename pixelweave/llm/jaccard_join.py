@@ -1,27 +1,32 @@
-"""N-gram Jaccard join: documents whose sets of word shingles link, exactly, as components.
+"""N-gram Jaccard join: documents whose sets of word shingles link, exactly up to collisions of 64-bit hashes, as components.
 
-Jaccard distance is a metric. The join splits the documents into regions outside of which no link can lie, and
-goes on splitting until a region fits a task:
+Sets are of 64-bit hashes of shingles, of which the counts use 48 within a range of hashes, 54 or more in all: two
+different shingles of one hash would count as one. All else is exact.
 
-1. Rarity regions. In one common order of all shingles, rarest first, two documents that link share one of the first
+Jaccard distance is a metric, and the join is one in its space:
+
+1. Pivots. In one common order of all shingles, rarest first, two documents that link share one of the first
    n - needed + 1 shingles of each. Shingles are counted over the whole corpus; one that no other document has can
-   join nothing, so documents with enough of those are alone, and the others meet by the rare shingles they share.
-   The connected components of these meetings are at distances above the radius from each other. (Among unrelated
-   documents every distance is 1, and windows around sampled pivots would hold all of them: these regions come
-   first for that reason.)
-2. Pivots. A region too large for a task is cut into the Voronoi cells of pivot documents. A document also goes, as a
-   visitor, to every cell whose pivot is nearer than its own plus two radii: by the triangle inequality every partner
-   of it that lives there is then met. Cells are cut again, recursively. A cell that hardly shrinks (all its distances
-   alike) is joined in blocks instead, every pair of blocks in a task of its own.
-3. Within a task, pivots first: what links to one pivot is one component, and pairs inside it need no look. Every
-   other document is compared with all of the region through an inverted index, so intersections are exact counts.
+   join nothing, so documents with enough of those are alone. Of the documents that have a rare shingle the one with the
+   smallest key is its pivot, and the pivot's region are all documents that have such a shingle: two that link are in one
+   region at least. (Sampled pivots would have nearly all documents at distance 1.)
+2. Regions. Within a region every document's distance to the pivot is known. What is within the radius links to the pivot:
+   that ball is one component, and pairs inside it need no look. The others are divided among the Voronoi cells of further
+   pivots, and by the triangle inequality a document also goes, as a visitor, to every cell whose pivot is nearer than its
+   own plus two radii: every partner of it that lives there is then met. Cells are divided again, recursively, until
+   they are small or one component.
+3. A region of at most REGION shingles is joined so within a task. In a larger one the same steps are joins: distances
+   to the pivot, the ball, then the documents within two radii against the ball, in blocks, and all those outside of it by
+   cells. A cell that hardly shrinks (all its distances alike) is joined in blocks, every pair of blocks in a task of its
+   own; that costs the square of the cell's shingles over REGION, and only documents that share rare shingles, aren't
+   near their pivot and are about equally far from all others come to it.
 
 Copies of a set are one node throughout, with the smallest id of the class; no pair of copies is ever made. What a
 task returns are the edges of a spanning forest, never pairs. A hot shingle's list of documents is never collected:
-counts are by flush (a bounded stretch of documents), and meetings are a minimum by shingle that is joined back.
+within a flush (a bounded stretch of documents) one that HOT documents have is one entry with its number, and pivots are
+a minimum by shingle that is joined back.
 
-Sets are of 64-bit hashes; the counts use 48 of their bits within a range of hashes, 54 or more in all. The flushes are
-numbered by partition and position, so docs must be read in a fixed order (files are).
+The flushes are numbered by partition and position, so docs must be read in a fixed order (files are).
 
 Cases: null or empty text has no shingles and is linked with nothing; fewer than five words are one shingle; a null
 doc_id is a document, not a name for a component unless alone; repeated rows link with each other; an empty table
@@ -30,31 +35,40 @@ gives an empty result; columns of the input other than the named two are not rea
 
 from __future__ import annotations
 
+import collections
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, discard, small_batches
 from .components import connected_components
 from .shingles import WORDS, Shingler, prefix_length
 
 PERCENT = 75
 #: A flush holds so many shingles or documents at most (and one document at least).
 FLUSH, FLUSH_DOCS = 1_500_000, 1 << 16
-#: Shingles of a region that one task joins, and pivots of a region that is larger.
-REGION, PIVOTS = 3_000_000, 16
-#: A cell of more than this share of its region is joined in blocks.
+#: A shingle of so many documents of a flush is sent to be counted as one entry.
+HOT = 8
+#: Shingles of a region that one task joins (a document counts as ROW at least), and pivots of a region that is larger.
+REGION, ROW, PIVOTS = 3_000_000, 64, 16
+#: A cell of more than this share of its region is joined without being divided further.
 DENSE = 0.75
+#: Pivots of a region within a task, and documents that are compared each with each there.
+FEW, SMALL = 4, 8
 KEY = 6  # bytes of a hash that are shuffled, besides its range
 
 PROFILE = "uid long, doc_id long, n long, digest binary, keys binary, prefix array<long>"
-SORTED = "range int, flush long, hashes binary, docs binary, meta binary, ids binary"
+#: Of a flush: hashes and their documents by range; in one row what is known of each document, and the documents of its
+#: hot shingles; hot: those shingles by range, with their numbers, later with the logarithms of their counts.
+SORTED = "range int, flush long, hashes binary, docs binary, hot binary, counts binary, meta binary, ids binary, lists binary"
+COLUMNS = [c.split()[0] for c in SORTED.split(", ")]
+TYPES = [pa.int32(), pa.int64(), *[pa.binary()] * 7]
 
 
 def _pack(keys: np.ndarray) -> bytes:
@@ -81,19 +95,28 @@ def _flushes(bits: int, words: int):
         held = 0
 
         def flush() -> pa.RecordBatch:
-            shift = np.uint64(64 - bits)
             h = np.concatenate(sets) if sets else np.empty(0, np.uint64)
             d = np.repeat(np.array(of, np.uint16), [len(s) for s in sets]) if sets else np.empty(0, np.uint16)
             order = np.argsort(h, kind="stable")
             h, d = h[order], d[order]
-            r = (h >> shift).astype(np.int64)
+            begins = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, np.int64)
+            times = np.diff(np.r_[begins, len(h)])
+            many = times >= HOT
+            cold = np.repeat(~many, times)
+            lists = h[begins[many]].tobytes(), times[many].astype(np.uint32).tobytes(), d[~cold].tobytes()
+            rows = [(a, number, _pack(k), x.tobytes(), *[None] * 5) for a, k, x in by_range(h[cold], d[cold])]
+            rows += [(a, number, None, None, _pack(k), x.astype(np.uint32).tobytes(), *[None] * 3) for a, k, x in by_range(h[begins[many]], times[many])]
+            known = np.array([(-(2**63) if i is None else i) for i in ids], np.int64).tobytes() + bytes(i is None for i in ids)
+            rows.append((number % (1 << bits), number, *[None] * 4, b"".join(meta), known, int(many.sum()).to_bytes(8, "little") + b"".join(lists)))
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(TYPES)], names=COLUMNS)
+
+        def by_range(h: np.ndarray, x: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+            """Stretches of sorted hashes of one range: the range, the hashes' bits below it, what belongs to them."""
+            r = (h >> np.uint64(64 - bits)).astype(np.int64)
             low = (h >> np.uint64(64 - bits - 8 * KEY)) & np.uint64((1 << 8 * KEY) - 1)
             cuts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.empty(0, np.int64)
-            ends = np.r_[cuts[1:], len(r)]
-            rows = [(int(r[a]), number, _pack(low[a:b]), d[a:b].tobytes(), None, None) for a, b in zip(cuts, ends, strict=False)]
-            known = np.array([(-(2**63) if i is None else i) for i in ids], np.int64).tobytes() + bytes(i is None for i in ids)
-            rows.append((number % (1 << bits), number, None, None, b"".join(meta), known))
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate((pa.int32(), pa.int64(), *[pa.binary()] * 4))], names=["range", "flush", "hashes", "docs", "meta", "ids"])
+            for a, b in zip(cuts, np.r_[cuts[1:], len(r)], strict=False):
+                yield int(r[a]), low[a:b], x[a:b]
 
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -120,30 +143,33 @@ def _flushes(bits: int, words: int):
 
 def _shared(table: pa.Table) -> pa.Table:
     """Of one range: to each flush the shingles that are in more than one document, with how many, as logarithms."""
-    blobs = [(f, _unpack(h), np.frombuffer(d, np.uint16)) for f, h, d in zip(*(table.column(c).to_pylist() for c in ("flush", "hashes", "docs")), strict=True) if h]
-    rows = [(r, f, None, None, m, i) for r, f, m, i in zip(*(table.column(c).to_pylist() for c in ("range", "flush", "meta", "ids")), strict=True) if m is not None]
-    if blobs:
+    column = lambda *names: zip(*(table.column(c).to_pylist() for c in names), strict=True)
+    rows = [(r, f, *[None] * 4, m, i, x) for r, f, m, i, x in column("range", "flush", "meta", "ids", "lists") if m is not None]
+    cold = [(f, _unpack(h), np.frombuffer(d, np.uint16)) for f, h, d in column("flush", "hashes", "docs") if h]
+    hot = [(f, _unpack(h), np.frombuffer(n, np.uint32)) for f, h, n in column("flush", "hot", "counts") if h]
+    if cold or hot:
         number = table.column("range")[0].as_py()
-        keys = np.concatenate([x[1] for x in blobs])
-        source = np.repeat(np.arange(len(blobs)), [len(x[1]) for x in blobs])
-        docs = np.concatenate([x[2] for x in blobs])
+        keys = np.concatenate([x[1] for x in (*cold, *hot)])
+        times = np.concatenate([np.ones(sum(len(x[1]) for x in cold), np.int64), *(x[2] for x in hot)])
         order = np.argsort(keys, kind="stable")
         same = keys[order]
         begins = np.flatnonzero(np.r_[True, same[1:] != same[:-1]])
-        counts = np.diff(np.r_[begins, len(same)])
         many = np.empty(len(keys), np.int64)
-        many[order] = np.repeat(counts, counts)
-        hit = np.flatnonzero(many > 1)
-        log = np.minimum(255, np.log2(many[hit]) * 8).astype(np.uint8)
-        # The log's byte follows the document's two.
-        for j in np.unique(source[hit]):
-            own = source[hit] == j
-            at = hit[own]
-            tail = np.empty((len(at), 3), np.uint8)
-            tail[:, :2] = docs[at].view(np.uint8).reshape(-1, 2)
-            tail[:, 2] = log[own]
-            rows.append((number, blobs[j][0], _pack(keys[at]), tail.tobytes(), None, None))
-    return pa.table({c: pa.array([x[i] for x in rows], k) for i, (c, k) in enumerate(zip(("range", "flush", "hashes", "docs", "meta", "ids"), (pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True))})
+        many[order] = np.repeat(np.add.reduceat(times[order], begins), np.diff(np.r_[begins, len(same)]))
+        log = np.minimum(255, np.log2(many) * 8).astype(np.uint8)
+        at = 0
+        for f, k, d in cold:
+            own = np.flatnonzero(many[at : at + len(k)] > 1)
+            if len(own):  # the log's byte follows the document's two
+                tail = np.empty((len(own), 3), np.uint8)
+                tail[:, :2] = d[own].view(np.uint8).reshape(-1, 2)
+                tail[:, 2] = log[at + own]
+                rows.append((number, f, _pack(k[own]), tail.tobytes(), *[None] * 5))
+            at += len(k)
+        for f, k, _ in hot:
+            rows.append((number, f, None, None, _pack(k), log[at : at + len(k)].tobytes(), *[None] * 3))
+            at += len(k)
+    return pa.table({c: pa.array([x[i] for x in rows], k) for i, (c, k) in enumerate(zip(COLUMNS, TYPES, strict=True))})
 
 
 def _profiles(bits: int, percent: int):
@@ -151,16 +177,28 @@ def _profiles(bits: int, percent: int):
 
     def run(table: pa.Table) -> pa.Table:
         flush = table.column("flush")[0].as_py()
-        meta = ids = b""
-        keys, docs, logs = [], [], []
-        for r, h, d, m, i in zip(*(table.column(c).to_pylist() for c in ("range", "hashes", "docs", "meta", "ids")), strict=True):
+        meta = ids = lists = b""
+        keys, docs, logs, hot, hot_logs = [], [], [], [], []
+        for r, h, d, k, n, m, i, x in zip(*(table.column(c).to_pylist() for c in ("range", "hashes", "docs", "hot", "counts", "meta", "ids", "lists")), strict=True):
+            top = np.uint64(r) << np.uint64(8 * KEY)
             if m is not None:
-                meta, ids = m, i
-            else:
-                keys.append(_unpack(h) | (np.uint64(r) << np.uint64(8 * KEY)))
+                meta, ids, lists = m, i, x
+            elif h is not None:
+                keys.append(_unpack(h) | top)
                 tail = np.frombuffer(d, np.uint8).reshape(-1, 3)
                 docs.append(np.ascontiguousarray(tail[:, :2]).view(np.uint16).reshape(-1))
                 logs.append(tail[:, 2])
+            else:
+                hot.append(_unpack(k) | top)
+                hot_logs.append(np.frombuffer(n, np.uint8))
+        if hot:  # by the documents' lists, which are in the order of the whole hashes, as the ranges and their hashes are
+            n = int.from_bytes(lists[:8], "little")
+            times = np.frombuffer(lists, np.uint32, n, 8 + 8 * n)
+            whole, log = np.concatenate(hot), np.concatenate(hot_logs)
+            order = np.argsort(whole, kind="stable")
+            keys.append(np.repeat(whole[order], times))
+            logs.append(np.repeat(log[order], times))
+            docs.append(np.frombuffer(lists, np.uint16, -1, 8 + 12 * n))
         size = len(meta) // 32
         k = np.concatenate(keys) if keys else np.empty(0, np.uint64)
         d = np.concatenate(docs).astype(np.int64) if docs else np.empty(0, np.int64)
@@ -200,6 +238,7 @@ class Region:
         self.begins = np.r_[0, np.cumsum(np.bincount(which))] if len(keys) else np.zeros(1, np.int64)
         self.which = which
         self.at = np.r_[0, np.cumsum(lengths)]
+        self.keys = keys
 
     def shared(self, j: int) -> np.ndarray:
         """Intersection sizes of document j with all."""
@@ -214,10 +253,16 @@ class Region:
         hit[j] = False
         return np.flatnonzero(hit)
 
+    def distances(self, j: int) -> np.ndarray:
+        both = self.shared(j)
+        return 1 - both / np.maximum(1, self.sizes + self.sizes[j] - both)
+
+    def part(self, own: np.ndarray) -> Region:
+        return Region(self.sizes[own].tolist(), [self.keys[self.at[j] : self.at[j + 1]] for j in own])
+
     def forest(self, percent: int) -> list[tuple[int, int]]:
         """Edges that join the documents exactly as their links do."""
-        m = len(self.sizes)
-        root = list(range(m))
+        root, edges, near = list(range(len(self.sizes))), [], 2 * (1 - percent / 100) + 1e-9
 
         def find(x: int) -> int:
             while root[x] != x:
@@ -225,30 +270,43 @@ class Region:
                 x = root[x]
             return x
 
-        def merge(j: int, others: np.ndarray) -> None:
-            for o in others.tolist():
+        def merge(j: int, others: list[int]) -> None:
+            for o in others:
                 a, b = find(j), find(o)
                 if a != b:
                     root[b] = a
                     edges.append((j, o))
 
-        edges: list[tuple[int, int]] = []
-        looked = set()
-        # Pivots: those that share most with all, so that one of them links to much of the region.
-        tried = range(0, m, max(1, m // 8))
-        for j in sorted(tried, key=lambda j: -int(self.shared(j).sum()))[:8] if m > 16 else ():
-            merge(j, self.links(j, percent))
-            looked.add(j)
-        roots = [find(j) for j in range(m)]
-        main = max(set(roots), key=roots.count) if roots else None
-        for j in range(m):
-            if j not in looked and roots[j] != main:
-                merge(j, self.links(j, percent))
+        cells = [np.arange(len(self.sizes))]
+        while cells:
+            own = cells.pop()
+            if len({find(j) for j in own.tolist()}) < 2:
+                continue  # one component: pairs inside need no look
+            region = self if len(own) == len(self.sizes) else self.part(own)
+            compare: Iterable[int] = range(len(own))
+            if len(own) > SMALL:
+                # Pivots: the first document, then each time the one farthest from those so far.
+                pivot, apart = 0, []
+                for _ in range(FEW):
+                    merge(int(own[pivot]), own[region.links(pivot, percent)].tolist())
+                    apart.append(region.distances(pivot))
+                    pivot = int(np.min(apart, axis=0).argmax())
+                least = np.min(apart, axis=0)
+                windows = [own[d - least <= near] for d in apart]
+                if max(map(len, windows)) <= DENSE * len(own):
+                    cells += [w for w in windows if len(w) > 1]
+                    continue
+                roots = [find(j) for j in own.tolist()]
+                main = collections.Counter(roots).most_common(1)[0][0]
+                compare = [j for j, r in enumerate(roots) if r != main]
+            for j in compare:
+                merge(int(own[j]), own[region.links(j, percent)].tolist())
         return edges
 
 
 def _joined(percent: int):
     def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("uid")  # the region's own pivot comes first
         uids = table.column("uid").to_pylist()
         region = Region(table.column("n").to_pylist(), [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()])
         edges = region.forest(percent)
@@ -279,11 +337,12 @@ def components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, regi
     classes = profile.where("n > 0").groupBy("n", "digest").agg(F.min("uid").alias("node"))
     # Documents that may link, one of each class, by the rare shingles they share.
     nodes = profile.where("keys is not null").join(classes.select(F.col("node").alias("uid")), "uid")
-    meets = cut(nodes.select("uid", F.explode("prefix").alias("key")), "prefixes")
-    least = meets.groupBy("key").agg(F.min("uid").alias("low"), F.count("*").alias("k")).where("k > 1")
-    near = connected_components(meets.join(least, "key").where("uid <> low").select(F.col("uid").alias("u"), F.col("low").alias("v")))
-    near = near.select(F.col("node").alias("uid"), F.col("component").alias("region"))
-    members = cut(nodes.select("uid", "n", "keys").join(near, "uid").select(F.col("region").cast("string").alias("region"), "uid", "n", "keys"), "regions")
+    meets = nodes.select("uid", F.explode("prefix").alias("key"))
+    pivot = meets.groupBy("key").agg(F.min("uid").alias("pivot"), F.count("*").alias("k")).where("k > 1").select("key", "pivot")
+    placed = cut(meets.join(pivot, "key").select("uid", "pivot").distinct(), "placed")
+    sized = placed.join(nodes.select("uid", _weight("keys").alias("weight")), "uid")
+    sizes = cut(sized.groupBy("pivot").agg(F.sum("weight").alias("size")), "sizes")
+    members = placed.join(nodes.select("uid", "n", "keys"), "uid").join(sizes, "pivot")
     links = _region_links(members, percent, region, pivots)
     joined = connected_components(links).select(F.col("node"), "component")
     named = profile.join(classes, ["n", "digest"], "left").withColumn("node", F.coalesce("node", "uid")).select("doc_id", "n", "node")
@@ -292,14 +351,58 @@ def components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, regi
     return named.join(names, "component").select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
+def _weight(keys: str) -> Column:
+    """Shingles of a row; a row counts as ROW at least."""
+    return F.greatest(F.octet_length(keys) / 8, F.lit(ROW))
+
+
+def _apart(rows: DataFrame, pivots: DataFrame, on: str) -> DataFrame:
+    """(region, uid, pivot, d) of the rows (region, uid, n, keys) and each pivot (on, pivot, pn, pkeys) of their region."""
+    return rows.join(pivots, on).select("region", "uid", "pivot", "n", "keys", "pn", "pkeys").mapInArrow(_distances, "region string, uid long, pivot long, d double")
+
+
+def _in_blocks(rows: DataFrame, blocks: Column, percent: int) -> DataFrame:
+    """Edges (u, v) of regions of rows (region, uid, n, keys): every two blocks of a region in a task of their own."""
+    own = F.pmod(F.xxhash64("uid", F.lit(7)), blocks).cast("int")
+    paired = rows.withColumn("b", own).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    name = F.concat_ws("+", "region", F.least("b", "o").cast("string"), F.greatest("b", "o").cast("string"))
+    return paired.select(name.alias("region"), "uid", "n", "keys").groupBy("region").applyInArrow(_joined(percent), "u long, v long")
+
+
 def _region_links(members: DataFrame, percent: int, limit: int, pivots: int) -> DataFrame:
-    """Edges (u, v) of spanning forests of all regions of members (region, uid, n, keys)."""
+    """Edges (u, v) of spanning forests of the pivots' regions, members (pivot, uid, n, keys, size)."""
+    radius = 1 - percent / 100 + 1e-9  # distances are rounded
+    found = members.where(F.col("size") <= limit).select("pivot", "uid", "n", "keys").groupBy("pivot").applyInArrow(_joined(percent), "u long, v long")
+    large = members.where(F.col("size") > limit).select(F.col("pivot").cast("string").alias("region"), "pivot", "uid", "n", "keys")
+    if large.isEmpty():
+        return found
+    own = large.where(F.col("uid") == F.col("pivot")).select("pivot", F.col("n").alias("pn"), F.col("keys").alias("pkeys"))
+    known = cut(_apart(large, own, "pivot"), "distances").select("region", "uid", "d", "pivot")
+    found = found.unionByName(known.where((F.col("d") <= radius) & (F.col("uid") != F.col("pivot"))).select(F.col("pivot").alias("u"), F.col("uid").alias("v")))
+    placed = cut(large.join(known.select("region", "uid", "d"), ["region", "uid"]).select("region", "uid", "n", "keys", "d"), "rings")
+    # The ring around the ball against it: blocks of the ring with blocks of those in the ball that its inner edge can reach.
+    ring = placed.where((F.col("d") > radius) & (F.col("d") <= 2 * radius))
+    edge = ring.groupBy("region").agg(F.sum(_weight("keys")).alias("ring"), F.min("d").alias("inner"))
+    ball = placed.where(F.col("d") <= radius).join(edge, "region").where(F.col("d") >= F.col("inner") - radius)
+    wide = ball.groupBy("region").agg(F.sum(_weight("keys")).alias("ball"))
+    cuts = edge.join(wide, "region").select("region", *(F.ceil(2 * F.col(c) / limit).cast("int").alias(c) for c in ("ring", "ball")))
+    part = lambda c: F.pmod(F.xxhash64("uid", F.lit(7)), F.col(c)).cast("int")
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    sides = [
+        ring.join(cuts, "region").select("region", "uid", "n", "keys", part("ring").alias("a"), each("ball").alias("b")),
+        ball.drop("ring", "inner").join(cuts, "region").select("region", "uid", "n", "keys", each("ring").alias("a"), part("ball").alias("b")),
+    ]
+    met = sides[0].unionByName(sides[1]).groupBy("region", "a", "b").applyInArrow(_joined(percent), "u long, v long")
+    outer = cut(placed.where(F.col("d") > radius).select("region", "uid", "n", "keys"), "outer")
+    return found.unionByName(met).unionByName(_cell_links(outer, percent, limit, pivots))
+
+
+def _cell_links(members: DataFrame, percent: int, limit: int, pivots: int) -> DataFrame:
+    """Edges (u, v) of spanning forests of the regions of members (region, uid, n, keys), by Voronoi cells of sampled pivots."""
     radius = 1 - percent / 100
-    weight = F.octet_length("keys") / 8
     found = None
     for _ in range(4):
-        sizes = members.groupBy("region").agg(F.sum(weight).alias("size"))
-        sizes = cut(sizes, "sizes")
+        sizes = cut(members.groupBy("region").agg(F.sum(_weight("keys")).alias("size")), "sizes")
         small = members.join(sizes.where(F.col("size") <= limit).select("region"), "region")
         got = small.select("region", "uid", "n", "keys").groupBy("region").applyInArrow(_joined(percent), "u long, v long")
         found = got if found is None else found.unionByName(got)
@@ -311,29 +414,20 @@ def _region_links(members: DataFrame, percent: int, limit: int, pivots: int) ->
         slot = F.pmod(F.xxhash64("uid", F.lit(5)), F.lit(pivots))
         chosen = large.withColumn("slot", slot).groupBy("region", "slot").agg(F.min_by(F.struct("uid", "n", "keys"), F.xxhash64("uid")).alias("p"))
         chosen = chosen.select("region", F.col("p.uid").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.keys").alias("pkeys"))
-        pairs = large.select("region", "uid", "n", "keys").join(chosen, "region").mapInArrow(_distances, "region string, uid long, pivot long, d double")
-        pairs = cut(pairs, "distances")
+        pairs = cut(_apart(large, chosen, "region"), "distances")
         nearest = pairs.groupBy("region", "uid").agg(F.min("d").alias("least"))
         # A little more than two radii: distances are rounded.
         cells = pairs.join(nearest, ["region", "uid"]).where(F.col("d") - F.col("least") <= 2 * radius + 1e-9).select("region", "uid", "pivot")
         placed = large.join(cells, ["region", "uid"]).withColumn("cell", F.concat_ws("/", "region", F.col("pivot").cast("string")))
         placed = cut(placed.select("region", "size", "cell", "uid", "n", "keys"), "cells")
-        cell_sizes = placed.groupBy("cell").agg((F.sum(weight) / F.first("size")).alias("part"), F.sum(weight).alias("in_cell"))
-        dense = cell_sizes.where((F.col("part") > DENSE) & (F.col("in_cell") > limit))
-        # Cells that hardly shrank: their whole region in blocks, every two of them in a task.
-        dense_regions = cut(placed.join(dense.select("cell"), "cell").select("region").distinct(), "dense")
-        blocks = F.ceil(2 * F.col("size") / limit).cast("int")
-        own = F.pmod(F.xxhash64("uid", F.lit(7)), F.greatest(blocks, F.lit(2))).cast("int")
-        in_blocks = large.join(dense_regions, "region").withColumn("b", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.greatest(blocks, F.lit(2)) - 1)))
-        in_blocks = in_blocks.select(F.concat_ws("+", "region", F.least("b", "o").cast("string"), F.greatest("b", "o").cast("string")).alias("region"), "uid", "n", "keys")
-        found = found.unionByName(in_blocks.groupBy("region").applyInArrow(_joined(percent), "u long, v long"))
-        members = cut(placed.join(dense_regions, "region", "left_anti").select(F.col("cell").alias("region"), "uid", "n", "keys"), "regions")
+        cell_sizes = placed.groupBy("region", "cell").agg((F.sum(_weight("keys")) / F.first("size")).alias("part"), F.sum(_weight("keys")).alias("in_cell"))
+        # Regions of which a cell hardly shrank go in blocks instead.
+        dense = cut(cell_sizes.where((F.col("part") > DENSE) & (F.col("in_cell") > limit)).select("region").distinct(), "dense")
+        found = found.unionByName(_in_blocks(large.join(dense, "region"), F.greatest(F.ceil(2 * F.col("size") / limit).cast("int"), F.lit(2)), percent))
+        members = cut(placed.join(dense, "region", "left_anti").select(F.col("cell").alias("region"), "uid", "n", "keys"), "regions")
     # Deeper than that: in blocks, whatever their size.
-    sizes = members.groupBy("region").agg(F.sum(weight).alias("size"))
-    blocks = F.greatest(F.ceil(2 * F.col("size") / limit).cast("int"), F.lit(2))
-    rest = members.join(sizes, "region").withColumn("b", F.pmod(F.xxhash64("uid", F.lit(7)), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rest = rest.select(F.concat_ws("+", "region", F.least("b", "o").cast("string"), F.greatest("b", "o").cast("string")).alias("region"), "uid", "n", "keys")
-    return found.unionByName(rest.groupBy("region").applyInArrow(_joined(percent), "u long, v long"))
+    sizes = members.groupBy("region").agg(F.sum(_weight("keys")).alias("size"))
+    return found.unionByName(_in_blocks(members.join(sizes, "region"), F.greatest(F.ceil(2 * F.col("size") / limit).cast("int"), F.lit(2)), percent))
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
