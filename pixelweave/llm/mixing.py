@@ -6,13 +6,17 @@ The mix then takes every document of a source floor(epochs) times, and the fract
 of the source's seeded order: a document is in it if more than half of its words lie before the quota, so a
 source misses its target by half a document at most.
 
-The order of a source is that of md5(seed:doc_id). Its front ends at one boundary, found by sums over small
-buckets of the order, so no source, however large, is sorted or summed in one task; each document is then
+The order of a source is that of md5(seed:doc_id), and among rows of one doc_id that of a hash of the row's number, so
+rows that share an id are told apart. Its front ends at one boundary, found from the coarse to the fine: by groups of
+buckets of the order, buckets, keys, buckets of the rows of one key, and rows; each step sums pre-aggregated parts of the
+one that holds the boundary, so no source and no id, however large, is sorted or summed in one task. Each document is then
 compared with its source's boundary. Rows of the boundary table are one a source.
 
+Rows are numbered by writing them once. A file-backed table in the same files gives the same numbers in every run.
+
 Cases: null text has size 0; a null source is a source of its own, the last; a null doc_id takes the seed alone
-as its key; rows that repeat whole get equal decisions; an empty table gives an empty result; columns of the
-input whose names clash with the added ones are replaced.
+as its key; repeated ids and whole rows are rows like others, of which as many are taken as fit; an empty table gives an
+empty result; columns of the input whose names clash with the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -58,6 +62,26 @@ def _order(seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
 
 
+def _deeper(rows: DataFrame, edge: DataFrame, path: list[str], at: Column, name: str) -> DataFrame:
+    """edge (source, quota, start, n, path...), one row a source, with one more step: the last part, of those that `at` makes of
+    the rows on the path, that starts before the quota; start and n are then that part's, outer the n before."""
+    inside = _inside(rows, edge, path).withColumn(name, at)
+    keys = ["source", "_quota", "_start", "_n", *path, name]
+    sums = inside.groupBy(*keys).agg(F.sum("size").alias("words"), F.count("*").alias("n"))
+    start = F.col("_start") + F.sum("words").over(Window.partitionBy("source").orderBy(name)) - F.col("words")
+    last = sums.withColumn("start", start).where(F.col("start") < F.col("_quota")).groupBy("source").agg(F.max_by(F.struct(*keys[1:], "start", "n"), name).alias("m"))
+    return last.select("source", F.col("m._quota").alias("quota"), "m.start", "m.n", F.col("m._n").alias("outer"), *(f"m.{c}" for c in (*path, name)))
+
+
+def _inside(rows: DataFrame, edge: DataFrame, path: list[str]) -> DataFrame:
+    """The rows on the path of their source's boundary, with its _quota, _start and _n."""
+    own = edge.select(F.col("source").alias("_s"), *(F.col(c).alias(f"_{c}") for c in ("quota", "start", "n", *path)))
+    same = F.col("source").eqNullSafe(F.col("_s"))
+    for c in path:
+        same &= F.col(c) == F.col(f"_{c}")
+    return rows.join(own, same).drop("_s", *(f"_{c}" for c in path))
+
+
 def mix(docs: DataFrame, weight_of_rank: Column, share: float = 1.5, max_epochs: float = 2.0, seed: int = 17) -> DataFrame:
     """docs with size, source_size, target, copies and taken. weight_of_rank: a column of rank, the sources' order.
 
@@ -65,35 +89,42 @@ def mix(docs: DataFrame, weight_of_rank: Column, share: float = 1.5, max_epochs:
     """
     if "size" not in docs.columns or "text" in docs.columns:
         docs = docs.withColumn("size", n_words(F.col("text")))
-    docs = docs.drop(*(c for c in ADDED if c != "size"))
-    rows = docs.select("doc_id", "source", "size")
-    sums = ranked_sources(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")))
+    columns = docs.drop(*(c for c in ADDED if c != "size")).columns
+    docs = cut(docs.select(*columns).withColumn("_row", F.monotonically_increasing_id()), "sized")
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    sums = ranked_sources(docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")))
     sums = cut(sums.withColumn("weight", weight_of_rank), "weights")
     total = sums.agg(F.sum("source_size")).first()[0] or 0
     plan = water_fill(sums, share * total, max_epochs)
     plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)).withColumn("whole", F.least("whole", F.lit(int(max_epochs))).cast("long"))
-    plan = cut(plan.withColumn("quota", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("buckets", F.ceil(F.col("n_docs") / BUCKET)), "targets")
-    # Sums by bucket of the order, then the running sum of the one bucket where the quota ends.
-    keyed = rows.join(plan.select(F.col("source").alias("s"), "buckets", "quota"), F.col("source").eqNullSafe(F.col("s"))).withColumn("key", _order(seed))
-    keyed = keyed.withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.col("buckets") / F.lit(2.0**32)))
-    of_source = Window.partitionBy("source").orderBy("bucket")
-    sums_by_bucket = keyed.groupBy("source", "bucket", "quota").agg(F.sum("size").alias("words"))
-    starts = sums_by_bucket.withColumn("start", F.sum("words").over(of_source) - F.col("words"))
-    last = starts.where(F.col("start") < F.col("quota")).groupBy("source").agg(F.max_by(F.struct("bucket", "start"), "bucket").alias("m"))
-    last = last.select(F.col("source").alias("ls"), F.col("m.bucket").alias("lb"), F.col("m.start").alias("start"))
-    inside = keyed.join(last, F.col("source").eqNullSafe(F.col("ls")) & (F.col("bucket") == F.col("lb")))
-    running = F.sum("size").over(Window.partitionBy("source").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    inside = inside.withColumn("middle", F.col("start") + running - F.col("size") / F.lit(2.0))
-    edge = inside.groupBy("source").agg(F.first("lb").alias("edge_bucket"), F.max(F.when(F.col("middle") < F.col("quota"), F.col("key"))).alias("edge_key"))
-    edge = edge.select(F.col("source").alias("es"), "edge_bucket", "edge_key")
-    plan = cut(plan.join(edge, F.col("source").eqNullSafe(F.col("es")), "left").drop("es"), "edges")
+    plan = plan.withColumn("quota", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("buckets", F.ceil(F.col("n_docs") / BUCKET))
+    plan = cut(plan.withColumn("grouped", F.ceil(F.sqrt("buckets"))), "targets")
+    # The boundary, from the coarse to the fine. A row's place in its source's order is the same wherever it is looked at.
+    placed = docs.join(plan.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    bucket = F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * F.col("buckets") / F.lit(2.0**32))
+    placed = placed.withColumn("_key", key).withColumn("_bucket", bucket).withColumn("_group", F.floor(F.col("_bucket") / F.col("grouped"))).withColumn("_tie", F.xxhash64("_row", F.lit(seed)))
+    rows = placed.select("source", "size", "_row", *(F.col(f"_{c}").alias(c) for c in ("group", "bucket", "key", "tie")))
+    edge, path = plan.select("source", "quota", F.lit(0).cast("long").alias("start"), F.col("n_docs").alias("n")), []
+    of_key = F.pmod("tie", F.ceil(F.col("_n") / BUCKET))
+    for name, at in (("group", F.col("group")), ("bucket", F.col("bucket")), ("key", F.col("key")), ("part", of_key)):
+        edge = _deeper(rows, edge, path, at, name)
+        path.append(name)
+        if name == "key":
+            rows = _inside(rows, edge, path).withColumn("part", of_key).drop("_quota", "_start", "_n")
+    order = F.struct("tie", "_row")
+    running = F.sum("size").over(Window.partitionBy("source").orderBy("tie", "_row").rowsBetween(Window.unboundedPreceding, 0))
+    middle = F.col("_start") + running - F.col("size") / F.lit(2.0)
+    taken = _inside(rows, edge, path).withColumn("middle", middle).where(F.col("middle") < F.col("_quota")).groupBy("source").agg(F.max(order).alias("row"))
+    edge = edge.join(taken.withColumnRenamed("source", "_t"), F.col("source").eqNullSafe(F.col("_t")), "left")
+    edge = cut(edge.select(F.col("source").alias("_e"), F.struct("group", "bucket", "key").alias("_edge"), F.ceil(F.col("outer") / BUCKET).alias("_parts"), F.col("part").alias("_part"), F.col("row").alias("_last")), "edges")
     # Every document against its source's boundary.
-    out = docs.join(plan.withColumnRenamed("source", "plan_source"), F.col("source").eqNullSafe(F.col("plan_source")))
-    key = _order(seed)
-    bucket = F.floor(F.conv(F.substring(key, 1, 8), 16, 10).cast("long") * F.col("buckets") / F.lit(2.0**32))
-    front = (bucket < F.col("edge_bucket")) | ((bucket == F.col("edge_bucket")) & (key <= F.col("edge_key")))
+    out = placed.join(edge, F.col("source").eqNullSafe(F.col("_e")), "left")
+    own, part = F.struct(F.col("_group").alias("group"), F.col("_bucket").alias("bucket"), F.col("_key").alias("key")), F.pmod("_tie", "_parts")
+    last = F.struct(F.col("_tie").alias("tie"), "_row")
+    front = (own < F.col("_edge")) | ((own == F.col("_edge")) & ((part < F.col("_part")) | ((part == F.col("_part")) & (last <= F.col("_last")))))
     copies = F.col("whole") + F.coalesce(front, F.lit(False)).cast("long")
-    return out.withColumn("copies", F.least(copies, F.lit(int(max_epochs)))).withColumn("taken", F.col("copies") * F.col("size")).select(*docs.columns, "source_size", "target", "copies", "taken")
+    return out.withColumn("copies", F.least(copies, F.lit(int(max_epochs)))).withColumn("taken", F.col("copies") * F.col("size")).select(*columns, *(c for c in ADDED if c not in columns))
 
 
 def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:

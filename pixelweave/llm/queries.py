@@ -31,7 +31,7 @@ def rank_weight():
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    sizes = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
+    sizes = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
     mixed = mix(sizes, rank_weight(), share=1.5, max_epochs=2.0)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 

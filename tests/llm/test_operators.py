@@ -63,6 +63,18 @@ def test_mixing(spark, documents):
     assert mixing.repeated(out, ["doc_id", "text"]).count() == sum(r["copies"] for r in got)
 
 
+def test_mixing_of_repeated_ids(spark):
+    """Null and repeated ids, thousands of one id, and one row many times: each source within one document of its target."""
+    rows = [(None, "a", 3 + i % 9) for i in range(5000)] + [(i % 3, "b", 20) for i in range(3000)] + [(7, "c", 11)] * 2500 + [(None, "d", 90_000)] + [(None, None, 0)] * 4
+    docs = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    weight = F.element_at(F.array(*map(F.lit, (3, 1, 2))), (F.col("rank") % 3 + 1).cast("int"))
+    for share in (1.5, 0.77):
+        got = mixing.mix(docs, weight, share=share).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("size").alias("most"), F.count("*").alias("n")).collect()
+        assert sum(r.n for r in got) == len(rows)
+        for r in got:
+            assert abs(r.taken - r.target) <= r.most / 2 + 1e-6, r
+
+
 def test_word_count(spark):
     cases = [None, "", " \n\t", "a", " a b ", "a\x0bb\x0cc\rd", "a b", "é ü\n\nß"]
     df = spark.createDataFrame([(c,) for c in cases], "t string")
@@ -144,6 +156,44 @@ def test_jaccard_join(documents, seed, region):
     assert by_id(got, "n_shingles", "component_id") == linked(rows)
 
 
+def test_jaccard_join_with_a_hot_shingle(documents):
+    """A passage that all documents hold, so its shingles are hot in every flush, and near copies among them."""
+    rng = random.Random(8)
+    passage = "one passage of seven words in all"
+    rows = [(i, f"{passage} " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(12))) for i in range(150)]
+    rows += [(1000 + i, rows[i % 7][1] + f" tail{i % 5}") for i in range(60)]
+    got = jaccard_join.components(documents(*rows).repartition(3))
+    assert by_id(got, "n_shingles", "component_id") == linked(rows)
+
+
+def test_region_forest_divides_and_joins():
+    """Region.forest alone, on sets of many sizes: the same components as all pairs, by pivots, windows and parts."""
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        families = [rng.integers(0, 1 << 40, 120).astype(np.uint64) for _ in range(6)]
+        sets = [np.unique(np.concatenate([rng.choice(families[i % 6], 100 - i % 31, replace=False), rng.integers(0, 1 << 40, i % 25).astype(np.uint64)])) for i in range(160)]
+        region = jaccard_join.Region([len(x) for x in sets], sets)
+        root = list(range(len(sets)))
+
+        def find(x, root=root):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for i, a in enumerate(sets):
+            for j in range(i):
+                both = len(np.intersect1d(a, sets[j]))
+                if 100 * both >= 75 * (len(a) + len(sets[j]) - both):
+                    root[find(i)] = find(j)
+        want = {frozenset(j for j in range(len(sets)) if find(j) == r) for r in map(find, range(len(sets)))}
+        groups = {i: {i} for i in range(len(sets))}
+        for a, b in region.forest(75):
+            both = groups[a] | groups[b]
+            for x in both:
+                groups[x] = both
+        assert {frozenset(g) for g in groups.values()} == want
+
+
 def test_jaccard_join_empty(documents):
     docs = documents((1, None), (2, ""))
     assert by_id(jaccard_join.components(docs), "n_shingles", "component_id") == [(1, 0, 1), (2, 0, 2)]
