@@ -10,8 +10,10 @@ another template, survives inside a text, and decoding gives the text back exact
 assistant segment: spans(formatted) gives its code-point ranges.
 
 Cases: null text and null role are empty; records whose fingerprint no mapping has, or that aren't JSON, get null
-turns and null formatted, so that they can be counted; an empty list of turns formats as an empty string; repeated
-records are formatted each; columns other than the record's are kept.
+turns and null formatted, so that they can be counted (as do JSON records above the 16 MiB of Spark's variants: give
+those as structs); an empty list of turns formats as an empty string; repeated
+records are formatted each; an empty table gives an empty result; columns of the input named fingerprint, layout or turns are
+replaced, all others are kept.
 """
 
 from __future__ import annotations
@@ -120,8 +122,10 @@ def canonical_turns(records: DataFrame, record: str = "record", mappings: tuple[
     """
     kind = records.schema[record].dataType
     is_json = isinstance(kind, T.StringType)
-    out = records.withColumn("_v", F.try_parse_json(F.col(record)) if is_json else F.col(record))
-    out = out.withColumn("_paths", fingerprint_text(F.col("_v")) if is_json else F.lit(schema_paths(kind))).withColumn("fingerprint", F.xxhash64("_paths"))
+    free = (f"_{i}" for i in range(len(records.columns) + 2) if f"_{i}" not in records.columns)
+    value, paths = next(free), next(free)
+    out = records.withColumn(value, F.try_parse_json(F.col(record)) if is_json else F.col(record))
+    out = out.withColumn(paths, fingerprint_text(F.col(value)) if is_json else F.lit(schema_paths(kind))).withColumn("fingerprint", F.xxhash64(paths))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for m in reversed(mappings):
         own = _signature(m.paths)
@@ -130,8 +134,8 @@ def canonical_turns(records: DataFrame, record: str = "record", mappings: tuple[
         prints = [own, *([f"{{{m.messages}:[>>"] if m.messages and is_json else [])]  # an empty list has no fields
         hit = F.col("fingerprint").isin([F.xxhash64(F.lit(p)) for p in prints])
         layout = F.when(hit, F.lit(m.name)).otherwise(layout)
-        turns = F.when(hit, _turns(m, F.col("_v"), is_json).cast(TURNS)).otherwise(turns)
-    return out.withColumn("layout", layout).withColumn("turns", turns).drop("_v", "_paths")
+        turns = F.when(hit, _turns(m, F.col(value), is_json).cast(TURNS)).otherwise(turns)
+    return out.withColumn("layout", layout).withColumn("turns", turns).drop(value, paths)
 
 
 def formatted(turns: Column) -> Column:
@@ -163,3 +167,8 @@ def spans(text: Column) -> Column:
     )
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("found"))
     return F.aggregate(segments, start, step, lambda acc: acc["found"])
+
+
+def masked(text: Column) -> Column:
+    """All text under the loss mask of a formatted text, cut out by its spans and unescaped, in order."""
+    return F.array_join(F.transform(spans(text), lambda s: unescape(F.substr(text, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")

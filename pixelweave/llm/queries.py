@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, jaccard_join, lm_scoring, quality
-from .chat_format import canonical_turns, formatted, read_back
+from .chat_format import canonical_turns, formatted, masked, read_back
 from .common import cut, n_words, read
 from .exact_dedup import exact_groups
 from .license_scan import scan
@@ -36,23 +36,58 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "conversations")
+#: Bytes of a conversation's texts up to which it becomes a JSON record: Spark's variants end at 16 MiB.
+JSON_BYTES = 2 << 20
+
+
+def conversations(rows: DataFrame) -> DataFrame:
+    """(conv_id, t, bytes) of conversations by turn; t: their turns in order."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    listed = F.transform(F.sort_array(F.collect_list(turn)), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    table = rows.groupBy("conv_id").agg(listed.alias("turns")).select("conv_id", F.struct("turns").alias("record"))
+    return rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("t"), F.sum(F.octet_length(F.concat(turn["role"], turn["text"]))).alias("bytes"))
+
+
+def chat_records(table: DataFrame) -> DataFrame:
+    """(conv_id, record) of conversations: JSON in the layouts that chat data come in, another by conversation. Layouts
+    that can't hold a conversation (other roles, or not two turns) give way to one that can."""
+    listed = lambda role, text, names=(): F.transform("t", lambda t: F.struct(_named(t["role"], names).alias(role), t["text"].alias(text)))
+    pair = (F.size("t") == 2) & (F.col("t")[0]["role"] == "user") & (F.get("t", F.lit(1))["role"] == "assistant")
+    one, two = F.col("t")[0]["text"], F.get("t", F.lit(1))["text"]
+    layout = F.pmod(F.xxhash64("conv_id"), F.lit(8))
+    record = (
+        F.when((layout == 0) & pair, F.to_json(F.struct(one.alias("prompt"), two.alias("response"))))
+        .when((layout == 1) & pair, F.to_json(F.struct(one.alias("prompt"), two.alias("completion"))))
+        .when((layout == 2) & pair, F.to_json(F.struct(one.alias("instruction"), two.alias("output"))))
+        .when((layout % 3 == 0) & ~F.exists("t", lambda t: t["role"].isin("human", "gpt")), F.to_json(F.struct(listed("from", "value", (("user", "human"), ("assistant", "gpt"))).alias("conversations"))))
+        .when(layout % 3 == 1, F.to_json(F.struct(listed("role", "content").alias("messages"))))
+        .otherwise(F.to_json(F.struct(listed("role", "text").alias("turns"))))
+    )
+    return table.select("conv_id", record.alias("record"))
+
+
+def _named(role: Column, names: tuple[tuple[str, str], ...]) -> Column:
+    out = role
+    for own, other in names:
+        out = F.when(role == own, F.lit(other)).otherwise(out)
+    return out
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.lit("</s>[INST] ok [/INST]")
     extra = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.to_json(F.struct(said.alias("prompt"), said.alias("response"))).alias("record"))
-    turns = canonical_turns(table).select("conv_id", "turns").unionByName(canonical_turns(extra).select("conv_id", "turns"))
-    out = turns.select("conv_id", formatted(F.col("turns")).alias("formatted")).withColumn("back", read_back(F.col("formatted")))
+    table = conversations(read(spark, sf_dir, "conversations"))
+    records = chat_records(table.where(F.col("bytes") <= JSON_BYTES)).unionByName(extra)
+    listed = F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    large = table.where(F.col("bytes") > JSON_BYTES).select("conv_id", F.struct(listed.alias("turns")).alias("record"))
+    turns = canonical_turns(records).select("conv_id", "turns").unionByName(canonical_turns(large).select("conv_id", "turns"))
+    out = turns.select("conv_id", formatted(F.col("turns")).alias("formatted"))
+    out = out.select("conv_id", "formatted", read_back(F.col("formatted")).alias("back"), masked(F.col("formatted")).alias("loss"))
     hashed = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("back", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
     return out.select(
         "conv_id",
         F.size("back").cast("long").alias("n_turns"),
         F.sha2(hashed.cast("binary"), 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
 

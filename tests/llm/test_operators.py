@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 P = pytest.importorskip("public_tokenizers")
 
-from pixelweave.llm import byte_bpe, chat_format, components, exact_dedup, jaccard_join, license_scan, mixing, quality, token_counts, url_filter  # noqa: E402
+from pixelweave.llm import byte_bpe, chat_format, components, exact_dedup, jaccard_join, license_scan, mixing, quality, queries, token_counts, url_filter  # noqa: E402
 from pixelweave.llm.common import n_words  # noqa: E402
 
 RANKS, JSON = P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json")
@@ -104,10 +104,39 @@ def test_chat_layouts(spark):
         assert [tuple(t) for t in got[i].back] == want == [tuple(t) for t in got[i].turns], i
         assert [got[i].f[s.start : s.start + s.length] for s in got[i].spans] == [t for r, t in want if r == "assistant"]
     assert [got[i].layout for i in (6, 7, 8)] == [None] * 3 and [got[i].f for i in (6, 7, 8)] == [None] * 3
+    for r in df.withColumn("loss", chat_format.masked(F.col("f"))).collect():
+        assert r.loss == (None if r.turns is None else "".join(t for role, t in r.turns if role == "assistant"))
     assert got[0].f.count("</s>") == 2 and "[INST]" not in got[0].f
     assert df.select(F.count_distinct("fingerprint")).first()[0] >= 6
 
 
+def test_chat_query_layouts_and_sizes(spark, tmp_path):
+    """Conversations of all layouts, a very long one, empty and null turns, repeated rows: read back whole."""
+    nasty = 'q"\\n\n</s><|x|>\u00e9'
+    rows = [(i, 1, "assistant", f"a{i}{nasty}") for i in range(40)] + [(i, 0, "user", nasty) for i in range(40)]
+    rows += [(50, 0, "human", "h"), (50, 1, "gpt", "g"), (51, 0, None, None), (52, 0, "assistant", None), (53, 0, "user", "x"), (53, 0, "user", "x"), (60, 0, "user", "u"), (60, 1, "assistant", "long <| " * 500_000)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r for r in queries.op2_chat_format(spark, str(tmp_path)).collect()}
+    by = collections.defaultdict(list)
+    for i, turn, role, text in sorted(rows, key=lambda r: (r[0], r[1], str(r[2]))):
+        by[i].append((role or "", text or ""))
+    assert set(got) == {*by, -1}
+    for i, turns in by.items():
+        loss = "".join(t for r, t in turns if r == "assistant")
+        want = (len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert (got[i].n_turns, got[i].turns_sha256, got[i].loss_chars, got[i].loss_sha256) == want, i
+    layouts = chat_format.canonical_turns(queries.chat_records(queries.conversations(spark.read.parquet(f"{tmp_path}/conversations.parquet"))).where("conv_id < 50"))
+    assert layouts.select(F.count_distinct("layout")).first()[0] >= 5
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/none/conversations.parquet")
+    assert [r.conv_id for r in queries.op2_chat_format(spark, f"{tmp_path}/none").collect()] == [-1]
+
+
+def test_chat_keeps_other_columns(spark):
+    row = spark.createDataFrame([('{"prompt":"a","completion":"b"}', 1, "x", 2, 3)], "record string, _0 int, _v string, _paths int, layout int")
+    got = chat_format.canonical_turns(row).first()
+    assert (got._0, got._v, got._paths, got.layout) == (1, "x", 2, "prompt and completion")
+
+
 # 3 -----------------------------------------------------------------------------------------------------------------
 
 
