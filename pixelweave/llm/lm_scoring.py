@@ -99,10 +99,10 @@ class WordIds:
 
     def __call__(self, word: bytes) -> list[int]:
         if self.plain and word.isalpha():
-            return self.codec.merge(b" " + word)
+            return self.codec.merge(" " + word.decode())
         if self.plain and word[-1:] in (b".", b",") and word[:-1].isalpha():
-            return self.codec.merge(b" " + word[:-1]) + self.codec.merge(word[-1:])
-        return [i for p in findall(self.codec.pattern, " " + word.decode()) for i in self.codec.merge(p.encode())]
+            return self.codec.merge(" " + word[:-1].decode()) + self.codec.merge(word[-1:].decode())
+        return [i for p in findall(self.codec.pattern, " " + word.decode()) for i in self.codec.merge(p)]
 
 
 def _count_ids(rank_file: str, pattern: str, size: int):

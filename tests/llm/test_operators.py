@@ -9,6 +9,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -238,8 +239,8 @@ def test_components(spark):
 # 4 -----------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize(("chunk", "overlap"), [(byte_bpe.CHUNK, byte_bpe.OVERLAP), (64, 16)])
-def test_byte_bpe(documents, chunk, overlap):
+@pytest.mark.parametrize("sizes", [(byte_bpe.CHUNK, byte_bpe.OVERLAP), (64, 16), (64, 16, 500, 256, 32)])
+def test_byte_bpe(documents, sizes):
     import tiktoken
 
     with open(RANKS, "rb") as f:
@@ -247,13 +248,24 @@ def test_byte_bpe(documents, chunk, overlap):
     lib = tiktoken.Encoding("lib", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     cases = [None, "", "a", "x" * 700, " " * 300 + "a", "it's we'll " * 40, "<|endoftext|>" * 20, "日本語😀é" * 50, "\n \n\t " * 90, "ab " * 9000, *texts(30, 4, 200)]
     rows = [*enumerate(cases), (3, "x" * 700), (None, "null id " * 30)]
-    coded = byte_bpe.encode(documents(*rows), RANKS, P.PATTERN, chunk, overlap)
+    coded = byte_bpe.encode(documents(*rows), RANKS, P.PATTERN, *sizes)
     got = by_id(coded.withColumn("ids", F.hex("ids")), "ids")
     assert got == sorted(((i, np.array(lib.encode_ordinary(t or ""), "<u4").tobytes().hex().upper()) for i, t in rows), key=str)
     assert by_id(byte_bpe.decode(coded, RANKS, P.PATTERN), "bytes") == sorted(((i, bytearray((t or "").encode())) for i, t in rows), key=str)
     assert byte_bpe.encode(documents(*rows).limit(0), RANKS, P.PATTERN).count() == 0
 
 
+def test_byte_bpe_stitches_within_a_task():
+    """The texts of the smallest table are cut, at several widths, and give the pre-tokens of the whole."""
+    texts = [x or "" for x in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()]
+    assert sum(len(x) > byte_bpe.CHUNK for x in texts) > 20
+    for chunk, overlap in ((byte_bpe.CHUNK, byte_bpe.OVERLAP), (200, 20), (50, 8)):
+        for x in texts[:300]:
+            parts = list(byte_bpe.stitched(P.PATTERN, x, chunk, overlap))
+            assert [p for part in parts for p in part] == byte_bpe.findall(P.PATTERN, x)
+            assert len(parts) > 1 or len(x) <= 4 * chunk
+
+
 # 5 -----------------------------------------------------------------------------------------------------------------
 
 
