@@ -2,10 +2,10 @@
 
 Words are runs of letters, digits and non-ASCII bytes of the text in lower case (A-Z only). A phrase's places are
 those where its words stand consecutively. Short notices are searched with up to k errors: a notice of w words is
-split into k + 1 runs of words, of which any text within k errors holds one unchanged (the pigeonhole principle); the
-runs are found exactly, and around each find the regex library's bounded-error matching of the whole notice over the
-words' text verifies the edits and gives the span. A notice's runs are long enough to be rare, and finds that fall
-into a region already looked at aren't matched again.
+split into k + 1 stretches of characters, of which any text within k errors holds one unchanged (the pigeonhole principle); the
+stretches are found exactly, and around each find the regex library's bounded-error matching of the whole notice over the
+words' text verifies the edits and gives the span. A notice's stretches are long enough to be rare; regions that meet
+are one, so nothing is matched or reported twice. Words are numbered by bisection in the places of the spaces, found once.
 
 Cases: null text is empty, without words, places or labels, score 0; rows that repeat are scanned each; an empty
 table gives an empty result; columns of the input other than the named two are not read.
@@ -17,6 +17,7 @@ import functools
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -54,6 +55,17 @@ def pieces(notice: str, errors: int) -> list[tuple[str, int]]:
     return [(notice[a:b], a) for a, b in zip(at, at[1:], strict=False)]
 
 
+def merged(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The windows in order, those that meet joined."""
+    out: list[tuple[int, int]] = []
+    for low, high in sorted(windows):
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], high))
+        else:
+            out.append((low, high))
+    return out
+
+
 class Scanner:
     def __init__(self, phrases: dict[str, str], notices: dict[str, str]):
         self.phrases = [(f" {p} ".encode(), label) for p, label in phrases.items()]
@@ -73,35 +85,34 @@ class Scanner:
         """Words in all; phrase places (first word, last word, label); notices (first word, last word, label, errors, length)."""
         words = text.encode().translate(LETTERS).split()
         body = b" " + b" ".join(words) + b" "
-        places = []
+        places, spaces = [], None
         for phrase, label in self.phrases:
             at = body.find(phrase)
             while at >= 0:
-                first = body.count(b" ", 0, at + 1) - 1
+                spaces = np.flatnonzero(np.frombuffer(body, np.uint8) == 32) if spaces is None else spaces
+                first = int(np.searchsorted(spaces, at))
                 places.append((first, first + phrase.count(b" ") - 2, label))
                 at = body.find(phrase, at + 1)
         return len(words), sorted(places), self.fuzzy(body.decode())
 
     def fuzzy(self, body: str) -> list[tuple[int, int, str, int, int]]:
         """Windows around the seeds, joined where they meet, each matched with bounded errors."""
-        windows: dict[int, list[list[int]]] = {}
+        windows: dict[int, list[tuple[int, int]]] = {}
         for end, (length, of) in self.seeds.iter(body):
             for i, at in of:
                 notice, _, errors, _ = self.notices[i]
                 start = end + 1 - length - at
                 low, high = max(0, start - errors), min(len(body), start + len(notice) + errors)
-                own = windows.setdefault(i, [])
-                if own and low <= own[-1][1]:
-                    own[-1][1] = max(own[-1][1], high)
-                    own[-1][0] = min(own[-1][0], low)
-                else:
-                    own.append([low, high])
-        out = []
+                windows.setdefault(i, []).append((low, high))
+        out, spaces = [], None
         for i, own in windows.items():
-            notice, label, errors, pattern = self.notices[i]
-            for low, high in own:
+            notice, label, _, pattern = self.notices[i]
+            for low, high in merged(own):
                 for m in pattern.finditer(body, low, high):
-                    out.append((body.count(" ", 0, m.start() + (body[m.start()] == " ")) - 1, body.count(" ", 0, m.end() - (body[m.end() - 1] == " ")) - 1, label, sum(m.fuzzy_counts), len(notice)))
+                    if spaces is None:
+                        spaces = np.flatnonzero(np.frombuffer(body.encode("utf-32-le"), np.uint32) == 32)
+                    first, last = np.searchsorted(spaces, (m.start() + (body[m.start()] == " "), m.end() - (body[m.end() - 1] == " "))) - 1
+                    out.append((int(first), int(last), label, sum(m.fuzzy_counts), len(notice)))
         return sorted(out)
 
 
