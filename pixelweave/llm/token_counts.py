@@ -28,6 +28,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +37,8 @@ from .common import small_batches
 from .pretokens import findall
 
 REMEMBERED = 350_000
+#: Characters of a pre-token above which its table is kept for its own text alone.
+LONG = 512
 #: Fixed value: the pre-tokens of byte-level vocabularies in the tokenizers library's files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -60,6 +63,10 @@ class PrefixCounter:
         for p in self.ranks:
             self.splits.setdefault(p[0] + p[1], p)
         self.longest = max(map(len, self.ids))
+        kind = spec["pre_tokenizer"] or {}
+        plain = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space") and not spec["normalizer"]
+        if not plain or any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("a byte-level file without normalizer, prefix space and stripping tokens is needed")
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.tables: dict[str, bytes | array] = {}
@@ -91,41 +98,51 @@ class PrefixCounter:
         return out
 
     def table(self, piece: bytes) -> bytes | array:
-        """Counts of the prefixes of one pre-token, by bytes from 0 on."""
-        counts, last, ids, stands = [0], [b""], self.ids, self.stands
+        """Counts of the prefixes of one pre-token, by bytes from 0 on. Of the last tokens only as many are held as a token can
+        go back."""
+        size = min(len(piece), self.longest) + 1
+        counts, last, ids, stands = array("I", [0]), [b""] * size, self.ids, self.stands
         before = 0  # where the last token of the prefix before this one starts: it often goes on
         for end in range(1, len(piece) + 1):
             start, token = before, piece[before:end]
             ok = token in ids
-            if ok and start and (ok := stands.get((last[start], token))) is None:
-                ok = self.stand(last[start], token)
+            if ok and start and (ok := stands.get((last[start % size], token))) is None:
+                ok = self.stand(last[start % size], token)
             if not ok:
                 for start in range(end - 1, max(0, end - self.longest) - 1, -1):
                     token = piece[start:end]
                     if start != before and token in ids:
                         if not start:
                             break
-                        if (ok := stands.get((last[start], token))) is None:
-                            ok = self.stand(last[start], token)
+                        if (ok := stands.get((last[start % size], token))) is None:
+                            ok = self.stand(last[start % size], token)
                         if ok:
                             break
                 else:
                     raise ValueError("a byte is not in the vocabulary")
             counts.append(counts[start] + 1)
-            last.append(token)
+            last[end % size] = token
             before = start
-        return bytes(counts) if max(counts) < 256 else array("I", counts)
+        return counts if len(counts) > 256 and max(counts) > 255 else bytes(counts.tolist())
 
-    def learn(self, pieces: list[str]) -> None:
+    def learn(self, pieces: list[str], own: dict[str, bytes | array]) -> list[int]:
+        """Counts of the pre-tokens, whose tables are kept: those of long ones in own, a text's, alone."""
         if len(self.totals) > REMEMBERED:
             self.tables.clear()
             self.totals.clear()
         if len(self.stands) > 2 * REMEMBERED:
             self.stands.clear()
         for p in set(pieces).difference(self.totals):
+            if len(p) > LONG:
+                if p not in own:
+                    own[p] = self.table(p.encode())
+                continue
             t = self.table(p.encode())
             self.tables[p] = t
             self.totals[p] = t[-1]
+        if own:
+            return [own[p][-1] if p in own else self.totals[p] for p in pieces]
+        return list(map(self.totals.__getitem__, pieces))
 
     def parts(self, text: str) -> list[tuple[str, bool]]:
         """Stretches between special tokens, and these."""
@@ -149,12 +166,12 @@ class PrefixTable:
 
     def __init__(self, counter: PrefixCounter, text: str):
         self.counter, self.text = counter, text
+        self.own: dict[str, bytes | array] = {}
         parts = counter.parts(text)
         if len(parts) == 1 and not parts[0][1]:
             self.pieces = findall(PATTERN, text)
             self.specials: frozenset[int] = frozenset()
-            counter.learn(self.pieces)
-            self.counts = list(map(counter.totals.__getitem__, self.pieces))
+            self.counts = counter.learn(self.pieces, self.own)
         else:
             self.pieces, self.counts, specials = [], [], set()
             for part, special in parts:
@@ -164,9 +181,8 @@ class PrefixTable:
                     self.counts.append(1)
                 else:
                     found = findall(PATTERN, part)
-                    counter.learn(found)
+                    self.counts += counter.learn(found, self.own)
                     self.pieces += found
-                    self.counts += map(counter.totals.__getitem__, found)
             self.specials = frozenset(specials)
         self.total = sum(self.counts)
 
@@ -174,11 +190,19 @@ class PrefixTable:
         self.ends = list(accumulate(map(len, self.pieces), initial=0))
         self.sums = list(accumulate(self.counts, initial=0))
 
+    def _table(self, piece: str) -> bytes | array:
+        self.counter.learn([piece], self.own)
+        return self.own[piece] if piece in self.own else self.counter.tables[piece]
+
     def _plain(self, start: int, stop: int) -> int:
         """Tokens of text[start:stop] from a pre-token's start on, pre-tokenised again without special tokens."""
-        pieces = findall(PATTERN, self.text[start:stop])
-        self.counter.learn(pieces)
-        return sum(map(self.counter.totals.__getitem__, pieces))
+        return sum(self.counter.learn(findall(PATTERN, self.text[start:stop]), self.own))
+
+    def _space(self, k: int) -> int:
+        """The pre-token where the white space starts that one which ends within pre-token k takes in: all of it is one then."""
+        while k and k - 1 not in self.specials and self.pieces[k - 1].isspace():
+            k -= 1
+        return k
 
     def at(self, i: int) -> int:
         """Tokens of the prefix of i characters."""
@@ -194,15 +218,25 @@ class PrefixTable:
             j = k - 1 if k and k - 1 not in self.specials else k  # its first characters may join what is before
             return self.sums[j] + self._plain(self.ends[j], i)
         if self.text[i - 1].isspace():
-            j = k  # the white space before it is one pre-token when the text ends here
-            while j and j - 1 not in self.specials and self.pieces[j - 1].isspace():
-                j -= 1
+            j = self._space(k)
             return self.sums[j] + self._plain(self.ends[j], i)
         if piece[0] == "'" and i < self.ends[k + 1]:
             return self.sums[k] + self._plain(start, i)
-        if piece not in self.counter.tables:
-            self.counter.learn([piece])
-        return self.sums[k] + self.counter.tables[piece][len(piece[: i - start].encode())]
+        return self.sums[k] + self._table(piece)[len(piece[: i - start].encode())]
+
+    def _fit_within(self, k: int, budget: int) -> int | None:
+        """The longest prefix of at most budget tokens that ends within the long pre-token k, from its table at once."""
+        white = self.pieces[k].isspace()
+        j = self._space(k) if white else k
+        start = self.ends[j]
+        text = self.text[start : self.ends[k + 1]]
+        counts = np.array(memoryview(self._table(text) if not white else self.counter.table(text.encode())))
+        if not text.isascii():  # the bytes at which characters end
+            raw = np.frombuffer(text.encode(), np.uint8)
+            counts = counts[np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))]
+        first = self.ends[k] - start + 1
+        fits = np.flatnonzero(counts[first:] <= budget - self.sums[j])
+        return start + first + int(fits[-1]) if len(fits) else None
 
     def fit(self, budget: int) -> int:
         """The longest prefix, in characters, of at most budget tokens."""
@@ -211,10 +245,14 @@ class PrefixTable:
         if not hasattr(self, "ends"):
             self._ends()
         # A prefix has at most one token fewer than its whole pre-tokens before it (joined white space).
-        k = min(bisect_right(self.sums, budget + 1), len(self.pieces))
-        for i in range(self.ends[k], -1, -1):
-            if self.at(i) <= budget:
-                return i
+        for k in range(min(bisect_right(self.sums, budget + 1), len(self.pieces)) - 1, -1, -1):
+            if len(self.pieces[k]) > LONG and k not in self.specials and self.pieces[k][0] != "'":
+                if (i := self._fit_within(k, budget)) is not None:
+                    return i
+                continue
+            for i in range(self.ends[k + 1], self.ends[k], -1):
+                if self.at(i) <= budget:
+                    return i
         return 0
 
 
@@ -232,7 +270,7 @@ def token_counts(docs: DataFrame, file: str, budget: int, id_col: str = "doc_id"
         c = counter(file)
         for b in batches:
             texts = [x or "" for x in b.column(1).to_pylist()]
-            tables = map(c.prefix_table, texts)
+            tables = map(c.prefix_table, texts)  # one text's at a time
             got = [(t.total, t.fit(budget), [t.at(i) for i in range(len(t.text) + 1)] if prefixes else None) for t in tables]
             cols = [pa.array([len(x.encode()) for x in texts], pa.int64()), pa.array([x[0] for x in got], pa.int64()), pa.array([x[0] > budget for x in got]), pa.array([x[1] for x in got], pa.int64())]
             cols += [pa.array([x[2] for x in got], pa.list_(pa.int32()))] if prefixes else []
