@@ -7,10 +7,13 @@ any member is explicitly allowed (allow has precedence), else block if any is bl
 no rows themselves count as members.
 
 Edges come from the pages (canonical links, refresh redirects) or from a table (src, dst), such as a crawler's log
-of HTTP redirects.
+of HTTP redirects. To either come, unless variants is false, the redirects that sites make as a rule: from a url to the one
+without tracking parameters, a slash, index page or .html at the path's end, and a default port, by https. A path is only
+shortened where something is left of it.
 
 Cases: a null url, or one without '://', has empty host and path, fits no rule and is allowed; null html has no
-edges; repeated rows are judged each; an empty table gives an empty result; columns of other names are ignored.
+edges; repeated rows are judged each; an empty table gives an empty result; columns of other names are ignored, whatever
+they are called.
 """
 
 from __future__ import annotations
@@ -30,8 +33,11 @@ from .components import connected_components
 #: (verdict, host, path)
 Rule = tuple[str, str, str]
 LOWER = {c: c + 32 for c in range(65, 91)}
-LINK = re.compile(r"<link\s[^>]*>", re.I)
-META = re.compile(r"<meta\s[^>]*>", re.I)
+LINK = re.compile(r"<link\s[^<>]*>", re.I)  # an unclosed tag ends at the next, so each character is read once
+META = re.compile(r"<meta\s[^<>]*>", re.I)
+TRACKING = re.compile(r"(?:utm_\w*|fbclid|gclid|msclkid|ref)(?:=|$)", re.I)
+PORT = re.compile(r":(?:80|443)$")
+LAST = re.compile(r"(?:/index\.html?|\.html?|/)$", re.I)
 CANONICAL = re.compile(r"""\srel\s*=\s*["']?canonical\b""", re.I)
 HREF = re.compile(r"""\shref\s*=\s*["']?([^"'\s>]+)""", re.I)
 REFRESH = re.compile(r"""http-equiv\s*=\s*["']?refresh\b""", re.I)
@@ -49,6 +55,16 @@ def parts(url: str | None) -> tuple[str, str, str | None]:
     return host, path, f"{scheme.translate(LOWER)}://{host}{path or '/'}{query}"
 
 
+def usual(url: str | None) -> str | None:
+    """The node that sites redirect a url's variants to."""
+    node = parts(url)[2]
+    if node is None:
+        return None
+    host, path, query = REST.match(node.partition("://")[2]).groups()
+    kept = "&".join(x for x in query[1:].split("&") if x and not TRACKING.match(x))
+    return f"https://{PORT.sub('', host)}{LAST.sub('', path) or '/'}{'?' + kept if kept else ''}"
+
+
 def rule_of(host: str, path: str, rules: Sequence[Rule]) -> tuple[str | None, str | None]:
     """The longest rule that fits and its verdict, or nulls."""
     best = None
@@ -75,7 +91,7 @@ def targets(url: str | None, html: str | None) -> list[str]:
     return out
 
 
-def judge(pages: DataFrame, rules: Sequence[Rule], edges: DataFrame | None = None, id_col: str = "page_id") -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[Rule], edges: DataFrame | None = None, variants: bool = True, id_col: str = "page_id") -> DataFrame:
     """id, host, path, rule, verdict, component of each row of pages (url, and html unless edges are given)."""
     small_batches(pages.sparkSession)
     with_html = edges is None
@@ -87,7 +103,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule], edges: DataFrame | None = Non
             split = [parts(u) for u in urls]
             ruled = [rule_of(h, p, rules) for h, p, _ in split]
             cols = [[x[0] for x in split], [x[1] for x in split], [x[2] for x in split], [x[0] for x in ruled], [x[1] for x in ruled]]
-            links = pa.array([targets(u, h) for u, h in zip(urls, htmls, strict=True)], pa.list_(pa.string()))
+            links = pa.array([targets(u, h) + [x for x in (variants and usual(u),) if x] for u, h in zip(urls, htmls, strict=True)], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.string()) for c in cols), links], names=names)
 
     def rule_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,9 +116,10 @@ def judge(pages: DataFrame, rules: Sequence[Rule], edges: DataFrame | None = Non
     names = schema.names
     html = F.col("html") if with_html else F.lit(None).cast("string").alias("html")
     own = cut(pages.select(id_col, "url", html).mapInArrow(parse, schema), "pages")
-    if with_html:
-        edges = own.where("node is not null").select(F.col("node").alias("src"), F.explode("links").alias("dst"))
-    aliases = connected_components(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")))
+    found = own.where("node is not null").select(F.col("node").alias("u"), F.explode("links").alias("v"))
+    if edges is not None:
+        found = found.unionByName(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")))
+    aliases = connected_components(found)
     ruled = cut(aliases.mapInArrow(rule_nodes, "node string, component string, said string"), "aliases")
     spread = F.when(F.bool_or(F.col("said") == "allow"), "allow").when(F.bool_or(F.col("said") == "block"), "block")
     said = ruled.groupBy("component").agg(spread.alias("spread"))

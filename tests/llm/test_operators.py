@@ -332,6 +332,51 @@ def test_license_scan(documents):
     assert got[6].labels == "mit" and got[8].labels == "" and got[8].score == 0
 
 
+def nearest(notice, body):
+    """The least edits between the notice and any stretch of the body, by dynamic programming."""
+    row = [0] * (len(body) + 1)
+    for i, x in enumerate(notice, 1):
+        left, row = row, [i]
+        for j, y in enumerate(body, 1):
+            row.append(min(left[j - 1] + (x != y), left[j] + 1, row[j - 1] + 1))
+    return min(row)
+
+
+def test_license_labels_and_score_equal_all_alignments(documents):
+    rng, cases = random.Random(5), []
+    for notice in license_scan.NOTICES:
+        for edits in (0, 1, 3, 9):
+            t = list(notice)
+            for _ in range(edits):
+                k = rng.randrange(len(t))
+                t[k : k + 1] = rng.choice([["q"], [], [t[k], "z"]])
+            cases.append(" ".join(rng.choice(["apple", "pear", "cc"]) for _ in range(6)) + " " + "".join(t) + " tail")
+    for r in license_scan.scan(documents(*enumerate(cases))).collect():
+        body = b" " + b" ".join(cases[r.doc_id].encode().translate(license_scan.LETTERS).split()) + b" "
+        near = {n: nearest(n, body.decode()) for n in license_scan.NOTICES}
+        bound = {n: max(1, len(n) // license_scan.CHARS_PER_ERROR) for n in near}
+        found = {license_scan.NOTICES[n] for n in near if near[n] <= bound[n]} | set(filter(None, r.base_labels.split(",")))
+        assert set(filter(None, r.labels.split(","))) == found, cases[r.doc_id]
+        best = 1.0 if r.n_base else max((1 - near[n] / len(n) for n in near if near[n] <= bound[n]), default=0.0)
+        assert r.score <= best + 1e-9 and r.score >= (best > 0) * (1 - 1 / license_scan.CHARS_PER_ERROR - 1e-9), (r.score, best)
+
+
+def test_license_long_text_and_empty_table(documents):
+    import time
+
+    took = []
+    for n in (20_000, 80_000):  # four times the places: about four times as long
+        text, began = "all rights reserved under cc by ok " * n, time.time()
+        places = license_scan.Scanner(license_scan.PHRASES, license_scan.NOTICES).scan(text)[1]
+        took.append(time.time() - began)
+        assert len(places) == 2 * n and places[-1][:2] == (7 * n - 3, 7 * n - 2)
+    assert took[1] < 9 * took[0]
+    notice = "licensed under the mit license "
+    assert len(license_scan.Scanner(license_scan.PHRASES, license_scan.NOTICES).fuzzy(f" {notice * 2000}")) >= 2000
+    assert license_scan.scan(documents((1, "x")).limit(0)).count() == 0
+    assert license_scan.merged([(5, 9), (0, 3), (9, 12), (2, 4)]) == [(0, 4), (5, 12)]
+
+
 def test_license_pigeonhole():
     """Every notice is found with any edits within its bound."""
     scanner, rng = license_scan.Scanner(license_scan.PHRASES, license_scan.NOTICES), random.Random(8)
@@ -354,7 +399,7 @@ def test_url_filter(spark):
         (7, "http://r.org/a/b", '<LINK REL="canonical" HREF="../c">'), (8, "http://r.org/c", '<meta http-equiv="refresh" content="0; url=http://n.net/de/1">'), (9, "http://r.org/a/b", None),
         (10, "http://m.org/1", "<link rel=canonical href=http://b.com/en/1>"), (11, "http://m.org/2", "<link rel=canonical href=http://m.org/1><link rel='canonical' href='http://example.com/en/7'>"), (12, "http://solo.org/x?y#z", "<link rel=stylesheet href=//b.com/en/>"),
     ]
-    out = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), rules)
+    out = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), rules, variants=False)
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in out.collect()}
     assert got == {
         1: ("a.example.com", "/en/7", "example.com/en/7", "allow"), 2: ("b.com", "/en/1", "com/en/", "block"), 3: ("xcom", "/en/", None, "allow"), 4: ("", "", None, "allow"), 5: ("", "", None, "allow"),
@@ -364,6 +409,53 @@ def test_url_filter(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string, html string"), rules).count() == 0
 
 
+def test_url_variants():
+    same = ["http://A.com/x/", "https://a.com/x?utm_source=f", "http://a.com:80/x.html#top", "https://a.com:443/x/index.html?fbclid=1&utm_medium=e", "https://a.com/x?ref=q"]
+    assert {url_filter.usual(u) for u in same} == {"https://a.com/x"}
+    assert url_filter.usual("http://a.com") == url_filter.usual("https://a.com/index.html") == "https://a.com/"
+    assert url_filter.usual("https://a.com/x?page=2&utm_id=3") == "https://a.com/x?page=2" != url_filter.usual("https://a.com/x")
+    assert url_filter.usual(None) is url_filter.usual("nothing") is None
+
+
+def test_url_filter_equals_brute_force(spark):
+    """Variants, links, chains, one hot component with a third of all pages, repeated urls, clashing columns: every verdict."""
+    rng = random.Random(9)
+    rules = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "org", "/es/")]
+    rows = []
+    for i in range(600):
+        host = rng.choice(["a.com", "b.com", "x.example.com", "q.org", "r.net", "s.net"])
+        url = f"{rng.choice(['http', 'https'])}://{host}/{rng.choice(['en', 'es', 'fr'])}/{rng.randrange(60)}{rng.choice(['', '/', '.html', '?utm_source=x', '?page=1', '#t'])}"
+        html = rng.choice([None, "<p>", "<link " * 50, f"<link rel=canonical href='http://r.net/fr/{rng.randrange(60)}'>", f"<meta http-equiv=refresh content='0;url=http://q.org/fr/{rng.randrange(60)}'>"])
+        if i % 3 == 0:
+            url, html = f"http://hot.net/{i}", f"<link rel=canonical href='http://hot.net/{i // 2 * 3 // 3 if i % 2 else 0}'>"
+        rows.append((i % 590, url, html, "h", 1))
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string, host string, component int"), rules).collect()
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for _, url, html, *_ in rows:
+        node = url_filter.parts(url)[2]
+        for other in [*url_filter.targets(url, html), url_filter.usual(url)]:
+            root[find(node)] = find(other)
+    own = {x: url_filter.rule_of(*url_filter.parts(x)[:2], rules)[1] for x in list(root)}
+    spread = collections.defaultdict(set)
+    for x, verdict in own.items():
+        spread[find(x)].add(verdict)
+    want = []
+    for i, url, *_ in rows:
+        host, path, node = url_filter.parts(url)
+        rule, verdict = url_filter.rule_of(host, path, rules)
+        said = spread[find(node)]
+        want.append((i, host, path, str(rule), verdict or ("allow" if "allow" in said else "block" if "block" in said else "allow")))
+    assert sorted((r.page_id, r.host, r.path, str(r.rule), r.verdict) for r in got) == sorted(want)
+    assert sum(rule == "None" and verdict == "block" for *_, rule, verdict in want) > 5
+
+
 # 8 -----------------------------------------------------------------------------------------------------------------
 
 
@@ -441,3 +533,24 @@ def test_token_counts_of_every_prefix(documents):
         assert (r.doc_id, r.n_bytes, r.n_tokens, r.over_limit, r.prefix_counts) == (i, len(t.encode()), counts[-1], counts[-1] > 5, counts)
         assert r.fit_chars == max(k for k, c in enumerate(counts) if c <= 5)
     assert token_counts.token_counts(documents(*rows).limit(0), JSON, 5).count() == 0
+
+
+def test_token_counts_of_long_pieces():
+    """Long words, long white space and long words of other scripts: totals and fits as the library has them, whatever the length."""
+    from tokenizers import Tokenizer
+
+    lib, c = Tokenizer.from_file(JSON), token_counts.counter(JSON)
+    n = lambda t: len(lib.encode(t, add_special_tokens=False).ids)
+    rng = random.Random(3)
+    for t in ("a b  " + "x" * 900 + " end", "z " + " " * 700 + "\n" * 300 + "z", "".join(rng.choice("abcdefgh") for _ in range(1500)), "\u6f22\u5b57" * 400, "!" * 800 + "'s", "'" * 700 + "a"):
+        table, counts = c.prefix_table(t), [n(t[:i]) for i in range(len(t) + 1)]
+        assert table.total == counts[-1]
+        for budget in (0, 1, 3, 20, 50, 90):
+            assert table.fit(budget) == max(i for i, x in enumerate(counts) if x <= budget), (t[:9], budget)
+    import tracemalloc
+
+    tracemalloc.start()
+    table = c.prefix_table("x" * 1_000_000)
+    assert table.total == n("x" * 1_000_000) and table.fit(1024) > 1024
+    assert tracemalloc.get_traced_memory()[1] < 30 << 20  # not an object for each byte
+    tracemalloc.stop()
