@@ -4,9 +4,9 @@ Base rules look at a document alone. The method adds cutoffs on shares (symbols,
 characters a word, capitals), one set a stratum (language). A cutoff is used only if labelled holdout documents show
 that it rejects few good ones: for each stratum, measure and grid value the number of good documents above the value
 is compared with the exact binomial distribution under the allowed rate, and the hypothesis 'it rejects more than
-alpha of the good' must fall at level delta divided by the number of all such tests (Bonferroni). So with probability
-1 - delta every cutoff in use, in every stratum, rejects at most alpha of the good documents, and all measures of a
-stratum together at most the sum. Among the certified cutoffs the one that rejects most bad documents is taken, a
+its share of the good' must fall at level delta divided by the number of all such tests (Bonferroni). alpha is the rate that a
+stratum may lose in all; each measure may lose alpha divided by the number of measures. So with probability
+1 - delta the cutoffs in use reject, in every stratum, at most alpha of the good documents together. Among the certified cutoffs the one that rejects most bad documents is taken, a
 good one counting COST times; where none is certified, as in a stratum with few labels, nothing is rejected.
 
 All labelled rows are counted, natively and by bins of the fixed grid; what is looked at together is one row for each
@@ -41,7 +41,7 @@ GRID = {
     "chars_per_word": [4 + 0.25 * i for i in range(1, 50)],
     "capital_share": [0.02 * i for i in range(1, 50)],
 }
-ALPHA, DELTA, COST = 0.01, 0.05, 50
+ALPHA, DELTA, COST = 0.05, 0.05, 50
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 CAPITALS = bytes(range(65, 91))
 
@@ -120,25 +120,25 @@ def choose(good: list[int], bad: list[int], grid: list[float], alpha: float, lev
 def calibrate(rows: DataFrame, labels: DataFrame, stratum: str = "lang", id_col: str = "doc_id", alpha: float = ALPHA, delta: float = DELTA, cost: float = COST) -> DataFrame:
     """(stratum, measure names...): the cutoffs, null where none is certified. rows: measured documents; labels: id, quality.
 
-    alpha is the allowed rate of each measure.
+    alpha is the allowed rate of a stratum, all measures together.
     """
     marks = labels.groupBy(F.col(id_col).alias("_id")).agg(F.min("quality").alias("quality")).where("quality is not null")
     of = shares()
     above = lambda m: F.size(F.filter(F.array(*map(F.lit, GRID[m])), lambda x: of[m] > x))
     bins = F.array(*(F.struct(F.lit(m).alias("measure"), above(m).alias("bin")) for m in GRID))
-    binned = rows.join(marks, F.col(id_col) == F.col("_id")).select(F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), "quality", F.explode(bins).alias("b"))
+    binned = rows.join(marks, F.col(id_col) == F.col("_id")).select(F.col(stratum).cast("string").alias("stratum"), "quality", F.explode(bins).alias("b"))
     counts = binned.groupBy("stratum", "b.measure", "b.bin").agg(F.count_if(F.col("quality") > 0).alias("good"), F.count_if(F.col("quality") <= 0).alias("bad"))
     counts = cut(counts, "bins")
     tests = max(1, counts.select("stratum").distinct().count() * sum(map(len, GRID.values())))
 
     def certify(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        out = {"stratum": key[0]}
+        out = {"stratum": None if pd.isna(key[0]) else key[0]}
         for m, grid in GRID.items():
             own = group[group["measure"] == m]
             good, bad = ([0] * (len(grid) + 1) for _ in range(2))
             for i, g, b in zip(own["bin"], own["good"], own["bad"], strict=True):
                 good[i], bad[i] = int(g), int(b)
-            out[m] = choose(good, bad, grid, alpha, delta / tests, cost)
+            out[m] = choose(good, bad, grid, alpha / len(GRID), delta / tests, cost)
         return pd.DataFrame([out]).astype({m: "float64" for m in GRID})
 
     return cut(counts.groupBy("stratum").applyInPandas(certify, "stratum string, " + ", ".join(f"{m} double" for m in GRID)), "cutoffs")
@@ -148,12 +148,15 @@ def judged(rows: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFr
     """Measured rows with base_failed, rejected_by (the measures above their cutoffs) and kept."""
     table = cutoffs.select(F.col("stratum").alias("_stratum"), *(F.col(m).alias(f"_{m}") for m in GRID))
     over = F.filter(F.array(*(F.when(c > F.col(f"_{m}"), F.lit(m)) for m, c in shares().items())), lambda x: x.isNotNull())
-    out = rows.join(table, F.coalesce(F.col(stratum), F.lit("")) == F.col("_stratum"), "left")
+    out = rows.join(table, F.col(stratum).cast("string").eqNullSafe(F.col("_stratum")), "left")
     out = out.withColumn("base_failed", base_failed()).withColumn("rejected_by", over)
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)).drop("_stratum", *(f"_{m}" for m in GRID))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs, all columns, without what the rules reject."""
-    cutoffs = calibrate(measured(docs, keep=["doc_id", "lang"]), labels)
-    return judged(measured(docs), cutoffs).where("kept").select(*docs.columns)
+    """docs, all columns, without what the rules reject. Texts are measured once: rows and measures are written together."""
+    names = {c: f"_{i}" for i, c in enumerate(docs.columns)}  # the measures' names are free then
+    known = docs.select(F.col("text"), F.col("doc_id"), F.col("lang"), *(F.col(c).alias(n) for c, n in names.items()))
+    rows = cut(measured(known, keep=["doc_id", "lang", *names.values()]), "measured")
+    kept = judged(rows, calibrate(rows, labels)).where("kept")
+    return kept.select(*(F.col(n).alias(c) for c, n in names.items()))

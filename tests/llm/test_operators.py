@@ -299,6 +299,51 @@ def test_quality_risk(spark, documents):
     assert quality.accepted(docs.limit(0), labels).count() == 0
 
 
+def test_quality_equals_brute_force(spark, documents):
+    """Cutoffs and verdicts against counts in Python: strata null, empty and by language, a very long text, repeated rows."""
+    rng = random.Random(16)
+    rows, marks = [], {}
+    for i in range(5200):
+        bad = i % 5 == 0
+        words = [f"w{rng.randrange(10**6)}" + ("#" if rng.random() < (0.5 if bad else 0.004) else "") for _ in range(rng.choice([40, 60, 60, 60]))]
+        rows.append((i, " ".join(words), ("en", None, "")[i % 7 % 3], "s", 0, "h", 7, 9))
+        if i % 9:
+            marks[i] = int(not bad)
+    rows += [(9000, "long w1# " * 200_000, "en", "s", 0, "h", 7, 9), (9001, None, "zz", "s", 0, "h", 7, 9), rows[3], rows[3]]
+    docs = spark.createDataFrame(rows, documents((1, "x")).schema).repartition(4)
+    labels = spark.createDataFrame(sorted(marks.items()), "doc_id long, quality int")
+    ratio = lambda a, b: a / b if b else 0.0
+
+    def shares(t):
+        n, chars, symbols, dup, again, lines, capitals = quality.measure(t or "")
+        return {"symbol_share": ratio(symbols, n), "dup_line_share": ratio(dup, lines), "repeat_share": ratio(again, n), "chars_per_word": ratio(chars, n), "capital_share": ratio(capitals, chars)}
+
+    of = [(r[2], shares(r[1]), marks.get(r[0])) for r in rows]
+    strata = {lang for lang, _, mark in of if mark is not None}
+    level = quality.DELTA / (len(strata) * sum(map(len, quality.GRID.values())))
+    cut = {}
+    for lang in strata:
+        for m, grid in quality.GRID.items():
+            values = {q: [s[m] for x, s, mark in of if x == lang and mark == q] for q in (0, 1)}
+            best = 0.0
+            for g in reversed(grid):
+                lost, caught = (sum(v > g for v in values[q]) for q in (1, 0))
+                n = len(values[1])
+                if n and lost <= quality.ALPHA / 5 * n and quality.binomial_cdf(lost, n, quality.ALPHA / 5) <= level and caught - quality.COST * lost > best:
+                    best, cut[lang, m] = caught - quality.COST * lost, g
+    assert cut and (None, "symbol_share") in cut and ("", "symbol_share") in cut
+    want = []
+    for r, (lang, s, _) in zip(rows, of, strict=True):
+        n, _, _, _, again, *_ = quality.measure(r[1] or "")
+        failed = n < 50 or 100 * again > 50 * n
+        want.append((r[0], failed, not failed and not any(v > cut.get((lang, m), math.inf) for m, v in s.items())))
+    measures = quality.measured(docs, keep=["doc_id", "lang"])
+    got = quality.judged(measures, quality.calibrate(measures, labels)).collect()
+    assert sorted((r.doc_id, r.base_failed, r.kept) for r in got) == sorted(want)
+    left = quality.accepted(docs, labels)
+    assert left.columns == docs.columns and sorted(map(str, left.collect())) == sorted(str(r) for r, w in zip(docs.orderBy("doc_id").collect(), sorted(want), strict=True) if w[2])
+
+
 def test_quality_bound_holds():
     """Where the true rate of a cutoff is above alpha, it is certified no more often than delta."""
     rng = np.random.default_rng(7)
