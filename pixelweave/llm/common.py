@@ -60,6 +60,19 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
             spark.conf.set(key, str(most))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or with as many underscores before it as make it no column of df."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
+def numbered(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """df written once with a number of each row, and that column's name: ids may be null or repeat, these can't."""
+    name = free_name(df, "_row")
+    return cut(df.withColumn(name, F.monotonically_increasing_id()), tag), name
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

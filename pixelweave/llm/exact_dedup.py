@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, small_batches
+from .common import cut, discard, numbered, small_batches
 
 HEAD, FIRST_WIDTH, GROWTH, LAST_WIDTH = 40, 512, 8, 1 << 20
 
@@ -86,6 +86,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """docs, all columns, without the rows whose text an equal row with a larger doc_id has."""
-    keyed = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
-    kept = exact_groups(keyed, row_col="_row").where("kept").select("_row")
-    return keyed.join(kept, "_row", "left_semi").select(*docs.columns)
+    keyed, row = numbered(docs, "keyed")
+    kept = exact_groups(keyed, row_col=row).where("kept").select(F.col(row).alias("kept_row"))
+    return keyed.join(kept, keyed[row] == kept["kept_row"], "left_semi").select(*docs.columns)

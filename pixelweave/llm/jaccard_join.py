@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, small_batches
+from .common import cut, numbered, small_batches
 from .components import connected_components
 from .shingles import WORDS, Shingler, prefix_length
 
@@ -433,8 +433,9 @@ def _cell_links(members: DataFrame, percent: int, limit: int, pivots: int) -> Da
 def first_of_each(docs: DataFrame) -> DataFrame:
     """docs, all columns, with one row of each group: the one with the smallest doc_id, null last; of equal ids any one. Rows
     are told apart by a key of their own, so null and repeated ids are rows like others."""
-    keyed = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
-    found = components(keyed, id_col="_row").select("_row", "component_id")
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")
-    first = found.join(keyed.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order).alias("m")).select(F.col("m._row").alias("_row"))
-    return keyed.join(first, "_row", "left_semi").select(docs.columns)
+    keyed, row = numbered(docs, "keyed")
+    found = components(keyed, id_col=row).select(F.col(row).alias("found"), "component_id")
+    ids = keyed.select(F.col(row).alias("found"), F.col("doc_id").alias("id"))
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "found")
+    first = found.join(ids, "found").groupBy("component_id").agg(F.min(order).alias("m")).select(F.col("m.found").alias("first"))
+    return keyed.join(first, keyed[row] == first["first"], "left_semi").select(*docs.columns)

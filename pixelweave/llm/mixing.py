@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, n_words
+from .common import cut, free_name, n_words
 
 ADDED = ("size", "source_size", "target", "copies", "taken")
 #: Documents in a bucket of a source's order, about.
@@ -87,11 +87,10 @@ def mix(docs: DataFrame, weight_of_rank: Column, share: float = 1.5, max_epochs:
 
     docs needs doc_id, source and either size or text.
     """
-    if "size" not in docs.columns or "text" in docs.columns:
-        docs = docs.withColumn("size", n_words(F.col("text")))
-    columns = docs.drop(*(c for c in ADDED if c != "size")).columns
-    docs = cut(docs.select(*columns).withColumn("_row", F.monotonically_increasing_id()), "sized")
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    size = n_words(F.col("text")) if "text" in docs.columns else F.col("size")
+    # The columns wait under names of no meaning, so theirs may be any; those of ADDED make way.
+    others = {c: f"_{i}" for i, c in enumerate(docs.columns) if c not in ADDED}
+    docs = cut(docs.select("doc_id", "source", size.alias("size"), *(F.col(c).alias(n) for c, n in others.items()), F.monotonically_increasing_id().alias("_row")), "sized")
     sums = ranked_sources(docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")))
     sums = cut(sums.withColumn("weight", weight_of_rank), "weights")
     total = sums.agg(F.sum("source_size")).first()[0] or 0
@@ -124,9 +123,10 @@ def mix(docs: DataFrame, weight_of_rank: Column, share: float = 1.5, max_epochs:
     last = F.struct(F.col("_tie").alias("tie"), "_row")
     front = (own < F.col("_edge")) | ((own == F.col("_edge")) & ((part < F.col("_part")) | ((part == F.col("_part")) & (last <= F.col("_last")))))
     copies = F.col("whole") + F.coalesce(front, F.lit(False)).cast("long")
-    return out.withColumn("copies", F.least(copies, F.lit(int(max_epochs)))).withColumn("taken", F.col("copies") * F.col("size")).select(*columns, *(c for c in ADDED if c not in columns))
+    return out.withColumn("copies", F.least(copies, F.lit(int(max_epochs)))).withColumn("taken", F.col("copies") * F.col("size")).select(*(F.col(n).alias(c) for c, n in others.items()), *ADDED)
 
 
 def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The mix itself: each document as often as it is taken."""
-    return mixed.where("copies > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)
+    turn = free_name(mixed, "_turn")
+    return mixed.where("copies > 0").withColumn(turn, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)
