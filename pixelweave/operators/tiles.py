@@ -30,20 +30,31 @@ def cut_tiles(pixels: DataFrame, tile: int, level: int = 0) -> DataFrame:
     return keyed.groupBy("image_id", "ty", "tx").agg(values.alias("pixels")).withColumn("level", F.lit(level))
 
 
+def cut_planes(images: DataFrame, width: int, height: int, tile: int, level: int = 0) -> DataFrame:
+    """Images (image_id, pixels by row) as tiles (image_id, level, ty, tx, pixels by row), those at the right and lower edge as
+    large as what is left: slices of the row's own array, so nothing is shuffled."""
+    ys, xs = (F.sequence(F.lit(0), F.lit((n - 1) // tile)) for n in (height, width))
+    at = images.select("image_id", "pixels", F.explode(ys).alias("ty")).select("*", F.explode(xs).alias("tx"))
+    wide, high = F.least(F.lit(tile), F.lit(width) - F.col("tx") * tile), F.least(F.lit(tile), F.lit(height) - F.col("ty") * tile)
+    rows = F.transform(F.sequence(F.lit(0), high - 1), lambda y: F.slice("pixels", (F.col("ty") * tile + y) * width + F.col("tx") * tile + 1, wide))
+    return at.select("image_id", F.lit(level).alias("level"), "ty", "tx", F.flatten(rows).alias("pixels"))
+
+
 def read_tile(tiles: DataFrame, xid: int, yid: int, level: int) -> DataFrame:
     return tiles.where((F.col("level") == level) & (F.col("tx") == xid) & (F.col("ty") == yid))
 
 
 def read_region(tiles: DataFrame, regions: DataFrame, tile: int, width: int, height: int) -> DataFrame:
     """regions (region_id, image_id, level, x1, y1, x2, y2, inclusive) as pixels (region_id, image_id, y, x, v) from the
-    region's corner; cut to the level's bounds, empty for a level that isn't there. Tiles are whole (width and height
-    are multiples of tile)."""
+    region's corner; cut to the level's bounds, empty for a level that isn't there. Tiles at the right and lower edge are as
+    large as what is left of width and height."""
     bounded = regions.withColumn("x2", F.least("x2", F.lit(width - 1))).withColumn("y2", F.least("y2", F.lit(height - 1)))
     bounded = bounded.withColumn("x1", F.greatest("x1", F.lit(0))).withColumn("y1", F.greatest("y1", F.lit(0))).where("x1 <= x2 and y1 <= y2")
     cover = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / tile).cast("int"), F.floor(F.col(b) / tile).cast("int")))
     wanted = bounded.withColumn("tx", cover("x1", "x2")).withColumn("ty", cover("y1", "y2"))
     found = wanted.join(tiles, ["image_id", "level", "tx", "ty"]).select("*", F.posexplode("pixels").alias("k", "v"))
-    y, x = F.col("ty") * tile + F.floor(F.col("k") / tile).cast("int"), F.col("tx") * tile + F.col("k") % tile
+    wide = F.least(F.lit(tile), F.lit(width) - F.col("tx") * tile)
+    y, x = F.col("ty") * tile + F.floor(F.col("k") / wide).cast("int"), F.col("tx") * tile + F.col("k") % wide
     inside = found.withColumn("gy", y).withColumn("gx", x).where("gx between x1 and x2 and gy between y1 and y2")
     return inside.select("region_id", "image_id", (F.col("gy") - F.col("y1")).alias("y"), (F.col("gx") - F.col("x1")).alias("x"), "v")
 

@@ -19,12 +19,12 @@ def _long(spark, sf_dir):
 
 
 def tile_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = TI.cut_tiles(_long(spark, sf_dir), TILE)
+    t = TI.cut_planes(images(spark, sf_dir), W, H, TILE)
     return t.select("image_id", "level", "ty", "tx", F.round(R.total(P()), 6).alias("total"), F.size(P()).cast("long").alias("n"))
 
 
 def read_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = TI.read_tile(TI.cut_tiles(_long(spark, sf_dir), TILE), 1, 0, 0)
+    t = TI.read_tile(TI.cut_planes(images(spark, sf_dir), W, H, TILE), 1, 0, 0)
     return t.select("image_id", F.posexplode("pixels").alias("k", "v")).select("image_id", "k", F.round("v", 6).alias("v"))
 
 
@@ -32,7 +32,7 @@ def read_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     im = images(spark, sf_dir)
     r = lambda n, x1, y1, x2, y2, level=0: F.struct(*(F.lit(v).alias(c) for c, v in zip(("region_id", "level", "x1", "y1", "x2", "y2"), (n, level, x1, y1, x2, y2), strict=True)))
     regions = im.select("image_id", F.explode(F.array(r(0, 2, 3, 4, 6), r(1, 4, 0, 7, 3), r(2, 6, 6, 20, 20), r(3, 0, 0, 1, 1, 5))).alias("r")).select("image_id", "r.*")
-    out = TI.read_region(TI.cut_tiles(R.long_form(im, W), TILE), regions, TILE, W, H)
+    out = TI.read_region(TI.cut_planes(im, W, H, TILE), regions, TILE, W, H)
     return out.select("region_id", "image_id", "y", "x", F.round("v", 6).alias("v"))
 
 
