@@ -184,16 +184,24 @@ def read_nanoscope(data: bytes) -> Iterator[Plane]:
             channel += 1
 
 
+def _tiff(data: bytes, **options) -> Iterator[Plane]:
+    from .tiff import read_tiff
+
+    return read_tiff(data, **options)
+
+
 #: Formats by name: decoder and file endings.
-READERS = {"bmp": (read_bmp, ("bmp",)), "raw": (read_raw, ("raw", "dat")), "pic": (read_biorad, ("pic",)), "ibw": (read_ibw, ("ibw",)), "nanoscope": (read_nanoscope, ("nan", "spm"))}
+READERS = {"tiff": (_tiff, ("tif", "tiff", "stk", "lsm")), "bmp": (read_bmp, ("bmp",)), "raw": (read_raw, ("raw", "dat")), "pic": (read_biorad, ("pic",)), "ibw": (read_ibw, ("ibw",)), "nanoscope": (read_nanoscope, ("nan", "spm"))}
 #: What each format can hold; the test before a write.
-CAPABILITIES = {"bmp": {"write": True, "pages": False}, "raw": {"write": True, "pages": True}, "pic": {"write": False, "pages": True}, "ibw": {"write": False, "pages": True}, "nanoscope": {"write": False, "pages": False}, "parquet": {"write": True, "pages": True}}
+CAPABILITIES = {"tiff": {"write": True, "pages": True}, "bmp": {"write": True, "pages": False}, "raw": {"write": True, "pages": True}, "pic": {"write": False, "pages": True}, "ibw": {"write": False, "pages": True}, "nanoscope": {"write": False, "pages": False}, "parquet": {"write": True, "pages": True}}
 
 
 def sniff(head: bytes) -> str | None:
     """A format by its first bytes."""
     if head[:2] == b"BM":
         return "bmp"
+    if head[:4] in (b"II*\0", b"MM\0*", b"II+\0", b"MM\0+"):
+        return "tiff"
     if len(head) >= 56 and struct.unpack_from("<H", head, 54)[0] == 12345:
         return "pic"
     if len(head) >= 2 and 5 in (struct.unpack_from("<h", head)[0], struct.unpack_from(">h", head)[0]):

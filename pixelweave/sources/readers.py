@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +52,45 @@ def _decoded(spark: SparkSession, path: str, kind: str | None, glob: str | None,
     return files.load(path).select("path", "content").mapInPandas(run, "path string, error string" if bad else SCHEMA)
 
 
+TIFF_PAGES = "path string, page int, level int, width int, height int, channels int, depth int, description string, tags map<int,string>"
+
+
+def tiff_pages(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """Directories of the TIFF files under a path, a row for each page and level, without decoding any pixel. Tags are comma
+    lists of at most 64 values."""
+    from .tiff import BITS, HEIGHT, SAMPLES, WIDTH, directories, is_tiff
+
+    files = spark.read.format("binaryFile")
+    files = files.option("pathGlobFilter", glob) if glob else files
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for p, content in zip(f["path"], f["content"], strict=True):
+                if is_tiff(content):
+                    rows = [
+                        (p, d.number, d.level, d.one(WIDTH, 0), d.one(HEIGHT, 0), d.one(SAMPLES, 1), d.one(BITS, 1), d.description, {t: ",".join(map(str, v[:64])) for t, v in d.tags.items()})
+                        for d in directories(content)
+                    ]
+                    yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in TIFF_PAGES.replace("map<int,string>", "map").split(", ")])
+
+    return files.load(path).select("path", "content").mapInPandas(run, TIFF_PAGES)
+
+
+def tiff_files(planes: DataFrame, tile: int | None = None) -> DataFrame:
+    """(image_id, content) from planes (image_id, page, channel, width, height, pixels of 0..255): one TIFF an image, its pages
+    in order, as bytes for any sink that Spark has."""
+    from .tiff import write_tiff
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        pages = []
+        for _, page in group.sort_values(["page", "channel"]).groupby("page"):
+            w, h = int(page["width"].iloc[0]), int(page["height"].iloc[0])
+            pages.append(np.stack([np.asarray(p, float).reshape(h, w) for p in page["pixels"]], -1).round().clip(0, 255).astype(np.uint8))
+        return pd.DataFrame({"image_id": [group["image_id"].iloc[0]], "content": [write_tiff(pages, tile)]})
+
+    return planes.groupBy("image_id").applyInPandas(run, "image_id long, content binary")
+
+
 def read_photos(spark: SparkSession, path: str) -> DataFrame:
     """PNG, JPEG and other photos by Spark's own image source, as planes from the top; its channels are blue first."""
     im = spark.read.format("image").load(path).select("image.*")
