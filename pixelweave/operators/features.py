@@ -22,7 +22,7 @@ def l1(a: Column, b: Column) -> Column:
 
 def distances(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """(on, l, r, d): L1 distances of all pairs of points that share the keys on, such as an image pair. left and
-    right: on, idx, f (features)."""
+    right: on, idx, f (features; of `patches` without the last two, as `registration.tie_points` has it)."""
     a = left.select(*on, F.col("idx").alias("l"), F.col("f").alias("lf"))
     b = right.select(*on, F.col("idx").alias("r"), F.col("f").alias("rf"))
     return a.join(b, on).select(*on, "l", "r", F.round(l1(F.col("lf"), F.col("rf")), 6).alias("d"))
@@ -89,7 +89,14 @@ def affine_point(x: Column, y: Column, m: tuple[float, ...]) -> tuple[Column, Co
 
 
 def solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """LU with partial pivoting where the matrix allows, else the pseudo-inverse."""
+    """Of a stack of systems (k, n, n) and (k, n): LU with partial pivoting where the matrices allow, else the pseudo-inverse."""
+    try:
+        return np.linalg.solve(a, b[..., None])[..., 0]
+    except np.linalg.LinAlgError:
+        return np.stack([_solve_one(x, y) for x, y in zip(a, b, strict=True)])
+
+
+def _solve_one(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     try:
         return np.linalg.solve(a, b)
     except np.linalg.LinAlgError:
@@ -130,14 +137,11 @@ def fit(points: DataFrame, kind: str, key: str = "pair_id") -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = []
-            for row in f.itertuples(index=False):
-                a = np.zeros((n, n))
-                for i in range(n):
-                    for j in range(i, n):
-                        a[i, j] = a[j, i] = getattr(row, f"a{i}_{j}")
-                out.append(solve(a, np.array([getattr(row, f"b{i}") for i in range(n)])).tolist())
-            yield pd.DataFrame({key: f[key], "n_points": f["n_points"], "params": out})
+            a, b = np.zeros((len(f), n, n)), np.stack([f[f"b{i}"].to_numpy() for i in range(n)], 1)
+            for i in range(n):
+                for j in range(i, n):
+                    a[:, i, j] = a[:, j, i] = f[f"a{i}_{j}"]
+            yield pd.DataFrame({key: f[key], "n_points": f["n_points"], "params": list(solve(a, b))})
 
     sums = normal_equations(points, kind, key)
     return sums.mapInPandas(run, f"{key} {sums.schema[key].dataType.simpleString()}, n_points long, params array<double>")
@@ -165,7 +169,8 @@ def fit_score(pairs: DataFrame, key: str = "pair_id") -> DataFrame:
 
 def patch(g: np.ndarray, y: int, x: int, wind: int) -> np.ndarray:
     """The patch around (y, x), turned so that its centre of intensity points along the first axis, standardised; then
-    the cosine and sine of the turn. Positions are clamped to the image."""
+    the cosine and sine of the turn. Positions are clamped to the image. Every row counts once, also for a patch of 3 x 3,
+    where the published loops meet the first row twice."""
     rows, cols = g.shape
     at = lambda i, j: g[np.clip(i, 0, rows - 1), np.clip(j, 0, cols - 1)]
     along = np.arange(-wind, wind + 1)

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import features as FE
+from ..operators import planes as PL
 from ..operators import raster as R
 from ..operators import tiles as TI
 from ..operators import transforms as TR
+from ..operators import wavelets as WV
 from .raster_queries import PX, H, P, W, images
 
 TILE = 4
@@ -23,6 +25,12 @@ def tile_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("image_id", "level", "ty", "tx", F.round(R.total(P()), 6).alias("total"), F.size(P()).cast("long").alias("n"))
 
 
+def edge_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of 3 x 3 of images of 8 x 8: those at the right and lower edge are smaller."""
+    t = TI.cut_planes(images(spark, sf_dir), W, H, 3)
+    return t.select("image_id", "ty", "tx", F.round(R.total(P()), 6).alias("total"), F.size(P()).cast("long").alias("n"))
+
+
 def read_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = TI.read_tile(TI.cut_planes(images(spark, sf_dir), W, H, TILE), 1, 0, 0)
     return t.select("image_id", F.posexplode("pixels").alias("k", "v")).select("image_id", "k", F.round("v", 6).alias("v"))
@@ -53,19 +61,6 @@ def page_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("page", TI.page_to_ctz(F.col("page") % 24, "XYCZT", 2, 4, 3).alias("p")).select("page", "p.*")
 
 
-def _features(spark, sf_dir, label):
-    return images(spark, sf_dir).where(F.col("label") == label).select(F.lit(1).alias("pair_id"), F.col("image_id").alias("idx"), F.col("pixels").alias("f"))
-
-
-def mutual_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = FE.distances(_features(spark, sf_dir, 0), _features(spark, sf_dir, 1), ["pair_id"])
-    return FE.mutual_nearest(d, ["pair_id"], 10).select("l", "r", "d", "rank")
-
-
-def l1_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FE.distances(_features(spark, sf_dir, 2), _features(spark, sf_dir, 3), ["pair_id"]).select("l", "r", "d")
-
-
 def _neighbours(spark, sf_dir):
     """Distances of every image's points (its rows of pixels) to those of the image with the next id: W x H of a pair."""
     rows = F.transform(F.sequence(F.lit(0), F.lit(H - 1)), lambda y: F.slice(P(), y * W + 1, F.lit(W)))
@@ -73,7 +68,7 @@ def _neighbours(spark, sf_dir):
     return FE.distances(f, f.withColumn("pair_id", F.col("pair_id") - 1), ["pair_id"])
 
 
-def mutual_nearest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mutual_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FE.mutual_nearest(_neighbours(spark, sf_dir), ["pair_id"], 10).select("pair_id", "l", "r", "d", "rank")
 
 
@@ -81,7 +76,7 @@ def match_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FE.matches(_neighbours(spark, sf_dir), ["pair_id"], 10)
 
 
-def l1_distances_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def l1_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _neighbours(spark, sf_dir)
 
 
@@ -177,16 +172,27 @@ def dwt_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fft_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = TR.fft_2d(images(spark, sf_dir), W, H)
-    return out.where("ky = 0 and kx in (0, 4)").select("image_id", "kx", F.round("re", 5).alias("re"))
-
-
-def fft_2d_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every coefficient; rounded zeros have one sign."""
     out = TR.fft_2d(images(spark, sf_dir), W, H)
     return out.select("image_id", "ky", "kx", *((F.round(c, 5) + 0.0).alias(c) for c in ("re", "im")))
 
 
+def _sized(spark, sf_dir, w, h):
+    """The first w x h values of each image as one of that size: sides that differ, of odd length."""
+    return images(spark, sf_dir).select("image_id", F.lit(w).alias("width"), F.lit(h).alias("height"), F.slice("pixels", 1, w * h).alias("pixels"))
+
+
+def halve_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = PL.mapped(_sized(spark, sf_dir, 7, 9), PL.halve)
+    return out.select("image_id", F.posexplode("pixels").alias("k", "v")).select("image_id", "k", F.round("v", 6).alias("v"))
+
+
+def wavelet_denoised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of 16 x 4 without their small wavelet coefficients."""
+    out = WV.denoised(_sized(spark, sf_dir, 16, 4), "bior3.1", 0.1, 1)
+    return out.select("image_id", F.posexplode("pixels").alias("k", "v")).select("image_id", "k", (F.round("v", 6) + 0.0).alias("v"))
+
+
 def fast_chebyshev(spark: SparkSession, sf_dir: str) -> DataFrame:
     im = images(spark, sf_dir)
     back = TR.fast_chebyshev_2d(TR.fast_chebyshev_2d(im, W, H), W, H, inverse=True)
@@ -194,12 +200,12 @@ def fast_chebyshev(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "tile_table": tile_table, "read_tile": read_tile, "read_region": read_region, "resolve_level": resolve_level, "closest_levels": closest_levels, "page_order": page_order,
-    "l1_distances": l1_distances, "mutual_nearest": mutual_nearest, "l1_distances_all": l1_distances_all, "mutual_nearest_all": mutual_nearest_all, "match_features": match_features, "positional_match": positional_match, "grid_maxima": grid_maxima, "bilinear_sample": bilinear_sample,
+    "tile_table": tile_table, "edge_tiles": edge_tiles, "read_tile": read_tile, "read_region": read_region, "resolve_level": resolve_level, "closest_levels": closest_levels, "page_order": page_order,
+    "l1_distances": l1_distances, "mutual_nearest": mutual_nearest, "l1_distances_all": l1_distances, "mutual_nearest_all": mutual_nearest, "match_features": match_features, "positional_match": positional_match, "grid_maxima": grid_maxima, "bilinear_sample": bilinear_sample,
     "normal_equations_affine": normal_equations_affine, "fit_affine": _fit("affine"), "fit_projective": _fit("projective"), "fit_rst": _fit("rst"), "fit_st": _fit("st"), "fit_score": fit_score,
     "oriented_patches": oriented_patches, "chebyshev_1d": chebyshev_1d, "chebyshev_2d": chebyshev_2d, "radon": radon, "radon_texture": radon_texture,
     "dwt_low_zeropad": _dwt("sym5", "zeropad"), "dwt_high_zeropad": _dwt("sym5", "zeropad", True), "dwt_low_symmetric": _dwt("bior3.1", "symmetric"), "dwt_high_periodic": _dwt("bior5.5", "periodic", True),
-    "dwt_low_constant_edge": _dwt("sym5", "constant edge"), "dwt_round_trip": dwt_round_trip, "dwt_2d": dwt_2d, "fft_2d": fft_2d, "fft_2d_all": fft_2d_all, "fast_chebyshev": fast_chebyshev,
+    "dwt_low_constant_edge": _dwt("sym5", "constant edge"), "dwt_round_trip": dwt_round_trip, "dwt_2d": dwt_2d, "fft_2d": fft_2d, "fft_2d_all": fft_2d, "halve_odd": halve_odd, "wavelet_denoised": wavelet_denoised, "fast_chebyshev": fast_chebyshev,
 }
 
 
@@ -214,11 +220,6 @@ _BASIS = "CASE WHEN j = 0 THEN 1 ELSE cos(j * acos(2.0::DOUBLE * ({a} + 1) / 8 -
 _TIES = f"""{PX}, p AS (SELECT image_id AS pair_id, y * 8 + x AS idx, x::DOUBLE AS x1, y::DOUBLE AS y1, 2 * x - 0.5::DOUBLE * y + label AS x2, 0.25::DOUBLE * x + 3 * y - 1 + v AS y2 FROM px)"""
 
 
-def _pairs(a: int, b: int) -> str:
-    return f"""d AS (SELECT a.vec_id AS l, b.vec_id AS r, round(list_sum(list_transform(range(1, 65), lambda i: abs(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE))), 6) AS d
-  FROM embeddings a, embeddings b WHERE a.label = {a} AND b.label = {b})"""
-
-
 _NEXT = """d AS (SELECT a.vec_id AS pair_id, l::INT AS l, r::INT AS r, round(list_sum(list_transform(range(1, 9), lambda i: abs(a.embedding[l * 8 + i]::DOUBLE - b.embedding[r * 8 + i]::DOUBLE))), 6) AS d
   FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1, range(8) t(l), range(8) u(r))"""
 
@@ -233,11 +234,8 @@ SELECT region_id, image_id, (y - y1)::INT AS y, (x - x1)::INT AS x, round(v, 6)
 a AS (SELECT coalesce(max(level) FILTER (level > 0 AND (w >= 100 OR h >= 100)), 0) AS above, coalesce(max(level) FILTER (level < 5 AND (w > 100 OR h > 100)), -1) + 1 AS below FROM l)
 SELECT vec_id AS image_id, above, below FROM embeddings, a""",
     "page_order": "SELECT event_id AS page, event_id % 24 % 2 AS c, event_id % 24 // 6 % 4 AS t, event_id % 24 // 2 % 3 AS z FROM events",
-    "l1_distances": f"WITH {_pairs(2, 3)} SELECT l, r, d FROM d",
-    "mutual_nearest": f"""WITH {_pairs(0, 1)}, n AS (SELECT *, row_number() OVER (PARTITION BY l ORDER BY d, r) AS a, row_number() OVER (PARTITION BY r ORDER BY d, l) AS b FROM d)
-SELECT l, r, d, row_number() OVER (ORDER BY d, l)::INT AS rank FROM n WHERE a = 1 AND b = 1 ORDER BY d, l LIMIT 10""",
-    "l1_distances_all": f"WITH {_NEXT} SELECT pair_id, l, r, d FROM d",
-    "mutual_nearest_all": f"""WITH {_NEXT}, n AS (SELECT *, row_number() OVER (PARTITION BY pair_id, l ORDER BY d, r) AS a, row_number() OVER (PARTITION BY pair_id, r ORDER BY d, l) AS b FROM d)
+    "l1_distances": f"WITH {_NEXT} SELECT pair_id, l, r, d FROM d",
+    "mutual_nearest": f"""WITH {_NEXT}, n AS (SELECT *, row_number() OVER (PARTITION BY pair_id, l ORDER BY d, r) AS a, row_number() OVER (PARTITION BY pair_id, r ORDER BY d, l) AS b FROM d)
 SELECT pair_id, l, r, d, row_number() OVER (PARTITION BY pair_id ORDER BY d, l)::INT AS rank FROM n WHERE a = 1 AND b = 1""",
     "positional_match": f"WITH {_TIES} SELECT pair_id, count(*) AS matches, sum(x1) AS sum_x1 FROM p WHERE abs(x1 - x2) + abs(y1 - y2) < 5 GROUP BY ALL",
     "grid_maxima": f"""WITH {PX}, c AS (SELECT *, y // 2 AS cy, x // 2 AS cx, row_number() OVER (PARTITION BY image_id, y // 2, x // 2 ORDER BY v DESC, y, x) AS n FROM px)
@@ -264,6 +262,12 @@ SELECT image_id, angle, r, round(sum(v), 6) AS v FROM b WHERE r BETWEEN 0 AND 26
     "dwt_high_periodic": _sql_dwt(TR.BANKS["bior5.5"][1], "(i + 64) % 64"),
     "dwt_low_constant_edge": _sql_dwt(TR.BANKS["sym5"][0], "greatest(0, least(63, i))"),
     "dwt_round_trip": "SELECT vec_id AS image_id, (k - 1)::INT AS k, round(embedding[k]::DOUBLE, 5) + 0.0 AS v FROM embeddings, range(1, 65) t(k)",
-    "fft_2d": f"WITH {PX} SELECT image_id, kx::INT AS kx, round(sum(v * CASE WHEN kx = 4 AND x % 2 = 1 THEN -1 ELSE 1 END), 5) AS re FROM px, (VALUES (0), (4)) t(kx) GROUP BY ALL",
+    "fft_2d": f"""WITH {PX}, f AS (SELECT i::INT AS ky, j::INT AS kx FROM range(8) a(i), range(8) b(j))
+SELECT image_id, ky, kx, round(sum(v * cos(-2 * pi() * ((ky * y + kx * x) % 8) / 8)), 5) + 0 AS re, round(sum(v * sin(-2 * pi() * ((ky * y + kx * x) % 8) / 8)), 5) + 0 AS im FROM px, f GROUP BY ALL""",
+    "edge_tiles": f"WITH {PX} SELECT image_id, y // 3 AS ty, x // 3 AS tx, round(sum(v), 6) AS total, count(*) AS n FROM px GROUP BY ALL",
+    "halve_odd": """WITH p AS (SELECT vec_id AS image_id, ((i - 1) // 7)::INT AS y, ((i - 1) % 7)::INT AS x, embedding[i]::DOUBLE AS v FROM embeddings, range(1, 64) t(i))
+SELECT image_id, (y // 2 * 4 + x // 2)::INT AS k, round(avg(v), 6) AS v FROM p GROUP BY image_id, y // 2, x // 2""",
     "fast_chebyshev": "SELECT vec_id AS image_id, (k - 1)::INT AS k, round(embedding[k]::DOUBLE, 5) + 0.0 AS v FROM embeddings, range(1, 65) t(k)",
 }
+#: The same queries under the names that they had beside samples of them.
+ORACLES |= {f"{k}_all": ORACLES[k] for k in ("l1_distances", "mutual_nearest", "fft_2d")}
