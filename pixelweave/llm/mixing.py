@@ -110,6 +110,7 @@ def mix(docs: DataFrame, weight_of_rank: Column, share: float = 1.5, max_epochs:
         edge = _deeper(rows, edge, path, at, name)
         path.append(name)
         if name == "key":
+            edge = cut(edge, "keys")
             rows = _inside(rows, edge, path).withColumn("part", of_key).drop("_quota", "_start", "_n")
     order = F.struct("tie", "_row")
     running = F.sum("size").over(Window.partitionBy("source").orderBy("tie", "_row").rowsBetween(Window.unboundedPreceding, 0))
