@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +34,8 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (written := getattr(spark, "_pixelweave_written", None)) is not None:
+        written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
@@ -41,9 +45,29 @@ def discard(df: DataFrame) -> None:
     """Delete what cut() wrote, when nothing lazy reads it any more."""
     path = getattr(df, "_cut_path", None)
     if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        delete(df.sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage of a chain whose every result is written before the next stage is called: it first deletes what the stage before
+    it in the session left in the shared folder."""
+
+    @functools.wraps(function)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for path in getattr(spark, "_pixelweave_left", []):
+            delete(spark, path)
+        spark._pixelweave_left = spark._pixelweave_written = []
+        try:
+            return function(spark, docs, sf_dir)
+        finally:
+            spark._pixelweave_written = None
+
+    return run
 
 
 #: Bytes of an Arrow batch, about; a longer row is a batch of its own.
