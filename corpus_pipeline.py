@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, exact dedup, n-gram Jaccard join, mixing, byte-level BPE.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the
-columns of documents. Each is written as Parquet in the shared folder and read again before the next.
+columns of documents. Each is written as Parquet in the shared folder and read again before the next, which first
+deletes what the one before it left there.
 """
 
 from __future__ import annotations
@@ -9,30 +10,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pixelweave.llm import byte_bpe, exact_dedup, jaccard_join, mixing, quality
-from pixelweave.llm.common import cut, read
+from pixelweave.llm.common import cut, discard, read, stage
 from pixelweave.llm.queries import rank_weight
 
 
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor a certified cutoff rejects."""
     return quality.accepted(docs, read(spark, sf_dir, "labels"))
 
 
+@stage
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest doc_id."""
     return exact_dedup.drop_copies(docs)
 
 
+@stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id."""
     return jaccard_join.first_of_each(docs)
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     return mixing.repeated(mixing.mix(docs, rank_weight()), docs.columns)
 
 
+@stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document of the mix encoded: ids, their number and hash, and the hash of what they decode to."""
     import public_tokenizers
@@ -53,8 +59,9 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for name, function in STAGES[:-1]:
+        before, docs = docs, cut(function(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
