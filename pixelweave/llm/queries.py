@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, jaccard_join, lm_scoring, quality
+from .centroids import clusters
 from .chat_format import canonical_turns, formatted, masked, read_back
 from .common import cut, n_words, read
 from .exact_dedup import exact_groups
 from .license_scan import scan
 from .mixing import mix
+from .spelling import variants
+from .suffix_dedup import without_repeats
 from .token_counts import token_counts
 from .url_filter import judge
 
@@ -134,6 +137,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), budget=1024)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(read(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters(read(spark, sf_dir, "embeddings"))
+
+
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_chat_format": op2_chat_format,
@@ -145,9 +160,92 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_token_counts": op10_token_counts,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
+
+
+def _lloyd_sql(rounds: int) -> str:
+    """Clustering written out round by round, in whole numbers."""
+    near = """
+a{n} AS MATERIALIZED (
+  SELECT rid, c, d FROM (
+    SELECT x.rid, y.c, sum((x.x - y.y) * (x.x - y.y))::BIGINT AS d, row_number() OVER (PARTITION BY x.rid ORDER BY sum((x.x - y.y) * (x.x - y.y)), y.c) AS best
+    FROM x JOIN c{n} y ON x.i = y.i GROUP BY x.rid, y.c) WHERE best = 1)"""
+    move = """,
+c{m} AS MATERIALIZED (
+  SELECT y.c, y.i, coalesce(s.mean, y.y) AS y FROM c{n} y LEFT JOIN (
+    SELECT a.c, x.i, ((sum(x.x) - ((sum(x.x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS mean FROM x JOIN a{n} a ON a.rid = x.rid GROUP BY a.c, x.i) s
+  ON s.c = y.c AND s.i = y.i),"""
+    steps = "".join(near.format(n=k) + (move.format(n=k, m=k + 1) if k < rounds else "") for k in range(rounds + 1))
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS rid, embedding FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+x AS MATERIALIZED (SELECT rid, i, floor(1024 * embedding[i]::DOUBLE)::BIGINT AS x FROM v, range(1, 65) r(i)),
+f AS MATERIALIZED (SELECT rid, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c FROM v ORDER BY c LIMIT 8),
+c0 AS MATERIALIZED (SELECT f.c, x.i, x.x AS y FROM f JOIN x ON x.rid = f.rid),{steps},
+h AS (SELECT c, sha256(string_agg(y::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY c)
+SELECT v.vec_id, a.c::INTEGER AS cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia,
+  (sum(a.d) OVER ())::BIGINT AS inertia, h.centroid_sha256
+FROM a{rounds} a JOIN v ON v.rid = a.rid JOIN h ON h.c = a.c
+"""
+
+
 ORACLES: dict[str, str | None] = {
+    "op11_spelling_variants": """
+WITH RECURSIVE bits(i, k, v) AS (
+  SELECT i, 0, i FROM range(256) r(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8),
+runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents),
+grouped AS (SELECT run, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS code, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(
+    list_transform(range(0, length(code) // 2), lambda i: ('0x' || substr(code, (2 * i + 1)::BIGINT, 2))::BIGINT),
+    lambda s, b: xor(t[(xor(s, b) & 255) + 1], s >> 8), 4294967295)) AS h
+  FROM grouped, crc),
+kept AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run) + 2)::BIGINT) ELSE run END AS word, n FROM hashed),
+v AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM kept WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+places AS MATERIALIZED (SELECT word, substr(word, 1, k - 1) AS head, substr(word, k + 1) AS tail FROM (SELECT word, unnest(range(1, length(word) + 1)) AS k FROM v)),
+pairs AS (
+  SELECT a.word, b.word AS near FROM places a JOIN places b ON a.head = b.head AND a.tail = b.tail WHERE a.word <> b.word
+  UNION SELECT p.word, v.word FROM places p JOIN v ON v.word = p.head || p.tail
+  UNION SELECT v.word, p.word FROM places p JOIN v ON v.word = p.head || p.tail),
+ranked AS (
+  SELECT p.word, p.near, v.n AS near_n, count(*) OVER (PARTITION BY p.word) AS n_near,
+    row_number() OVER (PARTITION BY p.word ORDER BY v.n DESC, p.near) AS best FROM pairs p JOIN v ON v.word = p.near),
+formed AS MATERIALIZED (
+  SELECT v.word, v.n, CASE WHEN near_n >= 10 * v.n THEN near END AS form, CASE WHEN near_n >= 10 * v.n THEN near_n END AS form_n, coalesce(n_near, 0)::BIGINT AS n_near
+  FROM v LEFT JOIN ranked r ON r.word = v.word AND r.best = 1),
+roots(word, leaf) AS (
+  SELECT word, word FROM formed UNION ALL SELECT r.word, f.form FROM roots r JOIN formed f ON f.word = r.leaf WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, r.leaf AS root, f.n, f.n_near, f.form_n
+FROM formed f JOIN roots r ON r.word = f.word JOIN formed e ON e.word = r.leaf AND e.form IS NULL
+""",
+    "op12_centroid_clusters": _lloyd_sql(10),
+    "op13_suffix_dedup": """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS code, strlen(coalesce(text, '')) AS n FROM documents),
+w AS MATERIALIZED (SELECT doc_id, s, substr(code, 2 * s + 1, 200) AS body FROM (SELECT doc_id, code, unnest(range(0, n - 99)) AS s FROM d WHERE n >= 100)),
+m AS MATERIALIZED (SELECT hash(body) AS h FROM w GROUP BY h HAVING count(*) > 1),
+r AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY body ORDER BY doc_id, s) AS k FROM w WHERE hash(body) IN (SELECT h FROM m)) WHERE k > 1),
+e AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER o + 100 THEN 0 ELSE 1 END AS opens FROM r WINDOW o AS (PARTITION BY doc_id ORDER BY s)),
+g AS (SELECT doc_id, s, sum(opens) OVER (PARTITION BY doc_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS span FROM e),
+p AS (SELECT doc_id, span, min(s) AS lo, max(s) + 100 AS hi FROM g GROUP BY doc_id, span),
+q AS (SELECT doc_id, lo, hi, lag(hi, 1, 0) OVER (PARTITION BY doc_id ORDER BY lo) AS before FROM p),
+k AS (
+  SELECT q.doc_id, sum(hi - lo)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans, max(hi) AS last,
+    string_agg(substr(d.code, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) AS kept
+  FROM q JOIN d ON d.doc_id = q.doc_id GROUP BY q.doc_id)
+SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept || substr(d.code, 2 * last + 1), d.code))) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+""",
     "op1_mixing": """
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
