@@ -149,3 +149,15 @@ def steps_left(steps: list[tuple], name: str) -> list[tuple]:
 def steps_right(steps: list[tuple], name: str) -> list[tuple]:
     names = [s[0] for s in steps]
     return steps[names.index(name) + 1 :] if name in names else []
+
+
+def order_slices(slices: DataFrame, key: str, tags: str = "tags", name: str = "path") -> DataFrame:
+    """slices of each series with distance and slice, their number along the normal of the first two directions that their tags give
+    (position (0020,0032), orientation (0020,0037)). Equal distances go by name; slices without a position come last, by name."""
+    numbers = lambda tag: F.transform(F.split(F.col(tags)[tag], r"\\"), lambda x: F.trim(x).try_cast("double"))
+    p, o = numbers("(0020,0032)"), numbers("(0020,0037)")
+    at = lambda v, k: F.get(v, F.lit(k))
+    cross = lambda i, j: at(o, i) * at(o, 3 + j) - at(o, j) * at(o, 3 + i)
+    distance = at(p, 0) * cross(1, 2) + at(p, 1) * cross(2, 0) + at(p, 2) * cross(0, 1)
+    w = Window.partitionBy(key).orderBy(F.col("distance").asc_nulls_last(), name)
+    return slices.withColumn("distance", F.round(distance, 6)).withColumn("slice", F.row_number().over(w) - 1)

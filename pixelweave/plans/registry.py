@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import dataflow_queries, metadata_queries, raster_queries
+from . import dataflow_queries, earth_queries, metadata_queries, raster_queries
 
-MODULES = (raster_queries, dataflow_queries, metadata_queries)
+MODULES = (raster_queries, dataflow_queries, metadata_queries, earth_queries)
 QUERIES: dict = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: q for m in MODULES for k, q in m.ORACLES.items()}

@@ -190,14 +190,38 @@ def _tiff(data: bytes, **options) -> Iterator[Plane]:
     return read_tiff(data, **options)
 
 
+def _dicom(data: bytes, **options) -> Iterator[Plane]:
+    from .dicom import read_dicom
+
+    return read_dicom(data, **options)
+
+
+def _nifti(data: bytes, **options) -> Iterator[Plane]:
+    from .nifti import read_nifti
+
+    return read_nifti(data, **options)
+
+
+def _oib(data: bytes, **options) -> Iterator[Plane]:
+    from .compound import read_oib
+
+    return read_oib(data, **options)
+
+
 #: Formats by name: decoder and file endings.
-READERS = {"tiff": (_tiff, ("tif", "tiff", "stk", "lsm")), "bmp": (read_bmp, ("bmp",)), "raw": (read_raw, ("raw", "dat")), "pic": (read_biorad, ("pic",)), "ibw": (read_ibw, ("ibw",)), "nanoscope": (read_nanoscope, ("nan", "spm"))}
+READERS = {"dicom": (_dicom, ("dcm", "dicom")), "nifti": (_nifti, ("nii", "gz")), "oib": (_oib, ("oib",)), "tiff": (_tiff, ("tif", "tiff", "stk", "lsm")), "bmp": (read_bmp, ("bmp",)), "raw": (read_raw, ("raw", "dat")), "pic": (read_biorad, ("pic",)), "ibw": (read_ibw, ("ibw",)), "nanoscope": (read_nanoscope, ("nan", "spm"))}
 #: What each format can hold; the test before a write.
-CAPABILITIES = {"tiff": {"write": True, "pages": True}, "bmp": {"write": True, "pages": False}, "raw": {"write": True, "pages": True}, "pic": {"write": False, "pages": True}, "ibw": {"write": False, "pages": True}, "nanoscope": {"write": False, "pages": False}, "parquet": {"write": True, "pages": True}}
+CAPABILITIES = {"dicom": {"write": False, "pages": True}, "nifti": {"write": False, "pages": True}, "oib": {"write": False, "pages": True}, "tiff": {"write": True, "pages": True}, "bmp": {"write": True, "pages": False}, "raw": {"write": True, "pages": True}, "pic": {"write": False, "pages": True}, "ibw": {"write": False, "pages": True}, "nanoscope": {"write": False, "pages": False}, "parquet": {"write": True, "pages": True}}
 
 
 def sniff(head: bytes) -> str | None:
-    """A format by its first bytes."""
+    """A format by its first 352 bytes or more. Gzipped files are taken for volumes, and compound files for image containers."""
+    if head[128:132] == b"DICM":
+        return "dicom"
+    if head[344:348] == b"n+1\0" or head[4:8] == b"n+2\0" or head[:2] == b"\x1f\x8b":
+        return "nifti"
+    if head[:8] == bytes.fromhex("d0cf11e0a1b11ae1"):
+        return "oib"
     if head[:2] == b"BM":
         return "bmp"
     if head[:4] in (b"II*\0", b"MM\0*", b"II+\0", b"MM\0+"):

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import configparser
+import os
+import struct
+import zlib
+from collections.abc import Callable, Iterator
+from urllib.parse import unquote, urlsplit
 
 import numpy as np
 import pandas as pd
@@ -12,6 +17,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 
 from .codecs import CAPABILITIES, READERS, sniff, write_bmp
 
+#: What decoders raise on files that are damaged or of another kind.
+BAD = (KeyError, ValueError, IndexError, OverflowError, MemoryError, EOFError, OSError, configparser.Error, struct.error, zlib.error)
 SCHEMA = "path string, page int, channel int, width int, height int, depth int, pixel_format string, pixels array<double>"
 
 
@@ -35,15 +42,11 @@ def _decoded(spark: SparkSession, path: str, kind: str | None, glob: str | None,
         for f in frames:
             for p, content in zip(f["path"], f["content"], strict=True):
                 try:
-                    reader = READERS[kind or sniff(content[:64]) or ""][0]
+                    reader = READERS[kind or sniff(content[:512]) or ""][0]
                     rows = [(p, *x[:6], x.pixels.tolist()) for x in reader(content, **options)]
                     error = None
-                except (KeyError, ValueError, IndexError, OverflowError, MemoryError) as e:
+                except BAD as e:
                     rows, error = [], f"{type(e).__name__}: {e}"
-                except Exception as e:  # struct.error has no other base
-                    if type(e).__name__ != "error":
-                        raise
-                    rows, error = [], str(e)
                 if bad:
                     rows = [] if error is None else [(p, error)]
                 if rows:
@@ -57,7 +60,7 @@ TIFF_PAGES = "path string, page int, level int, width int, height int, channels
 
 def tiff_pages(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """Directories of the TIFF files under a path, a row for each page and level, without decoding any pixel. Tags are comma
-    lists of at most 64 values."""
+    lists of all their values. A damaged file is left out, and listed by bad_images."""
     from .tiff import BITS, HEIGHT, SAMPLES, WIDTH, directories, is_tiff
 
     files = spark.read.format("binaryFile")
@@ -67,15 +70,111 @@ def tiff_pages(spark: SparkSession, path: str, glob: str | None = None) -> DataF
         for f in frames:
             for p, content in zip(f["path"], f["content"], strict=True):
                 if is_tiff(content):
-                    rows = [
-                        (p, d.number, d.level, d.one(WIDTH, 0), d.one(HEIGHT, 0), d.one(SAMPLES, 1), d.one(BITS, 1), d.description, {t: ",".join(map(str, v[:64])) for t, v in d.tags.items()})
-                        for d in directories(content)
-                    ]
+                    try:
+                        rows = [
+                            (p, d.number, d.level, d.one(WIDTH, 0), d.one(HEIGHT, 0), d.one(SAMPLES, 1), d.one(BITS, 1), d.description, {t: ",".join(map(str, v)) for t, v in d.tags.items()})
+                            for d in directories(content)
+                        ]
+                    except BAD:
+                        continue
                     yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in TIFF_PAGES.replace("map<int,string>", "map").split(", ")])
 
     return files.load(path).select("path", "content").mapInPandas(run, TIFF_PAGES)
 
 
+def _tag_readers() -> dict[str, Callable[[bytes], dict[str, str]]]:
+    from . import compound, dicom, exif, nifti
+
+    return {"dicom": dicom.tags, "nifti": nifti.tags, "oib": compound.oib_tags, "jpeg": lambda data: exif.named(exif.read_exif(data))}
+
+
+def read_tags(spark: SparkSession, path: str, kind: str | None = None, glob: str | None = None) -> DataFrame:
+    """(path, kind, tags, error) of DICOM, NIfTI, OIB and JPEG (EXIF, GPS) files under a path, without decoding pixels; the kind by name
+    or by each file's first bytes. A file that can't be read has null tags and an error."""
+    files = spark.read.format("binaryFile")
+    files = files.option("pathGlobFilter", glob) if glob else files
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        functions = _tag_readers()
+        for f in frames:
+            rows = []
+            for p, content in zip(f["path"], f["content"], strict=True):
+                k = kind or ("jpeg" if content[:3] == b"\xff\xd8\xff" else sniff(content[:512]))
+                try:
+                    rows.append((p, k, functions[k](content), None))
+                except BAD as e:
+                    rows.append((p, k, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "kind", "tags", "error"])
+
+    return files.load(path).select("path", "content").mapInPandas(run, "path string, kind string, tags map<string,string>, error string")
+
+
+def compound_streams(spark: SparkSession, path: str, glob: str | None = None, contents: bool = False) -> DataFrame:
+    """(path, stream, size, content, error) of the streams in compound files; content is null unless asked for. A damaged file has one
+    row with its error."""
+    from .compound import Compound
+
+    files = spark.read.format("binaryFile")
+    files = files.option("pathGlobFilter", glob) if glob else files
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for p, content in zip(f["path"], f["content"], strict=True):
+                try:
+                    c = Compound(content)
+                    rows = [(p, s, n, c.read(s) if contents else None, None) for s, n in c.streams()]
+                except BAD as e:
+                    rows = [(p, None, None, None, f"{type(e).__name__}: {e}")]
+                yield pd.DataFrame(rows, columns=["path", "stream", "size", "content", "error"]).astype({"size": "Int64"})
+
+    return files.load(path).select("path", "content").mapInPandas(run, "path string, stream string, size long, content binary, error string")
+
+
+def pyramid_tiffs(spark: SparkSession, path: str, glob: str = "*.tif", tile: int = 512) -> DataFrame:
+    """Converts the TIFF files under a path into pyramids in place: LZW, tiles, levels as sub-directories of each page. A row for each
+    file that has none yet: (path, levels, error). A file is replaced only when its new form has been written whole, so the job can
+    be stopped, or a task run twice, at any time, and a second run finds nothing to do. Nothing happens until the result is read; the
+    folder must be one that all executors share."""
+    from .tiff import LZW, directories, is_tiff, pixels, pyramid, write_tiff
+
+    def converted(data: bytes) -> tuple[bytes, int]:
+        pages = [p for p in directories(data) if p.level == 0]
+        arrays = [pixels(data, p)[0] for p in pages]
+        levels = [pyramid(a, tile) for a in arrays]
+        notes = [[(270, 2, tuple((p.description + "\0").encode()))] if p.description else [] for p in pages]
+        big = sum(a.nbytes for a in arrays) > 1 << 31
+        return write_tiff(arrays, tile, compression=LZW, levels=levels, tags=notes, big=big), max(map(len, levels), default=0)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for p, content in zip(f["path"], f["content"], strict=True):
+                try:
+                    if not is_tiff(content) or any(d.level or SUBDIRS_TAG in d.tags for d in directories(content)) or not _above(content, tile):
+                        continue
+                    target = unquote(urlsplit(p).path)
+                    data, n = converted(content)
+                    with open(f"{target}.{os.getpid()}.part", "wb") as out:
+                        out.write(data)
+                    os.replace(out.name, target)
+                    row = (p, n, None)
+                except BAD as e:
+                    row = (p, None, f"{type(e).__name__}: {e}")
+                yield pd.DataFrame([row], columns=["path", "levels", "error"]).astype({"levels": "Int64"})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    return files.select("path", "content").mapInPandas(run, "path string, levels int, error string")
+
+
+SUBDIRS_TAG = 330
+
+
+def _above(data: bytes, tile: int) -> bool:
+    """Whether a page is larger than a tile, so that it gets levels."""
+    from .tiff import HEIGHT, WIDTH, directories
+
+    return any(max(d.one(WIDTH, 0), d.one(HEIGHT, 0)) > tile for d in directories(data))
+
+
 def tiff_files(planes: DataFrame, tile: int | None = None) -> DataFrame:
     """(image_id, content) from planes (image_id, page, channel, width, height, pixels of 0..255): one TIFF an image, its pages
     in order, as bytes for any sink that Spark has."""
@@ -140,8 +239,6 @@ class BitmapWriter(DataSourceWriter):
         self.folder = options["path"]
 
     def write(self, rows: Iterator) -> Written:
-        import os
-
         os.makedirs(self.folder, exist_ok=True)
         files = []
         for r in rows:

@@ -63,8 +63,10 @@ def directories(data: bytes) -> Iterator[Page]:
             value = at + k * entry + 4 + wide
             if size > wide:
                 (value,) = struct.unpack_from(order + word, data, value)
-            if not size or value + size > len(data):
-                continue
+            if not size:
+                continue  # of a type that the specification doesn't have
+            if value + size > len(data):
+                raise ValueError(f"tag {tag} of page {number} lies beyond the file")
             if kind in (5, 10):
                 pairs = struct.unpack_from(f"{order}{2 * times}{'I' if kind == 5 else 'i'}", data, value)
                 page.tags[tag] = tuple(a / b if b else 0.0 for a, b in zip(pairs[::2], pairs[1::2], strict=True))
@@ -75,7 +77,9 @@ def directories(data: bytes) -> Iterator[Page]:
 
     (at,) = struct.unpack_from(order + word, data, 8 if big else 4)
     seen, number = set(), 0
-    while at and at not in seen and at < len(data):
+    while at and at not in seen:
+        if at >= len(data):
+            raise ValueError(f"the directory of page {number} lies beyond the file")
         seen.add(at)
         page, at = directory(at, number, 0)
         yield page
@@ -126,6 +130,35 @@ def unpack_lzw(data: bytes) -> bytes:
     return b"".join(out)
 
 
+def pack_lzw(data: bytes) -> bytes:
+    """The inverse of unpack_lzw: a new table begins before codes would need more than 12 bits."""
+    table = {bytes([i]): i for i in range(256)}
+    out, held, bits, width, following, text = bytearray(), 256, 9, 9, 258, b""
+    for byte in data:
+        longer = text + bytes([byte])
+        if longer in table:
+            text = longer
+            continue
+        held, bits = held << width | table[text], bits + width
+        table[longer] = following
+        following += 1
+        if following == 4095:
+            held, bits = held << width | 256, bits + width
+            table, following, width = {bytes([i]): i for i in range(256)}, 258, 9
+        elif following in (512, 1024, 2048):
+            width += 1
+        text = longer[-1:]
+        if bits > 4096:
+            keep = bits % 8
+            out += (held >> keep).to_bytes(bits // 8, "big")
+            held, bits = held & (1 << keep) - 1, keep
+    if text:
+        held, bits, following = held << width | table[text], bits + width, following + 1
+        width += following in (512, 1024, 2048)
+    held, bits = held << width | 257, bits + width
+    return bytes(out) + (held << -bits % 8).to_bytes(-(-bits // 8), "big")
+
+
 def _unpacked(data: bytes, compression: int) -> bytes:
     if compression == NONE:
         return data
@@ -195,12 +228,23 @@ def read_tiff(data: bytes, pages: Container[int] | None = None, level: int = 0):
             yield from _planes(page.number, values, bits, kind)
 
 
-def write_tiff(pages: list[np.ndarray], tile: int | None = None, compressed: bool = True, order: str = "<", big: bool = False) -> bytes:
-    """Pages (height, width, channels) as a TIFF in strips of 64 rows or in tiles, each deflated unless compressed is false."""
+PACKERS = {NONE: bytes, LZW: pack_lzw, DEFLATE: zlib.compress}
+
+
+def write_tiff(
+    pages: list[np.ndarray], tile: int | None = None, compressed: bool = True, order: str = "<", big: bool = False, compression: int | None = None, levels: list[list[np.ndarray]] | None = None,
+    tags: list[list[tuple[int, int, tuple]]] | None = None,
+) -> bytes:
+    """Pages (height, width, channels) as a TIFF in strips of 64 rows or in tiles, deflated unless compressed is false or compression
+    names another way. levels: of each page its reduced levels, which become sub-directories of it. tags: of each page further
+    (tag, type, values)."""
+    compression = compression if compression is not None else DEFLATE if compressed else NONE
     head = (b"II" if order == "<" else b"MM") + struct.pack(order + ("HHHQ" if big else "HI"), *((43, 8, 0, 16) if big else (42, 8)))
     count, word, kind, wide = ("Q", "Q", 16, 8) if big else ("H", "I", 4, 4)
-    out, link = bytearray(head), 8 if big else 4
-    for page in pages:
+    out = bytearray(head)
+
+    def directory(page: np.ndarray, more: list[tuple[int, int, tuple]]) -> tuple[int, int]:
+        """Writes a page and its directory; where the directory begins, and where it names the next."""
         h, w, c = page.shape
         tw, th = (tile, tile) if tile else (w, min(h, 64))
         offsets, sizes = [], []
@@ -209,25 +253,45 @@ def write_tiff(pages: list[np.ndarray], tile: int | None = None, compressed: boo
                 part = page[y : y + th, x : x + tw]
                 if tile:
                     part = np.pad(part, ((0, th - part.shape[0]), (0, tw - part.shape[1]), (0, 0)))
-                raw = np.ascontiguousarray(part, page.dtype.newbyteorder(order)).tobytes()
-                raw = zlib.compress(raw) if compressed else raw
+                raw = PACKERS[compression](np.ascontiguousarray(part, page.dtype.newbyteorder(order)).tobytes())
                 offsets.append(len(out))
                 sizes.append(len(raw))
-                out += raw
-        fields = [(WIDTH, 4, (w,)), (HEIGHT, 4, (h,)), (BITS, 3, (page.dtype.itemsize * 8,) * c), (COMPRESSION, 3, (DEFLATE if compressed else NONE,)), (PHOTOMETRIC, 3, (2 if c == 3 else 1,))]
-        fields += [(SAMPLES, 3, (c,)), (FORMAT, 3, ({"u": 1, "i": 2, "f": 3}[page.dtype.kind],) * c)]
+                out.extend(raw)
+        fields = [(WIDTH, 4, (w,)), (HEIGHT, 4, (h,)), (BITS, 3, (page.dtype.itemsize * 8,) * c), (COMPRESSION, 3, (compression,)), (PHOTOMETRIC, 3, (2 if c == 3 else 1,))]
+        fields += [(SAMPLES, 3, (c,)), (FORMAT, 3, ({"u": 1, "i": 2, "f": 3}[page.dtype.kind],) * c), *more]
         fields += [(TILE_WIDTH, 4, (tw,)), (TILE_HEIGHT, 4, (th,)), (TILES, kind, tuple(offsets)), (TILE_BYTES, kind, tuple(sizes))] if tile else [(STRIPS, kind, tuple(offsets)), (ROWS, 4, (th,)), (STRIP_BYTES, kind, tuple(sizes))]
         entries = []
         for tag, t, values in sorted(fields):
             raw = struct.pack(f"{order}{len(values)}{CODES[t]}", *values)
             if len(raw) > wide:
-                out += b"\0" * (len(out) % 2)
-                raw, at = struct.pack(order + word, len(out)), raw
-                out += at
+                out.extend(b"\0" * (len(out) % 2))
+                raw, beyond = struct.pack(order + word, len(out)), raw
+                out.extend(beyond)
             entries.append(struct.pack(f"{order}HH{word}", tag, t, len(values)) + raw.ljust(wide, b"\0"))
-        out += b"\0" * (len(out) % 2)
-        out[link : link + wide] = struct.pack(order + word, len(out))
-        out += struct.pack(order + count, len(entries)) + b"".join(entries)
+        out.extend(b"\0" * (len(out) % 2))
+        at = len(out)
+        out.extend(struct.pack(order + count, len(entries)) + b"".join(entries))
         link = len(out)
-        out += struct.pack(order + word, 0)
+        out.extend(struct.pack(order + word, 0))
+        return at, link
+
+    link = 8 if big else 4
+    for k, page in enumerate(pages):
+        subs = tuple(directory(x, [(SUBFILE, 4, (1,))])[0] for x in (levels[k] if levels else ()))
+        more = [*((tags[k]) if tags else ()), *([(SUBDIRS, kind, subs)] if subs else ())]
+        at, following = directory(page, more)
+        out[link : link + wide] = struct.pack(order + word, at)
+        link = following
     return bytes(out)
+
+
+def pyramid(page: np.ndarray, least: int) -> list[np.ndarray]:
+    """Levels below a page (height, width, channels), each of half the size, down to the first that fits least x least."""
+    from ..operators.planes import halve
+
+    out, t = [], page.dtype
+    while max(page.shape[:2]) > least:
+        page = np.stack([halve(page[:, :, k].astype(float)) for k in range(page.shape[2])], -1)
+        page = (np.floor(page + 0.5) if t.kind != "f" else page).astype(t)
+        out.append(page)
+    return out
