@@ -14,6 +14,7 @@ masked attention together. Keys and values are those of the tokens, so windows s
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -24,8 +25,8 @@ STRIDE, LENGTH, WIDTH, CLASSES = 16, 32, 16, 16
 HASHED, LEAF = 1024, 256
 #: Blocks that go through the model together.
 BATCH = 512
-#: Exponents are cut off here, in scoring and training alike, far beyond what trained weights give.
-TOP = np.float32(60)
+#: Largest norm of a step's mean gradient, and steps over which the rate rises to its full size.
+NORM, WARM = 1.0, 20
 NEVER = np.float32(-1e9)
 
 
@@ -153,7 +154,7 @@ def attend(m: dict[str, np.ndarray], e: np.ndarray, alone: np.ndarray) -> tuple[
     a = q @ k.transpose(0, 2, 1)
     a += np.where(LATER, NEVER, m["near"][np.maximum(DISTANCE, 0)])
     a[alone, :, : LENGTH - STRIDE] = NEVER
-    np.minimum(a, TOP, out=a)
+    a -= a.max(2, keepdims=True)  # the key at the query's own place is never masked
     np.exp(a, out=a)
     part = np.float32(1) / (a.reshape(-1, LENGTH) @ np.ones(LENGTH, np.float32))[:, None]
     mixed = (a @ v).reshape(-1, WIDTH)
@@ -163,7 +164,7 @@ def attend(m: dict[str, np.ndarray], e: np.ndarray, alone: np.ndarray) -> tuple[
 
 def _softmax(z: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Log-probabilities at one place of each row of z, which becomes its probabilities."""
-    np.minimum(z, TOP, out=z)
+    z -= z.max(1, keepdims=True)
     got = z.reshape(-1).take(np.arange(0, z.size, z.shape[1]) + at)
     np.exp(z, out=z)
     total = z @ np.ones(z.shape[1], np.float32)
@@ -297,7 +298,7 @@ def gradient(m: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, alone: np.n
 
 
 class Trainer:
-    """Adam steps over batches of blocks; the weights are one array."""
+    """Adam steps over batches of blocks; the weights are one array. Long gradients are cut to NORM, and the first WARM steps are shorter."""
 
     def __init__(self, flat: np.ndarray, tree: Tree, rate: float = 0.02):
         self.flat, self.tree, self.rate = flat.copy(), tree, rate
@@ -316,6 +317,9 @@ class Trainer:
         self.tokens += tokens
         g = self.grad
         g *= np.float32(1 / max(1, tokens))
+        norm = math.sqrt(float(g @ g))
+        if norm > NORM:
+            g *= np.float32(NORM / norm)
         self.first += np.float32(0.1) * (g - self.first)
         g *= g
         self.second += np.float32(0.02) * (g - self.second)
@@ -323,5 +327,5 @@ class Trainer:
         g *= np.float32((1 - 0.98**self.steps) ** -0.5)
         g += np.float32(1e-8)
         np.divide(self.first, g, out=g)
-        g *= np.float32(self.rate / (1 - 0.9**self.steps))
+        g *= np.float32(self.rate * min(1.0, self.steps / WARM) / (1 - 0.9**self.steps))
         self.flat -= g

@@ -185,6 +185,8 @@ def _train(rank_file: str, pattern: str, tree: lm.Tree, weights: np.ndarray):
         texts = ((0, known.ranks(known.numbers(_lower(text).split()))) for b in batches for text in b.column(1).to_pylist())
         for x, y, alone, _ in lm.blocks(tree, texts):
             trainer.step(x, y, alone)
+        if not (math.isfinite(trainer.loss) and np.isfinite(trainer.flat).all()):
+            raise FloatingPointError(f"training in task {TaskContext.get().partitionId()} has left the finite numbers after {trainer.steps} steps")
         fixed = np.rint(trainer.flat.astype(np.float64) * FIXED).astype(np.int64) * trainer.tokens
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(fixed)), pa.int32()), pa.array(fixed), pa.array(np.full(len(fixed), trainer.tokens))], names=["at", "value", "tokens"])
 
