@@ -7,9 +7,9 @@ any member is explicitly allowed (allow has precedence), else block if any is bl
 no rows themselves count as members.
 
 Edges come from the pages (canonical links, refresh redirects) or from a table (src, dst), such as a crawler's log
-of HTTP redirects. To either come, unless variants is false, the redirects that sites make as a rule: from a url to the one
-without tracking parameters, a slash, index page or .html at the path's end, and a default port, by https. A path is only
-shortened where something is left of it.
+of HTTP redirects. With variants, which is a guess and so not the default, they also come from the redirects that sites make as a
+rule: from a url to the one without tracking parameters, a slash, index page or .html at the path's end, and a default port,
+by https. A path is only shortened where something is left of it.
 
 Cases: a null url, or one without '://', has empty host and path, fits no rule and is allowed; null html has no
 edges; repeated rows are judged each; an empty table gives an empty result; columns of other names are ignored, whatever
@@ -91,7 +91,7 @@ def targets(url: str | None, html: str | None) -> list[str]:
     return out
 
 
-def judge(pages: DataFrame, rules: Sequence[Rule], edges: DataFrame | None = None, variants: bool = True, id_col: str = "page_id") -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[Rule], edges: DataFrame | None = None, variants: bool = False, id_col: str = "page_id") -> DataFrame:
     """id, host, path, rule, verdict, component of each row of pages (url, and html unless edges are given)."""
     small_batches(pages.sparkSession)
     with_html = edges is None
