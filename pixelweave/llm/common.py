@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import functools
+import gc
 import tempfile
+import threading
+import time
 import uuid
+import weakref
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,22 +34,53 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: lineage ends here and lost executors cost no rerun."""
+    """Write df as Parquet into the shared folder and read it again: lineage ends here and lost executors cost no rerun.
+    The files stay as long as any plan reads them (see sweep)."""
     spark = df.sparkSession
+    sweep(spark)
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if (written := getattr(spark, "_pixelweave_written", None)) is not None:
-        written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
+    # every plan that reads the files, however derived, holds this one listing of them
+    listing = out._jdf.queryExecution().analyzed().relation().location()
+    with _lock:
+        _cuts(spark).append((path, spark._jvm.java.lang.ref.WeakReference(listing)))
     return out
 
 
+_lock = threading.Lock()
+_of_jvm: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def _cuts(spark: SparkSession) -> list:
+    """What cut() has written: (path, weak reference to the files' listing). Kept with the JVM that the references are in."""
+    return _of_jvm.setdefault(spark.sparkContext._gateway, [])
+
+
+def sweep(spark: SparkSession, collect: bool = False) -> None:
+    """Delete what cut() wrote and no plan reads any more. A DataFrame that somebody still holds, or one made from it, keeps its
+    files whatever else runs in the session. collect: let Python and the JVM first find out what nobody holds."""
+    for _ in range(4 if collect and _cuts(spark) else 0):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.25)  # the JVM's own threads let go of what has just run a little later
+    with _lock:
+        listed = _cuts(spark)
+        gone = [x for x in listed if x[1].refersTo(None)]
+        listed[:] = [x for x in listed if x not in gone]
+    for path, _ in gone:
+        delete(spark, path)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what cut() wrote, when nothing lazy reads it any more."""
     path = getattr(df, "_cut_path", None)
     if path:
         delete(df.sparkSession, path)
+        with _lock:
+            listed = _cuts(df.sparkSession)
+            listed[:] = [x for x in listed if x[0] != path]
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -54,18 +89,13 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """A stage of a chain whose every result is written before the next stage is called: it first deletes what the stage before
-    it in the session left in the shared folder."""
+    """A stage of a chain whose every result is written before the next stage is called: it first deletes what earlier ones left
+    in the shared folder, as far as nobody can read it any more."""
 
     @functools.wraps(function)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        for path in getattr(spark, "_pixelweave_left", []):
-            delete(spark, path)
-        spark._pixelweave_left = spark._pixelweave_written = []
-        try:
-            return function(spark, docs, sf_dir)
-        finally:
-            spark._pixelweave_written = None
+        sweep(spark, collect=True)
+        return function(spark, docs, sf_dir)
 
     return run
 
@@ -91,9 +121,12 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def numbered(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """df written once with a number of each row, and that column's name: ids may be null or repeat, these can't."""
+def numbered(df: DataFrame, tag: str, id_col: str = "doc_id") -> tuple[DataFrame, str]:
+    """df with a number of each row, and that column's name. The id serves where it is whole and none is null or repeats; else df is
+    written once with numbers of its own."""
     name = free_name(df, "_row")
+    if dict(df.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint") and df.groupBy(id_col).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col(id_col).isNull()).isEmpty():
+        return df.withColumn(name, F.col(id_col).cast("long")), name
     return cut(df.withColumn(name, F.monotonically_increasing_id()), tag), name
 
 
