@@ -39,18 +39,18 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-#: Bytes of a conversation's texts up to which it becomes a JSON record: Spark's variants end at 16 MiB.
-JSON_BYTES = 2 << 20
+#: Bytes of a JSON record up to which it becomes a variant, which end at 16 MiB.
+JSON_BYTES = 15 << 20
 
 
 def conversations(rows: DataFrame) -> DataFrame:
-    """(conv_id, t, bytes) of conversations by turn; t: their turns in order."""
+    """(conv_id, t) of conversations by turn; t: their turns in order."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("t"), F.sum(F.octet_length(F.concat(turn["role"], turn["text"]))).alias("bytes"))
+    return rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("t"))
 
 
 def chat_records(table: DataFrame) -> DataFrame:
-    """(conv_id, record) of conversations: JSON in the layouts that chat data come in, another by conversation. Layouts
+    """conversations with record: JSON in the layouts that chat data come in, another by conversation. Layouts
     that can't hold a conversation (other roles, or not two turns) give way to one that can."""
     listed = lambda role, text, names=(): F.transform("t", lambda t: F.struct(_named(t["role"], names).alias(role), t["text"].alias(text)))
     pair = (F.size("t") == 2) & (F.col("t")[0]["role"] == "user") & (F.get("t", F.lit(1))["role"] == "assistant")
@@ -64,7 +64,7 @@ def chat_records(table: DataFrame) -> DataFrame:
         .when(layout % 3 == 1, F.to_json(F.struct(listed("role", "content").alias("messages"))))
         .otherwise(F.to_json(F.struct(listed("role", "text").alias("turns"))))
     )
-    return table.select("conv_id", record.alias("record"))
+    return table.withColumn("record", record)
 
 
 def _named(role: Column, names: tuple[tuple[str, str], ...]) -> Column:
@@ -78,9 +78,10 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.lit("</s>[INST] ok [/INST]")
     extra = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.to_json(F.struct(said.alias("prompt"), said.alias("response"))).alias("record"))
     table = conversations(read(spark, sf_dir, "conversations"))
-    records = chat_records(table.where(F.col("bytes") <= JSON_BYTES)).unionByName(extra)
+    told, short = chat_records(table), F.octet_length("record") <= JSON_BYTES
+    records = told.where(short).select("conv_id", "record").unionByName(extra)
     listed = F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    large = table.where(F.col("bytes") > JSON_BYTES).select("conv_id", F.struct(listed.alias("turns")).alias("record"))
+    large = told.where(~short).select("conv_id", F.struct(listed.alias("turns")).alias("record"))
     turns = canonical_turns(records).select("conv_id", "turns").unionByName(canonical_turns(large).select("conv_id", "turns"))
     out = turns.select("conv_id", formatted(F.col("turns")).alias("formatted"))
     out = out.select("conv_id", "formatted", read_back(F.col("formatted")).alias("back"), masked(F.col("formatted")).alias("loss"))
