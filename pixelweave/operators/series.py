@@ -108,8 +108,8 @@ def point_in_polygon(x: Column, y: Column, corners: Column) -> Column:
     return F.size(crossed) % 2 == 1
 
 
-def render_masks(shapes: DataFrame, w: int, h: int, depth: int) -> DataFrame:
-    """shapes (gobject_id, type, vertices of x, y, z, t) as mask pixels (z, y, x, n: shapes that cover it).
+def render_masks(shapes: DataFrame, w: int, h: int, depth: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """shapes (gobject_id, type, vertices of x, y, z, t) as mask pixels (z, y, x, n: shapes that cover it), apart by keys.
 
     Points cover their pixel, polylines the pixels along them in half-pixel steps, polygons the pixel centres inside. Only a
     shape's bounding box is looked at; a shape is drawn in the slices where its first vertex is visible.
@@ -117,21 +117,51 @@ def render_masks(shapes: DataFrame, w: int, h: int, depth: int) -> DataFrame:
     v = F.col("vertices")
     first_z = F.get(v, F.lit(0))["z"]
     zs = F.filter(F.sequence(F.lit(0), F.lit(depth - 1)), lambda z: F.coalesce(F.abs(first_z - z) < 0.5, F.lit(True)))
-    drawn = shapes.select("gobject_id", "type", "vertices", F.explode(zs).alias("z"))
+    drawn = shapes.select(*keys, "gobject_id", "type", "vertices", F.explode(zs).alias("z"))
     low = lambda f, top: F.greatest(F.lit(0), F.floor(F.array_min(F.transform(v, lambda p: p[f]))).cast("int"))
     high = lambda f, top: F.least(F.lit(top - 1), F.ceil(F.array_max(F.transform(v, lambda p: p[f]))).cast("int"))
     grid = lambda f, top: F.when(low(f, top) <= high(f, top), F.sequence(low(f, top), high(f, top)))
     polygon = drawn.where("type = 'polygon'").withColumn("y", F.explode(grid("y", h))).withColumn("x", F.explode(grid("x", w)))
-    polygon = polygon.where(point_in_polygon(F.col("x") + 0.5, F.col("y") + 0.5, v)).select("gobject_id", "z", "y", "x")
-    points = drawn.where("type = 'point'").select("gobject_id", "z", F.explode("vertices").alias("p"))
-    edges = drawn.where("type = 'polyline' and size(vertices) > 1").select("gobject_id", "z", F.explode(F.transform(F.sequence(F.lit(1), F.size(v) - 1), lambda i: F.struct(F.get(v, i - 1).alias("a"), F.get(v, i).alias("b")))).alias("e"))
+    polygon = polygon.where(point_in_polygon(F.col("x") + 0.5, F.col("y") + 0.5, v)).select(*keys, "gobject_id", "z", "y", "x")
+    points = drawn.where("type = 'point'").select(*keys, "gobject_id", "z", F.explode("vertices").alias("p"))
+    edges = drawn.where("type = 'polyline' and size(vertices) > 1").select(*keys, "gobject_id", "z", F.explode(F.transform(F.sequence(F.lit(1), F.size(v) - 1), lambda i: F.struct(F.get(v, i - 1).alias("a"), F.get(v, i).alias("b")))).alias("e"))
     span = F.greatest(F.abs(F.col("e.a.x") - F.col("e.b.x")), F.abs(F.col("e.a.y") - F.col("e.b.y")))
     steps = F.greatest(F.lit(1), F.ceil(2 * span).cast("int"))
     walk = edges.withColumn("s", F.explode(F.transform(F.sequence(F.lit(0), steps), lambda k: k / steps)))
-    line = walk.select("gobject_id", "z", F.floor(F.col("e.a.y") + (F.col("e.b.y") - F.col("e.a.y")) * F.col("s")).cast("int").alias("y"), F.floor(F.col("e.a.x") + (F.col("e.b.x") - F.col("e.a.x")) * F.col("s")).cast("int").alias("x"))
-    spots = points.select("gobject_id", "z", F.floor("p.y").cast("int").alias("y"), F.floor("p.x").cast("int").alias("x"))
+    line = walk.select(*keys, "gobject_id", "z", F.floor(F.col("e.a.y") + (F.col("e.b.y") - F.col("e.a.y")) * F.col("s")).cast("int").alias("y"), F.floor(F.col("e.a.x") + (F.col("e.b.x") - F.col("e.a.x")) * F.col("s")).cast("int").alias("x"))
+    spots = points.select(*keys, "gobject_id", "z", F.floor("p.y").cast("int").alias("y"), F.floor("p.x").cast("int").alias("x"))
     covered = polygon.unionByName(line).unionByName(spots).where(F.col("x").between(0, w - 1) & F.col("y").between(0, h - 1)).distinct()
-    return covered.groupBy("z", "y", "x").agg(F.count("*").alias("n"))
+    return covered.groupBy(*keys, "z", "y", "x").agg(F.count("*").alias("n"))
+
+
+def mask_stacks(shapes: DataFrame, w: int, h: int, depth: int, options: str = "", key: str = "stack") -> DataFrame:
+    """(key, z, y, x, v) of the mask pixels above 0 of each stack's shapes (key, gobject_id, type, vertices).
+
+    options is searched for two words. With mask-mode a covered pixel is 255, else the number of shapes on it, at most 255. With
+    interpolate-empty, planes of one value throughout are empty, and take the linear blend of the filled planes beside them; a run
+    at the end is blended towards nothing, and one at the start stays. A stack without any covered pixel has no rows.
+    """
+    drawn = render_masks(shapes, w, h, depth, (key,))
+    value = F.lit(255) if "mask-mode" in options else F.least(F.col("n"), F.lit(255))
+    drawn = drawn.select(key, "z", "y", "x", value.cast("double").alias("v"))
+    if "interpolate-empty" in options:
+        planes = drawn.groupBy(key, "z").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        filled = planes.where((F.col("n") < w * h) | (F.col("low") < F.col("high"))).select(key, "z", F.lit(True).alias("filled"))
+        spots = drawn.select(key, "y", "x").distinct().withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))))
+        known = spots.join(filled, [key, "z"], "left").join(drawn, [key, "z", "y", "x"], "left")
+        known = known.withColumn("own", F.coalesce("v", F.lit(0.0))).withColumn("v", F.when(F.col("filled"), F.col("own"))).drop("filled")
+        blended = fill_gaps(known.withColumn("spot", F.struct(key, "y", "x")), "spot", "z", "v")
+        drawn = blended.select(key, "z", "y", "x", F.coalesce("filled", "own").alias("v"))
+    return drawn.select(key, "z", "y", "x", F.floor(F.col("v") + 0.5).cast("int").alias("v")).where("v > 0")
+
+
+def mask_planes(masks: DataFrame, w: int, h: int, depth: int, key: str = "stack") -> DataFrame:
+    """(image_id, page, channel, width, height, pixels): all planes of the stacks of mask pixels, such as readers.tiff_files writes."""
+    at = F.map_from_entries(F.collect_list(F.struct((F.col("y") * w + F.col("x")).alias("k"), F.col("v").cast("double").alias("v"))))
+    held = masks.groupBy(key, "z").agg(at.alias("at"))
+    every = masks.select(key).distinct().withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(depth - 1)))).join(held, [key, "z"], "left")
+    pixels = F.transform(F.sequence(F.lit(0), F.lit(w * h - 1)), lambda k: F.coalesce(F.try_element_at("at", k), F.lit(0.0)))
+    return every.select(F.col(key).alias("image_id"), F.col("z").alias("page"), F.lit(0).alias("channel"), F.lit(w).alias("width"), F.lit(h).alias("height"), pixels.alias("pixels"))
 
 
 def apply_steps(df: DataFrame, steps: list[tuple]) -> DataFrame:

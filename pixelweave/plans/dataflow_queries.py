@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from ..operators import features as FE
 from ..operators import planes as PL
 from ..operators import raster as R
+from ..operators import registration as RG
 from ..operators import tiles as TI
 from ..operators import transforms as TR
 from ..operators import wavelets as WV
+from .raster_queries import ORACLES as RO
 from .raster_queries import PX, H, P, W, images
 
 TILE = 4
@@ -134,8 +136,10 @@ def oriented_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chebyshev_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = images(spark, sf_dir).select("image_id", F.posexplode(TR.chebyshev_1d(F.slice(P(), 1, 8), 5, 8)).alias("j", "c"))
-    return c.select("image_id", "j", F.round("c", 6).alias("c"))
+    """Coefficients of every row of the images."""
+    rows = images(spark, sf_dir).select("image_id", F.explode(F.sequence(F.lit(0), F.lit(H - 1))).alias("y"), "pixels")
+    c = rows.select("image_id", "y", F.posexplode(TR.chebyshev_1d(F.slice(P(), F.col("y") * W + 1, F.lit(W)), 5, W)).alias("j", "c"))
+    return c.select("image_id", "y", "j", (F.round("c", 6) + 0.0).alias("c"))
 
 
 def chebyshev_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,8 +152,10 @@ def radon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def radon_texture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = images(spark, sf_dir).select("image_id", F.posexplode(TR.radon_texture(F.slice(P(), 1, 12))).alias("k", "v"))
-    return out.select("image_id", "k", F.round("v", 6).alias("v"))
+    """The measures' order for every twelve values, the last twelve overlapping those before."""
+    blocks = images(spark, sf_dir).select("image_id", F.explode(F.array(*map(F.lit, (0, 12, 24, 36, 48, 52)))).alias("first"), "pixels")
+    out = blocks.select("image_id", "first", F.posexplode(TR.radon_texture(F.slice(P(), F.col("first") + 1, F.lit(12)))).alias("k", "v"))
+    return out.select("image_id", "first", "k", F.round("v", 6).alias("v"))
 
 
 def _dwt(bank, mode, high=False):
@@ -177,14 +183,41 @@ def fft_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("image_id", "ky", "kx", *((F.round(c, 5) + 0.0).alias(c) for c in ("re", "im")))
 
 
-def _sized(spark, sf_dir, w, h):
-    """The first w x h values of each image as one of that size: sides that differ, of odd length."""
-    return images(spark, sf_dir).select("image_id", F.lit(w).alias("width"), F.lit(h).alias("height"), F.slice("pixels", 1, w * h).alias("pixels"))
+def _sized(spark, sf_dir, w, h, first=1):
+    """w x h values of each image, from the first on, as an image of that size."""
+    return images(spark, sf_dir).select("image_id", F.lit(w).alias("width"), F.lit(h).alias("height"), F.slice("pixels", first, w * h).alias("pixels"))
 
 
 def halve_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = PL.mapped(_sized(spark, sf_dir, 7, 9), PL.halve)
-    return out.select("image_id", F.posexplode("pixels").alias("k", "v")).select("image_id", "k", F.round("v", 6).alias("v"))
+    """Images of 7 x 9 of all values but the last, and of 9 x 7 of all but the first."""
+    both = _sized(spark, sf_dir, 7, 9).withColumn("first", F.lit(1)).unionByName(_sized(spark, sf_dir, 9, 7, 2).withColumn("first", F.lit(2)))
+    out = PL.mapped(both, PL.halve)
+    return out.select("image_id", "first", F.posexplode("pixels").alias("k", "v")).select("image_id", "first", "k", F.round("v", 6).alias("v"))
+
+
+def _planewise(function):
+    """A query that gives a function of whole planes of each image as one row a pixel."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = PL.mapped(_sized(spark, sf_dir, W, H), function)
+        out = out.select("image_id", F.posexplode("pixels").alias("k", "v"))
+        return out.select("image_id", F.floor(F.col("k") / W).cast("int").alias("y"), (F.col("k") % W).alias("x"), F.round("v", 6).alias("v"))
+
+    return run
+
+
+def registered_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The map from every image to the one with the next id."""
+    im = images(spark, sf_dir)
+    left, right = im.select(F.col("image_id").alias("pair_id"), "pixels"), im.select((F.col("image_id") - 1).alias("pair_id"), "pixels")
+    out = RG.register(left, right, W, H, 16, 1)
+    return out.select("pair_id", "kind", "n_points", F.posexplode("params").alias("k", "p"), "fit").select("pair_id", "kind", "n_points", "k", F.round("p", 4).alias("p"), F.round("fit", 4).alias("fit"))
+
+
+def rst_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scale, turn and shift of each pair's fit."""
+    out = FE.fit(_points(spark, sf_dir), "rst").select("pair_id", FE.rst_of(F.col("params")).alias("t"))
+    return out.select("pair_id", *(F.round(f"t.{c}", 4).alias(c) for c in ("r", "c", "s", "dx", "dy")))
 
 
 def wavelet_denoised(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,6 +239,8 @@ QUERIES = {
     "oriented_patches": oriented_patches, "chebyshev_1d": chebyshev_1d, "chebyshev_2d": chebyshev_2d, "radon": radon, "radon_texture": radon_texture,
     "dwt_low_zeropad": _dwt("sym5", "zeropad"), "dwt_high_zeropad": _dwt("sym5", "zeropad", True), "dwt_low_symmetric": _dwt("bior3.1", "symmetric"), "dwt_high_periodic": _dwt("bior5.5", "periodic", True),
     "dwt_low_constant_edge": _dwt("sym5", "constant edge"), "dwt_round_trip": dwt_round_trip, "dwt_2d": dwt_2d, "fft_2d": fft_2d, "fft_2d_all": fft_2d, "halve_odd": halve_odd, "wavelet_denoised": wavelet_denoised, "fast_chebyshev": fast_chebyshev,
+    "plane_smooth": _planewise(PL.smooth), "plane_gradient_x": _planewise(lambda g: PL.gradient(g, "x")), "plane_gradient_y": _planewise(lambda g: PL.gradient(g, "y")), "plane_corner_response": _planewise(PL.structure),
+    "registered_pairs": registered_pairs, "rst_parameters": rst_parameters,
 }
 
 
@@ -223,6 +258,11 @@ _TIES = f"""{PX}, p AS (SELECT image_id AS pair_id, y * 8 + x AS idx, x::DOUBLE
 _NEXT = """d AS (SELECT a.vec_id AS pair_id, l::INT AS l, r::INT AS r, round(list_sum(list_transform(range(1, 9), lambda i: abs(a.embedding[l * 8 + i]::DOUBLE - b.embedding[r * 8 + i]::DOUBLE))), 6) AS d
   FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1, range(8) t(l), range(8) u(r))"""
 
+#: Means of the tie points and sums of products about them.
+_CENTRED = """m AS (SELECT pair_id, avg(x1) AS mx, avg(y1) AS my, avg(x2) AS mu, avg(y2) AS mv, count(*) AS n_points FROM p GROUP BY pair_id),
+c AS (SELECT pair_id, n_points, mx, my, mu, mv, sum((x1 - mx) * (x1 - mx)) AS xx, sum((x1 - mx) * (y1 - my)) AS xy, sum((y1 - my) * (y1 - my)) AS yy, sum((x1 - mx) * (x2 - mu)) AS xu,
+  sum((y1 - my) * (x2 - mu)) AS yu, sum((x1 - mx) * (y2 - mv)) AS xv, sum((y1 - my) * (y2 - mv)) AS yv FROM p JOIN m USING (pair_id) GROUP BY ALL)"""
+
 
 ORACLES = {
     "tile_table": f"WITH {PX} SELECT image_id, 0 AS level, y // 4 AS ty, x // 4 AS tx, round(sum(v), 6) AS total, count(*) AS n FROM px GROUP BY ALL",
@@ -248,14 +288,15 @@ round(sum(x1 * x2), 4) AS b0, round(sum(y1 * x2), 4) AS b1, round(sum(x2), 4) AS
     "fit_score": f"""WITH {PX}, q AS (SELECT a.image_id AS pair_id, a.v AS g, b.v AS gg FROM px a LEFT JOIN px b ON a.image_id = b.image_id AND a.y = b.y AND a.x = b.x - 1),
 s AS (SELECT pair_id, avg(g) FILTER (gg IS NOT NULL) AS m, stddev_samp(g) FILTER (gg IS NOT NULL) AS s, avg(gg) AS mm, stddev_samp(gg) AS ss FROM q GROUP BY ALL)
 SELECT pair_id, round(2 * avg(abs((g - m) / s - (gg - mm) / ss) / 0.03::DOUBLE), 4) AS fit, round(count(gg) / count(*), 6) AS overlap FROM q JOIN s USING (pair_id) GROUP BY ALL""",
-    "chebyshev_1d": f"""WITH {PX} SELECT image_id, j::INT AS j, round(sum(v * {_BASIS.format(a='x')}), 6) AS c FROM px, range(5) t(j) WHERE y = 0 GROUP BY ALL""",
+    "chebyshev_1d": f"""WITH {PX} SELECT image_id, y, j::INT AS j, round(sum(v * {_BASIS.format(a='x')}), 6) + 0 AS c FROM px, range(5) t(j) GROUP BY ALL""",
     "chebyshev_2d": f"""WITH {PX}, r AS (SELECT image_id, y, j AS jx, sum(v * {_BASIS.format(a='x')}) AS v FROM px, range(4) t(j) GROUP BY ALL)
 SELECT image_id, jx::INT AS jx, j::INT AS jy, round(sum(v * {_BASIS.format(a='y')}), 6) AS c FROM r, range(4) t(j) GROUP BY ALL""",
     "radon": f"""WITH {PX}, a(angle) AS (VALUES (0.0::DOUBLE), (30.0::DOUBLE), (45.0::DOUBLE), (90.0::DOUBLE)),
 q AS (SELECT image_id, angle, v * 0.25::DOUBLE AS m, (-4.25::DOUBLE + 0.5::DOUBLE * (2 * x + sx)) * cos(radians(angle)) + 12 + (-4.25::DOUBLE + 0.5::DOUBLE * (15 - (2 * y + sy))) * sin(radians(angle)) AS pos FROM px, a, range(2) t(sx), range(2) u(sy) WHERE v <> 0),
 b AS (SELECT image_id, angle, trunc(pos)::INT AS r, m * (1 - pos + trunc(pos)) AS v FROM q UNION ALL SELECT image_id, angle, trunc(pos)::INT + 1, m - m * (1 - pos + trunc(pos)) FROM q)
 SELECT image_id, angle, r, round(sum(v), 6) AS v FROM b WHERE r BETWEEN 0 AND 26 GROUP BY ALL""",
-    "radon_texture": "SELECT vec_id AS image_id, (k - 1)::INT AS k, round(embedding[[1, 2, 3, 10, 11, 12, 4, 5, 6, 7, 8, 9][k]]::DOUBLE, 6) AS v FROM embeddings, range(1, 13) t(k)",
+    "radon_texture": """SELECT vec_id AS image_id, first, (k - 1)::INT AS k, round(embedding[first + [1, 2, 3, 10, 11, 12, 4, 5, 6, 7, 8, 9][k]]::DOUBLE, 6) AS v
+FROM embeddings, range(1, 13) t(k), (VALUES (0), (12), (24), (36), (48), (52)) f(first)""",
     "dwt_low_zeropad": _sql_dwt(TR.BANKS["sym5"][0], "greatest(0, least(63, i))", "i BETWEEN 0 AND 63"),
     "dwt_high_zeropad": _sql_dwt(TR.BANKS["sym5"][1], "greatest(0, least(63, i))", "i BETWEEN 0 AND 63"),
     "dwt_low_symmetric": _sql_dwt(TR.BANKS["bior3.1"][0], "CASE WHEN i < 0 THEN -1 - i WHEN i > 63 THEN 127 - i ELSE i END"),
@@ -265,8 +306,22 @@ SELECT image_id, angle, r, round(sum(v), 6) AS v FROM b WHERE r BETWEEN 0 AND 26
     "fft_2d": f"""WITH {PX}, f AS (SELECT i::INT AS ky, j::INT AS kx FROM range(8) a(i), range(8) b(j))
 SELECT image_id, ky, kx, round(sum(v * cos(-2 * pi() * ((ky * y + kx * x) % 8) / 8)), 5) + 0 AS re, round(sum(v * sin(-2 * pi() * ((ky * y + kx * x) % 8) / 8)), 5) + 0 AS im FROM px, f GROUP BY ALL""",
     "edge_tiles": f"WITH {PX} SELECT image_id, y // 3 AS ty, x // 3 AS tx, round(sum(v), 6) AS total, count(*) AS n FROM px GROUP BY ALL",
-    "halve_odd": """WITH p AS (SELECT vec_id AS image_id, ((i - 1) // 7)::INT AS y, ((i - 1) % 7)::INT AS x, embedding[i]::DOUBLE AS v FROM embeddings, range(1, 64) t(i))
-SELECT image_id, (y // 2 * 4 + x // 2)::INT AS k, round(avg(v), 6) AS v FROM p GROUP BY image_id, y // 2, x // 2""",
+    "halve_odd": """WITH p AS (SELECT vec_id AS image_id, first, w, ((i - 1) // w)::INT AS y, ((i - 1) % w)::INT AS x, embedding[i + first - 1]::DOUBLE AS v
+  FROM embeddings, range(1, 64) t(i), (VALUES (1, 7), (2, 9)) f(first, w))
+SELECT image_id, first, (y // 2 * ((w + 1) // 2) + x // 2)::INT AS k, round(avg(v), 6) AS v FROM p GROUP BY image_id, first, w, y // 2, x // 2""",
+    "plane_smooth": RO["smooth"], "plane_gradient_x": RO["gradient_x"], "plane_gradient_y": RO["gradient_y"], "plane_corner_response": RO["corner_response"],
+    "fit_affine": f"""WITH {_TIES}, {_CENTRED}, s AS (SELECT *, xx * yy - xy * xy AS det FROM c),
+r AS (SELECT pair_id, n_points, (xu * yy - yu * xy) / det AS a, (yu * xx - xu * xy) / det AS b, (xv * yy - yv * xy) / det AS d, (yv * xx - xv * xy) / det AS e, mx, my, mu, mv FROM s)
+SELECT pair_id, n_points, k::INT AS k, round([a, b, mu - a * mx - b * my, d, e, mv - d * mx - e * my][k + 1], 4) AS p FROM r, range(6) t(k)""",
+    "fit_rst": f"""WITH {_TIES}, {_CENTRED}, r AS (SELECT *, (xu + yv) / (xx + yy) AS a, (yu - xv) / (xx + yy) AS b FROM c)
+SELECT pair_id, n_points, k::INT AS k, round([a, b, mu - a * mx - b * my, mv + b * mx - a * my][k + 1], 4) AS p FROM r, range(4) t(k)""",
+    "rst_parameters": f"""WITH {_TIES}, {_CENTRED}, r AS (SELECT *, (xu + yv) / (xx + yy) AS a, (yu - xv) / (xx + yy) AS b FROM c)
+SELECT pair_id, round(sqrt(a * a + b * b), 4) AS r, round(a / sqrt(a * a + b * b), 4) AS c, round(b / sqrt(a * a + b * b), 4) AS s, round(mu - a * mx - b * my, 4) AS dx, round(mv + b * mx - a * my, 4) AS dy FROM r""",
+    "fit_st": f"""WITH {_TIES}, {_CENTRED}, r AS (SELECT *, (xu + yv) / (xx + yy) AS a FROM c)
+SELECT pair_id, n_points, k::INT AS k, round([a, mu - a * mx, mv - a * my][k + 1], 4) AS p FROM r, range(3) t(k)""",
+    "match_features": f"""WITH {_NEXT}, n AS (SELECT *, row_number() OVER (PARTITION BY pair_id, l ORDER BY d, r) AS a, row_number() OVER (PARTITION BY pair_id, r ORDER BY d, l) AS b FROM d),
+s AS (SELECT pair_id, l, r, d, b = 1 AS mutual, sum((b = 1)::INT) OVER (PARTITION BY pair_id) < 4 AS relaxed FROM n WHERE a = 1)
+SELECT pair_id, l, r, d, row_number() OVER (PARTITION BY pair_id ORDER BY d, l)::INT AS rank, relaxed FROM s WHERE mutual OR relaxed""",
     "fast_chebyshev": "SELECT vec_id AS image_id, (k - 1)::INT AS k, round(embedding[k]::DOUBLE, 5) + 0.0 AS v FROM embeddings, range(1, 65) t(k)",
 }
 #: The same queries under the names that they had beside samples of them.

@@ -205,6 +205,16 @@ def mask_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.render_masks(shapes, 32, 24, 3)
 
 
+def mask_stacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stack for each brand: boxes of the parts in every second of five planes, the others blended."""
+    d = lambda c: F.col(c).cast("double")
+    pt = lambda x, y, z: F.struct(x.alias("x"), y.alias("y"), z.alias("z"))
+    x, y, z = d("p_size") % 30, d("p_partkey") % 20, (F.col("p_partkey") % 3 * 2).cast("double")
+    vertices = F.array(pt(x, y, z), pt(x + 6, y, z), pt(x + 6, y + 5, z), pt(x, y + 5, z))
+    shapes = _read(spark, sf_dir, "part").select(F.col("p_brand").alias("stack"), F.col("p_partkey").alias("gobject_id"), F.lit("polygon").alias("type"), vertices.alias("vertices"))
+    return S.mask_stacks(shapes, 48, 36, 5, "mask-mode,interpolate-empty")
+
+
 def point_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All points of a series as one text, in order."""
     s = _read(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", T.point_xml(F.col("s_suppkey") % 1000, F.col("s_acctbal"), F.lit(1)).alias("p"))
@@ -216,7 +226,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         string_functions, split_join, template, ini_tags, dates, lens_and_resolution, tag_defaults, natural_sort, colour_modes, tiff_dialects, rounding, unpack_bits, offsets, vectors, mercator, geometry,
-        cursors, gap_fill, combine_series, merge_channels, palette_lookup, not_yet_converted, restricted, metadata_query, slice_order, slice_spacing, series_groups, mask_render, point_file,
+        cursors, gap_fill, combine_series, merge_channels, palette_lookup, not_yet_converted, restricted, metadata_query, slice_order, slice_spacing, series_groups, mask_render, mask_stacks, point_file,
     )
 }
 
@@ -277,6 +287,16 @@ SELECT l_orderkey, round(CASE WHEN max(gap) - min(gap) <= 1e-6 THEN avg(gap) ELS
     "series_groups": "SELECT o_custkey, count(*)::INT AS n, string_agg(o_orderkey, ',' ORDER BY o_orderkey) AS files FROM orders GROUP BY ALL",
     "mask_render": """WITH s AS (SELECT p_partkey AS id, p_size % 30 AS x0, p_partkey % 20 AS y0, p_partkey % 4 AS z FROM part)
 SELECT z::INT AS z, y::INT AS y, x::INT AS x, count(*) AS n FROM s, range(32) a(x), range(24) b(y) WHERE z < 3 AND x >= x0 AND x < x0 + 6 AND y >= y0 AND y < y0 + 5 GROUP BY ALL""",
+    "mask_stacks": """WITH s AS (SELECT p_brand AS stack, p_size % 30 AS x0, p_partkey % 20 AS y0, p_partkey % 3 * 2 AS z FROM part),
+d AS (SELECT DISTINCT stack, z, y, x FROM s, range(48) a(x), range(36) b(y) WHERE x >= x0 AND x < x0 + 6 AND y >= y0 AND y < y0 + 5),
+f AS (SELECT DISTINCT stack, z FROM d), g AS (SELECT DISTINCT stack, y, x FROM d),
+c AS (SELECT g.stack, t.z, g.y, g.x, CASE WHEN f.z IS NOT NULL THEN CASE WHEN d.z IS NOT NULL THEN 255 ELSE 0 END END AS v FROM g CROSS JOIN range(5) t(z)
+  LEFT JOIN f ON f.stack = g.stack AND f.z = t.z LEFT JOIN d ON d.stack = g.stack AND d.z = t.z AND d.y = g.y AND d.x = g.x),
+n AS (SELECT *, max(CASE WHEN v IS NOT NULL THEN z END) OVER b AS lz, min(CASE WHEN v IS NOT NULL THEN z END) OVER a AS hz FROM c
+  WINDOW b AS (PARTITION BY stack, y, x ORDER BY z ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY stack, y, x ORDER BY z ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+o AS (SELECT n.stack, n.z, n.y, n.x, coalesce(n.v, l.v + (coalesce(h.v, 0) - l.v) * CASE WHEN coalesce(hz, 4) > lz THEN (n.z - lz) / (coalesce(hz, 4) - lz)::DOUBLE ELSE 0 END, 0) AS v
+  FROM n LEFT JOIN c l ON l.stack = n.stack AND l.y = n.y AND l.x = n.x AND l.z = n.lz LEFT JOIN c h ON h.stack = n.stack AND h.y = n.y AND h.x = n.x AND h.z = n.hz)
+SELECT stack, z::INT AS z, y::INT AS y, x::INT AS x, floor(v + 0.5)::INT AS v FROM o WHERE floor(v + 0.5) > 0""",
     "point_file": f"SELECT s_nationkey, string_agg({_XML.format(n='(s_suppkey % 1000)', x='s_acctbal', y='1')}, chr(10) ORDER BY s_suppkey) AS text FROM supplier GROUP BY ALL",
 }
 #: The same query under the name that it had beside a sample of it.

@@ -40,19 +40,21 @@ def _scalars(columns):
 #: Pixels of all images, one row each.
 PX = """px AS (SELECT vec_id AS image_id, label, ((i - 1) // 8)::INT AS y, ((i - 1) % 8)::INT AS x, embedding[i]::DOUBLE AS v
   FROM embeddings, range(1, 65) t(i))"""
-SMOOTH = """sm AS (SELECT c.image_id, c.y, c.x,
-    CASE WHEN c.x IN (0, 7) AND c.y IN (0, 7) THEN (c.v + h.v + k.v + g.v) / 4
-      WHEN c.x IN (0, 7) THEN (c.v + u.v + d.v + h.v) / 4
-      WHEN c.y IN (0, 7) THEN (c.v + l.v + r.v + k.v) / 4
-      ELSE (u.v + d.v + l.v + r.v + 4 * c.v) / 8 END AS v
-  FROM px c
-  LEFT JOIN px l ON l.image_id = c.image_id AND l.y = c.y AND l.x = c.x - 1
-  LEFT JOIN px r ON r.image_id = c.image_id AND r.y = c.y AND r.x = c.x + 1
-  LEFT JOIN px u ON u.image_id = c.image_id AND u.x = c.x AND u.y = c.y - 1
-  LEFT JOIN px d ON d.image_id = c.image_id AND d.x = c.x AND d.y = c.y + 1
-  LEFT JOIN px h ON h.image_id = c.image_id AND h.y = c.y AND h.x = c.x + CASE WHEN c.x = 0 THEN 1 ELSE -1 END
-  LEFT JOIN px k ON k.image_id = c.image_id AND k.x = c.x AND k.y = c.y + CASE WHEN c.y = 0 THEN 1 ELSE -1 END
-  LEFT JOIN px g ON g.image_id = c.image_id AND g.x = c.x + CASE WHEN c.x = 0 THEN 1 ELSE -1 END AND g.y = c.y + CASE WHEN c.y = 0 THEN 1 ELSE -1 END)"""
+#: The same by position in the list, which needs no join of pixels.
+AT = """spots AS (SELECT vec_id AS image_id, embedding AS e, ((i - 1) // 8)::INT AS y, ((i - 1) % 8)::INT AS x,
+    CASE WHEN (i - 1) % 8 = 0 THEN 1 ELSE (i - 1) % 8 - 1 END AS hx, CASE WHEN (i - 1) // 8 = 0 THEN 1 ELSE (i - 1) // 8 - 1 END AS hy FROM embeddings, range(1, 65) t(i))"""
+
+
+def _v(y: str, x: str) -> str:
+    """The value at a place in the list of spots; hx and hy are the column and row beside x and y inside the image."""
+    return f"e[(({y}) * 8 + ({x}) + 1)::INT]::DOUBLE"
+
+
+SMOOTH = f"""{AT}, sm AS (SELECT image_id, y, x,
+    CASE WHEN x IN (0, 7) AND y IN (0, 7) THEN ({_v("y", "x")} + {_v("y", "hx")} + {_v("hy", "x")} + {_v("hy", "hx")}) / 4
+      WHEN x IN (0, 7) THEN ({_v("y", "x")} + {_v("y - 1", "x")} + {_v("y + 1", "x")} + {_v("y", "hx")}) / 4
+      WHEN y IN (0, 7) THEN ({_v("y", "x")} + {_v("y", "x - 1")} + {_v("y", "x + 1")} + {_v("hy", "x")}) / 4
+      ELSE ({_v("y - 1", "x")} + {_v("y + 1", "x")} + {_v("y", "x - 1")} + {_v("y", "x + 1")} + 4 * {_v("y", "x")}) / 8 END AS v FROM spots)"""
 STATS = "st AS (SELECT image_id, avg(v) AS m, stddev_samp(v) AS s, min(v) AS lo, max(v) AS hi FROM px GROUP BY image_id)"
 
 
@@ -92,11 +94,21 @@ def colour_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rgba_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows 0-2 of the image as three channels of 8 pixels, blended by weights."""
-    planes = [F.slice(P(), 8 * c + 1, 8) for c in range(3)]
+    """Every three rows of the image that follow each other as channels of 8 pixels, blended by weights."""
+    rows = images(spark, sf_dir).select("image_id", "pixels", F.explode(F.sequence(F.lit(0), F.lit(H - 3))).alias("y"))
+    planes = [F.slice(P(), 8 * (F.col("y") + c) + 1, F.lit(8)) for c in range(3)]
     fused = R.fuse(planes, [(1.0, 0.0, 0.5), (0.0, 1.0, 0.5), (0.25, 0.25, 0.0)])
-    out = images(spark, sf_dir).select("image_id", F.posexplode(fused).alias("k", "c"))
-    return out.select("image_id", "k", *(F.round(f"c.{n}", 6).alias(n) for n in "rgb"))
+    out = rows.select("image_id", "y", F.posexplode(fused).alias("k", "c"))
+    return out.select("image_id", "y", "k", *(F.round(f"c.{n}", 6).alias(n) for n in "rgb"))
+
+
+def rgba_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The colour that each pixel is shown in, with every row as the first channel of one, two and three."""
+    rows = images(spark, sf_dir).select("image_id", "pixels", F.explode(F.sequence(F.lit(0), F.lit(H - 3))).alias("y"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("channels"))
+    planes = [F.slice(P(), 8 * (F.col("y") + c) + 1, F.lit(8)) for c in range(3)]
+    shown = F.when(F.col("channels") == 1, R.rgba(planes[:1], F.col("x"))).when(F.col("channels") == 2, R.rgba(planes[:2], F.col("x"))).otherwise(R.rgba(planes, F.col("x")))
+    out = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(W - 1)))).withColumn("c", shown)
+    return out.select("image_id", "channels", "y", "x", *(F.round(f"c.{n}", 6).alias(n) for n in "rgb"), "c.a")
 
 
 def paste_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,6 +155,7 @@ QUERIES = {
     "memory_footprint": memory_footprint,
     "colour_count": colour_count,
     "rgba_fusion": rgba_fusion,
+    "rgba_pixels": rgba_pixels,
     "normal_matrix": normal_matrix,
 }
 
@@ -161,8 +174,7 @@ SELECT image_id, round(min(v), 6) AS least, round(max(v), 6) AS most, round(avg(
     "flip_vertical": _moved("x", "7 - y"),
     "mirror_horizontal": _moved("7 - x", "y"),
     "roi_crop": _moved("x - 3", "y - 5", "WHERE x >= 3 AND y >= 5"),
-    "roi_paste": f"""WITH {PX} SELECT a.image_id, a.y, a.x, round(coalesce(b.v, a.v), 6) AS v FROM px a
-LEFT JOIN px b ON a.image_id = b.image_id AND b.x < 3 AND b.y < 2 AND a.x = b.x + 4 AND a.y = b.y + 5""",
+    "roi_paste": f"WITH {AT} SELECT image_id, y, x, round(CASE WHEN x BETWEEN 4 AND 6 AND y BETWEEN 5 AND 6 THEN {_v('y - 5', 'x - 4')} ELSE {_v('y', 'x')} END, 6) AS v FROM spots",
     "interleave": _moved("((y * 8 + x) % 32 * 2 + (y * 8 + x) // 32) % 8", "((y * 8 + x) % 32 * 2 + (y * 8 + x) // 32) // 8"),
     "deinterleave": _moved("(y * 8 + x) // 4 % 8", "(y * 8 + x) // 4 // 8", "WHERE (y * 8 + x) % 4 = 1"),
     "resize_pad": f"""WITH {PX}, g AS (SELECT image_id, yy::INT AS y, xx::INT AS x FROM (SELECT DISTINCT image_id FROM px), range(9) a(yy), range(10) b(xx))
@@ -170,10 +182,8 @@ SELECT g.image_id, g.y, g.x, round(coalesce(px.v, 0), 6) AS v FROM g LEFT JOIN p
     "hard_threshold": f"WITH {PX} SELECT image_id, y, x, round(CASE WHEN abs(v) < 0.1 THEN 0 ELSE v END, 6) AS v FROM px",
     "guarded_read": "SELECT vec_id AS image_id, round(embedding[8]::DOUBLE, 6) AS inside, NULL::DOUBLE AS outside FROM embeddings",
     "smooth": f"WITH {PX}, {SMOOTH} SELECT image_id, y, x, round(v, 6) AS v FROM sm",
-    "gradient_x": f"""WITH {PX} SELECT a.image_id, a.y, a.x, round(CASE WHEN a.x IN (0, 7) OR a.y IN (0, 7) THEN 0 ELSE (r.v - l.v) / 2 END, 6) AS v FROM px a
-LEFT JOIN px l ON l.image_id = a.image_id AND l.y = a.y AND l.x = a.x - 1 LEFT JOIN px r ON r.image_id = a.image_id AND r.y = a.y AND r.x = a.x + 1""",
-    "gradient_y": f"""WITH {PX} SELECT a.image_id, a.y, a.x, round(CASE WHEN a.x IN (0, 7) OR a.y IN (0, 7) THEN 0 ELSE (r.v - l.v) / 2 END, 6) AS v FROM px a
-LEFT JOIN px l ON l.image_id = a.image_id AND l.x = a.x AND l.y = a.y - 1 LEFT JOIN px r ON r.image_id = a.image_id AND r.x = a.x AND r.y = a.y + 1""",
+    "gradient_x": f"WITH {AT} SELECT image_id, y, x, round(CASE WHEN x IN (0, 7) OR y IN (0, 7) THEN 0 ELSE ({_v('y', 'x + 1')} - {_v('y', 'x - 1')}) / 2 END, 6) AS v FROM spots",
+    "gradient_y": f"WITH {AT} SELECT image_id, y, x, round(CASE WHEN x IN (0, 7) OR y IN (0, 7) THEN 0 ELSE ({_v('y + 1', 'x')} - {_v('y - 1', 'x')}) / 2 END, 6) AS v FROM spots",
     "corner_response": f"""WITH {PX}, {SMOOTH},
 g AS (SELECT a.image_id, a.y, a.x, CASE WHEN a.x IN (0, 7) OR a.y IN (0, 7) THEN 0 ELSE (d.v - u.v) / 2 END AS gx, CASE WHEN a.x IN (0, 7) OR a.y IN (0, 7) THEN 0 ELSE (r.v - l.v) / 2 END AS gy FROM sm a
   LEFT JOIN sm l ON l.image_id = a.image_id AND l.y = a.y AND l.x = a.x - 1 LEFT JOIN sm r ON r.image_id = a.image_id AND r.y = a.y AND r.x = a.x + 1
@@ -200,8 +210,10 @@ SELECT image_id, y, x, least(greatest(trunc((v - lo) / greatest(1, trunc((hi - l
     "channel_extract": f"WITH {PX} SELECT image_id, round(sum(v), 6) AS total FROM px WHERE y = least(9, 7) GROUP BY ALL",
     "memory_footprint": "SELECT label, sum(ceil((label + 5) * 12 / 8.0) * 24)::BIGINT AS bytes FROM embeddings GROUP BY ALL",
     "colour_count": f"WITH {PX}, {STATS} SELECT image_id, count(DISTINCT {_U8}) AS colours FROM px JOIN st USING (image_id) GROUP BY ALL",
-    "rgba_fusion": """SELECT vec_id AS image_id, k::INT AS k, round(embedding[k + 1]::DOUBLE + 0.25 * embedding[k + 17]::DOUBLE, 6) AS r,
-round(embedding[k + 9]::DOUBLE + 0.25 * embedding[k + 17]::DOUBLE, 6) AS g, round(0.5 * embedding[k + 1]::DOUBLE + 0.5 * embedding[k + 9]::DOUBLE, 6) AS b FROM embeddings, range(8) t(k)""",
+    "rgba_fusion": f"""WITH {AT} SELECT image_id, y, x AS k, round({_v("y", "x")} + 0.25 * {_v("y + 2", "x")}, 6) AS r, round({_v("y + 1", "x")} + 0.25 * {_v("y + 2", "x")}, 6) AS g,
+round(0.5 * {_v("y", "x")} + 0.5 * {_v("y + 1", "x")}, 6) AS b FROM spots WHERE y < 6""",
+    "rgba_pixels": f"""WITH {AT} SELECT image_id, channels::INT AS channels, y, x, round({_v("y", "x")}, 6) AS r, round(CASE WHEN channels = 1 THEN {_v("y", "x")} ELSE {_v("y + 1", "x")} END, 6) AS g,
+round(CASE channels WHEN 1 THEN {_v("y", "x")} WHEN 2 THEN 0 ELSE {_v("y + 2", "x")} END, 6) AS b, 255 AS a FROM spots, range(1, 4) t(channels) WHERE y < 6""",
     "normal_matrix": f"""WITH {PX} SELECT image_id, sum(x * x)::BIGINT AS xx, sum(x * y)::BIGINT AS xy, sum(y * y)::BIGINT AS yy, sum(x)::BIGINT AS x1, sum(y)::BIGINT AS y1, count(*)::BIGINT AS n,
 round(sum(x * v), 6) AS xv, round(sum(y * v), 6) AS yv FROM px GROUP BY ALL""",
 }

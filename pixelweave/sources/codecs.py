@@ -190,6 +190,12 @@ def _tiff(data: bytes, **options) -> Iterator[Plane]:
     return read_tiff(data, **options)
 
 
+def _microscope(data: bytes, **options) -> Iterator[Plane]:
+    from .dialects import read_microscope
+
+    return read_microscope(data, **options)
+
+
 def _dicom(data: bytes, **options) -> Iterator[Plane]:
     from .dicom import read_dicom
 
@@ -209,7 +215,7 @@ def _oib(data: bytes, **options) -> Iterator[Plane]:
 
 
 #: Formats by name: decoder and file endings.
-READERS = {"dicom": (_dicom, ("dcm", "dicom")), "nifti": (_nifti, ("nii", "gz")), "oib": (_oib, ("oib",)), "tiff": (_tiff, ("tif", "tiff", "stk", "lsm")), "bmp": (read_bmp, ("bmp",)), "raw": (read_raw, ("raw", "dat")), "pic": (read_biorad, ("pic",)), "ibw": (read_ibw, ("ibw",)), "nanoscope": (read_nanoscope, ("nan", "spm"))}
+READERS = {"microscope": (_microscope, ("stk", "lsm", "tif")), "dicom": (_dicom, ("dcm", "dicom")), "nifti": (_nifti, ("nii", "gz")), "oib": (_oib, ("oib",)), "tiff": (_tiff, ("tif", "tiff", "stk", "lsm")), "bmp": (read_bmp, ("bmp",)), "raw": (read_raw, ("raw", "dat")), "pic": (read_biorad, ("pic",)), "ibw": (read_ibw, ("ibw",)), "nanoscope": (read_nanoscope, ("nan", "spm"))}
 #: What each format can hold; the test before a write.
 CAPABILITIES = {"dicom": {"write": False, "pages": True}, "nifti": {"write": False, "pages": True}, "oib": {"write": False, "pages": True}, "tiff": {"write": True, "pages": True}, "bmp": {"write": True, "pages": False}, "raw": {"write": True, "pages": True}, "pic": {"write": False, "pages": True}, "ibw": {"write": False, "pages": True}, "nanoscope": {"write": False, "pages": False}, "parquet": {"write": True, "pages": True}}
 

@@ -83,13 +83,13 @@ def tiff_pages(spark: SparkSession, path: str, glob: str | None = None) -> DataF
 
 
 def _tag_readers() -> dict[str, Callable[[bytes], dict[str, str]]]:
-    from . import compound, dicom, exif, nifti
+    from . import compound, dialects, dicom, exif, nifti
 
-    return {"dicom": dicom.tags, "nifti": nifti.tags, "oib": compound.oib_tags, "jpeg": lambda data: exif.named(exif.read_exif(data))}
+    return {"tiff": dialects.tags, "dicom": dicom.tags, "nifti": nifti.tags, "oib": compound.oib_tags, "jpeg": lambda data: exif.named(exif.read_exif(data))}
 
 
 def read_tags(spark: SparkSession, path: str, kind: str | None = None, glob: str | None = None) -> DataFrame:
-    """(path, kind, tags, error) of DICOM, NIfTI, OIB and JPEG (EXIF, GPS) files under a path, without decoding pixels; the kind by name
+    """(path, kind, tags, error) of DICOM, NIfTI, OIB, TIFF (microscopes' dialects) and JPEG (EXIF, GPS) files under a path, without decoding pixels; the kind by name
     or by each file's first bytes. A file that can't be read has null tags and an error."""
     files = spark.read.format("binaryFile")
     files = files.option("pathGlobFilter", glob) if glob else files

@@ -29,6 +29,8 @@ class Page:
     level: int
     order: str
     tags: dict[int, tuple] = field(default_factory=dict)
+    #: Where a tag's values begin in the file, for layouts that pack something else there.
+    places: dict[int, int] = field(default_factory=dict)
 
     def one(self, tag: int, usual: int) -> int:
         return int(self.tags[tag][0]) if self.tags.get(tag) else usual
@@ -67,6 +69,7 @@ def directories(data: bytes) -> Iterator[Page]:
                 continue  # of a type that the specification doesn't have
             if value + size > len(data):
                 raise ValueError(f"tag {tag} of page {number} lies beyond the file")
+            page.places[tag] = value
             if kind in (5, 10):
                 pairs = struct.unpack_from(f"{order}{2 * times}{'I' if kind == 5 else 'i'}", data, value)
                 page.tags[tag] = tuple(a / b if b else 0.0 for a, b in zip(pairs[::2], pairs[1::2], strict=True))

@@ -454,3 +454,63 @@ def test_three_ways_to_the_same_place(spark, tmp_path):
     assert 15.0008 < got["scale"].ll.lon < 15.001 and 40.64 < got["scale"].ll.lat < 40.66
     assert -0.004 < got["south"].ll.lat < 0 and (got["degrees"].ll.lon, got["degrees"].ll.lat) == (-8.75, 59.625)
     assert got["none"].k is None and got["none"].t is None and got["none"].ll is None
+
+
+# Microscopes' dialects ---------------------------------------------------------------------------------------------
+
+
+def stk_file(planes_, steps, seconds=0):
+    """One directory for all planes: the first by it, the others behind it."""
+    n, h, w = planes_.shape
+    rows = b"".join(struct.pack("<6I", *s, 2_450_000, k * seconds * 1000, 0, 0) for k, s in enumerate(steps))
+    raw = planes_.astype("<u2").tobytes()
+    at = 8 + len(raw) + len(rows)
+    fields = [(256, 4, 1, w), (257, 4, 1, h), (258, 3, 1, 16), (259, 3, 1, 1), (262, 3, 1, 1), (273, 4, 2, at + 200), (277, 3, 1, 1), (278, 4, 1, (h + 1) // 2), (279, 4, 2, at + 208), (33629, 5, n, 8 + len(raw))]
+    half = (h + 1) // 2
+    extra = struct.pack("<4I", 8, 8 + half * w * 2, half * w * 2, (h - half) * w * 2)
+    body = struct.pack("<H", len(fields)) + b"".join(struct.pack("<HHII", *f) for f in fields) + bytes(4)
+    return b"II*\0" + struct.pack("<I", at) + raw + rows + body.ljust(200, b"\0") + extra
+
+
+def fluoview_head(dims):
+    head = struct.pack("<hB", 1456, 0) + b"a stack".ljust(256, b"\0") + bytes(25)
+    for name, n, step in dims:
+        head += name.encode().ljust(16, b"\0") + struct.pack("<Idd", n, 0.0, step) + b"um".ljust(64, b"\0")
+    return tuple(head.ljust(1456, b"\0"))
+
+
+def test_microscope_dialects(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    v = rng.integers(0, 60000, (6, 5, 4)).astype("u2")
+    (tmp_path / "z.stk").write_bytes(stk_file(v, [(3, 2)] * 6))
+    (tmp_path / "t.stk").write_bytes(stk_file(v, [(0, 1)] * 6, seconds=2))
+    two = rng.integers(0, 255, (6, 5, 4, 2)).astype("u1")
+    small = [(tiff.SUBFILE, 4, (1,))]
+    info = struct.pack("<Iiiiiiiiii", 0x00400494C, 500, 4, 5, 3, 2, 2, 1, 1, 1) + struct.pack("<3d", 2e-7, 3e-7, 1e-6)
+    pages = [x for p in two for x in (p, p[:1, :1])]
+    (tmp_path / "a.lsm").write_bytes(tiff.write_tiff(pages, tags=[[(34412, 1, tuple(info))] if k == 0 else small if k % 2 else [] for k in range(12)]))
+    head = fluoview_head([("X", 4, 0.2), ("Y", 5, 0.3), ("Ch", 2, 0.0), ("Z", 3, 1.5)])
+    (tmp_path / "f.tif").write_bytes(tiff.write_tiff([p[:, :, :1] for p in two], tags=[[(34361, 1, head)], *[[]] * 5]))
+    psia = bytearray(580)
+    struct.pack_into("<ii", psia, 100, 4, 5)
+    struct.pack_into("<dd", psia, 140, 8.0, 5.0)
+    struct.pack_into("<dd", psia, 220, 0.5, 2.0)
+    psia[4:14] = "Topog".encode("utf-16-le")
+    signed = rng.integers(-3000, 3000, (5, 4)).astype("<i2")
+    (tmp_path / "p.tif").write_bytes(tiff.write_tiff([two[0]], tags=[[(50434, 1, tuple(signed.tobytes())), (50435, 1, tuple(psia))]]))
+    (tmp_path / "cut.stk").write_bytes(stk_file(v, [(3, 2)] * 6).replace(struct.pack("<HHI", 33629, 5, 6), struct.pack("<HHI", 33629, 5, 60)))
+    (tmp_path / "plain.tif").write_bytes(tiff.write_tiff([two[0], two[1]]))
+    got = {}
+    for r in readers.read_images(spark, str(tmp_path), kind="microscope").collect():
+        got[r.path.rsplit("/", 1)[1], r.page, r.channel] = np.array(r.pixels).reshape(r.height, r.width)
+    for k in range(6):
+        assert np.array_equal(got["z.stk", k, 0], v[k]) and np.array_equal(got["t.stk", k, 0], v[k])
+        assert all(np.array_equal(got["a.lsm", k, c], two[k, :, :, c]) for c in (0, 1))
+        assert np.array_equal(got["f.tif", k // 2, k % 2], two[k, :, :, 0])
+    assert np.array_equal(got["p.tif", 0, 0], signed[::-1].astype(float)) and sorted(n for n, *_ in got if n == "plain.tif") == ["plain.tif"] * 4
+    assert len(got) == 6 + 6 + 12 + 6 + 1 + 4
+    tags = {r.path.rsplit("/", 1)[1]: r for r in readers.read_tags(spark, str(tmp_path)).collect()}
+    of = lambda n, *keys: tuple(tags[n].tags[k] for k in keys)
+    assert of("z.stk", "dialect", "num_z", "num_t", "resolution_z") == ("stk", "6", "1", "1.5") and of("t.stk", "num_z", "num_t", "resolution_t") == ("1", "6", "2")
+    assert of("a.lsm", "num_z", "num_t", "num_c", "resolution_y") == ("3", "2", "2", "0.3") and of("f.tif", "order", "num_c", "resolution_z", "name") == ("cz", "2", "1.5", "a stack")
+    assert of("p.tif", "dialect", "source", "resolution_x") == ("psia", "Topog", "2") and tags["cut.stk"].error and of("plain.tif", "dialect", "num_z") == ("tiff", "2")
