@@ -474,7 +474,7 @@ def test_url_filter_equals_brute_force(spark):
         if i % 3 == 0:
             url, html = f"http://hot.net/{i}", f"<link rel=canonical href='http://hot.net/{i // 2 * 3 // 3 if i % 2 else 0}'>"
         rows.append((i % 590, url, html, "h", 1))
-    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string, host string, component int"), rules).collect()
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string, host string, component int"), rules, variants=True).collect()
     root = {}
 
     def find(x):
