@@ -5,99 +5,167 @@ order, and their members leave the list. Where l members of a group stood side b
 previous-smaller pointer) gets their prefix l times behind its own, so it moves into a new group directly above its old one.
 The position that follows a member when it leaves is where its Lyndon prefix ends.
 
-Second phase: in ascending order of suffixes, each suffix gives the next place of its group to every position whose prefix
-ends where it begins; the previous-smaller pointers list them. Nothing is renamed or compared again.
+Second phase: groups are emitted in ascending order. What follows a member's prefix is a smaller suffix, which has its place
+already, and orders the members; where it is a member itself (a prefix that repeats), the members come after those that they
+repeat, in their order. Nothing is renamed, and no two suffixes are compared.
+
+Groups of at least MANY members go through numpy, smaller ones through views of the same arrays.
 """
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 
+MANY = 48
+
 
 def suffix_array(text: bytes) -> np.ndarray:
     """Starts of the suffixes of text in ascending order; a suffix that is a prefix of another comes first."""
     n = len(text)
     if not n:
         return np.empty(0, np.int64)
-    before, after, group, taken = _groups(text)
-    place, at = [0] * (max(taken) + 1), n
-    for g, count in taken.items():  # from the highest
-        at -= count
-        place[g] = at
-    out = [0] * n
-    j = n - 1
-    while j >= 0 and after[j] == n:
-        g = group[j]
-        out[place[g]] = j
-        place[g] += 1
-        j = before[j]
-    for k in range(n):
-        s = out[k]
-        j = s - 1
-        while j >= 0 and after[j] == s:
-            g = group[j]
-            out[place[g]] = j
-            place[g] += 1
-            j = before[j]
-    return np.array(out, np.int64)
+    collecting = gc.isenabled()
+    gc.disable()  # a few lists a group, none in cycles
+    try:
+        after, group, taken = _groups(text)
+        return _emitted(n, after, group, taken)
+    finally:
+        if collecting:
+            gc.enable()
 
 
-def _groups(text: bytes) -> tuple[list[int], list[int], list[int], dict[int, int]]:
-    """(before, after, group) of each position as it left the list, and the number of members by group in descending order."""
+def _groups(text: bytes) -> tuple[np.ndarray, np.ndarray, list]:
+    """Where each position's Lyndon prefix ends, its group, and (group, members) in descending order."""
     n, codes = len(text), np.frombuffer(text, np.uint8)
     order = np.argsort(codes, kind="stable")
-    symbols, group_of = np.unique(codes, return_inverse=True)
-    members = [x.tolist() for x in np.split(order, np.cumsum(np.bincount(group_of))[:-1])]
-    group = group_of.tolist()
+    symbols, own = np.unique(codes, return_inverse=True)
+    members: list = np.split(order, np.cumsum(np.bincount(own))[:-1])
+    group = np.append(own, -1).astype(np.int64)
+    # neighbours of what is left; the last entries serve the end and the beginning
+    before, after = np.arange(-1, n), np.arange(1, n + 2)
+    group_at, before_at, after_at = memoryview(group), memoryview(before), memoryview(after)
     below, above = [*range(-1, len(symbols) - 1)], [*range(1, len(symbols)), -1]
-    before, after = [*range(-1, n)], [*range(1, n + 2)]  # one more entry each: the neighbours of the end and of the beginning
-    taken: dict[int, int] = {}
+    taken: list = []
     now = len(symbols) - 1
     while now >= 0:
-        runs: list[int] = []  # positions before members, once for each of the members side by side
-        gone = 0
-        for i in members[now]:
-            if group[i] == now:
-                p, q = before[i], after[i]
-                before[q], after[p] = p, q
-                runs.append(p)
-                gone += 1
+        held = members[now]
         members[now] = None
-        taken[now] = gone
-        if gone == 1:
-            p = runs[0]
-            if p >= 0:
-                old = group[p]
-                g = group[p] = len(members)
-                members.append([p])
-                up = above[old]
-                below.append(old)
-                above.append(up)
-                above[old] = below[up] = g
-        elif gone:
-            new: dict[tuple[int, int], list[int]] = {}
-            p, count = runs[0], 0
-            runs.append(-2)
-            for x in runs:
-                if x == p:
+        if len(held) == 1:  # most groups: no runs, and no more than one position that moves
+            i = int(held[0])
+            mine = [i] if group_at[i] == now else []
+            if mine:
+                p, q = before_at[i], after_at[i]
+                before_at[q], after_at[p] = p, q
+                if p >= 0:
+                    old, new = group_at[p], len(members)
+                    group_at[p] = new
+                    members.append([p])
+                    up = above[old]
+                    below.append(old)
+                    above.append(up)
+                    above[old] = below[up] = new
+        elif len(held) < MANY:
+            mine = [i for i in (held if type(held) is list else held.tolist()) if group_at[i] == now]
+            moved: dict[tuple[int, int], list[int]] = {}
+            last, count = -1, 0  # the position before the members side by side, and how many they are
+            for i in mine:
+                p, q = before_at[i], after_at[i]
+                before_at[q], after_at[p] = p, q
+                if p == last:
                     count += 1
                     continue
-                if p >= 0:
-                    key = (count, group[p])
-                    if key in new:
-                        new[key].append(p)
-                    else:
-                        new[key] = [p]
-                p, count = x, 1
-            for count, old in sorted(new, reverse=True) if len(new) > 1 else new:
-                g = len(members)
-                moved = new[count, old]
-                for p in moved:
-                    group[p] = g
-                members.append(moved)
+                if last >= 0:
+                    moved.setdefault((count, group_at[last]), []).append(last)
+                last, count = p, 1
+            if last >= 0:
+                moved.setdefault((count, group_at[last]), []).append(last)
+            for key in sorted(moved, reverse=True) if len(moved) > 1 else moved:
+                old, to, new = key[1], moved[key], len(members)
+                for p in to:
+                    group_at[p] = new
+                members.append(to)
                 up = above[old]
                 below.append(old)
                 above.append(up)
-                above[old] = below[up] = g
+                above[old] = below[up] = new
+        else:
+            held = np.asarray(held)
+            mine = held[group[held] == now]
+            if len(mine):
+                left = before[mine]
+                starts = np.flatnonzero(np.concatenate([[True], left[1:] != mine[:-1]]))
+                ends = np.append(starts[1:], len(mine))
+                p, count = left[starts], ends - starts
+                before[mine] = np.repeat(p, count)
+                q = after[mine[ends - 1]]
+                before[q], after[p] = p, q
+                if p[0] < 0:
+                    p, count = p[1:], count[1:]
+                olds = group[p]
+                by = np.lexsort((olds, -count))
+                p, count, olds = p[by], count[by], olds[by]
+                if len(p):
+                    cuts = np.flatnonzero((count[1:] != count[:-1]) | (olds[1:] != olds[:-1])) + 1
+                    bounds = [0, *cuts.tolist(), len(p)]
+                    group[p] = np.repeat(np.arange(len(members), len(members) + len(bounds) - 1), np.diff(bounds))
+                    plain = p.tolist()
+                    for a, b, old in zip(bounds, bounds[1:], olds[bounds[:-1]].tolist(), strict=False):
+                        new = len(members)
+                        members.append(plain[a:b] if b - a < MANY else p[a:b])
+                        up = above[old]
+                        below.append(old)
+                        above.append(up)
+                        above[old] = below[up] = new
+        if len(mine):
+            taken.append((now, mine))
         now = below[now]
-    return before, after, group, taken
+    return after, group, taken
+
+
+def _emitted(n: int, after: np.ndarray, group: np.ndarray, taken: list) -> np.ndarray:
+    out, rank = np.empty(n, np.int64), np.full(n + 1, -1)
+    out_at, rank_at, after_at, group_at = memoryview(out), memoryview(rank), memoryview(after), memoryview(group)
+    at = 0
+    for g, mine in reversed(taken):
+        m = len(mine)
+        if m == 1:
+            i = int(mine[0])
+            out_at[at] = i
+            rank_at[i] = at
+            at += 1
+            continue
+        if m < MANY:
+            if type(mine) is not list:
+                mine = mine.tolist()
+            listed = [(rank_at[after_at[i]], i) for i in mine if group_at[after_at[i]] != g]
+            listed.sort()
+            order = [i for _, i in listed]
+            if len(order) < m:
+                _repeating(order, {after_at[i]: i for i in mine if group_at[after_at[i]] == g})
+            for i in order:
+                out_at[at] = i
+                rank_at[i] = at
+                at += 1
+            continue
+        mine = np.asarray(mine)
+        ends = after[mine]
+        inside = group[ends] == g
+        order = mine[~inside]
+        order = order[np.argsort(rank[ends[~inside]], kind="stable")]
+        if inside.any():
+            order = order.tolist()
+            _repeating(order, dict(zip(ends[inside].tolist(), mine[inside].tolist(), strict=True)))
+        out[at : at + m] = order
+        rank[out[at : at + m]] = np.arange(at, at + m)
+        at += m
+    return out
+
+
+def _repeating(order: list[int], of: dict[int, int]) -> None:
+    """Appends the members whose prefix is followed by a member, in the order of those members."""
+    for s in order:  # grows
+        i = of.get(s)
+        if i is not None:
+            order.append(i)

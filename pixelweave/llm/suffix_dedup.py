@@ -38,7 +38,7 @@ WINDOW, ANCHOR = 100, 20
 #: Window starts that are hashed at once.
 SPAN = 1 << 17
 #: Bytes of pieces that are sorted at once, that a task sorts in all, about, and above which one key's are divided.
-BLOCK, TASK, LARGE = 1 << 16, 2 << 20, 8 << 20
+BLOCK, TASK, LARGE = 1 << 18, 2 << 20, 8 << 20
 
 MULTIPLIER, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
