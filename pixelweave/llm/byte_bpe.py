@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, quoted, small_batches
 from .pretokens import boundaries, findall
 
 CHUNK, OVERLAP = 8192, 128
@@ -121,7 +121,7 @@ def encode(
     small_batches(spark, 128)
     step = wide - wide_overlap
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(quoted(id_col)).alias("id"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text"))
 
     def encode_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(rank_file, pattern)
@@ -184,9 +184,9 @@ def decode(coded: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id
     def to_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(rank_file, pattern)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array((c.decode(x or b"") for x in b.column(1).to_pylist()), pa.binary())], names=[id_col, "bytes"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array((c.decode(x or b"") for x in b.column(1).to_pylist()), pa.binary())], names=["id", "bytes"])
 
-    return coded.select(id_col, "ids").mapInArrow(to_bytes, f"{id_col} {coded.schema[id_col].dataType.simpleString()}, bytes binary")
+    return coded.select(F.col(quoted(id_col)).alias("id"), "ids").mapInArrow(to_bytes, f"id {coded.schema[id_col].dataType.simpleString()}, bytes binary").withColumnRenamed("id", id_col)
 
 
 def digests(coded: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
@@ -198,7 +198,7 @@ def digests(coded: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_i
             ids = b.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), *(pa.array([hashlib.sha256(f(x)).hexdigest() for x in ids], pa.string()) for f in (bytes, c.decode))],
-                names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
+                names=["id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return coded.select(id_col, "ids").mapInArrow(hashes, f"{id_col} {coded.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return coded.select(F.col(quoted(id_col)).alias("id"), "ids").mapInArrow(hashes, f"id {coded.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

@@ -114,6 +114,11 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
             spark.conf.set(key, str(most))
 
 
+def quoted(name: str) -> str:
+    """A column's name as SQL text has it, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, or with as many underscores before it as make it no column of df."""
     while name in df.columns:

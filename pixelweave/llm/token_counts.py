@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import quoted, small_batches
 from .pretokens import findall
 
 REMEMBERED = 350_000
@@ -277,5 +277,6 @@ def token_counts(docs: DataFrame, file: str, budget: int, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    names = [id_col, "n_bytes", "n_tokens", "over_limit", "fit_chars", *(["prefix_counts"] if prefixes else [])]
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"{id_col} {kind}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long" + ", prefix_counts array<int>" * prefixes)
+    names = ["id", "n_bytes", "n_tokens", "over_limit", "fit_chars", *(["prefix_counts"] if prefixes else [])]
+    rows = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long" + ", prefix_counts array<int>" * prefixes).withColumnRenamed("id", id_col)

@@ -151,3 +151,17 @@ def test_training_that_fails_is_loud(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array(["some words"])], names=["doc_id", "text"])
     with pytest.raises(FloatingPointError, match="task 7"):
         list(lm_scoring._train(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, tree, lm.start(tree))(iter([batch])))
+
+
+def test_ids_of_any_name(spark):
+    """Columns whose names hold spaces, dots and quotes."""
+    from pixelweave.llm import byte_bpe, license_scan, token_counts
+
+    for name in ("doc id", "doc.id", "select", "a`b"):
+        docs = spark.createDataFrame([(7, "cc by and more"), (8, None)], "x long, text string").withColumnRenamed("x", name)
+        counted = token_counts.token_counts(docs, P.path("byte_bpe_50k.json"), 10, id_col=name)
+        assert counted.columns[0] == name and sorted(r[0] for r in counted.collect()) == [7, 8]
+        coded = byte_bpe.encode(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, id_col=name)
+        assert sorted(r[0] for r in byte_bpe.digests(coded, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, id_col=name).collect()) == [7, 8]
+        scanned = license_scan.scan(docs, id_col=name)
+        assert sorted((r[0], r.base_labels) for r in scanned.collect()) == [(7, "cc-by"), (8, "")]
