@@ -322,6 +322,11 @@ SELECT pair_id, n_points, k::INT AS k, round([a, mu - a * mx, mv - a * my][k + 1
     "match_features": f"""WITH {_NEXT}, n AS (SELECT *, row_number() OVER (PARTITION BY pair_id, l ORDER BY d, r) AS a, row_number() OVER (PARTITION BY pair_id, r ORDER BY d, l) AS b FROM d),
 s AS (SELECT pair_id, l, r, d, b = 1 AS mutual, sum((b = 1)::INT) OVER (PARTITION BY pair_id) < 4 AS relaxed FROM n WHERE a = 1)
 SELECT pair_id, l, r, d, row_number() OVER (PARTITION BY pair_id ORDER BY d, l)::INT AS rank, relaxed FROM s WHERE mutual OR relaxed""",
+    "dwt_2d": f"""WITH {PX}, f(k, l, h) AS (VALUES {", ".join(f"({k}, {float(a)!r}::DOUBLE, {float(b)!r}::DOUBLE)" for k, (a, b) in enumerate(zip(*TR.BANKS["bior3.1"][:2], strict=True)))}),
+g AS (SELECT o, l, h, (2 * o + 9 - k) % 8 AS i FROM range({TR.dwt_length(8, 4)}) t(o), f),
+r AS (SELECT image_id, y, o, sum(l * v) AS l, sum(h * v) AS h FROM px JOIN g ON px.x = g.i GROUP BY ALL),
+c AS (SELECT image_id, r.o AS x, g.o AS y, sum(g.l * r.l) AS ll, sum(g.h * r.l) AS lh, sum(g.l * r.h) AS hl, sum(g.h * r.h) AS hh FROM r JOIN g ON r.y = g.i GROUP BY ALL)
+SELECT image_id, {", ".join(f"round(sqrt(sum({b} * {b})), 5) AS {b}" for b in ("ll", "lh", "hl", "hh"))} FROM c GROUP BY image_id""",
     "fast_chebyshev": "SELECT vec_id AS image_id, (k - 1)::INT AS k, round(embedding[k]::DOUBLE, 5) + 0.0 AS v FROM embeddings, range(1, 65) t(k)",
 }
 #: The same queries under the names that they had beside samples of them.
