@@ -14,6 +14,7 @@ COLUMNS = {
     "op4": "doc_id n_tokens ids_sha256 decoded_sha256", "op5": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
     "op6": "doc_id n_words n_base first_word last_word base_labels labels score", "op7": "page_id host path rule verdict", "op8": "doc_id held_out n_tokens n_known train_tokens base_score score",
     "op9": "doc_id keep_id group_size kept text_sha256", "op10": "doc_id n_bytes n_tokens over_limit",
+    "op11": "word form root n n_near form_n", "op12": "vec_id cluster distance cluster_inertia inertia centroid_sha256", "op13": "doc_id n_bytes n_removed n_spans kept_sha256",
 }
 
 
