@@ -35,6 +35,20 @@ def test_query(spark, name):
         assert len(rows) == 200
 
 
+def test_url_rules(spark, tmp_path):
+    """The five rules of the contract, each by pages that no shorter or other rule decides; an allowed page clears what links to it."""
+    rows = [
+        ("http://a.com/en/1", None, "com/en/", "block"), ("http://www.example.com/en/70", None, "example.com/en/7", "allow"), ("http://example.com/en/6", None, "com/en/", "block"),
+        ("http://a.net/de/1", None, "net/de/", "allow"), ("http://x.example.net/de/81", None, "example.net/de/8", "block"), ("http://example.net/de/7", None, "net/de/", "allow"),
+        ("http://a.org/es/1", None, "org/es/", "block"), ("http://a.org/de/8", None, None, "allow"),
+        ("http://m.org/1", "<link rel=canonical href=http://a.com/en/1><link rel=canonical href=http://m.org/2>", None, "block"),
+        ("http://n.org/1", "<link rel=canonical href=http://a.net/de/5><link rel=canonical href=http://x.org/es/9>", None, "allow"),
+    ]
+    spark.createDataFrame([(i, u, h) for i, (u, h, *_) in enumerate(rows)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.rule, r.verdict) for r in queries.op7_url_filter(spark, str(tmp_path)).collect()}
+    assert got == {i: r[2:] for i, r in enumerate(rows)}
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "exact dedup", "n-gram Jaccard join", "mixing", "byte-level BPE"]
