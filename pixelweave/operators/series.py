@@ -108,30 +108,47 @@ def point_in_polygon(x: Column, y: Column, corners: Column) -> Column:
     return F.size(crossed) % 2 == 1
 
 
-def render_masks(shapes: DataFrame, w: int, h: int, depth: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """shapes (gobject_id, type, vertices of x, y, z, t) as mask pixels (z, y, x, n: shapes that cover it), apart by keys.
-
-    Points cover their pixel, polylines the pixels along them in half-pixel steps, polygons the pixel centres inside. Only a
-    shape's bounding box is looked at; a shape is drawn in the slices where its first vertex is visible.
-    """
+def _pixels(shapes: DataFrame, w: int, h: int, depth: int, keep: list[str]) -> DataFrame:
+    """(keep, z, y, x) of the pixels of every row of shapes, each once a row."""
     v = F.col("vertices")
     first_z = F.get(v, F.lit(0))["z"]
     zs = F.filter(F.sequence(F.lit(0), F.lit(depth - 1)), lambda z: F.coalesce(F.abs(first_z - z) < 0.5, F.lit(True)))
-    drawn = shapes.select(*keys, "gobject_id", "type", "vertices", F.explode(zs).alias("z"))
+    drawn = shapes.select(*keep, "type", "vertices", F.explode(zs).alias("z"))
     low = lambda f, top: F.greatest(F.lit(0), F.floor(F.array_min(F.transform(v, lambda p: p[f]))).cast("int"))
     high = lambda f, top: F.least(F.lit(top - 1), F.ceil(F.array_max(F.transform(v, lambda p: p[f]))).cast("int"))
     grid = lambda f, top: F.when(low(f, top) <= high(f, top), F.sequence(low(f, top), high(f, top)))
     polygon = drawn.where("type = 'polygon'").withColumn("y", F.explode(grid("y", h))).withColumn("x", F.explode(grid("x", w)))
-    polygon = polygon.where(point_in_polygon(F.col("x") + 0.5, F.col("y") + 0.5, v)).select(*keys, "gobject_id", "z", "y", "x")
-    points = drawn.where("type = 'point'").select(*keys, "gobject_id", "z", F.explode("vertices").alias("p"))
-    edges = drawn.where("type = 'polyline' and size(vertices) > 1").select(*keys, "gobject_id", "z", F.explode(F.transform(F.sequence(F.lit(1), F.size(v) - 1), lambda i: F.struct(F.get(v, i - 1).alias("a"), F.get(v, i).alias("b")))).alias("e"))
-    span = F.greatest(F.abs(F.col("e.a.x") - F.col("e.b.x")), F.abs(F.col("e.a.y") - F.col("e.b.y")))
-    steps = F.greatest(F.lit(1), F.ceil(2 * span).cast("int"))
-    walk = edges.withColumn("s", F.explode(F.transform(F.sequence(F.lit(0), steps), lambda k: k / steps)))
-    line = walk.select(*keys, "gobject_id", "z", F.floor(F.col("e.a.y") + (F.col("e.b.y") - F.col("e.a.y")) * F.col("s")).cast("int").alias("y"), F.floor(F.col("e.a.x") + (F.col("e.b.x") - F.col("e.a.x")) * F.col("s")).cast("int").alias("x"))
-    spots = points.select(*keys, "gobject_id", "z", F.floor("p.y").cast("int").alias("y"), F.floor("p.x").cast("int").alias("x"))
-    covered = polygon.unionByName(line).unionByName(spots).where(F.col("x").between(0, w - 1) & F.col("y").between(0, h - 1)).distinct()
-    return covered.groupBy(*keys, "z", "y", "x").agg(F.count("*").alias("n"))
+    polygon = polygon.where(point_in_polygon(F.col("x") + 0.5, F.col("y") + 0.5, v)).select(*keep, "z", "y", "x")
+    spot = lambda y, x: F.struct(F.floor(y).alias("y"), F.floor(x).alias("x"))
+    inside = lambda spots: F.transform(F.filter(spots, lambda p: p["y"].between(0, h - 1) & p["x"].between(0, w - 1)), lambda p: p["y"] * w + p["x"])
+
+    def walk(i: Column) -> Column:
+        a, b = F.get(v, i - 1), F.get(v, i)
+        steps = F.greatest(F.lit(1), F.ceil(2 * F.greatest(F.abs(a["x"] - b["x"]), F.abs(a["y"] - b["y"]))).cast("int"))
+        return inside(F.transform(F.sequence(F.lit(0), steps), lambda k: spot(a["y"] + (b["y"] - a["y"]) * (k / steps), a["x"] + (b["x"] - a["x"]) * (k / steps))))
+
+    lines = F.when((F.col("type") == "polyline") & (F.size(v) > 1), F.flatten(F.transform(F.sequence(F.lit(1), F.size(v) - 1), walk)))
+    places = F.when(F.col("type") == "point", inside(F.transform(v, lambda p: spot(p["y"], p["x"])))).otherwise(lines)
+    others = drawn.where("type in ('point', 'polyline')").select(*keep, "z", F.explode(F.array_distinct(places)).alias("k"))
+    others = others.select(*keep, "z", F.floor(F.col("k") / w).cast("int").alias("y"), (F.col("k") % w).cast("int").alias("x"))
+    return polygon.unionByName(others)
+
+
+def render_masks(shapes: DataFrame, w: int, h: int, depth: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """shapes (gobject_id, type, vertices of x, y, z, t) as mask pixels (z, y, x, n: shapes that cover it), apart by keys.
+
+    Points cover their pixel, polylines the pixels along them in half-pixel steps, polygons the pixel centres inside. Only a
+    shape's bounding box is looked at; a shape is drawn in the slices where its first vertex is visible. Rows of one
+    gobject_id are one shape. Shapes of a single row are drawn once for all that look the same and counted as many times;
+    only pixels of the others are told apart by id.
+    """
+    own = [*keys, "gobject_id"]
+    several = shapes.groupBy(*own).agg(F.count("*").alias("rows")).where("rows > 1").select(*(F.col(c).alias(f"_{c}") for c in own))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in own))
+    alike = shapes.join(several, same, "left_anti").groupBy(*keys, "type", "vertices").agg(F.count("*").alias("n"))
+    joined = _pixels(shapes.join(several, same, "left_semi"), w, h, depth, own).distinct()
+    covered = _pixels(alike, w, h, depth, [*keys, "n"]).unionByName(joined.select(*keys, "z", "y", "x", F.lit(1).cast("long").alias("n")))
+    return covered.groupBy(*keys, "z", "y", "x").agg(F.sum("n").alias("n"))
 
 
 def mask_stacks(shapes: DataFrame, w: int, h: int, depth: int, options: str = "", key: str = "stack") -> DataFrame:

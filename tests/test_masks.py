@@ -55,6 +55,29 @@ def test_mask_stacks(spark, options):
         assert series.mask_stacks(shapes.limit(0), W, H, D, options).count() == 0
 
 
+def shuffled_rows(spark) -> int:
+    """Rows that all stages of the session have written to shuffles so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    none = spark._jvm.java.util.ArrayList()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(none, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), none)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_masks_of_shapes_that_look_alike(spark):
+    """Shapes that look alike are drawn once and counted all, so what moves are shapes and not their pixels; rows of one id, null too, are one shape."""
+    box = lambda x0, y0, x1, y1: [(x0, y0, 1.0), (x1, y0, 1.0), (x1, y1, 1.0), (x0, y1, 1.0)]
+    rows = [(i, "polygon", box(0.0, 0.0, 6.0, 5.0)) for i in range(3000)]
+    rows += [(3000, "polygon", box(1.0, 1.0, 3.0, 3.0)), (3000, "polygon", box(2.0, 2.0, 4.0, 4.0)), (None, "polygon", box(7.0, 5.0, 8.0, 6.0)), (None, "polygon", box(7.0, 5.0, 9.0, 6.0))]
+    rows += [(3001 + i, "point", [(8.5, 0.2, 1.0), (8.9, 0.9, 1.0), (-1.0, 0.0, 1.0), (None, 1.0, 1.0)]) for i in range(5)] + [(4000, "polyline", [(0.0, 6.0, 1.0), (4.0, 6.0, 1.0), (2.0, 6.0, 1.0)]), (4001, "polyline", [(1.0, 6.0, 1.0)])]
+    shapes = spark.createDataFrame(rows, "gobject_id int, type string, vertices array<struct<x:double,y:double,z:double>>")
+    before = shuffled_rows(spark)
+    got = {(r.z, r.y, r.x): r.n for r in series.render_masks(shapes, W, H, D).collect()}
+    want = {(1, y, x): 3000 + ((1 <= y < 3 and 1 <= x < 3) or (2 <= y < 4 and 2 <= x < 4)) for y in range(5) for x in range(6)}
+    want |= {(1, 5, 7): 1, (1, 5, 8): 1, (1, 0, 8): 5} | {(1, 6, x): 1 for x in range(5)}
+    assert got == want
+    assert shuffled_rows(spark) - before < 5 * len(rows)
+
+
 def test_strides_better_fits_and_steps(spark):
     assert [features.sampling_stride(n) for n in (2000, 513, 512, 257, 200, 100, 65, 64, 1)] == [16, 16, 8, 8, 4, 2, 2, 1, 1]
     fit = lambda *rows: spark.createDataFrame(rows, "pair_id int, params array<double>, fit double")
