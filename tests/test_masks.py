@@ -78,6 +78,27 @@ def test_masks_of_shapes_that_look_alike(spark):
     assert shuffled_rows(spark) - before < 5 * len(rows)
 
 
+def generated_rows(plan) -> int:
+    """Rows that the plan's explodes have given."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return generated_rows(plan.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return generated_rows(plan.plan())
+    own = plan.metrics().apply("numOutputRows").value() if name == "GenerateExec" else 0
+    return own + sum(generated_rows(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_stacks_of_shapes_that_look_alike(spark):
+    """Of shapes in a stack that look alike one is drawn."""
+    box = [(1.0, 1.0, 2.0), (7.0, 1.0, 2.0), (7.0, 6.0, 2.0), (1.0, 6.0, 2.0)]
+    rows = [(i % 2, i, "polygon", box) for i in range(4000)]
+    shapes = spark.createDataFrame(rows, "stack long, gobject_id int, type string, vertices array<struct<x:double,y:double,z:double>>")
+    masks = series.mask_stacks(shapes, W, H, 3, "mask-mode,interpolate-empty")
+    assert {(r.stack, r.z, r.y, r.x): r.v for r in masks.collect()} == {(s, 2, y, x): 255 for s in (0, 1) for y in range(1, 6) for x in range(1, 7)}
+    assert 0 < generated_rows(masks._jdf.queryExecution().executedPlan()) < len(rows)
+
+
 def test_strides_better_fits_and_steps(spark):
     assert [features.sampling_stride(n) for n in (2000, 513, 512, 257, 200, 100, 65, 64, 1)] == [16, 16, 8, 8, 4, 2, 2, 1, 1]
     fit = lambda *rows: spark.createDataFrame(rows, "pair_id int, params array<double>, fit double")
