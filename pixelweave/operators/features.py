@@ -22,7 +22,7 @@ def l1(a: Column, b: Column) -> Column:
 
 def distances(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """(on, l, r, d): L1 distances of all pairs of points that share the keys on, such as an image pair. left and
-    right: on, idx, f (features; of `patches` without the last two, as `registration.tie_points` has it)."""
+    right: on, idx, f (features; of `patches` without the last two, as `registration` has it)."""
     a = left.select(*on, F.col("idx").alias("l"), F.col("f").alias("lf"))
     b = right.select(*on, F.col("idx").alias("r"), F.col("f").alias("rf"))
     return a.join(b, on).select(*on, "l", "r", F.round(l1(F.col("lf"), F.col("rf")), 6).alias("d"))
@@ -171,25 +171,31 @@ def patch(g: np.ndarray, y: int, x: int, wind: int) -> np.ndarray:
     """The patch around (y, x), turned so that its centre of intensity points along the first axis, standardised; then
     the cosine and sine of the turn. Positions are clamped to the image. Every row counts once, also for a patch of 3 x 3,
     where the published loops meet the first row twice."""
-    rows, cols = g.shape
-    at = lambda i, j: g[np.clip(i, 0, rows - 1), np.clip(j, 0, cols - 1)]
+    return patch_stack(g[..., None], np.array([y]), np.array([x]), np.array([0]), wind)[0]
+
+
+def patch_stack(g: np.ndarray, y: np.ndarray, x: np.ndarray, plane: np.ndarray, wind: int) -> np.ndarray:
+    """The patches around points (y, x) of planes of a stack (h, w, planes), one row a point."""
+    rows, cols = g.shape[:2]
+    y, x = y[:, None], x[:, None]
+    at = lambda i, j: g[np.clip(i, 0, rows - 1), np.clip(j, 0, cols - 1), plane[:, None]]
     along = np.arange(-wind, wind + 1)
     half = wind // 2
-    wx = wy = 0.0
+    wx = wy = np.zeros(len(y))
     for k in range(1, wind + 1):
         own = along if k <= max(half, 1) else along[k - half : len(along) - (k - half)]
-        wx += k * float((at(y + k, x + own) - at(y - k, x + own)).sum())
-        wy += k * float((at(y + own, x + k) - at(y + own, x - k)).sum())
+        wx = wx + k * (at(y + k, x + own) - at(y - k, x + own)).sum(1)
+        wy = wy + k * (at(y + own, x + k) - at(y + own, x - k)).sum(1)
     size = np.hypot(wx, wy) + EPS
-    c, s = wx / size, wy / size
-    i, j = np.meshgrid(along, along, indexing="ij")
+    c, s = (wx / size)[:, None], (wy / size)[:, None]
+    i, j = (t.ravel() for t in np.meshgrid(along, along, indexing="ij"))
     a, b = c * i - s * j, s * i + c * j
     fa, fb = np.floor(a).astype(int), np.floor(b).astype(int)
     da, db = a - fa, b - fb
-    yy, xx = np.clip(y + fa, 0, rows - 2), np.clip(x + fb, 0, cols - 2)
-    v = (1 - da) * (1 - db) * g[yy, xx] + (1 - da) * db * g[yy, xx + 1] + da * (1 - db) * g[yy + 1, xx] + da * db * g[yy + 1, xx + 1]
-    v = (v - v.mean()) / (v.std(ddof=1) + EPS)
-    return np.concatenate([v.ravel(), [c, s]])
+    yy, xx, p = np.clip(y + fa, 0, rows - 2), np.clip(x + fb, 0, cols - 2), plane[:, None]
+    v = (1 - da) * (1 - db) * g[yy, xx, p] + (1 - da) * db * g[yy, xx + 1, p] + da * (1 - db) * g[yy + 1, xx, p] + da * db * g[yy + 1, xx + 1, p]
+    v = (v - v.mean(1, keepdims=True)) / (v.std(1, ddof=1, keepdims=True) + EPS)
+    return np.concatenate([v, c, s], 1)
 
 
 def patches(images: DataFrame, points: DataFrame, w: int, h: int, wind: int) -> DataFrame:
@@ -200,8 +206,9 @@ def patches(images: DataFrame, points: DataFrame, w: int, h: int, wind: int) ->
         for f in frames:
             out = []
             for image_id, pixels, at in zip(f["image_id"], f["pixels"], f["at"], strict=True):
-                g = np.asarray(pixels, float).reshape(h, w)
-                out += [(image_id, p["idx"], patch(g, p["y"], p["x"], wind).tolist()) for p in at]
+                g = np.asarray(pixels, float).reshape(h, w, 1)
+                y, x = (np.array([p[c] for p in at]) for c in "yx")
+                out += [(image_id, p["idx"], f) for p, f in zip(at, patch_stack(g, y, x, np.zeros(len(at), int), wind).tolist(), strict=True)]
             yield pd.DataFrame(out, columns=["image_id", "idx", "f"])
 
     return images.select("image_id", "pixels").join(listed, "image_id").mapInPandas(run, "image_id long, idx int, f array<double>")

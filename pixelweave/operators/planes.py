@@ -2,7 +2,7 @@
 
 `mapped` sends batches of rows (width, height and a plane as an array of doubles by row) through a function of 2-D arrays in
 mapInArrow: nothing is shuffled, other columns pass, and a plane is only ever in the task that reads it. The functions
-take planes of any size, as small as 1 x 1. For small arrays inside larger expressions `raster` has the same as columns.
+take planes of any size, as small as 1 x 1; smooth, gradient and structure also stacks of them (h, w, planes). For small arrays inside larger expressions `raster` has the same as columns.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ def mapped(images: DataFrame, function: Callable[[Plane], Plane], column: str =
 def smooth(g: Plane, passes: int = 1) -> Plane:
     """Five-point smoothing: inside (4 own + 4 neighbours) / 8; at an edge the mean of the value, its two neighbours on the
     edge and the one inside; in a corner the mean of its 2x2 block. Planes under 2x2 stay as they are."""
-    if min(g.shape) < 2:
+    if min(g.shape[:2]) < 2:
         return g
     for _ in range(passes):
         out = np.empty_like(g)
@@ -83,7 +83,7 @@ def structure(g: Plane) -> Plane:
     s = smooth(g)
     gx, gy = gradient(s, "y"), gradient(s, "x")
     out = np.zeros_like(g)
-    h, w = g.shape
+    h, w = g.shape[:2]
     if h < 3 or w < 3:
         return out
     own_x, own_y = gx[1:-1, 1:-1], gy[1:-1, 1:-1]

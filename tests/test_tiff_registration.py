@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pixelweave.operators import features, registration
+from pixelweave.operators import features, planes, registration
 from pixelweave.sources import codecs, readers, tiff
 
 
@@ -137,6 +137,41 @@ def test_fits_of_every_kind(spark):
         assert (2 in got) == (kind == "translation")
 
 
+def test_registration_in_one_join_agrees_with_the_frames(spark):
+    """Corners, matches and fits of pairs in numpy are those of the operators on DataFrames, and the planes meet once."""
+    rng = np.random.default_rng(8)
+    w, h, n, wind = 13, 11, 9, 2
+    flat = [np.zeros(w * h), np.arange(float(w * h))]
+    sides = [[(k, rng.normal(size=w * h).round(1).tolist()) for k in range(12)] + [(20 + k, x.tolist()) for k, x in enumerate(flat)] + [(30, None)] for _ in range(2)]
+    left, right = (spark.createDataFrame(r, "pair_id long, pixels array<double>") for r in sides)
+    stacks = [np.moveaxis(np.array([p for _, p in r[:-1]]).reshape(-1, h, w), 0, 2) for r in sides]
+    ids = [k for k, _ in sides[0][:-1]]
+    at = []
+    for side in (left, right):
+        im = side.select(F.col("pair_id").alias("image_id"), "pixels", F.lit(w).alias("width"), F.lit(h).alias("height")).where("pixels is not null")
+        long = planes.mapped(im, planes.structure).select("image_id", F.posexplode("pixels").alias("k", "v")).select("image_id", F.floor(F.col("k") / w).cast("int").alias("y"), (F.col("k") % w).alias("x"), "v")
+        best = features.grid_maxima(long, w, h, n).where("v > 0").select("image_id", (F.col("cy") * 4096 + F.col("cx")).cast("int").alias("idx"), "y", "x")
+        f = features.patches(im, best, w, h, wind)
+        at.append((best, f.select(F.col("image_id").alias("pair_id"), "idx", F.slice("f", 1, (2 * wind + 1) ** 2).alias("f"))))
+    for (best, _), g in zip(at, stacks, strict=True):
+        plane, y, x = registration.corners(g, n)
+        assert sorted((r.image_id, r.y, r.x) for r in best.collect()) == sorted((ids[k], i, j) for k, i, j in zip(plane, y, x, strict=True))
+    found = features.matches(features.distances(at[0][1], at[1][1], ["pair_id"]), ["pair_id"], n)
+    for name, (best, _) in zip("lr", at, strict=True):
+        found = found.join(best.select(F.col("image_id").alias("pair_id"), F.col("idx").alias(name), F.struct("x", "y").alias(f"at_{name}")), ["pair_id", name])
+    points = found.select("pair_id", *(F.col(f"at_{s}.{c}").cast("double").alias(f"{c}{i}") for i, s in ((1, "l"), (2, "r")) for c in "xy")).cache()
+    own = {k: registration.tie_points(a, b, n) for k, a, b in zip(ids, *(registration.described(g, n, wind) for g in stacks), strict=True)}
+    assert sorted(map(tuple, points.collect())) == sorted((k, *p) for k, v in own.items() for p in v.tolist()) and len(own[20]) == 0
+    for kind in ("translation", "st", "rst", "affine"):
+        want = {r.pair_id: r for r in registration.gated_fit(points, kind).collect()}
+        got = {k: registration.gated(v, kind) for k, v in own.items() if len(v)}
+        assert set(want) == {k for k, x in got.items() if x}
+        assert all(got[k][0] == r.n_points and np.allclose(got[k][1], r.params, atol=1e-6) for k, r in want.items())
+    out = registration.register(left, right, w, h, n, wind)
+    assert {r.pair_id for r in out.collect()} == {k for k, v in own.items() if len(v) > 1}
+    assert out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hashpartitioning") <= 2
+
+
 def test_patch_by_definition():
     """The patch against loops over its places."""
     g, y, x, wind = np.random.default_rng(5).normal(size=(13, 11)), 6, 5, 2
