@@ -9,7 +9,8 @@ Second phase: groups are emitted in ascending order. What follows a member's pre
 already, and orders the members; where it is a member itself (a prefix that repeats), the members come after those that they
 repeat, in their order. Nothing is renamed, and no two suffixes are compared.
 
-Groups of at least MANY members go through numpy, smaller ones through views of the same arrays.
+Groups of at least MANY members go through numpy, smaller ones through views of the same arrays. Many short texts take their
+steps side by side (suffix_arrays): a step takes the next group of every text at once.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import gc
 import numpy as np
 
 MANY = 48
+#: Texts that must still have groups for a step of all of them to cost less than their steps one by one.
+TOGETHER = 24
 
 
 def suffix_array(text: bytes) -> np.ndarray:
@@ -169,3 +172,137 @@ def _repeating(order: list[int], of: dict[int, int]) -> None:
         i = of.get(s)
         if i is not None:
             order.append(i)
+
+
+def suffix_arrays(texts: list[bytes]) -> np.ndarray:
+    """suffix_array of every text, text after text, as places in the texts laid end to end. Texts longer than all but TOGETHER are
+    sorted one by one, the others together."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    begins = np.cumsum(sizes) - sizes
+    out = np.empty(int(sizes.sum()), np.int64)
+    limit = int(np.partition(sizes, -TOGETHER)[-TOGETHER]) if len(sizes) >= TOGETHER else 0
+    for k in np.flatnonzero(sizes > limit).tolist():
+        out[begins[k] : begins[k] + sizes[k]] = suffix_array(texts[k]) + begins[k]
+    rest = np.flatnonzero((sizes <= limit) & (sizes > 0))
+    if len(rest):
+        own = sizes[rest]
+        shift = np.repeat(begins[rest] - (np.cumsum(own) - own), own)
+        out[np.arange(len(shift)) + shift] = _together([texts[k] for k in rest.tolist()]) + shift
+    return out
+
+
+def _order(*keys: np.ndarray) -> np.ndarray:
+    """The stable order by keys, the first one first; none is negative. They and the places are sorted as one number where they fit one."""
+    widths, places = [int(k.max()).bit_length() for k in keys], (len(keys[0]) - 1).bit_length()
+    if sum(widths) + places > 62:
+        return np.lexsort(keys[::-1])
+    packed = keys[0].astype(np.int64)
+    for k, width in zip(keys[1:], widths[1:], strict=True):
+        packed <<= width
+        packed |= k
+    packed <<= places
+    packed |= np.arange(len(packed))
+    packed.sort()
+    packed &= (1 << places) - 1
+    return packed
+
+
+def _together(texts: list[bytes]) -> np.ndarray:
+    """suffix_arrays of texts that aren't empty. Each text has a slot before it, which is also the end of the one before; groups
+    are numbered through all texts, and their members stand one after the other in a pool, those that have moved on as well."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    heads = (np.cumsum(sizes + 1) - sizes - 1)
+    n = int(sizes.sum()) + len(texts)
+    of = np.repeat(np.arange(len(texts)), sizes + 1)
+    codes = np.frombuffer(b"".join(b"\0" + t for t in texts), np.uint8)
+    inside = np.ones(n, bool)
+    inside[heads] = False
+    slots = np.flatnonzero(inside)
+    order = slots[np.argsort(codes[slots], kind="stable")]
+    order = order[np.argsort(of[order].astype(np.uint16 if len(texts) < 65536 else np.int64), kind="stable")]
+    total, owner, symbol = len(order), of[order], codes[order]
+    fresh = np.ones(total, bool)
+    fresh[1:] = (owner[1:] != owner[:-1]) | (symbol[1:] != symbol[:-1])
+    edge = np.flatnonzero(fresh)
+    made, top = len(edge), total
+    pool = np.empty(2 * total, np.int64)
+    pool[:total] = order
+    # first place in the pool, size, and neighbours of every group; a member that leaves moves one other at most
+    start, size, below, above = (np.empty(made + total, np.int64) for _ in range(4))
+    start[:made], size[:made] = edge, np.diff(edge, append=total)
+    below[:made], above[:made] = np.arange(-1, made - 1), np.arange(1, made + 1)
+    lowest = np.flatnonzero(np.diff(owner[edge], prepend=-1))
+    below[lowest] = -1
+    now = np.append(lowest[1:], made) - 1
+    group = np.full(n + 1, -1)
+    group[order] = np.repeat(np.arange(made), size[:made])
+    before, after = np.arange(-1, n), np.arange(1, n + 2)
+    count_up = np.arange(total)
+    taken: list = []
+    while len(now):
+        held = size.take(now)
+        stop = np.cumsum(held)
+        places = (start.take(now) - stop + held).repeat(held)
+        places += count_up[: stop[-1]]
+        mine = pool.take(places)
+        mine = mine[group.take(mine) == now.repeat(held)]
+        if len(mine):
+            left = before.take(mine)
+            first = np.ones(len(mine), bool)
+            first[1:] = left[1:] != mine[:-1]
+            starts = np.flatnonzero(first)
+            count = np.diff(starts, append=len(mine))
+            p, q = left.take(starts), after.take(mine.take(starts + count - 1))
+            before[q], after[p] = p, q
+            if len(starts) == len(mine):
+                taken.append((mine, q, None))
+            else:
+                taken.append((mine, np.repeat(q, count), np.repeat(starts + count, count) - count_up[: len(mine)]))
+            old = group.take(p)
+            moves = old >= 0
+            if not moves.all():
+                p, old, count = p[moves], old[moves], count[moves]
+            if len(p):
+                whose = of.take(p)
+                if (whose[1:] == whose[:-1]).any():
+                    by = _order(old, count.max() - count)
+                    p, old, count = p.take(by), old.take(by), count.take(by)
+                fresh = np.ones(len(p), bool)
+                fresh[1:] = (old[1:] != old[:-1]) | (count[1:] != count[:-1])
+                edge = np.flatnonzero(fresh)
+                new = np.arange(made, made + len(edge))
+                many = np.diff(edge, append=len(p))
+                group[p] = new.repeat(many)
+                pool[top : top + len(p)] = p
+                start[made : made + len(edge)], size[made : made + len(edge)] = edge + top, many
+                old = old.take(edge)
+                differ = old[1:] != old[:-1]
+                highest, lowest = np.append(True, differ), np.append(differ, True)
+                up = above.take(old)
+                below[made : made + len(edge)], above[made : made + len(edge)] = np.where(lowest, old, new + 1), np.where(highest, up, new - 1)
+                below[up[highest]], above[old[lowest]] = new[highest], new[lowest]
+                made, top = made + len(edge), top + len(p)
+        now = below.take(now)
+        now = now[now >= 0]
+    # the end of a text is smaller than all of its suffixes, and greater than all of the text before it
+    rank = np.empty(n + 1, np.int64)
+    rank[heads[1:]], rank[n] = heads[:-1], heads[-1]
+    place, out = heads + 1, np.empty(n, np.int64)
+    for mine, ends, depth in reversed(taken):
+        whose = of.take(mine)
+        first = np.ones(len(mine), bool)
+        first[1:] = whose[1:] != whose[:-1]
+        starts = np.flatnonzero(first)
+        if len(starts) == len(mine):
+            spots = place.take(whose)
+            place[whose] = spots + 1
+        else:
+            # what follows the prefixes orders the members; of those that repeat, the fewer come first
+            after_them = rank.take(ends) - heads.take(whose)
+            mine = mine.take(_order(whose, after_them) if depth is None else _order(whose, depth, after_them))
+            many, whose = np.diff(starts, append=len(mine)), whose[starts]
+            spots = np.repeat(place[whose] - starts, many) + np.arange(len(mine))
+            place[whose] += many
+        out[spots] = mine
+        rank[mine] = spots
+    return out[inside].astype(np.int64) - of[slots] - 1

@@ -7,10 +7,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pixelweave.llm import centroids, spelling, suffix_dedup
-from pixelweave.llm.suffix_array import suffix_array
+from pixelweave.llm.suffix_array import suffix_array, suffix_arrays
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -163,6 +164,37 @@ def test_suffix_array(many, monkeypatch):
         assert suffix_array(x).tolist() == sorted(range(len(x)), key=lambda i: x[i:])
 
 
+@pytest.mark.parametrize("together", [1, 5, 24])
+def test_suffix_arrays(together, monkeypatch):
+    """Texts of all lengths, with runs and repeats, sorted side by side and one by one."""
+    monkeypatch.setattr("pixelweave.llm.suffix_array.TOGETHER", together)
+    rng = random.Random(together)
+    for _ in range(40):
+        texts = []
+        for _ in range(rng.randrange(60)):
+            x = bytes(rng.randrange(rng.choice([1, 2, 4, 256])) for _ in range(rng.randrange(40)))
+            texts.append(x * rng.randint(1, 3) + b"\xff" * rng.randrange(2))
+        want, begin = [], 0
+        for x in texts:
+            want += [begin + i for i in sorted(range(len(x)), key=lambda i, x=x: x[i:])]
+            begin += len(x)
+        assert suffix_arrays(texts).tolist() == want
+
+
+def test_pieces_of_many_keys_are_sorted_side_by_side(monkeypatch):
+    """Of a block of many short pieces, only the few longer than the rest go through the sorting of a single text."""
+    alone = []
+    monkeypatch.setattr("pixelweave.llm.suffix_array.suffix_array", lambda t: alone.append(len(t)) or suffix_array(t))
+    rng = random.Random(7)
+    words = [bytes(rng.choice(b"abcdefgh ") for _ in range(100 + k % 60)) for k in range(400)]
+    names = ["key", "piece", "pid", "id", "row", "pos", "n"]
+    rows = [(k, w, b"%d" % (2 * k + j), k, k, 7 * j, 1) for k, w in enumerate(words) for j in range(2)]  # each piece twice in its document
+    batch = pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows])
+    got = pa.Table.from_batches(suffix_dedup._sorted_blocks(100, 1 << 20)(iter([batch]))).to_pylist()
+    assert [(r["pid"], r["runs"]) for r in got] == [(b"%d" % (2 * k + 1), [0, k % 60]) for k in range(400)]
+    assert len(alone) < 24
+
+
 def repeating(seed):
     rng = random.Random(seed)
     words = ["alpha", "be", "gam", "été", "d", "epsilon", "\0"]
