@@ -211,13 +211,13 @@ def _together(texts: list[bytes]) -> np.ndarray:
     """suffix_arrays of texts that aren't empty. Each text has a slot before it, which is also the end of the one before; groups
     are numbered through all texts, and their members stand one after the other in a pool, those that have moved on as well."""
     sizes = np.array([len(t) for t in texts], np.int64)
-    heads = (np.cumsum(sizes + 1) - sizes - 1)
+    heads = (np.cumsum(sizes + 1) - sizes - 1).astype(np.int32)
     n = int(sizes.sum()) + len(texts)
-    of = np.repeat(np.arange(len(texts)), sizes + 1)
+    of = np.repeat(np.arange(len(texts), dtype=np.int32), sizes + 1)
     codes = np.frombuffer(b"".join(b"\0" + t for t in texts), np.uint8)
     inside = np.ones(n, bool)
     inside[heads] = False
-    slots = np.flatnonzero(inside)
+    slots = np.flatnonzero(inside).astype(np.int32)
     order = slots[np.argsort(codes[slots], kind="stable")]
     order = order[np.argsort(of[order].astype(np.uint16 if len(texts) < 65536 else np.int64), kind="stable")]
     total, owner, symbol = len(order), of[order], codes[order]
@@ -225,18 +225,18 @@ def _together(texts: list[bytes]) -> np.ndarray:
     fresh[1:] = (owner[1:] != owner[:-1]) | (symbol[1:] != symbol[:-1])
     edge = np.flatnonzero(fresh)
     made, top = len(edge), total
-    pool = np.empty(2 * total, np.int64)
+    pool = np.empty(2 * total, np.int32)
     pool[:total] = order
     # first place in the pool, size, and neighbours of every group; a member that leaves moves one other at most
-    start, size, below, above = (np.empty(made + total, np.int64) for _ in range(4))
+    start, size, below, above = (np.empty(made + total, np.int32) for _ in range(4))
     start[:made], size[:made] = edge, np.diff(edge, append=total)
     below[:made], above[:made] = np.arange(-1, made - 1), np.arange(1, made + 1)
     lowest = np.flatnonzero(np.diff(owner[edge], prepend=-1))
     below[lowest] = -1
     now = np.append(lowest[1:], made) - 1
-    group = np.full(n + 1, -1)
+    group = np.full(n + 1, -1, np.int32)
     group[order] = np.repeat(np.arange(made), size[:made])
-    before, after = np.arange(-1, n), np.arange(1, n + 2)
+    before, after = np.arange(-1, n, dtype=np.int32), np.arange(1, n + 2, dtype=np.int32)
     count_up = np.arange(total)
     taken: list = []
     while len(now):
@@ -285,9 +285,9 @@ def _together(texts: list[bytes]) -> np.ndarray:
         now = below.take(now)
         now = now[now >= 0]
     # the end of a text is smaller than all of its suffixes, and greater than all of the text before it
-    rank = np.empty(n + 1, np.int64)
+    rank = np.empty(n + 1, np.int32)
     rank[heads[1:]], rank[n] = heads[:-1], heads[-1]
-    place, out = heads + 1, np.empty(n, np.int64)
+    place, out = heads + 1, np.empty(n, np.int32)
     for mine, ends, depth in reversed(taken):
         whose = of.take(mine)
         first = np.ones(len(mine), bool)

@@ -39,7 +39,7 @@ WINDOW, ANCHOR = 100, 20
 #: Window starts that are hashed at once.
 SPAN = 1 << 17
 #: Bytes of pieces that are sorted at once, that a task sorts in all, about, and above which one key's are divided.
-BLOCK, TASK, LARGE = 1 << 20, 2 << 20, 8 << 20
+BLOCK, TASK, LARGE = 2 << 20, 2 << 20, 8 << 20
 
 MULTIPLIER, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -321,22 +321,30 @@ def _removed(window: int, with_text: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
-            for text, runs in zip(_texts(b), b.column("runs").to_pylist(), strict=True):
-                parts, at, spans, gone = [], 0, 0, 0
-                flat = [x for r in runs or () for x in r]
-                end = -1
-                for lo, hi in sorted(zip(flat[::2], flat[1::2], strict=True)):
-                    hi += window
-                    if lo > end:
-                        parts.append(text[at:lo])
-                        spans, gone, at, end = spans + 1, gone + hi - lo, hi, hi
-                    elif hi > end:
-                        gone, at, end = gone + hi - end, hi, hi
+            texts, runs = _texts(b), b.column("runs")
+            sizes = np.array([len(t) for t in texts], np.int64)
+            begins = np.cumsum(sizes + 1) - sizes - 1  # a place between texts, so that no runs of two touch
+            inner = runs.flatten()
+            doc = np.repeat(np.arange(len(texts)), runs.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            doc = np.repeat(doc, inner.value_lengths().to_numpy(zero_copy_only=False) // 2)
+            flat = inner.flatten().to_numpy(zero_copy_only=False)
+            lo, hi = flat[::2] + begins[doc], flat[1::2] + window + begins[doc]
+            by = np.argsort(lo, kind="stable")
+            lo, reach = lo[by], np.maximum.accumulate(hi[by])
+            edge = np.flatnonzero(np.append(True, lo[1:] > reach[:-1])[: len(lo)])
+            lo, hi = lo[edge], reach[np.append(edge[1:], len(reach))[: len(edge)] - 1]
+            of_doc = np.append(np.searchsorted(lo, begins), len(lo))
+            so_far = np.append(0, np.cumsum(hi - lo))
+            lows, highs, cuts = lo.tolist(), hi.tolist(), of_doc.tolist()
+            kept = []
+            for text, begin, x, y in zip(texts, begins.tolist(), cuts, cuts[1:], strict=False):
+                parts, at = [], 0
+                for k in range(x, y):
+                    parts.append(text[at : lows[k] - begin])
+                    at = highs[k] - begin
                 parts.append(text[at:])
-                kept = b"".join(parts)
-                for col, x in zip(out, (len(text), gone, spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None), strict=True):
-                    col.append(x)
+                kept.append(b"".join(parts) if x < y else text)
+            out = [sizes, np.diff(so_far[of_doc]), np.diff(of_doc), [hashlib.sha256(t).hexdigest() for t in kept], kept if with_text else [None] * len(kept)]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             cols = [b.column("id"), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))]
             names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
