@@ -144,72 +144,125 @@ DISTANCE = np.arange(LENGTH - STRIDE, LENGTH)[:, None] - np.arange(LENGTH)
 LATER = DISTANCE < 0
 
 
+#: Sums of exponentials that are taken as they are; a batch with others has its logits shifted by their largest.
+SAFE = (1e-12, 1e12)
+
+
+def _safe(total: np.ndarray) -> bool:
+    return bool(SAFE[0] < total.min() and total.max() < SAFE[1])
+
+
 def attend(m: dict[str, np.ndarray], e: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """What the tokens with input vectors e take in from their windows, and what the gradient needs."""
+    """What the tokens with input vectors e take in from their windows, with a column of ones, and what the gradient needs.
+    Values have a column of ones, so the weights' sums come with the sums of weighted values."""
     n = len(alone)
-    qkv = np.zeros((STRIDE + len(e), 3 * WIDTH), np.float32)
-    np.matmul(e, m["qkv"], out=qkv[STRIDE:])
-    q = qkv[STRIDE:, :WIDTH].reshape(n, STRIDE, WIDTH)
-    k, v = _windows(qkv[:, WIDTH : 2 * WIDTH]), _windows(qkv[:, 2 * WIDTH :])
-    a = q @ k.transpose(0, 2, 1)
-    a += np.where(LATER, NEVER, m["near"][np.maximum(DISTANCE, 0)])
-    a[alone, :, : LENGTH - STRIDE] = NEVER
-    a -= a.max(2, keepdims=True)  # the key at the query's own place is never masked
+    wide = np.empty((STRIDE + len(e), 3 * WIDTH + 1), np.float32)
+    wide[:STRIDE] = 0
+    np.matmul(e, m["qkv"], out=wide[STRIDE:, :-1])
+    wide[:, -1] = 1
+    q = wide[STRIDE:, :WIDTH].reshape(n, STRIDE, WIDTH)
+    k, v = _windows(wide[:, WIDTH : 2 * WIDTH]), _windows(wide[:, 2 * WIDTH :])
+    near = np.where(LATER, NEVER, m["near"][np.maximum(DISTANCE, 0)])
+    a = _logits(q, k, near, alone)
     np.exp(a, out=a)
-    part = np.float32(1) / (a.reshape(-1, LENGTH) @ np.ones(LENGTH, np.float32))[:, None]
-    mixed = (a @ v).reshape(-1, WIDTH)
+    mixed = (a @ v).reshape(-1, WIDTH + 1)
+    if not _safe(mixed[:, -1]):
+        a = _logits(q, k, near, alone)
+        a -= a.max(2, keepdims=True)  # the key at the query's own place is never masked
+        np.exp(a, out=a)
+        mixed = (a @ v).reshape(-1, WIDTH + 1)
+    part = np.float32(1) / mixed[:, -1:]
     mixed *= part
     return mixed, (q, k, v, a, part)
 
 
-def _softmax(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log-probabilities at one place of each row of z, which becomes its probabilities."""
-    z -= z.max(1, keepdims=True)
-    got = z.reshape(-1).take(np.arange(0, z.size, z.shape[1]) + at)
+def _logits(q: np.ndarray, k: np.ndarray, near: np.ndarray, alone: np.ndarray) -> np.ndarray:
+    a = q @ k.transpose(0, 2, 1)
+    a += near
+    a[alone, :, : LENGTH - STRIDE] = NEVER
+    return a
+
+
+def _softmax(vectors: np.ndarray, own: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Log-probabilities at one place of each of own's products with the vectors; exponentials of the products (vectors x own),
+    their sums, and the places in them."""
+    z = vectors @ own.T
+    places = at * z.shape[1]
+    places += np.arange(z.shape[1])
+    got = z.reshape(-1).take(places)
     np.exp(z, out=z)
-    total = z @ np.ones(z.shape[1], np.float32)
-    z /= total[:, None]
-    return got - np.log(total)
+    total = z.sum(0)
+    if not _safe(total):
+        z = vectors @ own.T
+        z -= z.max(0)
+        got = z.reshape(-1).take(places)
+        np.exp(z, out=z)
+        total = z.sum(0)
+    got -= np.log(total)
+    return got, z, total, places
+
+
+def _errors(vectors: np.ndarray, own: np.ndarray, at: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The summed loss of a factor, its gradient by the vectors and by own, and its errors times the sums in part."""
+    got, z, total, places = _softmax(vectors, own, at)
+    z.reshape(-1)[places] -= total
+    part = (np.float32(1) / total)[:, None]
+    back = z.T @ vectors[:, :WIDTH]
+    back *= part
+    return -float(got.sum(dtype=np.float64)), z @ (own[:, :WIDTH] * part), back, z, part
+
+
+def _with(vectors: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Vectors with a column of shares, which the contexts' column of ones adds to the products."""
+    out = np.empty((len(shares), WIDTH + 1), np.float32)
+    out[:, :WIDTH] = vectors
+    out[:, WIDTH] = shares
+    return out
 
 
-def _less_one(z: np.ndarray, at: np.ndarray) -> None:
-    """Takes one off one place of each row."""
-    z.reshape(-1)[np.arange(0, z.size, z.shape[1]) + at] -= 1
+def outputs(m: dict[str, np.ndarray], tree: Tree, a: int, b: int) -> np.ndarray:
+    """Output vectors and log shares of a leaf's ranks."""
+    out = np.empty((b - a, WIDTH + 1), np.float32)
+    top = a % HASHED
+    np.add(m["low_out"][top : top + b - a], m["high_out"][a // HASHED], out=out[:, :WIDTH])
+    out[:, WIDTH] = tree.id_share[a:b]
+    return out
 
 
-def _factors(m: dict[str, np.ndarray], tree: Tree, goal: np.ndarray) -> Iterator[tuple[slice, str, int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Inner factors of sorted targets: the rows, which factor, its children from first to last, their vectors, shares, and
-    the child found."""
-    leaf = tree.leaf_of.take(goal)
-    at = np.searchsorted(leaf, np.arange(tree.leaves + 1))
+def _factors(m: dict[str, np.ndarray], tree: Tree, goal: np.ndarray) -> Iterator[tuple[slice, str, int, int, np.ndarray, np.ndarray]]:
+    """Inner factors of sorted targets: the rows, which factor, its children from first to last, their vectors with shares,
+    and the child found."""
+    at = np.searchsorted(goal, tree.begin)
     for a, b in tree.split:
         rows = slice(int(at[a]), int(at[b]))
         if rows.start < rows.stop:
-            yield rows, "leaf", a, b, m["leaves"][a:b], tree.leaf_share[a:b], leaf[rows].astype(np.int64) - a
-    low, high = m["low_out"], m["high_out"]
+            yield rows, "leaf", a, b, _with(m["leaves"][a:b], tree.leaf_share[a:b]), tree.leaf_of.take(goal[rows]).astype(np.int64) - a
     for j in np.flatnonzero(np.diff(at)).tolist():
         a, b = tree.ends[j]
         if b - a > 1:
-            rows, top = slice(int(at[j]), int(at[j + 1])), a % HASHED
-            yield rows, "id", a, b, low[top : top + b - a] + high[a // HASHED], tree.id_share[a:b], goal[rows] - a
+            rows = slice(int(at[j]), int(at[j + 1]))
+            yield rows, "id", a, b, outputs(m, tree, a, b), goal[rows] - a
 
 
+def _contexts(m: dict[str, np.ndarray], e: np.ndarray, mixed: np.ndarray, y: np.ndarray, tree: Tree) -> tuple[np.ndarray, ...]:
+    """Places of the targets, these sorted, their contexts with a column of ones, and their classes."""
+    h = mixed.copy()
+    h[:, :WIDTH] += e
+    order = _order(y, tree)
+    goal = y.take(order)
+    return order, goal, h.take(order, 0), tree.class_of_leaf.take(tree.leaf_of.take(goal))
+
+
+@np.errstate(over="ignore", invalid="ignore", divide="ignore")  # such sums aren't safe: their logits are shifted
 def token_scores(m: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, alone: np.ndarray, tree: Tree, table: np.ndarray | None = None) -> np.ndarray:
     """Natural log-probability of each target, 0 where it is -1. table: the input vectors of all ranks, if at hand."""
     flat = x.reshape(-1)
     e = inputs(m, flat) if table is None else table.take(flat, 0)
-    h = attend(m, e, alone)[0]
-    h += e
     y = y.reshape(-1)
-    order = _order(y, tree)
-    goal, hs = y.take(order), h.take(order, 0)
-    z = hs @ m["classes"].T
-    z += m["bias"]
-    got = _softmax(z, tree.class_of_leaf.take(tree.leaf_of.take(goal)))
-    for rows, _, _, _, vectors, shares, found in _factors(m, tree, goal):
-        s = hs[rows] @ vectors.T
-        s += shares
-        got[rows] += _softmax(s, found)
+    order, goal, hs, cls = _contexts(m, e, attend(m, e, alone)[0], y, tree)
+    got = _softmax(_with(m["classes"], m["bias"]), hs, cls)[0]
+    for rows, _, _, _, vectors, found in _factors(m, tree, goal):
+        got[rows] += _softmax(vectors, hs[rows], found)[0]
     out = np.zeros(len(y), np.float32)
     out[order] = got
     return out.reshape(x.shape)
@@ -221,58 +274,43 @@ def _order(y: np.ndarray, tree: Tree) -> np.ndarray:
     return np.argsort(y.astype(kind), kind="stable")[: int((y >= 0).sum())]
 
 
-def _back(rows: np.ndarray, order: np.ndarray, n: int) -> np.ndarray:
-    """n rows, those at order being the given ones and the others zero."""
-    at = np.full(n, len(rows))
-    at[order] = np.arange(len(rows))
-    return np.concatenate([rows, np.zeros((1, rows.shape[1]), rows.dtype)]).take(at, 0)
-
-
+@np.errstate(over="ignore", invalid="ignore", divide="ignore")
 def gradient(m: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, alone: np.ndarray, tree: Tree, out: dict[str, np.ndarray]) -> float:
     """The gradient of the summed loss into out, whose arrays are zero; returns that loss."""
     n, flat, y = len(alone), x.reshape(-1), y.reshape(-1)
     e = inputs(m, flat)
     mixed, (q, k, v, a, part) = attend(m, e, alone)
-    h = e + mixed
-    order = _order(y, tree)
-    goal, hs = y.take(order), h.take(order, 0)
-    z = hs @ m["classes"].T
-    z += m["bias"]
-    cls = tree.class_of_leaf.take(tree.leaf_of.take(goal))
-    loss = -float(_softmax(z, cls).sum(dtype=np.float64))
-    _less_one(z, cls)
-    out["classes"] += z.T @ hs
-    out["bias"] += np.ones(len(z), np.float32) @ z
-    ds = z @ m["classes"]
-    for rows, kind, first, last, vectors, shares, found in _factors(m, tree, goal):
-        own = hs[rows]
-        s = own @ vectors.T
-        s += shares
-        loss -= float(_softmax(s, found).sum(dtype=np.float64))
-        _less_one(s, found)
-        d = s.T @ own
+    order, goal, hs, cls = _contexts(m, e, mixed, y, tree)
+    loss, d, ds, z, part_of = _errors(_with(m["classes"], m["bias"]), hs, cls)
+    out["classes"] += d
+    out["bias"] += (z @ part_of)[:, 0]
+    for rows, kind, first, last, vectors, found in _factors(m, tree, goal):
+        more, d, back, _, _ = _errors(vectors, hs[rows], found)
+        loss += more
+        ds[rows] += back
         if kind == "leaf":
             out["leaves"][first:last] += d
         else:
             out["low_out"][first % HASHED : (last - 1) % HASHED + 1] += d
             out["high_out"][first // HASHED] += d.sum(0)
-        ds[rows] += s @ vectors
-    dh = _back(ds, order, len(h))
-    # Attention: the rows' normalisation is kept out of the wide arrays.
-    dots = np.einsum("ij,ij->i", dh, mixed)
-    da = dh.reshape(n, STRIDE, WIDTH) @ v.transpose(0, 2, 1)
-    da -= dots.reshape(n, STRIDE, 1)
+    wide = np.zeros((len(flat), WIDTH + 1), np.float32)
+    dh = wide[:, :WIDTH]
+    dh[order] = ds
+    # Attention: the rows' normalisation is kept out of the wide arrays, and the values' ones take off its part of the gradient.
+    np.negative(np.einsum("ij,ij->i", dh, mixed[:, :WIDTH]), out=wide[:, WIDTH])
+    da = wide.reshape(n, STRIDE, WIDTH + 1) @ v.transpose(0, 2, 1)
     da *= a
     near = np.einsum("nij,ni->ij", da, part.reshape(n, STRIDE))
     np.add.at(out["near"], DISTANCE[~LATER], near[~LATER])
     dqkv = np.zeros((STRIDE + len(e), 3 * WIDTH), np.float32)
-    dqkv[STRIDE:, :WIDTH] = (da @ k).reshape(-1, WIDTH) * part
+    np.multiply((da @ k).reshape(-1, WIDTH), part, out=dqkv[STRIDE:, :WIDTH])
     for lo, d in ((WIDTH, da.transpose(0, 2, 1) @ (q * part.reshape(n, STRIDE, 1))), (2 * WIDTH, a.transpose(0, 2, 1) @ (dh * part).reshape(n, STRIDE, WIDTH))):
-        dqkv[STRIDE:, lo : lo + WIDTH] = d[:, LENGTH - STRIDE :].reshape(-1, WIDTH)
-        dqkv[:-STRIDE, lo : lo + WIDTH] += d[:, : LENGTH - STRIDE].reshape(-1, WIDTH)
+        dqkv[STRIDE:, lo : lo + WIDTH].reshape(n, STRIDE, WIDTH)[:] = d[:, LENGTH - STRIDE :]
+        dqkv[:-STRIDE, lo : lo + WIDTH].reshape(n, STRIDE, WIDTH)[:] += d[:, : LENGTH - STRIDE]
     dqkv = dqkv[STRIDE:]
     out["qkv"] += e.T @ dqkv
-    dh += dqkv @ m["qkv"].T
+    de = dqkv @ m["qkv"].T
+    de += dh
     # Input vectors: the input after a target is that target, so the targets' order serves again; the rest are end marks.
     rest = flat == tree.size
     after = order[: np.searchsorted(goal, tree.size)] + 1
@@ -288,15 +326,27 @@ def gradient(m: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, alone: np.n
         after, ranks = np.concatenate([after, more])[at], np.concatenate([ranks, flat[more]])[at]
     firsts = np.flatnonzero(np.diff(ranks, prepend=-1))
     if len(firsts):
-        sums, of = np.add.reduceat(dh.take(after, 0), firsts), ranks[firsts]
-        np.add.at(out["low"], of % HASHED, sums)
-        np.add.at(out["high"], of // HASHED, sums)
-    ends = dh[rest].sum(0)
+        sums, of = np.add.reduceat(de.take(after, 0), firsts), ranks[firsts]
+        _add(out["high"], of // HASHED, sums)
+        by = np.argsort(of % HASHED, kind="stable")
+        _add(out["low"], (of % HASHED)[by], sums[by])
+    ends = de[rest].sum(0)
     out["low"][tree.size % HASHED] += ends
     out["high"][tree.size // HASHED] += ends
     return loss
 
 
+def _add(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """Adds rows to the rows of out at sorted places, which may repeat."""
+    firsts = np.flatnonzero(np.diff(at, prepend=-1))
+    out[at[firsts]] += np.add.reduceat(rows, firsts)
+
+
+def keep_memory() -> None:
+    """An array that is given back at once: the C library then keeps freed arrays of up to this size for the next batch."""
+    np.empty(31 << 20, np.uint8)
+
+
 class Trainer:
     """Adam steps over batches of blocks; the weights are one array. Long gradients are cut to NORM, and the first WARM steps are shorter."""
 
@@ -306,7 +356,7 @@ class Trainer:
         self.first, self.second, self.grad = (np.zeros_like(flat) for _ in range(3))
         self.parts = views(self.grad, tree)
         self.steps = self.tokens = 0
-        np.empty(31 << 20, np.uint8)  # given back at once: the C library then keeps freed arrays of up to this size for the next step
+        keep_memory()
         self.loss = 0.0
 
     def step(self, x: np.ndarray, y: np.ndarray, alone: np.ndarray) -> None:

@@ -26,6 +26,7 @@ from __future__ import annotations
 import functools
 import itertools
 import math
+import re
 import zlib
 from array import array
 from collections import Counter
@@ -48,6 +49,8 @@ HOT_WORDS, HOT_BYTES = 200_000, 40
 COUNTED = 400_000
 #: Words whose ids' ranks a task remembers.
 REMEMBERED = 600_000
+#: Blocks that are scored together; their number doesn't change the scores.
+SCORED = 2048
 ROUNDS = 2
 SMOOTH = 0.1
 #: Weights are averaged in steps of one part in FIXED.
@@ -89,6 +92,10 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
+#: White space other than the space and the line end that many() puts between words.
+OTHER_SPACE = re.compile(r"[^\S\n ]")
+
+
 class WordIds:
     """Ids of a word with a space before it."""
 
@@ -96,6 +103,9 @@ class WordIds:
         self.codec = c
         # Whether ASCII letters are one pre-token with the space before them, and a sign after them another.
         self.plain = findall(c.pattern, " ab.") == [" ab", "."]
+        # Whether a line end before the space is a pre-token of its own and changes nothing in the words on both sides.
+        self.lines = findall(c.pattern, "\n ab\n 1.\n .\n ab") == ["\n", " ab", "\n", " 1", ".", "\n", " .", "\n", " ab"]
+        self.end = c.merge("\n")
 
     def __call__(self, word: bytes) -> list[int]:
         if self.plain and word.isalpha():
@@ -105,16 +115,27 @@ class WordIds:
         return [i for p in findall(self.codec.pattern, " " + word.decode()) for i in self.codec.merge(p)]
 
 
+    def many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after the other, and how many each has. The library takes the words in one call, a line each; words
+        with white space of their own, which could join the line end, go one by one."""
+        text = "\n ".join(map(bytes.decode, [b"", *words]))
+        if not self.lines or len(self.end) > 1 or OTHER_SPACE.search(text):
+            ids = list(map(self, words))
+            return np.fromiter(itertools.chain.from_iterable(ids), np.int64), np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.array(self.codec.words(text), np.int64)
+        ends = flat == self.end[0]  # no word has a line end
+        return flat[~ends], np.diff(np.flatnonzero(ends), append=len(flat)) - 1
+
+
 def _count_ids(rank_file: str, pattern: str, size: int):
     """Counts of ids from counts of words, a task's as one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, total = WordIds(codec(rank_file, pattern)), np.zeros(size)
         for b in batches:
-            ids = list(map(of, b.column(0).to_pylist()))
-            if ids:
-                flat = np.fromiter(itertools.chain.from_iterable(ids), np.int64)
-                total += np.bincount(flat, np.repeat(b.column(1).to_numpy(), [len(x) for x in ids]), minlength=size)
+            if b.num_rows:
+                flat, sizes = of.many(b.column(0).to_pylist())
+                total += np.bincount(flat, np.repeat(b.column(1).to_numpy(), sizes), minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at].astype(np.int64))], names=["id", "n"])
 
@@ -125,7 +146,7 @@ class WordRanks:
     """Words by number, remembered: the ranks of their ids one after the other, and the log share of the frequent ones."""
 
     def __init__(self, ids: WordIds, tree: lm.Tree, logs: dict[bytes, float]):
-        self.ids, self.logs, self.rank = ids, logs, tree.rank.tolist()
+        self.ids, self.logs, self.rank = ids, logs, tree.rank
         self.forget()
 
     def forget(self) -> None:
@@ -139,15 +160,18 @@ class WordRanks:
             self.forget()
             of = self.of
         out = np.fromiter(map(of.get, words, itertools.repeat(-1)), np.int64, len(words))
-        for i in np.flatnonzero(out < 0).tolist():
-            w = words[i]
-            if (j := of.get(w)) is None:
-                j = of[w] = len(of)
-                self.words.append(w)
-                self.flat.extend([self.rank[x] for x in self.ids(w)])
-                self.ends.append(len(self.flat))
-                self.shares.append(self.logs.get(w, math.nan))
-            out[i] = j
+        at = np.flatnonzero(out < 0)
+        if len(at):
+            missing = [words[i] for i in at.tolist()]
+            new = list(dict.fromkeys(missing))
+            of.update(zip(new, itertools.count(len(of))))
+            self.words += new
+            ids, sizes = self.ids.many(new)
+            ends = len(self.flat) + np.cumsum(sizes)
+            self.flat.frombytes(self.rank.take(ids).tobytes())
+            self.ends.frombytes(ends.astype(np.uint64).tobytes())
+            self.shares.extend(map(self.logs.get, new, itertools.repeat(math.nan)))
+            out[at] = np.fromiter(map(of.__getitem__, missing), np.int64, len(missing))
         return out
 
     def ranks(self, numbers: np.ndarray) -> np.ndarray:
@@ -202,6 +226,7 @@ def _score(rank_file: str, pattern: str, tree: lm.Tree, weights: np.ndarray, hot
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, number = word_ranks(rank_file, pattern, tree, logs), TaskContext.get().partitionId() << 40
+        lm.keep_memory()
         for b in batches:
             docs: list[tuple] = []
             rest: list[list] = [[], [], []]
@@ -219,7 +244,7 @@ def _score(rank_file: str, pattern: str, tree: lm.Tree, weights: np.ndarray, hot
                     yield len(docs) - 1, known.ranks(numbers)  # noqa: B023
 
             scores = [0.0] * b.num_rows
-            for x, y, alone, parts in lm.blocks(tree, texts()):
+            for x, y, alone, parts in lm.blocks(tree, texts(), SCORED):
                 by_block = lm.token_scores(model, x, y, alone, tree, table).sum(1, dtype=np.float64)
                 for at, first, stop in parts:
                     scores[at] += float(by_block[first:stop].sum()) / math.log(10)

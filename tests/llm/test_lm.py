@@ -104,6 +104,22 @@ def test_scores_equal_a_direct_pass(most):
         assert abs(got[name] - direct(m, tree, ranks.tolist())) < 1e-3 * (len(ranks) + 1)
 
 
+def test_logits_beyond_the_exponentials_range():
+    """Weights whose exponentials overflow or vanish as they are: the logits are shifted, and scores and gradient stay right."""
+    rng, tree = some_tree()
+    flat = np.random.default_rng(3).standard_normal(lm.count(tree)).astype(np.float32)
+    m = lm.views(flat, tree)
+    made = [rng.integers(0, tree.size, n) for n in (5, 40)]
+    for x, y, alone, parts in lm.blocks(tree, enumerate(made)):
+        scores = lm.token_scores(m, x, y, alone, tree)
+        for name, a, b in parts:
+            want = direct(m, tree, made[name].tolist())
+            assert abs(float(scores[a:b].sum(dtype=float)) - want) < 1e-3 * abs(want)
+        grad = np.zeros_like(flat)
+        assert abs(lm.gradient(m, x, y, alone, tree, lm.views(grad, tree)) + float(scores.sum(dtype=float))) < 1e-3 * abs(float(scores.sum()))
+        assert np.isfinite(grad).all()
+
+
 def test_distribution_over_ids_and_order():
     _, tree = some_tree()
     _, m = some_model(tree)
@@ -178,6 +194,25 @@ def test_word_ids_are_the_librarys():
         assert of(w.encode()) == e.encode_ordinary(" " + w)
 
 
+def test_new_words_of_a_text_take_one_call():
+    """Words that aren't known yet go to the library together, with the ids that each has alone; white space of other kinds within
+    a word doesn't join what is between words."""
+    c = byte_bpe.Codec(RANKS, P.PATTERN)
+    of, tree, calls = lm_scoring.WordIds(c), lm.Tree(np.zeros(lm_scoring.vocabulary_size(RANKS, P.PATTERN), np.int64)), []
+    for name in ("merge", "words"):
+        setattr(c, name, lambda text, f=getattr(c, name): calls.append(text) or f(text))
+    words = ["the", "tionnten.", "don't", "...", ",", "x1.", "\u00e9t\u00e9.", "\u6f22\u5b57", "q" * 3000, "'s", "\x00", "the", "\U0001f600a"]
+    odd = ["end\u00a0", "\u2003", "a\u0085b", "x\x1c", "\u3000y"]
+    known = lm_scoring.WordRanks(of, tree, {})
+    got = known.ranks(known.numbers([w.encode() for w in words]))
+    assert len(calls) == 1
+    assert got.tolist() == [int(tree.rank[i]) for w in words for i in of(w.encode())]
+    both = [w.encode() for w in [*words, *odd, *words]]
+    flat, sizes = of.many(both)
+    assert (flat.tolist(), sizes.tolist()) == ([i for w in both for i in of(w)], [len(of(w)) for w in both])
+    assert [x.tolist() for x in of.many([])] == [[], []]
+
+
 def test_score_end_to_end(documents):
     """score against a direct pass with the weights that training left, on texts of many windows, and the same twice."""
     rows = [*enumerate(texts(30, 4, 400)), (90, None), (91, "q" * 3000)]
